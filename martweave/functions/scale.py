@@ -68,25 +68,30 @@ def _join_borders(rows: DataFrame, borders: DataFrame, keys: Sequence[str], valu
     return rows.join(small, match, "left").drop(*names.values())
 
 
-def grouped_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
-    """``row_number`` per ``keys`` (or over everything when empty), as bigint from 1."""
-    rows = ordered_chunks(df, keys, order)
+def grouped_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
+    """Running bigint sum of ``value`` per ``keys`` up to and including the row, in ``order``."""
+    rows = ordered_chunks(df.withColumn("_v", value.cast("long")), keys, order)
     across = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = across.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     borders = (
         rows.groupBy(CHUNK, *keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_v").alias("_n"))
         .withColumn("_before", F.sum("_n").over(before))
-        .filter(F.col("_before") > 0)
+        .filter(F.col("_before").isNotNull())
     )
-    inside = Window.partitionBy(CHUNK, *keys).orderBy(*order, TIE)
-    ranked = rows.withColumn("_rn", F.row_number().over(inside).cast("long"))
-    joined = _join_borders(ranked, borders, keys, "_before")
-    return joined.withColumn(out, F.col("_rn") + F.coalesce("_before", F.lit(0))).drop(
-        "_rn", "_before", CHUNK, TIE
+    inside = Window.partitionBy(CHUNK, *keys).orderBy(*order, TIE).rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.withColumn("_run", F.sum("_v").over(inside))
+    joined = _join_borders(running, borders, keys, "_before")
+    return joined.withColumn(out, F.col("_run") + F.coalesce("_before", F.lit(0))).drop(
+        "_v", "_run", "_before", CHUNK, TIE
     )
 
 
+def grouped_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """``row_number`` per ``keys`` (or over everything when empty), as bigint from 1."""
+    return grouped_running_sum(df, keys, order, F.lit(1), out)
+
+
 def grouped_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """Value of the row before within ``keys`` under a total ``order``."""
     rows = ordered_chunks(df, keys, order)
