@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 CHUNK, TIE = "_chunk", "_tie"
+PLACE_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition in the low 33 bits
+T = TypeVar("T")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -89,7 +93,21 @@ def grouped_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str]
 
 def grouped_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """``row_number`` per ``keys`` (or over everything when empty), as bigint from 1."""
-    return grouped_running_sum(df, keys, order, F.lit(1), out)
+    if keys:
+        return grouped_running_sum(df, keys, order, F.lit(1), out)
+    # Without keys the place inside a sorted range partition is the row's own number there,
+    # so one shuffle is enough; each partition only needs the size of those before it.
+    tied = df.withColumn(TIE, F.monotonically_increasing_id())
+    ordered = [F.col(c) for c in (*order, TIE)]
+    placed = tied.repartitionByRange(*ordered).sortWithinPartitions(*ordered).withColumn(
+        "_place", F.monotonically_increasing_id()).drop(TIE)
+    rows = stage(placed, "ranked").withColumn(CHUNK, F.shiftright("_place", PLACE_BITS))
+    before = Window.partitionBy(F.lit(0)).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    borders = sizes.withColumn("_before", F.sum("_n").over(before)).filter(F.col("_before") > 0)
+    joined = _join_borders(rows, borders, [], "_before")
+    place = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return joined.withColumn(out, place + 1 + F.coalesce("_before", F.lit(0))).drop("_place", "_before", CHUNK)
 
 
 def grouped_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
@@ -106,19 +124,30 @@ def grouped_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return joined.withColumn(out, picked[value]).drop("_in", "_prior", CHUNK, TIE)
 
 
-def one_row_differs(left: DataFrame, right: DataFrame, measures: Sequence[str]) -> DataFrame:
-    """Compare one-row frames measure by measure without joining them: (measure, left, right, same)."""
-    def tall(df: DataFrame, side: str) -> DataFrame:
+def together(tasks: dict[str, Callable[[], T]]) -> dict[str, T]:
+    """Run independent Spark actions at the same time, so short jobs do not queue behind each other."""
+    with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
+        started = {name: pool.submit(task) for name, task in tasks.items()}
+        return {name: future.result() for name, future in started.items()}
+
+
+def one_row_values(rows: dict[str, DataFrame], measures: Sequence[str]) -> DataFrame:
+    """(measure, <name>_value …, same) for several one-row frames; they meet in a union, not a join."""
+    tall = None
+    for name, df in rows.items():
         pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("string").alias("value"))
                           for m in measures])
-        return df.select(F.explode(pairs).alias("p")).select(F.lit(side).alias("side"), "p.measure", "p.value")
-
-    both = tall(left, "left").unionByName(tall(right, "right"))
-    return (
-        both.groupBy("measure")
-        .agg(
-            F.max(F.when(F.col("side") == "left", F.col("value"))).alias("left_value"),
-            F.max(F.when(F.col("side") == "right", F.col("value"))).alias("right_value"),
-        )
-        .withColumn("same", F.col("left_value").eqNullSafe(F.col("right_value")))
-    )
+        one = df.select(F.inline(pairs)).withColumn("_name", F.lit(name))
+        tall = one if tall is None else tall.unionByName(one)
+    values = {n: F.max(F.when(F.col("_name") == n, F.col("value"))).alias(f"{n}_value") for n in rows}
+    wide = tall.groupBy("measure").agg(*values.values())
+    first, *rest = rows
+    same = F.lit(True)
+    for name in rest:
+        same = same & F.col(f"{first}_value").eqNullSafe(F.col(f"{name}_value"))
+    return wide.withColumn("same", same)
+
+
+def one_row_differs(left: DataFrame, right: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """Compare two one-row frames measure by measure: (measure, left_value, right_value, same)."""
+    return one_row_values({"left": left, "right": right}, measures)

@@ -102,7 +102,8 @@ def find_duplicate_terms(terms: DataFrame) -> DataFrame:
     """
     named = terms.withColumn("normalized", normalize_name(F.col("name")))
     place = F.when(F.col("kind").isin("node", "term"), F.coalesce("parent", F.lit(""))).otherwise("")
-    named = named.withColumn("place", place)
+    # Written once: three branches read the names, and normalizing them runs Python.
+    named = scale.stage(named.withColumn("place", place), "names")
     here = named.groupBy("kind", "normalized", "place").agg(
         F.count(F.lit(1)).alias("_here"), F.min("urn").alias("first_urn"))
     everywhere = here.groupBy("kind", "normalized").agg(F.sum("_here").alias("_all"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martweave.functions.scale import one_row_differs
+from martweave.functions.scale import one_row_differs, one_row_values
 from martweave.functions.scalars import (
     MAX_AMOUNT, MICRO, amount_in_range, average_order_value, dec, finish_digest, set_digest,
 )
@@ -120,36 +120,53 @@ def orphan_violations(child: DataFrame, parent: DataFrame, key: str, rule: str)
 _LINE = ["sales_order_id", "sales_order_detail_id"]
 
 
-def check_in_scope(facts: DataFrame, scope: Scope) -> DataFrame:
+def _scope_rules(scope: Scope) -> dict[str, tuple[Column, Column]]:
     day = F.col("order_date")
-    return rule_rows(facts, _LINE, {
+    return {
         "fact_outside_date_scope": (
             (day >= F.lit(scope.start).cast("date")) & (day <= F.lit(scope.end).cast("date")), day),
         "fact_status_out_of_scope": (F.col("status") == scope.status, F.col("status")),
         "fact_currency_out_of_scope": (F.col("currency_rate_id").isNull(), F.col("currency_rate_id")),
-    })
-
-
-def check_not_empty(facts: DataFrame) -> DataFrame:
-    n = facts.agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
-    return violation(n, "empty_approved_scope", ["n"], "0")
+    }
 
 
-def check_domain(facts: DataFrame) -> DataFrame:
+def _domain_rules() -> dict[str, tuple[Column, Column]]:
     discount = F.col("unit_price_discount")
-    return rule_rows(facts, _LINE, {
+    return {
         "invalid_order_qty": (F.col("order_qty") > 0, F.col("order_qty")),
         "invalid_amount": ((F.col("unit_price") >= 0) & (discount >= 0) & (discount <= 1),
                            F.concat_ws("|", _text(F.col("unit_price")), _text(discount))),
         "line_net_amount_out_of_range": (amount_in_range(F.col("line_net_amount")), F.col("line_net_amount")),
         "source_line_total_out_of_range": (F.abs("source_line_total") <= dec(MAX_AMOUNT),
                                            F.col("source_line_total")),
-    })
+    }
 
 
-def check_formula(facts: DataFrame) -> DataFrame:
+def _formula_rules() -> dict[str, tuple[Column, Column]]:
     gap = F.abs(F.col("line_net_amount") - F.col("source_line_total"))
-    return rule_rows(facts, _LINE, {"line_total_mismatch": (gap <= dec(MICRO), gap)})
+    return {"line_total_mismatch": (gap <= dec(MICRO), gap)}
+
+
+def check_not_empty(facts: DataFrame) -> DataFrame:
+    n = facts.agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
+    return violation(n, "empty_approved_scope", ["n"], "0")
+
+
+def check_in_scope(facts: DataFrame, scope: Scope) -> DataFrame:
+    return rule_rows(facts, _LINE, _scope_rules(scope))
+
+
+def check_domain(facts: DataFrame) -> DataFrame:
+    return rule_rows(facts, _LINE, _domain_rules())
+
+
+def check_formula(facts: DataFrame) -> DataFrame:
+    return rule_rows(facts, _LINE, _formula_rules())
+
+
+def check_lines(facts: DataFrame, scope: Scope) -> DataFrame:
+    """All row rules of the fact in one pass over it."""
+    return rule_rows(facts, _LINE, {**_scope_rules(scope), **_domain_rules(), **_formula_rules()})
 
 
 def check_extract(inputs: dict[str, DataFrame], scope: Scope) -> DataFrame:
@@ -165,9 +182,7 @@ def check_extract(inputs: dict[str, DataFrame], scope: Scope) -> DataFrame:
         orphan_violations(facts, products, "source_product_id", "fact_product_orphan"),
         orphan_violations(facts, customers, "source_customer_id", "fact_customer_orphan"),
         orphan_violations(facts, territories, "source_territory_id", "fact_territory_orphan"),
-        check_in_scope(facts, scope),
-        check_domain(facts),
-        check_formula(facts),
+        check_lines(facts, scope),
     )
 
 
@@ -236,6 +251,11 @@ def reconcile(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return one_row_differs(expected, actual, TOTALS)
 
 
+def reconcile_all(rows: dict[str, DataFrame]) -> DataFrame:
+    """(measure, <name>_value …, same) over the five measures of several one-row frames, in one job."""
+    return one_row_values(rows, TOTALS)
+
+
 SUMMARY_TOTALS = ["line_count", "quantity", "net_sales", "source_line_total"]
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martweave.functions import scale
+from martweave.functions.scale import one_row_differs
 from martweave.functions.scalars import average_order_value, canonical_digest
 from martweave.operators import mart, quality
 from martweave.operators.mart import Scope
 from martweave.plans import reports
-from martweave.sources.sinks import current_path, replace_table, switch
+from martweave.sources.sinks import current_paths, publish, replace_table, version_path
 
 DIMENSIONS = ["dim_date", "dim_territory", "dim_product", "dim_customer"]
 
@@ -80,16 +81,15 @@ def _require(violations: DataFrame) -> None:
 
 
 def prepare(sources: dict[str, DataFrame], scope: Scope) -> dict[str, DataFrame]:
-    """Extract, coerce and validate; the joined order lines are written once and reused."""
-    inputs, rejected = {}, None
-    for name, df in mart.extract(sources, scope).items():
-        # A small input may be read many times below; facts are joined, so stage them.
-        good, bad = quality.coerce_source(scale.stage(df, name), EXTRACT_SPECS[name])
-        inputs[name] = good
+    """Extract, coerce and validate; every input is written once and read from there on."""
+    extracted = mart.extract(sources, scope)
+    staged = scale.together({n: (lambda n=n, df=df: scale.stage(df, n)) for n, df in extracted.items()})
+    inputs, problems = {}, None
+    for name, df in staged.items():
+        inputs[name], bad = quality.coerce_source(df, EXTRACT_SPECS[name])
         rows = bad.select(F.explode("reasons").alias("rule"))
-        rejected = rows if rejected is None else rejected.unionByName(rows)
-    _require(rejected)
-    _require(quality.check_extract(inputs, scope))
+        problems = rows if problems is None else problems.unionByName(rows)
+    _require(problems.unionByName(quality.check_extract(inputs, scope).select("rule")))
     return inputs
 
 
@@ -109,106 +109,94 @@ def preview_load(sources: dict[str, DataFrame], scope: Scope) -> DataFrame:
     return result
 
 
-def _current_or(spark: SparkSession, root: str | None, name: str, schema: str) -> DataFrame:
-    if root is not None:
-        return spark.read.schema(schema).parquet(current_path(spark, f"{root}/{name}"))
-    if name in mart.UNKNOWN_MEMBERS:
-        return mart.unknown_member(spark, name)
-    return spark.createDataFrame([], schema)
+TABLES = {**mart.DIM_SCHEMAS, "fact": mart.FACT_SCHEMA}
 
 
-def open_mart(spark: SparkSession, root: str) -> Mart:
-    dims = {d: _current_or(spark, root, d, mart.DIM_SCHEMAS[d]) for d in DIMENSIONS}
-    return Mart(_current_or(spark, root, "fact", mart.FACT_SCHEMA), dims)
+def _empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
+    """A mart before its first load: only the Unknown members."""
+    return {d: mart.unknown_member(spark, d) for d in DIMENSIONS} | {"fact": spark.createDataFrame([], TABLES["fact"])}
+
 
+def _current_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    paths = current_paths(spark, root)
+    return {name: spark.read.schema(schema).parquet(paths[name]) for name, schema in TABLES.items()}
 
 
+def open_mart(spark: SparkSession, root: str) -> Mart:
+    tables = _current_tables(spark, root)
+    return Mart(tables["fact"], {d: tables[d] for d in DIMENSIONS})
+
 
 def load_mart(sources: dict[str, DataFrame], root: str, scope: Scope, *, exists: bool = False) -> DataFrame:
     """Run one load into the mart at ``root`` and return its one-row receipt.
 
     ``exists`` says whether a published mart is already there. Every table is
-    written as a new version and checked as written; only then are the versions
-    made current, and the published tables are read back and compared.
+    written as a new version and checked as written; only then do all versions
+    become current in one step, and the published tables are read back and compared.
     """
     spark = sources["customer"].sparkSession
-    base = root if exists else None
     inputs = prepare(sources, scope)
-    current = {d: _current_or(spark, base, d, mart.DIM_SCHEMAS[d]) for d in DIMENSIONS}
-    if not mart.unknown_member_check(current).first()["canonical"]:
+    current = _current_tables(spark, root) if exists else _empty_tables(spark)
+    if not mart.unknown_member_check({d: current[d] for d in DIMENSIONS}).first()["canonical"]:
         raise LoadRejected({"target_unknown_member_invalid": 1})
 
-    written: dict[str, tuple[str, str]] = {}
+    written: dict[str, str] = {}
 
-    def keep(name: str, df: DataFrame, schema: str) -> DataFrame:
-        path = f"{root}/{name}/versions/{scale.uuid.uuid4().hex}"
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        path = version_path(root, name)
         df.write.parquet(path)
-        written[name] = (f"{root}/{name}", path)
-        return spark.read.schema(schema).parquet(path)
-
-    dims = {}
-    dims["dim_date"] = keep(
-        "dim_date", mart.insert_if_absent(current["dim_date"], mart.calendar(spark, scope), "date_key"),
-        mart.DIM_SCHEMAS["dim_date"])
-    dims["dim_territory"] = keep(
-        "dim_territory",
-        mart.upsert_type1(current["dim_territory"], inputs["territories"], "source_territory_id",
-                          ["territory_name", "country_region_code", "territory_group"], "territory_key"),
-        mart.DIM_SCHEMAS["dim_territory"])
-    dims["dim_product"] = keep(
-        "dim_product",
-        mart.upsert_type1(current["dim_product"], inputs["products"], "source_product_id",
-                          inputs["products"].columns[1:], "product_key"),
-        mart.DIM_SCHEMAS["dim_product"])
+        written[name] = path
+        return spark.read.schema(TABLES[name]).parquet(path)
+
+    def upsert(name: str, incoming: DataFrame, key: str, attrs: list[str], surrogate: str) -> DataFrame:
+        return keep(name, mart.upsert_type1(current[name], incoming, key, attrs, surrogate))
+
+    dims = scale.together({
+        "dim_date": lambda: keep("dim_date", mart.insert_if_absent(
+            current["dim_date"], mart.calendar(spark, scope), "date_key")),
+        "dim_territory": lambda: upsert(
+            "dim_territory", inputs["territories"], "source_territory_id",
+            ["territory_name", "country_region_code", "territory_group"], "territory_key"),
+        "dim_product": lambda: upsert(
+            "dim_product", inputs["products"], "source_product_id", inputs["products"].columns[1:], "product_key"),
+    })
     customers = mart.lookup_surrogate(
         inputs["customers"], dims["dim_territory"], "source_territory_id", "territory_key", optional=True)
-    dims["dim_customer"] = keep(
-        "dim_customer",
-        mart.upsert_type1(current["dim_customer"], customers, "source_customer_id",
-                          ["source_territory_id", "territory_key"], "customer_key"),
-        mart.DIM_SCHEMAS["dim_customer"])
-
-    incoming = mart.build_fact(with_net_amount(inputs["facts"]), dims)
-    merged = incoming
-    if exists:
-        merged = mart.upsert_fact(_current_or(spark, base, "fact", mart.FACT_SCHEMA), incoming)
-    # Clustered by date so row-group statistics prune reports; a hot day is split by order id.
+    dims["dim_customer"] = upsert(
+        "dim_customer", customers, "source_customer_id", ["source_territory_id", "territory_key"], "customer_key")
+
+    incoming = mart.build_fact(inputs["facts"], dims)
+    merged = mart.upsert_fact(current["fact"], incoming) if exists else incoming
+    # Clustered by date so file and row-group statistics prune reports; a hot day is split by order id.
     clustered = merged.repartitionByRange("order_date_key", *mart.FACT_KEY).sortWithinPartitions(
         "order_date_key", *mart.FACT_KEY)
-    fact = keep("fact", clustered, mart.FACT_SCHEMA)
-    missing = mart.unresolved(fact, ["product_key", "customer_key", "territory_key"])
-    _require(missing.select(F.concat(F.lit("unresolved_"), "surrogate").alias("rule")))
+    fact = keep("fact", clustered)
 
     staged = Mart(fact, dims)
-    source = quality.scope_totals(inputs["facts"])
-    target = quality.target_totals(fact, dims["dim_date"], scope)
-    _require_same(quality.reconcile(source, target), "target_source_reconciliation_failed")
-    seen = quality.conditional_totals(mart.scope_flag(staged.view, scope))
-    _require_same(quality.reconcile(target, seen), "reporting_view_metrics_mismatch")
-
-    for name in [*DIMENSIONS, "fact"]:
-        switch(spark, *written[name])
-    published = open_mart(spark, root)
-    again = quality.target_totals(published.fact, published.dims["dim_date"], scope)
-    _require_same(quality.reconcile(target, again), "readback_mismatch")
+    missing = mart.unresolved(fact, ["product_key", "customer_key", "territory_key"])
+    rules = missing.select(F.concat(F.lit("unresolved_"), "surrogate").alias("rule"))
+    compared = quality.reconcile_all({
+        "source": quality.scope_totals(inputs["facts"]),
+        "target": quality.target_totals(fact, dims["dim_date"], scope),
+        "view": quality.conditional_totals(mart.scope_flag(staged.view, scope)),
+    })
+    broken = F.when(F.col("source_value").eqNullSafe(F.col("target_value")), "reporting_view_metrics_mismatch")
+    _require(rules.unionByName(compared.filter(~F.col("same")).select(
+        F.coalesce(broken, F.lit("target_source_reconciliation_failed")).alias("rule"))))
+
+    publish(spark, root, written)
+    return scale.stage(_read_back(inputs, fact, open_mart(spark, root), scope), "receipt")
+
+
+def _read_back(inputs: dict[str, DataFrame], staged: DataFrame, published: Mart, scope: Scope) -> DataFrame:
+    """Receipt of the published tables, after comparing them with what was checked before."""
+    before = quality.fact_table_totals(staged)
+    after = quality.fact_table_totals(published.fact)
+    compared = one_row_differs(before, after, quality.SUMMARY_TOTALS)
+    _require(compared.filter(~F.col("same")).select(F.lit("readback_mismatch").alias("rule")))
     return run_receipt(inputs, published, scope)
 
 
-def _require_same(comparison: DataFrame, rule: str) -> None:
-    broken = comparison.filter(~F.col("same")).count()
-    if broken:
-        raise LoadRejected({rule: broken})
-
-
-def with_net_amount(facts: DataFrame) -> DataFrame:
-    from martweave.functions.scalars import line_net_amount
-
-    return facts.withColumn(
-        "line_net_amount",
-        line_net_amount(F.col("order_qty"), F.col("unit_price"), F.col("unit_price_discount")),
-    )
-
-
 def run_receipt(inputs: dict[str, DataFrame], loaded: Mart, scope: Scope) -> DataFrame:
     """One row of counts, reconciliation amounts and average order value, with its digest."""
     view = quality.conditional_totals(mart.scope_flag(loaded.view, scope))
@@ -231,7 +219,6 @@ def run_receipt(inputs: dict[str, DataFrame], loaded: Mart, scope: Scope) -> Dat
 
 def refresh_summaries(loaded: Mart, root: str) -> dict[str, DataFrame]:
     """Rebuild both monthly summaries, each checked against the fact before it becomes current."""
-    spark = loaded.fact.sparkSession
     parts = {
         "monthly_category_summary": reports.monthly_category_summary(
             loaded.fact, loaded.dims["dim_date"], loaded.dims["dim_product"]),
@@ -243,6 +230,5 @@ def refresh_summaries(loaded: Mart, root: str) -> dict[str, DataFrame]:
         def ok(written: DataFrame, expected: DataFrame = expected) -> bool:
             return quality.reconcile_summary(loaded.fact, expected, written).filter(~F.col("same")).isEmpty()
 
-        path = replace_table(expected, f"{root}/{name}", ok)
-        result[name] = spark.read.schema(expected.schema).parquet(path)
+        result[name] = replace_table(expected, root, name, ok)
     return result

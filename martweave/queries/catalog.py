@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from martweave.functions import scalars as S
 from martweave.operators import catalog as C
 from martweave.plans.query import page
-from martweave.queries.registry import query
+from martweave.queries.registry import DIGEST, query
 from martweave.sources.adapter import table
 from martweave.sources.readers import allowlist_tables
 
@@ -279,10 +279,6 @@ def scope_violations(spark, root):
     return C.scope_violations(*_scope(spark, root), "run")
 
 
-_WORD = "CAST(CAST(sum(CAST('0x' || substr(h, {0}, 15) AS BIGINT)) AS HUGEINT) AS VARCHAR)"
-DIGEST = "sha256(CAST(count(*) AS VARCHAR) || ':' || " + " || ':' || ".join(_WORD.format(1 + 15 * i) for i in range(4)) + ")"
-
-
 @query(f"""
 WITH rows AS (
   SELECT 'part:' || p_partkey AS urn, p_brand AS v, NULL AS path FROM part WHERE p_type <> 'PROMO' AND p_size <> 13

@@ -11,7 +11,7 @@ from martweave.operators import mart, quality
 from martweave.operators.mart import Scope
 from martweave.plans import load, reports
 from martweave.plans.query import cap_or_reject
-from martweave.queries.registry import query
+from martweave.queries.registry import DIGEST, query
 from martweave.sources import adapter
 from martweave.sources.adapter import table
 
@@ -509,7 +509,9 @@ FROM t""")
 def load_mart(spark, root):
     """A complete load into an empty mart; the receipt without its digest."""
     target = scale.new_path(spark, "mart")
-    return load.load_mart(adapter.mart_sources(spark, root), target, SCOPE).drop("receipt_sha256")
+    receipt = load.load_mart(adapter.mart_sources(spark, root), target, SCOPE).drop("receipt_sha256")
+    _MARTS[(spark.sparkContext.applicationId, root)] = load.open_mart(spark, target)
+    return receipt
 
 
 # --- quality rules on the whole source (out-of-scope rows break scope rules) ---------------
@@ -657,10 +659,16 @@ def unknown_member_check(spark, root):
     return mart.unknown_member_check(mart_of(spark, root).dims)
 
 
-@query(None)
+_FACT_TEXT = " || '␟' || ".join(f"coalesce(CAST({c} AS VARCHAR), '␀')" for c in mart.FACT_COLUMNS)
+_FACT_SCHEMA = ",".join(":".join(part.split()) for part in mart.FACT_SCHEMA.replace("(19,", "(19;").split(",")).replace(";", ",")
+
+
+@query(MART_SQL + f"""
+, hashed AS (SELECT sha256({_FACT_TEXT}) AS h FROM sales)
+SELECT count(*) AS rows, sha256('{_FACT_SCHEMA}') AS schema_sha256, {DIGEST} AS content_sha256 FROM hashed""")
 def table_fingerprint(spark, root):
-    m = mart_of(spark, root)
-    return quality.table_fingerprint(m.fact)
+    """The fingerprint of the fact; two copies are the same table when it is equal."""
+    return quality.table_fingerprint(mart_of(spark, root).fact)
 
 
 @query(MART_SQL + """

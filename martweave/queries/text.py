@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from martweave.functions import scalars as S
 from martweave.operators import quality
 from martweave.operators import sessions as T
-from martweave.queries.catalog import DIGEST
-from martweave.queries.registry import query
+from martweave.queries.registry import DIGEST, query
 from martweave.sources import readers
 from martweave.sources.adapter import table
 from martweave.sources.sinks import to_wire as wire
@@ -191,11 +190,12 @@ def screen_secrets(spark, root):
 
 
 @query("""
-SELECT 'coverage:' || CASE WHEN lang = 'de' THEN 'unsupported' ELSE 'analyzed' END AS what, count(*) AS rows FROM documents GROUP BY 1
+SELECT what, CAST(n AS BIGINT) AS rows FROM (
+SELECT 'coverage:' || CASE WHEN lang = 'de' THEN 'unsupported' ELSE 'analyzed' END AS what, count(*) AS n FROM documents GROUP BY 1
 UNION ALL SELECT 'finding:language', count(*) FROM documents WHERE lang = 'de'
 UNION ALL SELECT 'node:asset', count(*) FROM documents WHERE lang <> 'de'
 UNION ALL SELECT 'edge:reads', sum(length(text) - length(replace(text, '?', ''))) FROM documents WHERE lang <> 'de'
-  HAVING sum(length(text) - length(replace(text, '?', ''))) > 0""")
+  HAVING sum(length(text) - length(replace(text, '?', ''))) > 0)""")
 def analyze_corpus(spark, root):
     """A user analyzer over whole documents; rows per record and kind."""
     def analyze(frame: pd.DataFrame) -> pd.DataFrame:
@@ -294,8 +294,8 @@ def session_stats(spark, root):
 
 
 @query("""
-WITH e AS (SELECT user_id AS session, event_type, epoch_ms(ts) AS ms,
-                  lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events)
+WITH e AS (SELECT user_id AS session, event_type, epoch_us(ts) // 1000 AS ms,
+                  lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events)
 SELECT session, CAST(coalesce(sum(ms - previous) FILTER (event_type NOT IN ('click', 'signup') AND ms > previous), 0) AS BIGINT) AS active_ms
 FROM e GROUP BY 1""")
 def active_time(spark, root):

@@ -42,37 +42,41 @@ class PublishRejected(RuntimeError):
     pass
 
 
-def replace_table(
-    df: DataFrame,
-    root: str,
-    check: Callable[[DataFrame], bool] | None = None,
-    partition_by: list[str] | None = None,
-) -> str:
-    """Write a new version, validate it as written, then make it current.
-
-    Readers follow the newest row of the version log, so they see the old version
-    until the one-row append commits and never a half-written table.
+def publish(spark: SparkSession, root: str, paths: dict[str, str]) -> None:
+    """Make written table versions current, all at once: one row appended to the version log.
+
+    Readers follow the newest row, so they see either all old or all new versions.
     """
-    spark = df.sparkSession
-    path = f"{root}/versions/{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=partition_by)
-    if check is not None and not check(spark.read.schema(df.schema).parquet(path)):
-        raise PublishRejected(root)
-    switch(spark, root, path)
-    return path
+    entry = [(time.time_ns(), paths)]
+    log = spark.createDataFrame(entry, LOG).coalesce(1)
+    log.write.mode("append").parquet(f"{root}/log")
+
+
+LOG = "published long, paths map<string,string>"
 
 
-def switch(spark: SparkSession, root: str, path: str) -> None:
-    entry = [(time.time_ns(), path)]
-    spark.createDataFrame(entry, "published long, path string").coalesce(1).write.mode("append").parquet(
-        f"{root}/log"
-    )
+def current_paths(spark: SparkSession, root: str) -> dict[str, str]:
+    log = spark.read.schema(LOG).parquet(f"{root}/log")
+    return log.agg(F.max_by("paths", "published")).first()[0]
+
+
+def replace_table(
+    df: DataFrame, root: str, name: str, check: Callable[[DataFrame], bool] | None = None
+) -> DataFrame:
+    """Write a new version of one table, validate it as written, then make it current."""
+    spark = df.sparkSession
+    path = version_path(root, name)
+    df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    if check is not None and not check(written):
+        raise PublishRejected(name)
+    publish(spark, f"{root}/{name}", {name: path})
+    return written
 
 
-def current_path(spark: SparkSession, root: str) -> str:
-    log = spark.read.schema("published long, path string").parquet(f"{root}/log")
-    return log.agg(F.max_by("path", "published")).first()[0]
+def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.parquet(current_paths(spark, f"{root}/{name}")[name])
 
 
-def read_current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(current_path(spark, root))
+def version_path(root: str, name: str) -> str:
+    return f"{root}/{name}/versions/{uuid.uuid4().hex}"
