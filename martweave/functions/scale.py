@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
-CHUNK, TIE = "_chunk", "_tie"
+CHUNK = "_chunk"
 PLACE_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition in the low 33 bits
 T = TypeVar("T")
 
@@ -51,14 +51,23 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def number_copies(scan: DataFrame, out: str) -> DataFrame:
+    """Give exact copies a column to be told apart by, the last part of a total order.
+
+    Only for a frame read straight from files: there a task that runs again meets
+    the same rows in the same order and repeats the same numbers. After a shuffle
+    it would not, and rows placed by the number could be lost.
+    """
+    return scan.withColumn(out, F.monotonically_increasing_id())
+
+
 def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows range-partitioned by (keys, order) with the partition number in ``_chunk``.
 
-    ``_tie`` makes the order total even for exact copies, so a group of copies is
-    split like any other hot group.
+    Placement depends on values only. With a total order a hot key is split over as
+    many partitions as its size needs; see ``number_copies`` for groups of copies.
     """
-    tied = df.withColumn(TIE, F.monotonically_increasing_id())
-    ranged = tied.repartitionByRange(*[F.col(c) for c in (*keys, *order, TIE)])
+    ranged = df.repartitionByRange(*[F.col(c) for c in (*keys, *order)])
     return stage(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
 
@@ -83,11 +92,11 @@ def grouped_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str]
         .withColumn("_before", F.sum("_n").over(before))
         .filter(F.col("_before").isNotNull())
     )
-    inside = Window.partitionBy(CHUNK, *keys).orderBy(*order, TIE).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(CHUNK, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     running = rows.withColumn("_run", F.sum("_v").over(inside))
     joined = _join_borders(running, borders, keys, "_before")
     return joined.withColumn(out, F.col("_run") + F.coalesce("_before", F.lit(0))).drop(
-        "_v", "_run", "_before", CHUNK, TIE
+        "_v", "_run", "_before", CHUNK
     )
 
 
@@ -97,10 +106,8 @@ def grouped_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
         return grouped_running_sum(df, keys, order, F.lit(1), out)
     # Without keys the place inside a sorted range partition is the row's own number there,
     # so one shuffle is enough; each partition only needs the size of those before it.
-    tied = df.withColumn(TIE, F.monotonically_increasing_id())
-    ordered = [F.col(c) for c in (*order, TIE)]
-    placed = tied.repartitionByRange(*ordered).sortWithinPartitions(*ordered).withColumn(
-        "_place", F.monotonically_increasing_id()).drop(TIE)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        "_place", F.monotonically_increasing_id())
     rows = stage(placed, "ranked").withColumn(CHUNK, F.shiftright("_place", PLACE_BITS))
     before = Window.partitionBy(F.lit(0)).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("_n"))
@@ -113,15 +120,15 @@ def grouped_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
 def grouped_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """Value of the row before within ``keys`` under a total ``order``."""
     rows = ordered_chunks(df, keys, order)
-    spot = F.struct(*order, TIE)
+    spot = F.struct(*order)
     last = rows.groupBy(CHUNK, *keys).agg(F.max_by(F.struct(value), spot).alias("_last"))
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     borders = last.withColumn("_prior", F.lag("_last").over(across)).filter(F.col("_prior").isNotNull())
-    inside = Window.partitionBy(CHUNK, *keys).orderBy(*order, TIE)
+    inside = Window.partitionBy(CHUNK, *keys).orderBy(*order)
     lagged = rows.withColumn("_in", F.lag(F.struct(value)).over(inside))
     joined = _join_borders(lagged, borders, keys, "_prior")
     picked = F.when(F.col("_in").isNotNull(), F.col("_in")).otherwise(F.col("_prior"))
-    return joined.withColumn(out, picked[value]).drop("_in", "_prior", CHUNK, TIE)
+    return joined.withColumn(out, picked[value]).drop("_in", "_prior", CHUNK)
 
 
 def together(tasks: dict[str, Callable[[], T]]) -> dict[str, T]:

@@ -156,14 +156,15 @@ def apply_associations(current: DataFrame, changes: DataFrame) -> DataFrame:
         asked | (F.col("old").isNotNull() & ~F.coalesce("removed", F.lit(False))))
     left = merged.filter(keep & F.col("value").isNotNull()).select(
         *key, "value", F.col("old").isNull().alias("is_new"), F.coalesce("old", "seq").alias("spot"))
-    ranked = scale.grouped_rank(left, key, ["is_new", "spot"], "_rank")
+    ranked = scale.grouped_rank(left, key, ["is_new", "spot", "value"], "_rank")
     return ranked.select(*key, "value", (F.col("_rank") - 1).alias("position"))
 
 
 def order_domains(associations: DataFrame) -> DataFrame:
     """associations(asset, domain, position, propagated): manual ones first, stable inside each group."""
     ranked = scale.grouped_rank(
-        associations.withColumn("_late", F.coalesce("propagated", F.lit(False))), ["asset"], ["_late", "position"], "_rank")
+        associations.withColumn("_late", F.coalesce("propagated", F.lit(False))), ["asset"],
+        ["_late", "position", "domain"], "_rank")
     return ranked.select("asset", "domain", (F.col("_rank") - 1).alias("position"), F.col("_late").alias("propagated"))
 
 

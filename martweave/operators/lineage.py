@@ -611,7 +611,7 @@ def job_dependencies(steps: DataFrame) -> DataFrame:
     touch = steps.select("job", "step", "relation", "dataset").distinct()
     is_write = F.when(F.col("relation") == "writes", 1).otherwise(0)
     # At one step a read comes before a write, so only strictly earlier writes count.
-    counted = scale.grouped_running_sum(touch, ["dataset"], ["step", "relation"], is_write, "writes_before")
+    counted = scale.grouped_running_sum(touch, ["dataset"], ["step", "relation", "job"], is_write, "writes_before")
     own = scale.grouped_running_sum(
         counted, ["dataset", "job"], ["step", "relation"], is_write, "own_writes_before")
     return own.filter("relation = 'reads'").select(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,17 +118,17 @@ DIM_SCHEMAS = {
 
 # The Unknown member (key 0) of every dimension.
 UNKNOWN_MEMBERS = {
-    "dim_date": "0, DATE'1900-01-01', 0, 0, 0, 'Unknown', 0",
-    "dim_territory": "0, 0, 'Unknown', 'UNK', 'Unknown'",
-    "dim_product": "0, 0, 'Unknown', 'UNKNOWN', CAST(NULL AS INT), CAST(NULL AS STRING),"
-                   " CAST(NULL AS INT), CAST(NULL AS STRING)",
-    "dim_customer": "0, 0, CAST(NULL AS INT), 0",
+    "dim_date": ("0", "DATE'1900-01-01'", "0", "0", "0", "'Unknown'", "0"),
+    "dim_territory": ("0", "0", "'Unknown'", "'UNK'", "'Unknown'"),
+    "dim_product": ("0", "0", "'Unknown'", "'UNKNOWN'", "CAST(NULL AS INT)", "CAST(NULL AS STRING)",
+                    "CAST(NULL AS INT)", "CAST(NULL AS STRING)"),
+    "dim_customer": ("0", "0", "CAST(NULL AS INT)", "0"),
 }
 
 
 def unknown_member(spark: SparkSession, dim: str) -> DataFrame:
     names = [part.split()[0] for part in DIM_SCHEMAS[dim].split(",")]
-    return spark.sql(f"SELECT {UNKNOWN_MEMBERS[dim]}").toDF(*names)
+    return spark.range(1).select(*[F.expr(v).alias(n) for n, v in zip(names, UNKNOWN_MEMBERS[dim])])
 
 
 def unknown_member_check(dims: dict[str, DataFrame]) -> DataFrame:
@@ -137,18 +139,10 @@ def unknown_member_check(dims: dict[str, DataFrame]) -> DataFrame:
     """
     parts = None
     for name, df in dims.items():
-        expected = unknown_member(df.sparkSession, name)
-        columns = expected.columns
-        match = F.lit(True)
-        values = expected.withColumns({f"_e_{c}": F.col(c) for c in columns}).select(
-            *[f"_e_{c}" for c in columns]
-        )
-        key = columns[0]
-        zero = df.filter(F.col(key) == 0)
-        joined = zero.join(values, zero[key] == F.col(f"_e_{key}"), "left")
-        for c in columns:
-            match = match & F.col(c).eqNullSafe(F.col(f"_e_{c}"))
-        one = joined.agg(
+        names = [part.split()[0] for part in DIM_SCHEMAS[name].split(",")]
+        values = dict(zip(names, [F.expr(v) for v in UNKNOWN_MEMBERS[name]]))
+        match = reduce(and_, [F.col(c).eqNullSafe(v) for c, v in values.items()])
+        one = df.filter(F.col(names[0]) == 0).agg(
             F.count(F.lit(1)).alias("members"),
             F.count_if(match).alias("canonical"),
         ).withColumn("dim", F.lit(name))

@@ -207,9 +207,8 @@ def apply_associations(spark, root):
     op = F.when(F.col("l_suppkey") % 3 == 0, "set").when(F.col("l_partkey") % 2 == 0, "add").otherwise("remove")
     changes = li.filter("l_linestatus = 'O' AND l_returnflag = 'A'").groupBy(
         F.col("l_suppkey").alias("asset"), F.col("l_partkey").alias("value"), op.alias("operation")).agg(F.min("l_orderkey").alias("seq"))
-    # Two tags first named by the same order are told apart by value, as in the SQL.
-    spread = lambda df, c: df.withColumn(c, F.col(c) * 1000000 + F.col("value")).withColumn("kind", F.lit("tag"))
-    return C.apply_associations(spread(current, "position"), spread(changes, "seq"))
+    kind = F.lit("tag").alias("kind")
+    return C.apply_associations(current.select("*", kind), changes.select("*", kind))
 
 
 @query("""

@@ -102,9 +102,8 @@ def sales_order_detail(spark: SparkSession, root: str, *, with_ids: bool = True)
     """(order, line number) repeats in the driver table, so detail ids are ranks within the order."""
     lines = table(spark, root, "lineitem")
     if with_ids:
-        lines = scale.grouped_rank(
-            lines.select("l_orderkey", *_LINE_ORDER), ["l_orderkey"], _LINE_ORDER, "_line"
-        )
+        scanned = scale.number_copies(lines.select("l_orderkey", *_LINE_ORDER), "_copy")
+        lines = scale.grouped_rank(scanned, ["l_orderkey"], [*_LINE_ORDER, "_copy"], "_line")
     else:
         lines = lines.withColumn("_line", F.lit(None).cast("int"))
     prices = table(spark, root, "part").select(
