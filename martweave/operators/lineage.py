@@ -49,10 +49,16 @@ def validate_graph(nodes: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
     port_fields = ports.select("id", F.explode("fields.path").alias("field"))
     twice = port_fields.groupBy("id", "field").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
-    ends = endpoints(edges).join(kinds, "node", "left")
     known = port_fields.select(F.col("id").alias("node"), "field", F.lit(True).alias("known")).distinct()
-    named = ends.filter(F.col("field").isNotNull() & F.col("node_kind").isNotNull()).join(
-        known, ["node", "field"], "left")
+    # All endpoint rules in one pass: the endpoints are by far the largest table here.
+    ends = endpoints(edges).join(kinds, "node", "left").join(known, ["node", "field"], "left")
+    there = F.col("node_kind").isNotNull()
+    end_rules = rule_rows(ends, ["edge_id", "role"], {
+        "dangling_edge": (there, F.col("node")),
+        "unknown_field": (~there | F.col("field").isNull() | F.col("known").isNotNull(), F.col("field")),
+        "value_edge_requires_ports": (
+            ~there | ~F.col("kind").isin(*FIELD_EDGES) | (F.col("node_kind") == "port"), F.col("node_kind")),
+    })
     shape = edges.filter(
         F.col("kind").isin(*STRUCTURAL_EDGES)
         & ((F.size("sources") != 1) | F.exists("sources", lambda s: s["field"].isNotNull())
@@ -63,10 +69,7 @@ def validate_graph(nodes: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
         violation(identity, "identity_mismatch", ["id"], F.col("local_id")),
         violation(homeless, "port_owner_invalid", ["id"], F.col("owner")),
         violation(twice, "duplicate_field", ["id", "field"], F.col("n")),
-        violation(ends.filter(F.col("node_kind").isNull()), "dangling_edge", ["edge_id", "role"], F.col("node")),
-        violation(named.filter(F.col("known").isNull()), "unknown_field", ["edge_id", "role"], F.col("field")),
-        violation(ends.filter(F.col("kind").isin(*FIELD_EDGES) & (F.col("node_kind") != "port")),
-                  "value_edge_requires_ports", ["edge_id", "role"], F.col("node_kind")),
+        end_rules,
         violation(shape, "structural_edge_invalid", ["edge_id"], F.col("kind")),
     )
 

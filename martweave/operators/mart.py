@@ -234,40 +234,44 @@ def build_fact(facts: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
 # --- reporting view and fact joins -----------------------------------------------
 
 
-def sales_view(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """Fact joined to its four dimensions, 24 columns; unused joins' columns are pruned by Catalyst."""
-    return (
+def sales_view(fact: DataFrame, dims: dict[str, DataFrame], *, customer: bool = True) -> DataFrame:
+    """Fact joined to its four dimensions, 24 columns; columns a report does not use are pruned.
+
+    ``customer=False`` leaves out the customer join and its one column. A load only
+    publishes facts whose keys all resolve, so that join neither drops nor repeats
+    rows, and reports without customer columns save the shuffle of the largest dimension.
+    """
+    joined = (
         fact.join(dims["dim_date"].select(F.col("date_key").alias("order_date_key"), "full_date"), "order_date_key")
         .join(dims["dim_product"], "product_key")
-        .join(dims["dim_customer"].select("customer_key", "source_customer_id"), "customer_key")
         .join(dims["dim_territory"], "territory_key")
-        .select(
-            "sales_order_id",
-            "sales_order_detail_id",
-            F.col("full_date").alias("order_date"),
-            "order_date_key",
-            "product_key",
-            "source_product_id",
-            "product_name",
-            "product_number",
-            "product_subcategory_name",
-            "product_category_name",
-            "customer_key",
-            "source_customer_id",
-            "territory_key",
-            "source_territory_id",
-            "territory_name",
-            "country_region_code",
-            "territory_group",
-            "status",
-            "currency_rate_id",
-            "order_qty",
-            "unit_price",
-            "unit_price_discount",
-            "line_net_amount",
-            "source_line_total",
-        )
     )
+    if customer:
+        joined = joined.join(dims["dim_customer"].select("customer_key", "source_customer_id"), "customer_key")
+    columns = [c for c in VIEW_COLUMNS if customer or c != "source_customer_id"]
+    return joined.withColumnRenamed("full_date", "order_date").select(*columns)
+
+
+VIEW_COLUMNS = [
+    "sales_order_id", "sales_order_detail_id", "order_date", "order_date_key", "product_key", "source_product_id",
+    "product_name", "product_number", "product_subcategory_name", "product_category_name", "customer_key",
+    "source_customer_id", "territory_key", "source_territory_id", "territory_name", "country_region_code",
+    "territory_group", "status", "currency_rate_id", "order_qty", "unit_price", "unit_price_discount",
+    "line_net_amount", "source_line_total",
+]
+
+
+def between_days(view: DataFrame, start: str, end: str) -> DataFrame:
+    """View rows of a closed date range.
+
+    The same range on the fact's own date key is implied by the join and repeated
+    here so that it reaches the fact scan, whose files are clustered by that key.
+    """
+    low, high = (int(d.replace("-", "")) for d in (start, end))
+    day = F.col("order_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    if start <= "1900-01-01":  # the Unknown day has key 0
+        return view.filter(day)
+    return view.filter(F.col("order_date_key").between(low, high) & day)
 
 
 def fact_date_dim(fact: DataFrame, dim_date: DataFrame, dim: DataFrame, key: str) -> DataFrame:

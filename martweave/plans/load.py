@@ -67,6 +67,11 @@ class Mart:
     def view(self) -> DataFrame:
         return mart.sales_view(self.fact, self.dims)
 
+    @property
+    def report_view(self) -> DataFrame:
+        """The view without its customer column, for reports that do not use it."""
+        return mart.sales_view(self.fact, self.dims, customer=False)
+
 
 def _counts(violations: DataFrame) -> dict[str, int]:
     # Bounded by the number of rules.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martweave.functions.scalars import average_order_value, month_start, unknown_id, unknown_label
-from martweave.operators.mart import fact_date_dim
+from martweave.operators.mart import between_days, fact_date_dim
 
 
 def _money(c: str):
@@ -17,9 +17,8 @@ def _money(c: str):
 
 def sales_by_month_category(view: DataFrame, start: str, through: str) -> DataFrame:
     """Net sales per month and category of the closed date range, ordered."""
-    until = F.date_add(F.lit(through).cast("date"), 1)
     return (
-        view.filter((F.col("order_date") >= F.lit(start).cast("date")) & (F.col("order_date") < until))
+        between_days(view, start, through)
         .groupBy(month_start(F.col("order_date")).alias("month"),
                  unknown_label(F.col("product_category_name")).alias("category"))
         .agg(_money("line_net_amount").alias("sales_amount"))
@@ -65,7 +64,7 @@ def dashboard_filter(
     categories: Sequence[str] | None = None,
 ) -> DataFrame:
     """Inclusive time range and multi-selects; None means every value, NULL reads as 'Unknown'."""
-    rows = view.filter(F.col("order_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    rows = between_days(view, start, end)
     if territories is not None:
         rows = rows.filter(unknown_label(F.col("territory_name")).isin(*territories))
     if categories is not None:

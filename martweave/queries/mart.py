@@ -33,6 +33,10 @@ def view_of(spark: SparkSession, root: str) -> DataFrame:
     return mart_of(spark, root).view
 
 
+def report_of(spark: SparkSession, root: str) -> DataFrame:
+    return mart_of(spark, root).report_view
+
+
 # --- the same mart in SQL ---------------------------------------------------------
 
 _DIMS = """
@@ -253,7 +257,7 @@ SELECT CAST(date_trunc('month', order_date) AS DATE) AS month,
        coalesce(product_category_name, 'Unknown') AS category, {_money('line_net_amount')} AS sales_amount
 FROM sales WHERE order_date >= DATE '1996-01-01' AND order_date < DATE '2001-01-01' GROUP BY 1, 2""")
 def sales_by_month_category(spark, root):
-    return reports.sales_by_month_category(view_of(spark, root), "1996-01-01", "2000-12-31")
+    return reports.sales_by_month_category(report_of(spark, root), "1996-01-01", "2000-12-31")
 
 
 _SUMMARY = f"""count(*) AS line_count, count(DISTINCT sales_order_id) AS order_count,
@@ -293,12 +297,12 @@ _PICK = """order_date BETWEEN DATE '1997-03-15' AND DATE '2000-09-20'
 
 
 def selected(spark, root):
-    return reports.dashboard_filter(view_of(spark, root), *DASHBOARD)
+    return reports.dashboard_filter(report_of(spark, root), *DASHBOARD)
 
 
 @query(MART_SQL + f"SELECT * FROM sales WHERE {_PICK}")
 def dashboard_filter(spark, root):
-    return selected(spark, root)
+    return reports.dashboard_filter(view_of(spark, root), *DASHBOARD)
 
 
 @query(MART_SQL + f"SELECT {_money('line_net_amount')} AS value FROM sales WHERE {_PICK}")
@@ -354,19 +358,19 @@ def quality_summary(spark, root):
 SELECT {_QUALITY}, {_AOV} AS aov FROM sales WHERE order_date BETWEEN DATE '2030-01-01' AND DATE '2030-12-31'""")
 def quality_summary_empty(spark, root):
     """A range without data: counts 0, sums and average NULL."""
-    rows = reports.dashboard_filter(view_of(spark, root), "2030-01-01", "2030-12-31")
+    rows = reports.dashboard_filter(report_of(spark, root), "2030-01-01", "2030-12-31")
     return reports.quality_summary(rows).withColumn("aov", S.average_order_value(
         F.col("line_net_amount"), F.col("order_count")))
 
 
 @query(MART_SQL + "SELECT DISTINCT coalesce(territory_name, 'Unknown') AS value FROM sales")
 def distinct_territories(spark, root):
-    return reports.distinct_values(view_of(spark, root), "territory_name")
+    return reports.distinct_values(report_of(spark, root), "territory_name")
 
 
 @query(MART_SQL + "SELECT DISTINCT coalesce(product_category_name, 'Unknown') AS value FROM sales")
 def distinct_categories(spark, root):
-    return reports.distinct_values(view_of(spark, root), "product_category_name")
+    return reports.distinct_values(report_of(spark, root), "product_category_name")
 
 
 @query(MART_SQL + f"""
@@ -484,7 +488,7 @@ def reconcile_summary(spark, root):
 SELECT category, {_money('sales_amount')} AS rolled, {_money('sales_amount')} AS independent, true AS same
 FROM points GROUP BY category""")
 def rollup_compare(spark, root):
-    view = view_of(spark, root)
+    view = report_of(spark, root)
     return quality.rollup_compare(
         reports.sales_by_month_category(view, SCOPE.start, SCOPE.end), reports.sales_by_category(view))
 
@@ -640,7 +644,7 @@ def check_summary_rules(spark, root):
 SELECT 'month_out_of_range' AS rule, month || '/' || category AS "key", CAST(month AS VARCHAR) AS detail
 FROM points WHERE month NOT BETWEEN DATE '1996-01-01' AND DATE '2000-12-01'""")
 def check_points(spark, root):
-    points = reports.sales_by_month_category(view_of(spark, root), SCOPE.start, SCOPE.end)
+    points = reports.sales_by_month_category(report_of(spark, root), SCOPE.start, SCOPE.end)
     return quality.check_points(points, "1996-01-15", "2000-12-31")
 
 
@@ -651,7 +655,7 @@ FROM sales WHERE order_date >= DATE '1999-01-01' AND order_date < DATE '2001-01-
 def capped_report(spark, root):
     """At most 200 groups; more would be an error, not a truncated result."""
     return cap_or_reject(
-        reports.sales_by_month_category(view_of(spark, root), "1999-01-01", "2000-12-31"), 200)
+        reports.sales_by_month_category(report_of(spark, root), "1999-01-01", "2000-12-31"), 200)
 
 
 @query("SELECT 4 AS dimensions, 4 AS canonical_dimensions, true AS canonical FROM (SELECT count(*) FROM lineitem)")
