@@ -60,33 +60,33 @@ def coerce_source(df: DataFrame, spec: dict[str, tuple[str, bool]]) -> tuple[Dat
     ``spec`` maps a column to (kind, nullable); kinds are int, text, date,
     decimal4 and decimal6.
     """
-    typed, reasons = {}, []
+    typed, reasons = [], []
     for name, (kind, nullable) in spec.items():
-        source, t = F.col(name), df.schema[name].dataType
-        if kind == "int":
-            value = F.lit(None).cast("int") if isinstance(t, T.BooleanType) else F.expr(f"try_cast(`{name}` AS INT)")
-        elif kind == "text":
-            value = F.when(source != "", source) if isinstance(t, T.StringType) else F.lit(None).cast("string")
-        elif kind == "date":
-            ok = isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType))
-            value = F.to_date(source) if ok else F.lit(None).cast("date")
-        elif kind in ("decimal4", "decimal6"):
-            places = int(kind[-1])
-            wide = F.round(F.expr(f"try_cast(`{name}` AS DECIMAL(38,12))"), places)
-            value = F.when(F.abs(wide) < F.lit(10 ** (19 - places)), wide).cast(f"decimal(19,{places})")
-        else:
-            raise ValueError("unknown_kind")
-        bad = source.isNotNull() & value.isNull() if nullable else value.isNull()
-        typed[name] = value
-        reasons.append(F.when(bad, F.lit(f"invalid_{name}")))
-    others = [c for c in df.columns if c not in spec]
-    marked = df.select(
-        *[typed[c].alias(c) for c in spec], *others,
-        F.filter(F.array(*reasons), lambda r: r.isNotNull()).alias("reasons"),
-        F.struct(*[F.col(c).cast("string").alias(c) for c in spec]).alias("raw"),
-    )
-    good = marked.filter(F.size("reasons") == 0).drop("reasons", "raw")
-    return good, marked.filter(F.size("reasons") > 0)
+        value = _coerced(f"`{name}`", kind, df.schema[name].dataType)
+        bad = f"`{name}` IS NOT NULL AND {value} IS NULL" if nullable else f"{value} IS NULL"
+        typed.append(f"{value} AS `{name}`")
+        reasons.append(f"CASE WHEN {bad} THEN 'invalid_{name}' END")
+    others = [f"`{c}`" for c in df.columns if c not in spec]
+    raw = ", ".join(f"CAST(`{c}` AS STRING) AS `{c}`" for c in spec)
+    marked = df.selectExpr(
+        *typed, *others, f"array_compact(array({', '.join(reasons)})) AS reasons", f"struct({raw}) AS raw")
+    good = marked.filter("size(reasons) = 0").drop("reasons", "raw")
+    return good, marked.filter("size(reasons) > 0")
+
+
+def _coerced(name: str, kind: str, found: T.DataType) -> str:
+    """SQL of the typed value, NULL when the cell cannot be that type."""
+    if kind == "int":
+        return "CAST(NULL AS INT)" if isinstance(found, T.BooleanType) else f"try_cast({name} AS INT)"
+    if kind == "text":
+        return f"nullif({name}, '')" if isinstance(found, T.StringType) else "CAST(NULL AS STRING)"
+    if kind == "date":
+        dated = isinstance(found, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        return f"CAST({name} AS DATE)" if dated else "CAST(NULL AS DATE)"
+    if kind in ("decimal4", "decimal6"):
+        places = int(kind[-1])
+        return f"try_cast(round(try_cast({name} AS DECIMAL(38,12)), {places}) AS DECIMAL(19,{places}))"
+    raise ValueError("unknown_kind")
 
 
 # --- load checks ----------------------------------------------------------------------

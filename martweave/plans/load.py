@@ -116,9 +116,9 @@ def preview_load(sources: dict[str, DataFrame], scope: Scope) -> DataFrame:
 TABLES = {**mart.DIM_SCHEMAS, "fact": mart.FACT_SCHEMA}
 
 
-def _empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
-    """A mart before its first load: only the Unknown members."""
-    return {d: mart.unknown_member(spark, d) for d in DIMENSIONS} | {"fact": spark.createDataFrame([], TABLES["fact"])}
+def _first_dimensions(spark: SparkSession) -> dict[str, DataFrame]:
+    """The dimensions before a first load: only their Unknown members."""
+    return {d: mart.unknown_member(spark, d) for d in DIMENSIONS}
 
 
 def _current_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -140,7 +140,7 @@ def load_mart(sources: dict[str, DataFrame], root: str, scope: Scope, *, exists:
     """
     spark = sources["customer"].sparkSession
     inputs = prepare(sources, scope)
-    current = _empty_tables(spark)
+    current = _first_dimensions(spark)
     if exists:
         current = _current_tables(spark, root)
         if not mart.unknown_member_check({d: current[d] for d in DIMENSIONS}).first()["canonical"]:

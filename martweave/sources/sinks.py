@@ -47,9 +47,10 @@ def publish(spark: SparkSession, root: str, paths: dict[str, str]) -> None:
 
     Readers follow the newest row, so they see either all old or all new versions.
     """
-    entry = [(time.time_ns(), paths)]
-    log = spark.createDataFrame(entry, LOG).coalesce(1)
-    log.write.mode("append").parquet(f"{root}/log")
+    pairs = [F.lit(text) for pair in paths.items() for text in pair]
+    entry = spark.range(1).coalesce(1).select(
+        F.lit(time.time_ns()).alias("published"), F.create_map(*pairs).alias("paths"))
+    entry.write.mode("append").parquet(f"{root}/log")
 
 
 LOG = "published long, paths map<string,string>"
