@@ -264,7 +264,7 @@ def plan_descriptions(
     asset itself. Statements count as different after trimming.
     """
     key = ["asset", "field"]
-    said = statements.withColumn("text", F.trim("text")).filter("text <> ''").groupBy(*key).agg(
+    said = statements.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).filter("text <> ''").groupBy(*key).agg(
         F.count_distinct("text").alias("meanings"), F.min("text").alias("text"))
     base = targets.join(said, key, "left").join(
         prior.select(*key, F.col("status").alias("prior_status"), "schema_unchanged"), key, "left")

@@ -490,11 +490,13 @@ def bind_tables(references: DataFrame, scopes: DataFrame, allowed: DataFrame, ca
 
     references(ref_id, process, identifier), scopes(process, scope_id, database,
     default_schema, env, lowercase), allowed(scope_id, urn), catalog(urn, removed,
-    field_count). An identifier has one to three dot-separated parts.
+    field_count). An identifier has one to three dot-separated parts, each bare or
+    in brackets or double quotes.
     """
-    parts = F.split("identifier", r"\.")
+    part = r"(?:[^.\[\]\"`#\s]+|\[[^.\[\]]+\]|\"[^.\"]+\")"
+    plain = F.col("identifier").rlike(rf"^{part}(?:\.{part}){{0,2}}$")
+    parts = F.split(F.regexp_replace("identifier", r"[\[\]\"]", ""), r"\.")
     n = F.size(parts)
-    plain = F.col("identifier").rlike(r"^[^.\[\]\"`]+(\.[^.\[\]\"`]+){0,2}$")
     r = references.join(scopes, "process", "left")
     database = F.when(n == 3, parts[0]).otherwise(F.col("database"))
     schema = F.when(n == 1, F.col("default_schema")).when(n == 2, parts[0]).otherwise(F.get(parts, F.lit(1)))
@@ -596,8 +598,13 @@ def table_lineage(origins: DataFrame) -> DataFrame:
         F.col("origin_dataset").alias("src"), F.col("dataset").alias("dst")).distinct()
 
 
+def job_touches(steps: DataFrame) -> DataFrame:
+    """Distinct (job, relation, dataset, step): which steps of a job read or write a dataset."""
+    return steps.select("job", "relation", "dataset", "step").distinct()
+
+
 def job_io(steps: DataFrame) -> DataFrame:
-    """steps(job, step, relation, dataset) -> distinct touches plus their count per job, relation, dataset."""
+    """One row per job, relation and dataset with its number of steps, the first and the last of them."""
     return steps.groupBy("job", "relation", "dataset").agg(
         F.count_distinct("step").alias("steps"), F.min("step").alias("first_step"), F.max("step").alias("last_step"))
 

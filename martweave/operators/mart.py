@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 from operator import and_
 
@@ -22,6 +23,10 @@ class Scope:
     end: str
     status: int = 5
 
+    def __post_init__(self) -> None:
+        if date.fromisoformat(self.start) > date.fromisoformat(self.end) or self.status < 0:
+            raise ValueError("invalid_scope")
+
     def order_filter(self, day: Column, status: Column, currency: Column) -> Column:
         """On the raw timestamp or date column, so the bounds reach the scan."""
         until = F.date_add(F.lit(self.end).cast("date"), 1)

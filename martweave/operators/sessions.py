@@ -32,8 +32,11 @@ def screen_secrets(docs: DataFrame) -> DataFrame:
     def real(v):
         return ~v.rlike(PLACEHOLDER)
 
+    def strip(v):
+        return F.regexp_replace(v, r"^\s+|\s+$", "")
+
     def yaml_value(v):
-        t = F.trim(v)
+        t = strip(v)
         quoted = F.startswith(t, F.lit("'")) | F.startswith(t, F.lit('"'))
         return ~quoted & ~t.isin(*YAML_NULLS) & real(t)
 
@@ -42,7 +45,7 @@ def screen_secrets(docs: DataFrame) -> DataFrame:
         "url_credential": text.rlike(URL_CREDENTIAL),
         "quoted_secret": F.exists(values(QUOTED_SECRET, 2), lambda v: (v != "") & real(v)),
         "yaml_secret": F.exists(values(YAML_SECRET, 1), yaml_value),
-        "odbc_secret": F.exists(values(ODBC_SECRET, 1), lambda v: real(F.trim(v))),
+        "odbc_secret": F.exists(values(ODBC_SECRET, 1), lambda v: real(strip(v))),
     }
     hits = F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()])
     return docs.select("doc_id", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("rule"))

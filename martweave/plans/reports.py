@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ def _money(c: str):
 
 def sales_by_month_category(view: DataFrame, start: str, through: str) -> DataFrame:
     """Net sales per month and category of the closed date range, ordered."""
+    if date.fromisoformat(start) > date.fromisoformat(through):
+        raise ValueError("range_invalid")
     return (
         between_days(view, start, through)
         .groupBy(month_start(F.col("order_date")).alias("month"),

@@ -610,7 +610,7 @@ WITH r AS (
   SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS ref_id, l_suppkey AS process,
          CASE l_linenumber WHEN 1 THEN 'Part_' || l_partkey WHEN 2 THEN 'DM.Part_' || l_partkey
               WHEN 3 THEN 'Mart.DM.Part_' || l_partkey WHEN 4 THEN 'Other.DM.Part_' || l_partkey
-              WHEN 5 THEN '[Part_' || l_partkey || ']' ELSE 'dm.Part_' || l_partkey END AS identifier,
+              WHEN 5 THEN '[Part_' || l_partkey ELSE '[dm].Part_' || l_partkey END AS identifier,
          l_linenumber AS ln, 'mart.dm.part_' || l_partkey AS folded, l_partkey FROM lineitem),
 x AS (
   SELECT r.*, CASE WHEN process % 10 = 9 THEN 'connection_scope_unresolved' WHEN ln = 5 THEN 'unsupported_sql_identifier'
@@ -629,7 +629,7 @@ def bind_tables(spark, root):
         F.col("l_suppkey").alias("process"),
         F.when(line == 1, name).when(line == 2, F.concat(F.lit("DM."), name))
         .when(line == 3, F.concat(F.lit("Mart.DM."), name)).when(line == 4, F.concat(F.lit("Other.DM."), name))
-        .when(line == 5, F.concat(F.lit("["), name, F.lit("]"))).otherwise(F.concat(F.lit("dm."), name)).alias("identifier"))
+        .when(line == 5, F.concat(F.lit("["), name)).otherwise(F.concat(F.lit("[dm]."), name)).alias("identifier"))
     scopes = table(spark, root, "supplier").filter("s_suppkey % 10 <> 9").select(
         F.col("s_suppkey").alias("process"), F.lit("mart").alias("scope_id"), F.lit("Mart").alias("database"),
         F.when(F.col("s_suppkey") % 10 != 8, "dm").alias("default_schema"), F.lit("PROD").alias("env"),
@@ -760,6 +760,11 @@ def job_io(spark, root):
         {c: F.col(c).cast("int") for c in ("first_step", "last_step")})
 
 
+@query(STEPS_SQL + " SELECT DISTINCT job, relation, dataset, CAST(step AS INTEGER) AS step FROM steps")
+def job_touches(spark, root):
+    return L.job_touches(job_steps(spark, root)).withColumn("step", F.col("step").cast("int"))
+
+
 @query(STEPS_SQL + """
 , s AS (SELECT DISTINCT * FROM steps)
 SELECT r.dataset, r.job, CAST(r.step AS INTEGER) AS step,

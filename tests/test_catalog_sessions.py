@@ -88,7 +88,7 @@ def test_secrets(spark):
     positive = [
         'password = "hunter2"', '{"token": "abc"}', "password: hunter2", "Driver=x;PWD=hunter2;", "https://user:pw@host/x",
         "-----BEGIN RSA PRIVATE KEY-----"]
-    negative = ['password = ""', 'token: "${TOKEN}"', "password: ${DB_PASSWORD}", "secret: null", ";PWD=${PW};", "https://host/x", "api_key:"]
+    negative = ['password = ""', 'token: "${TOKEN}"', "password: ${DB_PASSWORD}\t", "secret: null", ";PWD=${PW};", "https://host/x", "api_key:"]
     docs = spark.createDataFrame(list(enumerate(positive + negative)), "doc_id int, text string")
     hits = {r[0] for r in rows(T.screen_secrets(docs), "doc_id")}
     assert hits == set(range(len(positive)))

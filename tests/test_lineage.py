@@ -168,3 +168,20 @@ def test_merge_ignores_upstream_order(spark):
     current = spark.createDataFrame([("FIELD_SET", "FIELD", ["a", "b"], ["z"])], schema)
     desired = spark.createDataFrame([("FIELD_SET", "FIELD", ["b", "a"], ["z"]), ("FIELD_SET", "FIELD", ["a"], ["z"])], schema)
     assert rows(L.merge_lineage(current, desired), "upstreams", "origin") == [(["a", "b"], "current"), (["a"], "added")]
+
+
+@pytest.mark.parametrize("identifier, status", [
+    ("T", "CATALOG_BOUND"), ("DM.T", "CATALOG_BOUND"), ("[dm].[T]", "CATALOG_BOUND"), ('Mart."dm".T', "CATALOG_BOUND"),
+    ("Other.dm.T", "database_outside_host_scope"), ("[T", "unsupported_sql_identifier"), ("#T", "unsupported_sql_identifier"),
+    ("a.b.c.d", "unsupported_sql_identifier"), ("dm.U", "dataset_outside_host_allowlist"), ("dm.gone", "catalog_status_missing_or_removed"),
+    ("dm.nokey", "catalog_key_missing"), ("dm.empty", "catalog_schema_missing_or_empty")])
+def test_binding_of_identifiers(spark, identifier, status):
+    urn = "urn:li:dataset:(urn:li:dataPlatform:mssql,mart.dm.{},PROD)".format
+    refs = spark.createDataFrame([(1, "p", identifier)], "ref_id int, process string, identifier string")
+    scopes = spark.createDataFrame([("p", "s", "Mart", "dm", "PROD", True)],
+                                   "process string, scope_id string, database string, default_schema string, env string, lowercase boolean")
+    allowed = spark.createDataFrame([("s", urn(n)) for n in ("t", "gone", "nokey", "empty")], "scope_id string, urn string")
+    catalog = spark.createDataFrame([(urn("t"), False, 2), (urn("gone"), True, 2), (urn("empty"), False, 0), (urn("u"), False, 2)],
+                                    "urn string, removed boolean, field_count int")
+    row = L.bind_tables(refs, scopes, allowed, catalog).first()
+    assert (row["reason"] or row["status"]) == status
