@@ -494,22 +494,29 @@ def bind_tables(references: DataFrame, scopes: DataFrame, allowed: DataFrame, ca
     in brackets or double quotes.
     """
     part = r"(?:[^.\[\]\"`#\s]+|\[[^.\[\]]+\]|\"[^.\"]+\")"
-    plain = F.col("identifier").rlike(rf"^{part}(?:\.{part}){{0,2}}$")
-    parts = F.split(F.regexp_replace("identifier", r"[\[\]\"]", ""), r"\.")
-    n = F.size(parts)
-    r = references.join(scopes, "process", "left")
-    database = F.when(n == 3, parts[0]).otherwise(F.col("database"))
-    schema = F.when(n == 1, F.col("default_schema")).when(n == 2, parts[0]).otherwise(F.get(parts, F.lit(1)))
-    name = F.concat_ws(".", database, schema, F.element_at(parts, -1))
     fold = lambda c: F.when(F.col("lowercase"), F.lower(c)).otherwise(c)
+    # Names are taken apart before the join, once per reference.
+    split = references.select(
+        "ref_id", "process",
+        F.split(F.translate("identifier", '[]"', ""), r"\.").alias("parts"),
+        F.col("identifier").rlike(rf"^{part}(?:\.{part}){{0,2}}$").alias("plain"),
+    )
+    r = split.join(scopes, "process", "left")
+    parts, n = F.col("parts"), F.size("parts")
+    r = r.withColumns({
+        "_database": F.when(n == 3, parts[0]).otherwise(F.col("database")),
+        "_schema": F.when(n == 1, F.col("default_schema")).when(n == 2, parts[0]).otherwise(F.get(parts, F.lit(1))),
+    })
+    name = F.concat_ws(".", "_database", "_schema", F.element_at(parts, -1))
     urn = F.concat(F.lit("urn:li:dataset:(urn:li:dataPlatform:mssql,"), fold(name), F.lit(","), F.col("env"), F.lit(")"))
     early = (
         F.when(F.col("scope_id").isNull(), "connection_scope_unresolved")
-        .when(~plain, "unsupported_sql_identifier")
+        .when(~F.col("plain"), "unsupported_sql_identifier")
         .when((n == 1) & F.col("default_schema").isNull(), "default_schema_unresolved")
-        .when(fold(database) != fold(F.col("database")), "database_outside_host_scope")
+        .when(fold(F.col("_database")) != fold(F.col("database")), "database_outside_host_scope")
     )
-    named = r.select("ref_id", "process", "scope_id", early.alias("early"), F.when(early.isNull(), urn).alias("urn"))
+    named = r.withColumn("early", early).select(
+        "ref_id", "process", "scope_id", "early", F.when(F.col("early").isNull(), urn).alias("urn"))
     permitted = allowed.select("scope_id", "urn").distinct().withColumn("permitted", F.lit(True))
     observed = catalog.groupBy("urn").agg(F.bool_or("removed").alias("removed"), F.max("field_count").alias("fields"),
                                           F.lit(True).alias("known"))
