@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martweave.functions.scale import new_path, stage
-from martweave.llm import decontamination, mixing, quality, sharding, tokens, warc
+from martweave.llm import decontamination, mixing, quality, sharding, substrings, tokens, warc
 from martweave.llm.sql import SQL
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -47,6 +47,10 @@ def op4_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return substrings.dedup(table(spark, root, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_sharding(spark: SparkSession, root: str) -> DataFrame:
     placed = sharding.shard(table(spark, root, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -61,5 +65,5 @@ def op10_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-FUNCTIONS = [op1_token_counts, op2_warc, op4_quality_rules, op7_sharding, op9_decontamination, op10_mixing]
+FUNCTIONS = [op1_token_counts, op2_warc, op4_quality_rules, op6_substring_dedup, op7_sharding, op9_decontamination, op10_mixing]
 QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in FUNCTIONS}
