@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martweave.llm.words import mix
+
 LAST = (1 << 63) - 1
 SCHEMA = "part int, keys binary, k binary, tag binary, counts binary, places binary"
 NAMES = ["part", "keys", "k", "tag", "counts", "places"]
@@ -42,7 +44,7 @@ def part_count(spark: SparkSession) -> int:
 
 def pack(parts: int, keys: np.ndarray, owner: np.ndarray, places: np.ndarray, k: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
     """One row per part; ``owner`` is the index of each key's document in ``k`` and ``tag``, ascending."""
-    part = (keys >> np.uint64(40)) % np.uint64(parts)
+    part = (mix(keys.copy()) >> np.uint64(40)) % np.uint64(parts)
     order = np.argsort(part, kind="stable")
     keys, owner, places, part = keys[order], owner[order], places[order], part[order]
     bounds = np.searchsorted(part, np.arange(parts + 1))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martweave.functions.scale import new_path, stage
-from martweave.llm import decontamination, mixing, quality, sharding, substrings, tokens, warc
+from martweave.llm import decontamination, mixing, quality, scoring, sharding, substrings, tokens, warc
 from martweave.llm.sql import SQL
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -56,6 +56,10 @@ def op7_sharding(spark: SparkSession, root: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_lm_scoring(spark: SparkSession, root: str) -> DataFrame:
+    return scoring.score(table(spark, root, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return decontamination.contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
@@ -65,5 +69,5 @@ def op10_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-FUNCTIONS = [op1_token_counts, op2_warc, op4_quality_rules, op6_substring_dedup, op7_sharding, op9_decontamination, op10_mixing]
+FUNCTIONS = [op1_token_counts, op2_warc, op4_quality_rules, op6_substring_dedup, op7_sharding, op8_lm_scoring, op9_decontamination, op10_mixing]
 QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in FUNCTIONS}

@@ -64,3 +64,21 @@ def jaccard_components(rows, n=4, percent=85):
                     x, y = find(a), find(b)
                     parent[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def stupid_backoff(rows, backoff=0.4, min_count=2):
+    """doc_id -> (n_words, mean log score or None); every word is known."""
+    import math
+    from collections import Counter
+
+    docs = [(d, words(t, True)) for d, t in rows]
+    uni = Counter(w for _, ws in docs for w in ws)
+    total = sum(uni.values())
+    uni[None] = sum(1 for _, ws in docs if ws)
+    two = Counter(p for _, ws in docs for p in zip([None, *ws], ws))
+    out = {}
+    for d, ws in docs:
+        logs = [math.log(two[v, w] / uni[v]) if two[v, w] >= min_count else math.log(backoff * uni[w] / total)
+                for v, w in zip([None, *ws], ws)]
+        out[d] = (len(ws), round(sum(logs) / len(logs), 6) if ws else None)
+    return out
