@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martweave.functions.scale import new_path, stage
-from martweave.llm import decontamination, jaccard, mixing, quality, scoring, sharding, substrings, tokens, warc
+from martweave.llm import decontamination, jaccard, mixing, privacy, quality, scoring, sharding, substrings, tokens, warc
 from martweave.llm.sql import SQL
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -51,6 +51,10 @@ def op4_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_privacy(spark: SparkSession, root: str) -> DataFrame:
+    return privacy.report(privacy.protect(table(spark, root, "documents")))
+
+
 def op6_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     return substrings.dedup(table(spark, root, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -73,5 +77,5 @@ def op10_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-FUNCTIONS = [op1_token_counts, op2_warc, op3_jaccard_join, op4_quality_rules, op6_substring_dedup, op7_sharding, op8_lm_scoring, op9_decontamination, op10_mixing]
+FUNCTIONS = [op1_token_counts, op2_warc, op3_jaccard_join, op4_quality_rules, op5_privacy, op6_substring_dedup, op7_sharding, op8_lm_scoring, op9_decontamination, op10_mixing]
 QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in FUNCTIONS}
