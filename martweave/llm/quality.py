@@ -165,7 +165,7 @@ def fit_thresholds(metrics: DataFrame, labels: DataFrame, stratum: str, risk: fl
     if strata <= BROADCAST_ROWS:
         proposed = F.broadcast(proposed)
     # Cutoffs fall from level to level, so a document is rejected from some level on.
-    first = F.least(*[F.size(F.filter(F.col(f"_{n}"), lambda c, v=F.col(n): c >= v)) for n in names])
+    first = F.least(*[F.size(F.filter(F.col(f"_{n}"), lambda c: c >= F.col(n))) for n in names])
     held = good.filter("holdout").join(proposed, F.col("stratum").eqNullSafe(F.col("_stratum"))).withColumn("first", first)
     counts = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("tested"), *[
         F.sum((F.col("first") <= level).cast("long")).alias(f"_n{level}") for level in range(len(LEVELS))])
