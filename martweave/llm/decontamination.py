@@ -201,11 +201,14 @@ SPANS = "array<struct<item_id:bigint,in_item:int,in_document:int,length:int>>"
 
 
 def _against(docs, sent, min_match, threshold, keep) -> DataFrame:
+    at = keep.index("text") if "text" in keep else len(keep)
+    source = docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block(*sent.value, min_match)
         for batch in batches:
             found = [(0, [], 0.0, None, [])] * batch.num_rows
-            for s in text_slices(batch.column(len(keep)), LOWER, SEPARATOR):
+            for s in text_slices(batch.column(at), LOWER, SEPARATOR):
                 hashes = s.hashes()
                 best: dict[int, list] = defaultdict(list)
                 for row, item in block.shared(hashes, s.rows):
@@ -226,7 +229,7 @@ def _against(docs, sent, min_match, threshold, keep) -> DataFrame:
                 names=[*keep, "n_items", "items", "coverage", "best_item", "spans"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(
+    return source.mapInArrow(
         run, f"{schema}, n_items long, items array<long>, coverage double, best_item long, spans {SPANS}")
 
 

@@ -350,7 +350,10 @@ def _second(tiles: DataFrame, links: DataFrame, maps: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, tag (hash of the text), n_shingles and component_id (smallest doc_id reachable by links) of every row."""
+    """doc_id, tag (hash of the text), n_shingles, component_id (smallest doc_id reachable by links) of every row.
+
+    ``component`` names the component also where it has no doc_id; it is null for empty sets, which link with nothing.
+    """
     if not 0 < percent <= 100 or n < 1:
         raise ValueError("percent and n")
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -359,6 +362,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     named = sets.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     joined = stage(named.join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")), "jaccard-named")
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = stage(joined.join(least, "component").select("key", "component_id"), "jaccard-ids")
+    ids = stage(joined.join(least, "component").select("key", "component", "component_id"), "jaccard-ids")
     rows = sets.select("doc_id", "tag", "n_shingles", "key").join(ids, "key", "left")
-    return rows.select("doc_id", "tag", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.select("doc_id", "tag", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                       "component")

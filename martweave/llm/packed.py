@@ -14,7 +14,7 @@ of its text, so rows that share an id are told apart unless they are copies.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,10 +30,10 @@ NAMES = ["part", "keys", "k", "tag", "counts", "places"]
 FLUSH_KEYS = 4_000_000
 
 
-def named(docs: DataFrame) -> DataFrame:
-    """doc_id, text, k, tag; a null text is an empty one."""
+def named(docs: DataFrame, keep: Sequence[str] = ("doc_id", "text")) -> DataFrame:
+    """The kept columns, k and tag; a null text is told apart like an empty one."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"),
+    return docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"),
                        F.xxhash64(text).alias("tag"))
 
 

@@ -8,7 +8,8 @@ default a language) the levels are tried from the laxest on, and one is certifie
 the exact (Clopper-Pearson) upper bound on the share of good documents that all rules
 together reject is at most ``risk``. The first failure ends the sequence, which needs no
 correction over levels (fixed-sequence testing); over strata the error rate ``error`` is
-divided (Bonferroni). So with probability ``1 - error`` no stratum loses more than
+divided (Bonferroni). Of the certified levels, the one that rejects most bad documents net
+of good ones in the proposal half is taken. So with probability ``1 - error`` no stratum loses more than
 ``risk`` of its good documents. A stratum with too few labels gets no cutoffs and rejects
 nothing.
 
@@ -105,11 +106,12 @@ def _measure(column: pa.Array) -> dict[str, np.ndarray]:
 
 def text_metrics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and, per whole text, the metrics as longs."""
-    source = docs.select(*keep, F.col("text").alias("_text"))
+    at = keep.index("text") if "text" in keep else len(keep)
+    source = docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _measure(batch.column(len(keep)))
+            found = _measure(batch.column(at))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], *[pa.array(found[m], pa.int64()) for m in METRICS]],
                 names=[*keep, *METRICS])
@@ -153,12 +155,12 @@ def fit_thresholds(metrics: DataFrame, labels: DataFrame, stratum: str, risk: fl
     """(stratum, level, tested, rejected, bound, one cutoff per rule): one row per stratum with a certified level."""
     names = rule_metrics()
     judged = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    good = stage(metrics.filter(~base_failed()).join(judged.filter("quality >= 1"), "doc_id").select(
-        F.col(stratum).alias("stratum"), (F.xxhash64(F.lit("holdout"), "doc_id") % 2 == 0).alias("holdout"),
-        *[c.alias(n) for n, c in names.items()]), "quality-good")
+    labelled = stage(metrics.filter(~base_failed()).join(judged, "doc_id").select(
+        F.col(stratum).alias("stratum"), (F.col("quality") >= 1).alias("good"),
+        (F.xxhash64(F.lit("holdout"), "doc_id") % 2 == 0).alias("holdout"), *[c.alias(n) for n, c in names.items()]), "quality-labelled")
     # Level 0 is the highest value seen; level l leaves an equal share of LEVELS[l] to every rule.
     shares = [1 - level / len(names) for level in LEVELS[1:]]
-    proposed = good.filter("NOT holdout").groupBy("stratum").agg(*[
+    proposed = labelled.filter("good AND NOT holdout").groupBy("stratum").agg(*[
         F.concat(F.array(F.max(n)), F.percentile_approx(n, shares, 100_000)).alias(f"_{n}") for n in names])
     proposed = stage(proposed.withColumnRenamed("stratum", "_stratum"), "quality-proposed")
     strata = max(1, proposed.count())
@@ -166,23 +168,28 @@ def fit_thresholds(metrics: DataFrame, labels: DataFrame, stratum: str, risk: fl
         proposed = F.broadcast(proposed)
     # Cutoffs fall from level to level, so a document is rejected from some level on.
     first = F.least(*[F.size(F.filter(F.col(f"_{n}"), lambda c: c >= F.col(n))) for n in names])
-    held = good.filter("holdout").join(proposed, F.col("stratum").eqNullSafe(F.col("_stratum"))).withColumn("first", first)
-    counts = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("tested"), *[
-        F.sum((F.col("first") <= level).cast("long")).alias(f"_n{level}") for level in range(len(LEVELS))])
+    placed = labelled.join(proposed, F.col("stratum").eqNullSafe(F.col("_stratum"))).withColumn("first", first)
+    sums = [F.count_if(F.expr("good AND holdout")).alias("tested")]
+    for level in range(len(LEVELS)):
+        over = F.col("first") <= level
+        sums += [F.count_if(F.expr("good AND holdout") & over).alias(f"_n{level}"),
+                 (F.count_if(F.expr("NOT good AND NOT holdout") & over) - F.count_if(F.expr("good AND NOT holdout") & over)).alias(f"_g{level}")]
+    counts = placed.groupBy("stratum").agg(*sums)
     each = error / strata
 
     @F.pandas_udf("double")
     def bound(rejected: pd.Series, tested: pd.Series) -> pd.Series:
         return pd.Series([upper_bound(int(k), int(n), each) for k, n in zip(rejected, tested)], dtype="float64")
 
-    steps = counts.select("stratum", "tested", F.posexplode(F.array(*[f"_n{level}" for level in range(len(LEVELS))])).alias("level", "rejected"))
+    levels = F.array(*[F.struct(F.col(f"_n{level}").alias("rejected"), F.col(f"_g{level}").alias("gain")) for level in range(len(LEVELS))])
+    steps = counts.select("stratum", "tested", F.posexplode(levels).alias("level", "l")).select("stratum", "tested", "level", "l.*")
     tried = steps.withColumn("bound", bound("rejected", "tested"))
-    failed = F.coalesce(F.min(F.when(F.col("bound") > risk, F.col("level"))), F.lit(len(LEVELS)))
-    best = tried.groupBy("stratum").agg((failed - 1).alias("level"), F.collect_list(F.struct("level", "tested", "rejected", "bound")).alias("_all"))
-    at = F.element_at(F.array_sort("_all"), F.col("level") + 1)
-    return stage(best.filter("level >= 0").withColumn("_at", at).join(proposed, F.col("stratum").eqNullSafe(F.col("_stratum"))).select(
-        "stratum", "level", "_at.tested", "_at.rejected", "_at.bound",
-        *[F.element_at(F.col(f"_{n}"), F.col("level") + 1).alias(n) for n in names]), "quality-cutoffs")
+    failed = tried.groupBy("stratum").agg(F.coalesce(F.min(F.when(F.col("bound") > risk, F.col("level"))), F.lit(len(LEVELS))).alias("failed"))
+    passed = tried.join(failed.withColumnRenamed("stratum", "_f"), F.col("stratum").eqNullSafe(F.col("_f"))).filter("level < failed")
+    best = passed.groupBy("stratum").agg(F.max_by(F.struct("level", "tested", "rejected", "bound"), F.struct(F.col("gain"), -F.col("level"))).alias("_at"))
+    return stage(best.join(proposed, F.col("stratum").eqNullSafe(F.col("_stratum"))).select(
+        "stratum", "_at.level", "_at.tested", "_at.rejected", "_at.bound",
+        *[F.element_at(F.col(f"_{n}"), F.col("_at.level") + 1).alias(n) for n in names]), "quality-cutoffs")
 
 
 def judge(metrics: DataFrame, thresholds: DataFrame, stratum: str) -> DataFrame:

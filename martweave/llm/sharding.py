@@ -51,11 +51,11 @@ def shard_of(key: Column, shards: int) -> Column:
     return jump(key)
 
 
-def shard(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, size, text_crc32, shard, slot, grown_shard): where every row goes, now and with one more shard."""
+def shard(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept columns, size, text_crc32, shard, slot, grown_shard): where every row goes, now and with one more shard."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
-        F.col(key), (F.octet_length(body) + 1).cast("long").alias("size"),
+        key, *[c for c in keep if c != key], (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"), stable_key(F.col(key)).alias("_k"))
     placed = rows.withColumns({"shard": shard_of(F.col("_k"), shards), "grown_shard": shard_of(F.col("_k"), shards + 1)})
     ranked = grouped_rank(placed, ["shard"], [key, "text_crc32", "size"], "_rank")
