@@ -60,15 +60,14 @@ def search_catalog(
 
 def list_fields(
     fields: DataFrame, *, path: str | None = None, text: str | None = None, sort: str = "path"
-) -> tuple[DataFrame, list[Column]]:
-    """Matching fields(dataset, path, native_type, type) and the order for paging them."""
+) -> tuple[DataFrame, list[tuple[str, bool]]]:
+    """Matching fields(dataset, path, native_type, type) and their order for ``page``: by path, or by type and path."""
     rows = fields
     if path is not None:
         rows = rows.filter(F.col("path") == path)
     elif text is not None:
         rows = rows.filter(contains_ci(text, F.col("path"), F.col("native_type"), F.col("type")))
-    first = F.coalesce("native_type", F.lit("")) if sort == "type" else F.col("path")
-    return rows, [first, F.col("path")]
+    return rows, [(c, False) for c in (["native_type"] if sort == "type" else []) + ["path", "dataset"]]
 
 
 def effective_description(fields: DataFrame, edits: DataFrame) -> DataFrame:
@@ -191,7 +190,7 @@ def scope_violations(members: DataFrame, datasets: DataFrame, fields: DataFrame,
     return all_violations(
         violation(joined.filter(F.col("schema_version").isNull()), "member_missing", ["urn"], "schema"),
         violation(joined.filter(F.coalesce("removed", F.lit(False))), "member_removed", ["urn"], "removed"),
-        violation(joined.filter(F.col("run_id") != run_id), "not_latest_run", ["urn"], F.col("run_id")),
+        violation(joined.filter(F.col("schema_version").isNotNull() & ~F.col("run_id").eqNullSafe(F.lit(run_id))), "not_latest_run", ["urn"], F.col("run_id")),
         violation(twice, "duplicate_field", ["urn", "path"], F.col("n")),
         violation(mine.filter(F.coalesce("path", F.lit("")) == ""), "empty_field_path", ["urn"], "path"),
     )
@@ -303,11 +302,16 @@ def diff_aspects(desired: DataFrame, heads: DataFrame, observed: DataFrame) -> D
 
     Values are compared by digest of their canonical JSON text.
     """
-    want = desired.select("urn", "aspect", F.sha2("value", 256).alias("after"))
-    have = observed.select("urn", "aspect", F.sha2("value", 256).alias("before"))
-    joined = want.join(heads, "urn", "left").join(have, ["urn", "aspect"], "left")
+    # A parsed value keeps its keys in order, so the order in the text does not matter.
+    canonical = F.sha2(F.coalesce(F.to_json(F.try_parse_json("value")), F.col("value")), 256)
+    want = desired.select("urn", "aspect", canonical.alias("after"))
+    have = observed.select("urn", "aspect", canonical.alias("before"))
+    stored = observed.select("urn").distinct().withColumn("_stored", F.lit(True))
+    joined = want.join(heads, "urn", "left").join(have, ["urn", "aspect"], "left").join(stored, "urn", "left").withColumn(
+        "_stored", F.coalesce("_stored", F.lit(False)))
     state = (
         F.when(F.col("head_status").isNull(), "CATALOG_UNOBSERVED")
+        .when((F.col("head_status") == 404) & F.col("_stored"), "HEAD_CONTRADICTS_ASPECTS")
         .when(F.col("head_status") == 404, "CONDITIONAL_NEW")
         .when(F.col("before").isNull(), "ASPECT_UNOBSERVED")
         .when(F.col("before") == F.col("after"), "UNCHANGED")
@@ -327,19 +331,19 @@ def preserves_map(old: Column, new: Column) -> Column:
     return F.size(same) == 0
 
 
-_STATEMENT = r"^- `([A-Za-z][A-Za-z0-9_]*) = [^`]{3,300}`"
+_STATEMENT = r"^- `([A-Za-z][A-Za-z0-9_]*) = [^`]{3,}`"
 
 
 def extract_metric_statements(docs: DataFrame, fields: DataFrame) -> DataFrame:
-    """Lines "- `Name = expression`" of docs(path, text) matched to fields(dataset, field), case ignored."""
-    lines = docs.select("path", F.posexplode(F.split("text", "\r?\n")).alias("at", "line"))
+    """Lines "- `Name = expression`" of docs(dataset, path, text) matched to their dataset's fields(dataset, field), case ignored."""
+    lines = docs.select("dataset", "path", F.posexplode(F.split("text", "\r?\n")).alias("at", "line"))
     found = lines.select(
-        "path", (F.col("at") + 1).alias("line_number"),
+        "dataset", "path", (F.col("at") + 1).alias("line_number"),
         F.regexp_extract("line", _STATEMENT, 1).alias("subject"),
         F.regexp_extract("line", _STATEMENT, 0).alias("hit"),
     ).filter("subject <> ''")
     statements = found.select(
-        "path", "line_number", F.lower("subject").alias("_k"),
+        "dataset", "path", "line_number", F.lower("subject").alias("_k"),
         F.expr("substring(hit, 4, length(hit) - 4)").alias("statement"))
-    return statements.join(fields.withColumn("_k", F.lower("field")), "_k").select(
+    return statements.join(fields.withColumn("_k", F.lower("field")), ["dataset", "_k"]).select(
         "dataset", "field", "path", "line_number", "statement")

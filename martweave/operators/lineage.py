@@ -41,13 +41,16 @@ def validate_graph(nodes: DataFrame, edges: DataFrame, scope: str) -> DataFrame:
     """
     repeated = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     expected = node_id(scope, F.col("kind"), F.col("local_id"))
-    identity = nodes.filter(F.col("id") != expected)
+    identity = nodes.filter(~F.col("id").eqNullSafe(expected))
     kinds = nodes.groupBy(F.col("id").alias("node")).agg(F.max("kind").alias("node_kind"))
     ports = nodes.filter("kind = 'port'")
     owners = kinds.filter("node_kind IN ('asset', 'operation')").select(F.col("node").alias("owner"))
     homeless = ports.join(owners, "owner", "left_anti")
     port_fields = ports.select("id", F.explode("fields.path").alias("field"))
-    twice = port_fields.groupBy("id", "field").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Fields count within one record of a port: a port that is listed twice is a fault of its own.
+    inside = ports.select("id", F.explode(F.array_distinct("fields.path")).alias("field"), F.col("fields.path").alias("all"))
+    twice = inside.withColumn("n", F.size(F.filter("all", lambda p: p.eqNullSafe(F.col("field"))))).filter("n > 1").groupBy("id", "field").agg(
+        F.max("n").cast("long").alias("n"))
 
     known = port_fields.select(F.col("id").alias("node"), "field", F.lit(True).alias("known")).distinct()
     # All endpoint rules in one pass: the endpoints are by far the largest table here.
@@ -152,9 +155,12 @@ def candidate_reasons(candidates: DataFrame, evidence_findings: DataFrame) -> Da
     return shape.unionByName(repeated).unionByName(evidence_findings.select("source_id", "candidate_id", "reason")).distinct()
 
 
-def validate_candidates(candidates: DataFrame, evidence_findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validate_candidates(candidates: DataFrame, evidence_findings: DataFrame,
+                        sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(disposition per candidate, report per source).
 
+    ``sources(source_id)`` adds sources that have no candidates; they are inconclusive.
+
     Dispositions: rejected, unresolved, publishable, held. A source fails with any
     finding, is inconclusive with any unresolved or inferred candidate, else passes;
     in a failed source nothing is valid or publishable.
@@ -170,10 +176,14 @@ def validate_candidates(candidates: DataFrame, evidence_findings: DataFrame) ->
         .when(F.col("kind").isin(*PUBLISHABLE) & (F.col("status") == "resolved"), "publishable")
         .otherwise("held").alias("disposition"),
     )
-    report = rows.groupBy("source_id").agg(
+    none = F.lit(None).cast("string")
+    listed = rows if sources is None else rows.unionByName(sources.select(
+        "source_id", none.alias("candidate_id"), none.alias("status"), F.lit("none").alias("disposition")).distinct())
+    report = listed.groupBy("source_id").agg(
         F.bool_or(F.col("disposition") == "rejected").alias("failed"),
-        F.bool_or((F.col("disposition") == "unresolved") | (F.col("status") == "inferred")).alias("open"),
-        F.count_if(F.col("disposition") != "rejected").alias("valid"),
+        (F.bool_or((F.col("disposition") == "unresolved") | (F.coalesce("status", F.lit("")) == "inferred"))
+         | F.bool_and(F.col("disposition") == "none")).alias("open"),
+        F.count_if(~F.col("disposition").isin("rejected", "none")).alias("valid"),
         F.count_if(F.col("disposition") == "publishable").alias("publishable"),
         F.count_if(F.col("disposition") == "unresolved").alias("unresolved"),
     )
@@ -203,28 +213,30 @@ def lineage_hop(edges: DataFrame, urn: str, direction: str, grants: DataFrame, a
     return visible_only(edges.filter(F.col(here) == urn), grants, actor, there)
 
 
-def lineage_walk(edges: DataFrame, start: str, direction: str, max_hops: int) -> DataFrame:
-    """Breadth-first (node, distance, parent) from ``start``; the smallest parent wins among equals.
+MERGE_ROUNDS = 8
+
+
+def lineage_walk(edges: DataFrame, start: str, direction: str) -> DataFrame:
+    """Breadth-first (node, distance, parent) of all nodes that ``start`` reaches; the smallest parent wins among equals.
 
-    Each hop is one join of the frontier with the edges, written out before the
-    next; only the emptiness of a frontier reaches the driver.
+    Each hop is one join of the frontier with the edges, written out before the next, until
+    a hop finds nothing new; only that reaches the driver. What has been seen is written
+    together every few hops, so a long walk does not read one table per hop.
     """
     near, far = ("dst", "src") if direction == "UPSTREAM" else ("src", "dst")
-    steps = edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct()
-    steps = scale.stage(steps, "walk-edges")
-    spark = edges.sparkSession
-    seen = spark.sql("SELECT :start AS node, 0 AS distance, CAST(NULL AS STRING) AS parent", {"start": start})
-    frontier = seen
-    for hop in range(1, max_hops + 1):
-        reached = frontier.select("node").join(steps, "node").groupBy(F.col("next").alias("node")).agg(
-            F.min("node").alias("parent"))
-        fresh = reached.join(seen.select("node"), "node", "left_anti").select(
-            "node", F.lit(hop).alias("distance"), "parent")
+    steps = scale.stage(edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct(), "walk-edges")
+    seen = edges.sparkSession.sql("SELECT :start AS node, 0 AS distance, CAST(NULL AS STRING) AS parent", {"start": start})
+    frontier, hop = seen, 0
+    while True:
+        hop += 1
+        reached = frontier.select("node").join(steps, "node").groupBy(F.col("next").alias("node")).agg(F.min("node").alias("parent"))
+        fresh = reached.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("distance"), "parent")
         frontier = scale.stage(fresh, "walk")
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+        if hop % MERGE_ROUNDS == 0:
+            seen = scale.stage(seen, "walk-seen")
 
 
 def walk_path(walk: DataFrame, node: str) -> list[str]:
@@ -240,80 +252,64 @@ def walk_path(walk: DataFrame, node: str) -> list[str]:
     return path
 
 
-TRIM_ROUNDS = 4
-
-
-class NotConverged(RuntimeError):
-    pass
+def _greatest_source(edges: DataFrame, label: str) -> DataFrame:
+    """(node, colour): the greatest node that reaches it, itself included, in an order fixed by hashes.
 
-
-def _strong_parts(edges: DataFrame, max_rounds: int) -> DataFrame:
+    A round takes the greatest colour of the nodes before, then the colour of the colour: what
+    reaches the node that reaches me reaches me. So rounds grow with the logarithm of the depth.
+    """
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))
+    colour = scale.stage(nodes.withColumn("colour", own), label)
+    while True:
+        pushed = edges.join(colour, edges.src == colour.node).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("pushed"))
+        near = scale.stage(colour.join(pushed, "node", "left").select(
+            "node", F.greatest("colour", F.coalesce("pushed", "colour")).alias("near"), F.col("colour").alias("old")), label)
+        beyond = near.select(F.col("node").alias("_n"), F.col("near").alias("_beyond"))
+        step = scale.stage(near.join(beyond, F.col("near.n") == F.col("_n"), "left").select(
+            "node", F.greatest("near", F.coalesce("_beyond", "near")).alias("colour"), "old"), label)
+        colour = step.select("node", "colour")
+        if step.filter("colour <> old").isEmpty():
+            return colour.select("node", F.col("colour.n").alias("colour"))
+
+
+def _strong_parts(edges: DataFrame) -> DataFrame | None:
     """(node, part) for nodes that share a cycle, by colouring.
 
-    Every node takes the largest node that reaches it; the nodes that also reach
-    that root inside its colour form one part. Parts are removed and the rest is
-    coloured again. Rounds follow the graph's depth, not its size.
+    Every node takes the greatest node that reaches it as its colour. Along the edges inside a
+    colour, the nodes that also reach that greatest node form one part with it. Parts and edges
+    between colours are dropped and the rest is coloured again; random colours cut it into
+    pieces, so a few turns are enough for chains of any length.
     """
     rest, parts = edges, None
-    for _ in range(max_rounds):
-        # Nodes without an incoming or outgoing edge are on no cycle; a few rounds of
-        # dropping them shrink the graph, the colouring below settles the rest.
-        size = rest.count()
-        for _ in range(TRIM_ROUNDS):
-            has_out, has_in = rest.select(F.col("src").alias("n")).distinct(), rest.select(F.col("dst").alias("n")).distinct()
-            kept = rest.join(has_in, rest.src == has_in.n, "left_semi").join(has_out, rest.dst == has_out.n, "left_semi")
-            rest, before = scale.stage(kept, "trim"), size
-            size = rest.count()
-            if size == before:
-                break
-        if size == 0:
+    while True:
+        has_out, has_in = rest.select(F.col("src").alias("n")).distinct(), rest.select(F.col("dst").alias("n")).distinct()
+        # Nodes without an edge in or out are on no cycle.
+        rest = scale.stage(rest.join(has_in, rest.src == has_in.n, "left_semi").join(has_out, rest.dst == has_out.n, "left_semi"), "trim")
+        if rest.isEmpty():
             return parts
-        nodes = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
-        colour = scale.stage(nodes.withColumn("colour", F.col("node")), "colour")
-        for _ in range(max_rounds):
-            pushed = rest.join(colour, rest.src == colour.node).groupBy(F.col("dst").alias("node")).agg(
-                F.max("colour").alias("pushed"))
-            step = scale.stage(
-                colour.join(pushed, "node", "left").select(
-                    "node", F.greatest("colour", F.coalesce("pushed", "colour")).alias("colour"),
-                    (F.coalesce("pushed", "colour") > F.col("colour")).alias("changed")), "colour")
-            colour = step.select("node", "colour")
-            if step.filter("changed").isEmpty():
-                break
-        else:
-            raise NotConverged("colour")
-        # Backward reach from each root, along edges that stay inside one colour.
-        inner = rest.join(colour.withColumnsRenamed({"node": "src", "colour": "cs"}), "src").join(
-            colour.withColumnsRenamed({"node": "dst", "colour": "cd"}), "dst").filter("cs = cd").select("src", "dst")
-        inner = scale.stage(inner, "inner")
-        member = colour.filter("node = colour")
-        frontier = member
-        for _ in range(max_rounds):
-            back = inner.join(frontier, inner.dst == frontier.node).select(F.col("src").alias("node"), "colour").distinct()
-            frontier = scale.stage(back.join(member.select("node"), "node", "left_anti"), "back")
-            if frontier.isEmpty():
-                break
-            member = member.unionByName(frontier)
-        else:
-            raise NotConverged("back")
-        found = scale.stage(member.select("node", F.col("colour").alias("part")), "parts")
+        colour = _greatest_source(rest, "colour")
+        inner = scale.stage(
+            rest.join(colour.withColumnsRenamed({"node": "src", "colour": "cs"}), "src").join(
+                colour.withColumnsRenamed({"node": "dst", "colour": "cd"}), "dst").filter("cs = cd").select("src", "dst"), "inner")
+        back = _greatest_source(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "back")
+        found = scale.stage(colour.join(back.withColumnRenamed("colour", "_back"), "node").filter("colour = _back").select(
+            "node", F.col("colour").alias("part")), "parts")
         parts = found if parts is None else parts.unionByName(found)
         gone = found.select("node")
-        rest = scale.stage(
-            rest.join(gone, rest.src == gone.node, "left_anti").join(gone, rest.dst == gone.node, "left_anti"), "rest")
-    raise NotConverged("parts")
+        rest = inner.join(gone, inner.src == gone.node, "left_anti").join(gone, inner.dst == gone.node, "left_anti")
 
 
-def edges_on_cycles(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def edges_on_cycles(edges: DataFrame) -> DataFrame:
     """(src, dst, on_cycle): an edge is on a cycle when both ends share a strongly connected part."""
     distinct = scale.stage(edges.select("src", "dst").distinct(), "cycle-edges")
-    parts = _strong_parts(distinct, max_rounds)
+    parts = _strong_parts(distinct.filter("src <> dst"))
     if parts is None:
-        return distinct.withColumn("on_cycle", F.lit(False))
+        return distinct.withColumn("on_cycle", F.col("src") == F.col("dst"))
     left = parts.withColumnsRenamed({"node": "src", "part": "ps"})
     right = parts.withColumnsRenamed({"node": "dst", "part": "pd"})
     return distinct.join(left, "src", "left").join(right, "dst", "left").select(
-        "src", "dst", F.coalesce(F.col("ps") == F.col("pd"), F.lit(False)).alias("on_cycle"))
+        "src", "dst", (F.coalesce(F.col("ps") == F.col("pd"), F.lit(False)) | (F.col("src") == F.col("dst"))).alias("on_cycle"))
 
 
 def nearest_parent(nodes: DataFrame) -> DataFrame:
@@ -461,7 +457,7 @@ def finding_groups(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     Returns (groups, members): group rows carry counts, and every candidate and
     location stays its own row keyed by the group, so no group is collected.
     """
-    key = F.sha2(F.concat_ws("␟", "method", "attributes", "path"), 256)
+    key = F.sha2(F.to_json(F.array("method", "attributes", "path")), 256)  # NULLs stay in the text
     keyed = findings.withColumn("group_id", key)
     groups = keyed.groupBy("group_id", "method", "attributes", "path").agg(
         F.count(F.lit(1)).alias("candidates"), F.min("line").alias("first_line"), F.max("end_line").alias("last_line"))
@@ -533,11 +529,19 @@ def bind_tables(references: DataFrame, scopes: DataFrame, allowed: DataFrame, ca
         F.when(reason.isNull(), F.col("urn")).alias("dataset"), reason.alias("reason"))
 
 
-def resolve_field(columns: DataFrame, fields: DataFrame) -> DataFrame:
-    """columns(ref_id, dataset, column) to catalog fields(dataset, path), ignoring case; exactly one match."""
-    wanted = columns.withColumn("_k", F.lower("column"))
-    counted = fields.groupBy("dataset", F.lower("path").alias("_k")).agg(
-        F.count(F.lit(1)).alias("matches"), F.min("path").alias("path"))
+def resolve_field(columns: DataFrame, fields: DataFrame, folding: DataFrame | None = None) -> DataFrame:
+    """columns(ref_id, dataset, column) to catalog fields(dataset, path); exactly one match.
+
+    ``folding`` lists the datasets whose catalog ignores case (all when it is not given);
+    elsewhere names match as they are written.
+    """
+    if folding is None:
+        wanted, named = columns.withColumn("_k", F.lower("column")), fields.withColumn("_k", F.lower("path"))
+    else:
+        low = folding.select("dataset").distinct().withColumn("_low", F.lit(True))
+        wanted = columns.join(low, "dataset", "left").withColumn("_k", F.when(F.col("_low"), F.lower("column")).otherwise(F.col("column")))
+        named = fields.join(low, "dataset", "left").withColumn("_k", F.when(F.col("_low"), F.lower("path")).otherwise(F.col("path")))
+    counted = named.groupBy("dataset", "_k").agg(F.count(F.lit(1)).alias("matches"), F.min("path").alias("path"))
     one = F.col("matches") == 1
     return wanted.join(counted, ["dataset", "_k"], "left").select(
         "ref_id", F.when(one, F.col("path")).alias("field"),
@@ -619,31 +623,20 @@ def job_io(steps: DataFrame) -> DataFrame:
 def job_dependencies(steps: DataFrame) -> DataFrame:
     """Which earlier writes by other jobs a read depends on, without listing every pair.
 
-    steps(job, step, relation, dataset), ``step`` being the order over all jobs. The writes of a
-    dataset in step order are numbered; a read depends on the first
-    ``writes_before`` of them except its own job's. That states every (writer,
-    reader) pair in one row per read, however many jobs share a dataset;
-    ``dependency_pairs`` opens it for chosen reading jobs.
+    steps(job, step, relation, dataset), ``step`` being the order over all jobs. A dataset's
+    writes are numbered in step order (``write_number``). A read depends on those numbered 1 to
+    ``writes_before``, except its own job's; ``depends_on_writes`` of them are left. Writes and
+    reads together state the whole relation in one row per step, however many jobs share a dataset.
     """
     touch = steps.select("job", "step", "relation", "dataset").distinct()
     is_write = F.when(F.col("relation") == "writes", 1).otherwise(0)
     # At one step a read comes before a write, so only strictly earlier writes count.
-    counted = scale.grouped_running_sum(touch, ["dataset"], ["step", "relation", "job"], is_write, "writes_before")
-    own = scale.grouped_running_sum(
-        counted, ["dataset", "job"], ["step", "relation"], is_write, "own_writes_before")
-    return own.filter("relation = 'reads'").select(
-        "dataset", "job", "step", "writes_before",
-        (F.col("writes_before") - F.col("own_writes_before")).alias("depends_on_writes"))
-
-
-def dependency_pairs(steps: DataFrame, jobs: Sequence[str]) -> DataFrame:
-    """(writer, reader, dataset, write_step, read_step) for the given reading jobs."""
-    reads = steps.filter((F.col("relation") == "reads") & F.col("job").isin(*jobs)).select(
-        F.col("job").alias("reader"), "dataset", F.col("step").alias("read_step")).distinct()
-    writes = steps.filter("relation = 'writes'").select(
-        F.col("job").alias("writer"), "dataset", F.col("step").alias("write_step")).distinct()
-    return writes.join(reads, "dataset").filter("write_step < read_step AND writer <> reader").select(
-        "writer", "reader", "dataset", "write_step", "read_step")
+    counted = scale.grouped_running_sum(touch, ["dataset"], ["step", "relation", "job"], is_write, "_all")
+    own = scale.grouped_running_sum(counted, ["dataset", "job"], ["step", "relation"], is_write, "_own")
+    read = F.col("relation") == "reads"
+    return own.select("dataset", "job", "relation", "step", F.when(~read, F.col("_all")).alias("write_number"),
+                      F.when(read, F.col("_all")).alias("writes_before"),
+                      F.when(read, F.col("_all") - F.col("_own")).alias("depends_on_writes"))
 
 
 def merge_lineage(current: DataFrame, desired: DataFrame) -> DataFrame:
@@ -652,7 +645,7 @@ def merge_lineage(current: DataFrame, desired: DataFrame) -> DataFrame:
     Both have (upstream_type, downstream_type, upstreams, downstreams).
     """
     key = {
-        "_t": F.concat_ws(">", "upstream_type", "downstream_type"),
+        "_t": F.to_json(F.array("upstream_type", "downstream_type")),
         "_u": F.array_sort("upstreams"),
         "_d": F.array_sort("downstreams"),
     }

@@ -85,7 +85,9 @@ def _coerced(name: str, kind: str, found: T.DataType) -> str:
         return f"CAST({name} AS DATE)" if dated else "CAST(NULL AS DATE)"
     if kind in ("decimal4", "decimal6"):
         places = int(kind[-1])
-        return f"try_cast(round(try_cast({name} AS DECIMAL(38,12)), {places}) AS DECIMAL(19,{places}))"
+        # One rounding: a decimal cast rounds half up, straight from the text or the source decimal.
+        exact = f"CAST({name} AS STRING)" if isinstance(found, (T.FloatType, T.DoubleType)) else name
+        return f"try_cast({exact} AS DECIMAL(19,{places}))"
     raise ValueError("unknown_kind")
 
 

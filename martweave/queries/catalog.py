@@ -100,12 +100,14 @@ WITH fields AS (
 
 @query(_FIELDS + """
 , hit AS (SELECT * FROM fields WHERE lower(path) LIKE '%supp_7%' OR lower(native_type) LIKE '%supp_7%' OR lower(type) LIKE '%supp_7%')
-SELECT dataset, path, native_type, (SELECT count(*) FROM hit) AS total, 75 AS next_offset
-FROM hit ORDER BY native_type, path, dataset LIMIT 50 OFFSET 25""")
+SELECT dataset, path, native_type, (SELECT count(*) FROM hit) AS total,
+       (SELECT count(*) > 50 FROM hit WHERE (native_type, path, dataset) > ('bit', 'Supp_7', 'part:2')) AS more
+FROM hit WHERE (native_type, path, dataset) > ('bit', 'Supp_7', 'part:2') ORDER BY native_type, path, dataset LIMIT 50""")
 def list_fields(spark, root):
-    """Second page of the fields that match a text, by type then path."""
+    """A page of the fields that match a text, by type then path."""
     rows, order = C.list_fields(catalog_fields(spark, root), text="supp_7", sort="type")
-    return page(rows.select("dataset", "path", "native_type"), [*order, F.col("dataset")], 25, 50)
+    after = {"native_type": "bit", "path": "Supp_7", "dataset": "part:2"}
+    return page(rows.select("dataset", "path", "native_type"), order, 50, after)
 
 
 @query(_FIELDS + """
@@ -258,7 +260,7 @@ def _scope(spark, root):
     members = part.filter("p_type <> 'PROMO'").select(_id("part", "p_partkey").alias("urn"))
     datasets = part.filter("p_size <> 13").select(
         _id("part", "p_partkey").alias("urn"), (F.col("p_size") == 17).alias("removed"),
-        F.when(F.col("p_size") == 19, "old").otherwise("run").alias("run_id"), F.col("p_brand").alias("schema_version"))
+        F.when(F.col("p_size") == 19, "old").when(F.col("p_size") != 21, "run").alias("run_id"), F.col("p_brand").alias("schema_version"))
     fields = table(spark, root, "lineitem").select(
         _id("part", "l_partkey").alias("urn"), F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("path"))
     return members, datasets, fields
@@ -272,7 +274,7 @@ WITH f AS (SELECT p_partkey, 'part:' || l_partkey AS urn, 'f' || l_suppkey AS pa
 @query(_SCOPE + """
 SELECT 'member_missing' AS rule, 'part:' || p_partkey AS "key", 'schema' AS detail FROM part WHERE p_type <> 'PROMO' AND p_size = 13
 UNION ALL SELECT 'member_removed', 'part:' || p_partkey, 'removed' FROM part WHERE p_type <> 'PROMO' AND p_size = 17
-UNION ALL SELECT 'not_latest_run', 'part:' || p_partkey, 'old' FROM part WHERE p_type <> 'PROMO' AND p_size = 19
+UNION ALL SELECT 'not_latest_run', 'part:' || p_partkey, CASE WHEN p_size = 19 THEN 'old' END FROM part WHERE p_type <> 'PROMO' AND p_size IN (19, 21)
 UNION ALL SELECT 'duplicate_field', urn || '/' || path, CAST(n AS VARCHAR) FROM f WHERE n > 1""")
 def scope_violations(spark, root):
     return C.scope_violations(*_scope(spark, root), "run")
@@ -352,8 +354,8 @@ def asset_totals(spark, root):
 
 
 @query("""
-WITH s AS (SELECT l_partkey, count(DISTINCT l_returnflag) AS n, min(l_returnflag) AS t FROM lineitem
-           WHERE l_quantity > 46 GROUP BY 1),
+WITH t AS (SELECT l_partkey, CASE WHEN l_quantity > 49 THEN l_returnflag ELSE chr(CAST(65 + l_partkey % 3 AS INTEGER)) END AS t FROM lineitem),
+s AS (SELECT l_partkey, count(DISTINCT t) AS n, min(t) AS t FROM t GROUP BY 1),
 b AS (
   SELECT p_partkey AS asset, '' AS field, CASE WHEN p_size % 4 = 0 THEN 'A' WHEN p_size % 4 = 1 THEN 'old' END AS before,
          CASE WHEN n = 1 THEN t END AS after, coalesce(n, 0) AS n,
@@ -369,13 +371,13 @@ SELECT asset, field, before, after, disposition,
             WHEN disposition IN ('REVIEW_HUMAN_OR_CHANGED_VALUE', 'UPDATE_AGENT') THEN 'HUMAN_REVIEW' ELSE 'OPERATOR_POLICY' END AS routing
 FROM d""")
 def plan_descriptions(spark, root):
-    """Statements about parts come from large line items, trimmed before they are compared."""
+    """Statements about parts come from line items, trimmed before they are compared; large ones may differ from the rest."""
     part, size = table(spark, root, "part"), F.col("p_size")
     key = [F.col("p_partkey").alias("asset"), F.lit("").alias("field")]
     targets = part.select(*key, F.when(size % 4 == 0, "A").when(size % 4 == 1, "old").alias("before"))
-    statements = table(spark, root, "lineitem").filter("l_quantity > 46").select(
+    statements = table(spark, root, "lineitem").select(
         F.col("l_partkey").alias("asset"), F.lit("").alias("field"),
-        F.concat("l_returnflag", F.when(F.col("l_linenumber") > 3, "  ").otherwise("")).alias("text"))
+        F.concat(F.when(F.col("l_quantity") > 49, F.col("l_returnflag")).otherwise(F.char(65 + F.col("l_partkey") % 3)), F.when(F.col("l_linenumber") > 3, "  ").otherwise("")).alias("text"))
     prior = part.filter("p_size % 5 < 2").select(
         *key, F.when(size % 5 == 0, "VERIFIED_AGENT_BASELINE").otherwise("UNVERIFIED_AGENT_BASELINE").alias("status"),
         (size % 10 < 5).alias("schema_unchanged"))
@@ -384,7 +386,8 @@ def plan_descriptions(spark, root):
 
 @query("""
 SELECT o_orderkey AS urn, 'status' AS aspect, CASE WHEN o_orderpriority = '1-URGENT' THEN 'CATALOG_UNOBSERVED'
-       WHEN o_orderpriority = '2-HIGH' THEN 'CONDITIONAL_NEW' WHEN o_orderstatus = 'P' THEN 'ASPECT_UNOBSERVED'
+       WHEN o_orderpriority = '2-HIGH' THEN CASE WHEN o_orderstatus = 'P' OR o_orderkey % 2 = 1 THEN 'CONDITIONAL_NEW' ELSE 'HEAD_CONTRADICTS_ASPECTS' END
+       WHEN o_orderstatus = 'P' THEN 'ASPECT_UNOBSERVED'
        WHEN o_orderstatus = 'F' THEN 'UNCHANGED' ELSE 'CONFLICT' END AS state FROM orders""")
 def diff_aspects(spark, root):
     o = table(spark, root, "orders")
@@ -392,8 +395,10 @@ def diff_aspects(spark, root):
     desired = o.select(urn, status, S.sorted_json({"customer": F.col("o_custkey"), "removed": F.lit(False)}).alias("value"))
     heads = o.filter("o_orderpriority <> '1-URGENT'").select(
         urn, F.when(F.col("o_orderpriority") == "2-HIGH", 404).otherwise(204).alias("head_status"))
-    observed = o.filter("o_orderpriority > '3' AND o_orderstatus <> 'P'").select(
-        urn, status, S.sorted_json({"removed": F.col("o_orderstatus") == "O", "customer": F.col("o_custkey")}).alias("value"))
+    # Stored with its keys in the other order and with blanks.
+    text = F.format_string('{ "removed": %s, "customer": %d }', (F.col("o_orderstatus") == "O").cast("string"), F.col("o_custkey"))
+    observed = o.filter("o_orderstatus <> 'P' AND (o_orderpriority > '3' OR o_orderpriority = '2-HIGH' AND o_orderkey % 2 = 0)").select(
+        urn, status, text.alias("value"))
     return C.diff_aspects(desired, heads, observed)
 
 
@@ -416,14 +421,15 @@ def preserves_existing(spark, root):
 @query("""
 SELECT 'd' || l.lang AS dataset, upper(l.source) AS field, doc_id AS path,
        2 + length(text) - length(replace(text, chr(10), '')) AS line_number, d.source || ' = count of ' || d.lang AS statement
-FROM documents d JOIN (SELECT DISTINCT lang, source FROM documents WHERE lang <> 'fr') l ON l.source = d.source""")
+FROM documents d JOIN (SELECT DISTINCT lang, source FROM documents WHERE lang <> 'fr') l USING (lang, source)""")
 def extract_metric_statements(spark, root):
-    """Whole documents with one metric line appended, matched to fields per language."""
+    """Whole documents with one metric line appended, matched to the fields of their language."""
     docs = table(spark, root, "documents")
     line = F.concat(F.lit("\n- `"), "source", F.lit(" = count of "), "lang", F.lit("` and more"))
     fields = docs.filter("lang <> 'fr'").select(
         F.concat(F.lit("d"), "lang").alias("dataset"), F.upper("source").alias("field")).distinct()
-    return C.extract_metric_statements(docs.select(F.col("doc_id").alias("path"), F.concat("text", line).alias("text")), fields)
+    return C.extract_metric_statements(docs.select(
+        F.concat(F.lit("d"), "lang").alias("dataset"), F.col("doc_id").alias("path"), F.concat("text", line).alias("text")), fields)
 
 
 @query("""

@@ -180,7 +180,7 @@ def validate_evidence(spark, root):
 def candidates(spark, root) -> tuple[DataFrame, DataFrame]:
     """A candidate per line item, its source being the supplier."""
     flag, line = F.col("l_returnflag"), F.col("l_linenumber")
-    lines = table(spark, root, "lineitem").filter("l_suppkey % 10 < 9 OR l_linestatus = 'F'").select(
+    lines = table(spark, root, "lineitem").select(
         F.col("l_suppkey").alias("source_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("candidate_id"),
         F.when(flag == "A", "relationship").when(flag == "N", "field_mapping").when(
@@ -209,7 +209,7 @@ WITH c AS (
          CASE WHEN l_linenumber <> 7 OR l_suppkey % 4 <> 0 THEN l_partkey END AS object,
          l_suppkey % 5 = 0 AND l_linenumber = 1 AS bad_relation, l_suppkey % 7 = 0 AND l_linenumber = 5 AS bad_fields,
          l_suppkey % 11 = 0 AND l_tax > 0.07 AS no_evidence
-  FROM lineitem WHERE l_suppkey % 10 < 9 OR l_linestatus = 'F'),
+  FROM lineitem),
 reasons AS (
   SELECT source_id, candidate_id, 'invalid_relation_type' AS reason FROM c WHERE kind = 'relationship' AND bad_relation
   UNION SELECT source_id, candidate_id, 'relationship_missing_object' FROM c WHERE kind = 'relationship' AND object IS NULL
@@ -242,9 +242,13 @@ SELECT source_id, CASE WHEN bool_or(disposition = 'rejected') THEN 'FAIL'
        CASE WHEN bool_or(disposition = 'rejected') THEN 0 ELSE count(*) FILTER (disposition = 'publishable') END
          AS publishable_candidates,
        count(*) FILTER (disposition = 'unresolved') AS unresolved_candidates
-FROM rows GROUP BY source_id""")
+FROM rows GROUP BY source_id
+UNION ALL SELECT s_suppkey + 1000000000, 'INCONCLUSIVE', 0, 0, 0 FROM supplier""")
 def validate_candidates(spark, root):
-    return L.validate_candidates(*candidates(spark, root))[1]
+    """Every supplier and a second source for it that has no candidates."""
+    key = F.col("s_suppkey")
+    sources = table(spark, root, "supplier").select(F.explode(F.array(key, key + 1000000000)).alias("source_id"))
+    return L.validate_candidates(*candidates(spark, root), sources)[1]
 
 
 @query(_CANDIDATES + " SELECT source_id, candidate_id, disposition FROM rows")
@@ -321,43 +325,43 @@ _WALK = """
 , reach(node, distance) AS (
   SELECT '{start}', 0
   UNION
-  SELECT e.{far}, r.distance + 1 FROM reach r JOIN edges e ON e.{near} = r.node WHERE r.distance < {hops}),
+  SELECT e.{far}, r.distance + 1 FROM reach r JOIN edges e ON e.{near} = r.node),
 best AS (SELECT node, min(distance) AS distance FROM reach GROUP BY node)
 SELECT b.node, CAST(b.distance AS INTEGER) AS distance, min(p.node) AS parent
 FROM best b LEFT JOIN edges e ON e.{far} = b.node LEFT JOIN best p ON p.node = e.{near} AND p.distance = b.distance - 1
 GROUP BY b.node, b.distance"""
 
 
-@query(EDGES_SQL + _WALK.format(start="region:2", near="src", far="dst", hops=6))
+@query(EDGES_SQL + _WALK.format(start="region:2", near="src", far="dst"))
 def lineage_walk(spark, root):
     """Everything below one region, with distance and parent."""
-    return L.lineage_walk(catalog_edges(spark, root), "region:2", "DOWNSTREAM", 6)
+    return L.lineage_walk(catalog_edges(spark, root), "region:2", "DOWNSTREAM")
 
 
-@query(EDGES_SQL + _WALK.format(start="part:11", near="dst", far="src", hops=3))
+@query(EDGES_SQL + _WALK.format(start="part:11", near="dst", far="src"))
 def lineage_walk_up(spark, root):
-    return L.lineage_walk(catalog_edges(spark, root), "part:11", "UPSTREAM", 3)
+    """Everything above one part."""
+    return L.lineage_walk(catalog_edges(spark, root), "part:11", "UPSTREAM")
 
 
 @query("""
-WITH RECURSIVE trade AS (
-  SELECT DISTINCT 'part:' || l_partkey AS src, 'supplier:' || l_suppkey AS dst FROM lineitem
-    WHERE l_returnflag = 'R' AND l_discount >= 0.05 AND l_tax <= 0.03
-  UNION SELECT DISTINCT 'supplier:' || l_suppkey, 'part:' || l_partkey FROM lineitem
-    WHERE l_returnflag = 'A' AND l_discount <= 0.05 AND l_tax <= 0.03),
-reach(origin, node) AS (
-  SELECT src, dst FROM trade UNION SELECT r.origin, t.dst FROM reach r JOIN trade t ON t.src = r.node)
-SELECT src, dst, EXISTS (SELECT 1 FROM reach r WHERE r.origin = t.dst AND r.node = t.src) OR src = dst AS on_cycle
-FROM trade t""")
+WITH RECURSIVE r AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_returnflag = 'R'),
+a AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_returnflag = 'A'),
+step AS (SELECT DISTINCT a.s AS x, r.s AS y FROM a JOIN r ON a.p = r.p),
+reach(x, y) AS (SELECT x, y FROM step UNION SELECT reach.x, step.y FROM reach JOIN step ON step.x = reach.y),
+near AS (SELECT x, y FROM reach UNION SELECT s, s FROM r UNION SELECT s, s FROM a),
+back AS (SELECT DISTINCT near.x AS s, a.p FROM near JOIN a ON a.s = near.y),
+forth AS (SELECT DISTINCT near.y AS s, r.p FROM near JOIN r ON r.s = near.x)
+SELECT 'part:' || r.p AS src, 'supplier:' || r.s AS dst, b.s IS NOT NULL AS on_cycle FROM r LEFT JOIN back b ON b.s = r.s AND b.p = r.p
+UNION ALL
+SELECT 'supplier:' || a.s, 'part:' || a.p, f.s IS NOT NULL FROM a LEFT JOIN forth f ON f.s = a.s AND f.p = a.p""")
 def edges_on_cycles(spark, root):
-    """Returned low-tax sales point part -> supplier, kept ones supplier -> part."""
+    """Returned sales point part -> supplier, accepted ones supplier -> part."""
     li = table(spark, root, "lineitem")
     part = F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))
     supplier = F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string"))
-    back = li.filter("l_returnflag = 'R' AND l_discount >= 0.05 AND l_tax <= 0.03").select(
-        part.alias("src"), supplier.alias("dst"))
-    kept = li.filter("l_returnflag = 'A' AND l_discount <= 0.05 AND l_tax <= 0.03").select(
-        supplier.alias("src"), part.alias("dst"))
+    back = li.filter("l_returnflag = 'R'").select(part.alias("src"), supplier.alias("dst"))
+    kept = li.filter("l_returnflag = 'A'").select(supplier.alias("src"), part.alias("dst"))
     return L.edges_on_cycles(back.unionByName(kept))
 
 
@@ -452,16 +456,15 @@ def lineage_evidence(spark, root):
 
 
 def field_facts(spark, root):
-    """Schema fields are (part, supplier 0..9); line items declare them, orders omit and generate."""
-    part = table(spark, root, "part")
-    schema = part.select(F.col("p_partkey").alias("dataset"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("field")).withColumn(
-        "field", F.col("field").cast("long"))
-    li = table(spark, root, "lineitem").filter("l_suppkey < 10 AND l_quantity > 10")
-    declarations = li.select(
+    """Schema fields are the (part, supplier) of line items and one more per part; large line items declare, small ones omit and generate."""
+    lines, field = table(spark, root, "lineitem"), F.lit(-1).cast("long").alias("field")
+    schema = lines.select(F.col("l_partkey").alias("dataset"), F.col("l_suppkey").alias("field")).distinct().union(
+        table(spark, root, "part").select("p_partkey", field))
+    declarations = lines.filter("l_quantity > 10").select(
         F.col("l_partkey").alias("dataset"), F.col("l_suppkey").alias("field"), (F.col("l_tax") < 0.08).alias("resolved"),
         (F.col("l_returnflag") == "A").alias("has_origin"), (F.col("l_returnflag") == "N").alias("has_generated"),
         (F.col("l_linestatus") == "F").alias("has_constant"))
-    small = table(spark, root, "lineitem").filter("l_suppkey < 10 AND l_quantity <= 10")
+    small = lines.filter("l_quantity <= 10")
     omissions = small.select(F.col("l_partkey").alias("dataset"), F.col("l_suppkey").alias("field"))
     generations = small.filter("l_returnflag <> 'R'").select(
         F.col("l_partkey").alias("dataset"), F.col("l_suppkey").alias("field"))
@@ -469,12 +472,12 @@ def field_facts(spark, root):
 
 
 FIELDS_SQL = """
-WITH s AS (SELECT p_partkey AS dataset, CAST(unnest(range(10)) AS BIGINT) AS field FROM part),
+WITH s AS (SELECT DISTINCT l_partkey AS dataset, l_suppkey AS field FROM lineitem UNION ALL SELECT p_partkey, -1 FROM part),
 d AS (SELECT l_partkey AS dataset, l_suppkey AS field, bool_and(l_tax < 0.08) AS resolved,
              bool_or(l_returnflag = 'A') AS o, bool_or(l_returnflag = 'N') AS g, bool_or(l_linestatus = 'F') AS k
-      FROM lineitem WHERE l_suppkey < 10 AND l_quantity > 10 GROUP BY 1, 2),
+      FROM lineitem WHERE l_quantity > 10 GROUP BY 1, 2),
 m AS (SELECT l_partkey AS dataset, l_suppkey AS field, bool_or(l_returnflag <> 'R') AS made
-      FROM lineitem WHERE l_suppkey < 10 AND l_quantity <= 10 GROUP BY 1, 2),
+      FROM lineitem WHERE l_quantity <= 10 GROUP BY 1, 2),
 c AS (
   SELECT s.dataset, s.field, d.resolved IS NULL AS undeclared,
          CASE WHEN (m.made IS NOT NULL AND NOT m.made) OR NOT coalesce(d.resolved, true) THEN 'UNRESOLVED'
@@ -645,19 +648,22 @@ def bind_tables(spark, root):
 
 
 @query("""
-WITH f AS (SELECT p_brand AS dataset, lower(CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE p_name END) AS k,
+WITH named AS (SELECT *, CASE WHEN p_brand < 'Brand#3' THEN lower(p_name) ELSE p_name END AS k,
+                      CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE p_name END AS stored FROM part),
+f AS (SELECT p_brand AS dataset, CASE WHEN p_brand < 'Brand#3' THEN lower(stored) ELSE stored END AS k,
                   count(*) AS n, min(CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE p_name END) AS path
-           FROM part WHERE p_size < 30 GROUP BY 1, 2)
+           FROM named WHERE p_size < 30 GROUP BY 1, 2)
 SELECT p_partkey AS ref_id, CASE WHEN n = 1 THEN path END AS field,
        CASE WHEN coalesce(n, 0) <> 1 THEN 'catalog_column_missing_or_ambiguous' END AS reason
-FROM part LEFT JOIN f ON f.dataset = p_brand AND f.k = lower(p_name)""")
+FROM named LEFT JOIN f ON f.dataset = p_brand AND f.k = named.k""")
 def resolve_field(spark, root):
     part = table(spark, root, "part")
     columns = part.select(F.col("p_partkey").alias("ref_id"), F.col("p_brand").alias("dataset"), F.col("p_name").alias("column"))
     fields = part.filter("p_size < 30").select(
         F.col("p_brand").alias("dataset"),
         F.when(F.col("p_size") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("path"))
-    return L.resolve_field(columns, fields)
+    folding = part.filter("p_brand < 'Brand#3'").select(F.col("p_brand").alias("dataset"))
+    return L.resolve_field(columns, fields, folding)
 
 
 @query("""
@@ -766,24 +772,18 @@ def job_touches(spark, root):
 
 
 @query(STEPS_SQL + """
-, s AS (SELECT DISTINCT * FROM steps)
-SELECT r.dataset, r.job, CAST(r.step AS INTEGER) AS step,
-       count(w.job) AS writes_before, count(w.job) FILTER (w.job <> r.job) AS depends_on_writes
-FROM s r LEFT JOIN s w ON w.dataset = r.dataset AND w.relation = 'writes' AND w.step < r.step
-WHERE r.relation = 'reads' GROUP BY 1, 2, 3""")
+, s AS (SELECT DISTINCT * FROM steps),
+w AS (SELECT dataset, job, step, row_number() OVER (PARTITION BY dataset ORDER BY step, job) AS n FROM s WHERE relation = 'writes')
+SELECT w.dataset, w.job, 'writes' AS relation, CAST(w.step AS INTEGER) AS step, w.n AS write_number,
+       CAST(NULL AS BIGINT) AS writes_before, CAST(NULL AS BIGINT) AS depends_on_writes FROM w
+UNION ALL
+SELECT r.dataset, r.job, 'reads', CAST(r.step AS INTEGER), NULL, count(w.job), count(w.job) FILTER (w.job <> r.job)
+FROM s r LEFT JOIN w ON w.dataset = r.dataset AND w.step < r.step
+WHERE r.relation = 'reads' GROUP BY r.dataset, r.job, r.step""")
 def job_dependencies(spark, root):
     return L.job_dependencies(job_steps(spark, root)).withColumn("step", F.col("step").cast("int"))
 
 
-@query(STEPS_SQL + """
-SELECT DISTINCT w.job AS writer, r.job AS reader, r.dataset, CAST(w.step AS INTEGER) AS write_step, CAST(r.step AS INTEGER) AS read_step
-FROM steps w JOIN steps r ON w.dataset = r.dataset AND w.relation = 'writes' AND r.relation = 'reads'
-WHERE w.step < r.step AND w.job <> r.job AND r.job IN ('3', '17')""")
-def dependency_pairs(spark, root):
-    return L.dependency_pairs(job_steps(spark, root), ["3", "17"]).withColumns(
-        {c: F.col(c).cast("int") for c in ("write_step", "read_step")})
-
-
 @query("""
 WITH c AS (SELECT l_orderkey, l_linenumber, [CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)] AS u,
                   [CAST(l_orderkey AS VARCHAR)] AS d, l_linestatus FROM lineitem),

@@ -10,7 +10,6 @@ from martweave.functions import scalars as S
 from martweave.operators import mart, quality
 from martweave.operators.mart import Scope
 from martweave.plans import load, reports
-from martweave.plans.query import cap_or_reject
 from martweave.queries.registry import DIGEST, query
 from martweave.sources import adapter
 from martweave.sources.adapter import table
@@ -648,16 +647,6 @@ def check_points(spark, root):
     return quality.check_points(points, "1996-01-15", "2000-12-31")
 
 
-@query(MART_SQL + f"""
-SELECT CAST(date_trunc('month', order_date) AS DATE) AS month,
-       coalesce(product_category_name, 'Unknown') AS category, {_money('line_net_amount')} AS sales_amount
-FROM sales WHERE order_date >= DATE '1999-01-01' AND order_date < DATE '2001-01-01' GROUP BY 1, 2""")
-def capped_report(spark, root):
-    """At most 200 groups; more would be an error, not a truncated result."""
-    return cap_or_reject(
-        reports.sales_by_month_category(report_of(spark, root), "1999-01-01", "2000-12-31"), 200)
-
-
 @query("SELECT 4 AS dimensions, 4 AS canonical_dimensions, true AS canonical FROM (SELECT count(*) FROM lineitem)")
 def unknown_member_check(spark, root):
     return mart.unknown_member_check(mart_of(spark, root).dims)

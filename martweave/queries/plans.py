@@ -26,16 +26,16 @@ def on(a: str, left: str, op: str, b: str, right: str) -> dict:
     return {"left": ref(a, left), "op": op, "right": ref(b, right)}
 
 
-def plan(datasets, select, joins=(), filters=(), group=(), order=(), limit=1000) -> dict:
-    return {
+def plan(datasets, select, joins=(), filters=(), group=(), order=(), limit=None) -> dict:
+    spec = {
         "datasets": [{"urn": u, "alias": a} for a, u in datasets.items()],
         "joins": list(joins),
         "select": list(select),
         "filters": list(filters),
         "groupBy": list(group),
         "orderBy": [{"field": f, "direction": d} for f, d in order],
-        "limit": limit,
     }
+    return spec if limit is None else {**spec, "limit": limit}
 
 
 def join(dataset: str, kind: str, *predicates) -> dict:
@@ -43,8 +43,7 @@ def join(dataset: str, kind: str, *predicates) -> dict:
 
 
 def whole(spark, root, spec):
-    """The plan's rows without its row limit, for comparing complete results."""
-    return Q.build_plan(spec, tables(spark, root, spec))[0]
+    return Q.run_plan(spec, tables(spark, root, spec))
 
 
 @query("SELECT p_partkey AS part_id, p_name AS part_name, p_size AS size FROM part")
@@ -134,19 +133,6 @@ def plan_full_join(spark, root):
         joins=[join("s", "full", on("p", "p_partkey", "eq", "s", "s_suppkey"), on("p", "p_size", "eq", "s", "s_nationkey"))]))
 
 
-@query("""
-SELECT c_mktsegment AS segment, count(*) AS pairs
-FROM customer JOIN nation ON c_nationkey < n_nationkey AND c_nationkey <> n_regionkey GROUP BY 1""")
-def plan_theta_join(spark, root):
-    """No equality: allowed because the right side is small enough, which the builder checks."""
-    return whole(spark, root, plan(
-        {"c": "customer", "n": "nation"},
-        [item("c", "c_mktsegment", "segment"), item(None, None, "pairs", aggregate="count")],
-        joins=[join("n", "inner", on("c", "c_nationkey", "lt", "n", "n_nationkey"),
-                    on("c", "c_nationkey", "ne", "n", "n_regionkey"))],
-        group=["segment"]))
-
-
 @query("""
 SELECT l_returnflag AS flag, count(*) AS late FROM orders JOIN lineitem
 ON o_orderkey = l_orderkey AND o_orderdate < l_shipdate GROUP BY 1""")
@@ -234,11 +220,14 @@ def plan_limit_truncated(spark, root):
 
 
 @query("""
-SELECT p_partkey, p_name, (SELECT count(*) FROM part) AS total, 60 AS next_offset
-FROM part ORDER BY p_name, p_partkey LIMIT 20 OFFSET 40""")
+SELECT l_orderkey, l_linenumber, (SELECT count(*) FROM lineitem) AS total,
+       (SELECT count(*) > 50 FROM lineitem WHERE l_orderkey > 900 OR l_orderkey = 900 AND l_linenumber < 3) AS more
+FROM lineitem WHERE l_orderkey > 900 OR l_orderkey = 900 AND l_linenumber < 3
+ORDER BY l_orderkey, l_linenumber DESC LIMIT 50""")
 def page(spark, root):
-    parts = table(spark, root, "part").select("p_partkey", "p_name")
-    return Q.page(parts, [F.col("p_name"), F.col("p_partkey")], 40, 20)
+    """The page after line 3 of order 900, lines of an order from the last on; the page is the feature."""
+    lines = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber")
+    return Q.page(lines, [("l_orderkey", False), ("l_linenumber", True)], 50, {"l_orderkey": 900, "l_linenumber": 3})
 
 
 @query("""

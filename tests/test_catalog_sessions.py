@@ -79,7 +79,7 @@ def test_descriptions_with_two_statements(spark):
 
 def test_metric_lines(spark):
     text = "- `Net = sum(x)` more\r\n- `Other = 12`\n- `net = ab`\n x - `Net = sum(x)`"
-    docs = spark.createDataFrame([("p", text)], "path string, text string")
+    docs = spark.createDataFrame([("d", "p", text), ("other", "p", text)], "dataset string, path string, text string")
     fields = spark.createDataFrame([("d", "NET")], "dataset string, field string")
     assert rows(C.extract_metric_statements(docs, fields), "field", "line_number", "statement") == [("NET", 1, "Net = sum(x)")]
 

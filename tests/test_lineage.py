@@ -93,7 +93,7 @@ def test_walk_against_brute_force(spark, direction):
             if a == n and b not in distance:
                 distance[b] = distance[n] + 1
                 todo.append(b)
-    walk = L.lineage_walk(df, start, direction, 50)
+    walk = L.lineage_walk(df, start, direction)
     assert {n: d for n, d in rows(walk, "node", "distance")} == distance
     far = max(distance, key=distance.get)
     path = L.walk_path(walk, far)
@@ -102,9 +102,16 @@ def test_walk_against_brute_force(spark, direction):
     assert L.walk_path(walk, "missing") == []
 
 
-def test_walk_stops_at_the_hop_limit(spark):
-    edges = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(10)], "src string, dst string")
-    assert L.lineage_walk(edges, "c0", "DOWNSTREAM", 3).count() == 4
+def test_walk_goes_on_to_the_end(spark):
+    edges = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(30)], "src string, dst string")
+    assert L.lineage_walk(edges, "c0", "DOWNSTREAM").count() == 31
+
+
+def test_long_ring_and_long_chain(spark):
+    ring = [(f"r{i:04}", f"r{(i + 1) % 1000:04}") for i in range(1000)]
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(500)] + [("c500", "r0000"), ("x", "x")]
+    got = rows(L.edges_on_cycles(spark.createDataFrame(ring + chain, "src string, dst string")))
+    assert {r[:2] for r in got if r[2]} == {*ring, ("x", "x")} and len(got) == 1502
 
 
 def test_nearest_parent_with_cycle_and_long_chain(spark):
@@ -143,8 +150,35 @@ def test_dependencies_count_only_earlier_writes_of_others(spark):
         [("a", 1, "writes", "d"), ("b", 2, "reads", "d"), ("b", 3, "writes", "d"), ("a", 4, "reads", "d"), ("c", 1, "reads", "d")],
         "job string, step int, relation string, dataset string")
     got = rows(L.job_dependencies(steps), "job", "step", "writes_before", "depends_on_writes")
-    assert got == [("a", 4, 2, 1), ("b", 2, 1, 1), ("c", 1, 0, 0)]
-    assert rows(L.dependency_pairs(steps, ["a", "b"]), "writer", "reader") == [("a", "b"), ("b", "a")]
+    assert got == [("a", 1, None, None), ("a", 4, 2, 1), ("b", 2, 1, 1), ("b", 3, None, None), ("c", 1, 0, 0)]
+    # The pairs can be rebuilt from the output.
+    out = L.job_dependencies(steps).collect()
+    writes = {r.write_number: r.job for r in out if r.relation == "writes"}
+    pairs = {(writes[n], r.job) for r in out if r.relation == "reads" for n in range(1, r.writes_before + 1) if writes[n] != r.job}
+    assert pairs == {("a", "b"), ("b", "a")}
+
+
+def test_null_parts_of_a_group_key_differ(spark):
+    data = [("c1", None, "x", "p", 1, 2), ("c2", "x", None, "p", 3, 4)]
+    df = spark.createDataFrame(data, "candidate_id string, method string, attributes string, path string, line int, end_line int")
+    groups, members = L.finding_groups(df)
+    assert groups.select("group_id").distinct().count() == 2 and members.select("group_id").distinct().count() == 2
+
+
+def test_a_port_listed_twice_has_no_duplicate_fields(spark):
+    data = [("i", "port", "l", "o", [("a", "int"), ("b", "int")])] * 2 + [("j", "port", "l", "o", [("a", "int"), ("a", "int")])]
+    nodes = spark.createDataFrame(data, "id string, kind string, local_id string, owner string, fields array<struct<path:string,native_type:string>>")
+    edges = spark.createDataFrame([], "edge_id string, kind string, sources array<struct<node:string,field:string>>, target struct<node:string,field:string>")
+    found = rows(L.validate_graph(nodes, edges, "s").filter("rule = 'duplicate_field'"), "key")
+    assert len(found) == 1 and "j" in found[0][0]
+
+
+def test_a_source_without_candidates_is_inconclusive(spark):
+    df = spark.createDataFrame([], "source_id string, candidate_id string, kind string, status string, object string").withColumn(
+        "attributes", F.create_map(F.lit("relation_type"), F.lit("reads")))
+    none = spark.createDataFrame([], "source_id string, candidate_id string, reason string")
+    report = L.validate_candidates(df, none, spark.createDataFrame([("s",)], "source_id string"))[1]
+    assert rows(report) == [("s", "INCONCLUSIVE", 0, 0, 0)]
 
 
 def test_coverage_and_evidence(spark):
