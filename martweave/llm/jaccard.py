@@ -14,11 +14,12 @@ shorter document is one n-gram as a whole). Two documents link when
    candidates already connect are left out.
 3. Arrays. What is left is decided by intersecting the sorted arrays.
 
-A tile with more than ``BLOCK`` sets is split: its first block is compared with all
-blocks, and then only sets that did not join the tile's largest component. If a candidate
-fails the exact test, the tiles around it are compared again without leaving pairs out.
-So no link between different sets is lost, while a group of any number of near copies
-costs one comparison for most of its members.
+A tile with more than ``BLOCK`` sets is split, and only its first block is compared with all
+blocks. A second round settles what is left: in split tiles, and in tiles with a candidate
+that failed the exact test, sets outside the tile's largest component are compared with all
+sets of the tile, now with arrays at hand, so that only links leave a task. So no link
+between different sets is lost, while a group of any number of near copies costs one
+comparison for most of its members.
 
 A null or empty text has an empty set and links with nothing. A null doc_id takes part but
 is never the smallest id of a component that has another. Rows that repeat a text, with
@@ -28,7 +29,7 @@ the same doc_id or not, are linked. Other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ SKETCH_BITS = 18
 SKETCH_PARTS = 16
 FILTER_BITS = 22
 BLOCK = 2048
+BLOCK_GRAMS = 1 << 22
 STAR = 256
 
 
@@ -172,41 +174,36 @@ def _tiles(sets: DataFrame, percent: int) -> DataFrame:
 PAIR = "a long, b long"
 
 
-def _candidates(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs of a leading set with any other in the same cell that bit counts do not rule out.
+def _in_cells(rows: DataFrame, payload: str, compare: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(a, b): what ``compare`` finds in every cell of rows (gram, tier, i, j, key, n, lead, label, payload)."""
+    cells = ["gram", "tier", "i", "j"]
+
+    def found(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys, sizes, lead, label = (table.column(c).to_numpy() for c in ("key", "n", "lead", "label"))
+        blobs = table.column(payload).combine_chunks()
+        pairs: list[np.ndarray] = []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if b - a > 1:
+                x, y = compare(keys[a:b], sizes[a:b], lead[a:b], label[a:b], blobs[a:b])
+                if len(x):
+                    pairs.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
+        if pairs:
+            both = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
-    rows: gram, tier, i, j (the cell), key, n, lead, label, bitmap.
-    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             cell = np.stack([table.column(c).to_numpy() for c in range(4)])
             edge = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
-            last = int(edge[-1]) if len(edge) else 0
-            yield from _compared(table.slice(0, last), np.concatenate(([0], edge)), percent, forest)
-            rest = table.slice(last)
+            if len(edge):
+                yield from found(table.slice(0, edge[-1]), np.concatenate(([0], edge)))
+            rest = table.slice(edge[-1]) if len(edge) else table
         if rest is not None and rest.num_rows:
-            yield from _compared(rest, np.array([0, rest.num_rows]), percent, forest)
-
-    cells = ["gram", "tier", "i", "j"]
-    return rows.select(*cells, "key", "n", "lead", "label", "bitmap").repartition(*cells).sortWithinPartitions(*cells, "key").mapInArrow(run, PAIR)
-
+            yield from found(rest, np.array([0, rest.num_rows]))
 
-def _compared(table: pa.Table, bounds: np.ndarray, percent: int, forest: bool) -> Iterator[pa.RecordBatch]:
-    if not table.num_rows:
-        return
-    keys, sizes, lead, label = (table.column(c).to_numpy() for c in ("key", "n", "lead", "label"))
-    maps = table.column("bitmap").combine_chunks()
-    found: list[np.ndarray] = []
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        if b - a > 1:
-            x, y = _cell(keys[a:b], sizes[a:b], lead[a:b], label[a:b], maps[a:b], percent, forest)
-            if len(x):
-                found.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
-    if found:
-        both = np.unique(np.concatenate(found, axis=1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+    return rows.select(*cells, "key", "n", "lead", "label", payload).repartition(*cells).sortWithinPartitions(*cells, "key").mapInArrow(run, PAIR)
 
 
 def _folded(maps: pa.Array) -> np.ndarray:
@@ -216,35 +213,68 @@ def _folded(maps: pa.Array) -> np.ndarray:
     return np.stack([r if len(r) == width else np.bitwise_or.reduce(r.reshape(-1, width), axis=0) for r in raw])
 
 
-def _cell(keys, sizes, lead, label, maps, percent, forest) -> tuple[np.ndarray, np.ndarray]:
-    bits = _folded(maps)
-    _, group = np.unique(label, return_inverse=True)
-    group = group.copy()
-    left, right = [], []
+def _possible(i: int, bits: np.ndarray, sizes: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """Those of ``at`` that sizes and bit counts do not rule out as links of ``i``."""
+    small, large = np.minimum(sizes[at], sizes[i]), np.maximum(sizes[at], sizes[i])
+    at = at[100 * small >= percent * large]
+    if not len(at):
+        return at
+    mine, theirs = bits[i], bits[at]
+    only_mine = np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
+    only_theirs = np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64)
+    most = np.minimum(sizes[i] - only_mine, sizes[at] - only_theirs)
+    return at[100 * most >= percent * (sizes[i] + sizes[at] - most)]
+
+
+def _leads(lead: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(leading set, sets of other groups to compare it with, groups); the caller may join groups as it goes."""
+    group = np.unique(label, return_inverse=True)[1].copy()
     for i in np.flatnonzero(lead):
         other = group != group[i]
-        other[:i] &= ~lead[:i]  # pairs of two leading sets are compared once
+        other[:i] &= ~lead[:i]  # two leading sets meet once
         at = np.flatnonzero(other)
-        small, large = np.minimum(sizes[at], sizes[i]), np.maximum(sizes[at], sizes[i])
-        at = at[100 * small >= percent * large]
-        if not len(at):
-            continue
-        mine, theirs = bits[i], bits[at]
-        only_mine = np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
-        only_theirs = np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64)
-        most = np.minimum(sizes[i] - only_mine, sizes[at] - only_theirs)
-        at = at[100 * most >= percent * (sizes[i] + sizes[at] - most)]
-        if not len(at):
-            continue
-        if forest:  # one candidate per group that is not connected yet
+        if len(at):
+            yield i, at, group
+
+
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs that bit counts do not rule out, without those that earlier candidates of the cell connect."""
+    def compare(keys, sizes, lead, label, blobs):
+        bits, left, right = _folded(blobs), [], []
+        for i, at, group in _leads(lead, label):
+            at = _possible(i, bits, sizes, at, percent)
             groups, first = np.unique(group[at], return_index=True)
-            at = at[first]
             group[np.isin(group, groups)] = group[i]
-        left.append(np.full(len(at), keys[i]))
-        right.append(keys[at])
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+            left.append(np.full(len(first), keys[i]))
+            right.append(keys[at[first]])
+        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+    return _in_cells(rows, "bitmap", compare)
+
+
+def _links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links that join groups of a cell, from the arrays: fine bitmaps first, then intersections until one links."""
+    def compare(keys, sizes, lead, label, blobs):
+        sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in blobs]
+        width = np.uint64((1 << int(32 * sizes.max()).bit_length()) - 1)
+        marks = np.zeros((len(sets), int(width) + 1), np.uint8)
+        for row, grams in zip(marks, sets):
+            row[(grams & width).astype(np.int64)] = 1
+        bits = np.packbits(marks, axis=1).view(np.uint64)
+        del marks
+        left, right = [], []
+        for i, at, group in _leads(lead, label):
+            for j in _possible(i, bits, sizes, at, percent):
+                if group[j] == group[i]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                    group[group == group[j]] = group[i]
+                    left.append(keys[i])
+                    right.append(keys[j])
+        return np.array(left, np.int64), np.array(right, np.int64)
+
+    return _in_cells(rows, "grams", compare)
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -300,8 +330,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
     return met.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "outer", "key").mapInArrow(run, PAIR)
 
 
-def _blocks(count: Column) -> Column:
-    return F.ceil(count / BLOCK).cast("int")
+def _blocks(count: Column, size: Column) -> Column:
+    """Blocks of at most BLOCK sets and BLOCK_GRAMS n-grams."""
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(count * size / BLOCK_GRAMS)).cast("int")
 
 
 def link(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
@@ -311,42 +342,41 @@ def link(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
                  .join(tiles.select("key").distinct(), "key", "left_semi"), "jaccard-bitmaps")
     block = F.pmod(F.xxhash64("key"), F.col("g")).cast("int")
     # The first block of every tile against all its blocks: all pairs, unless the tile has more than one.
-    first = tiles.withColumn("g", _blocks(F.col("members"))).withColumn("block", block).withColumn("lead", F.col("block") == 0)
+    first = tiles.withColumn("g", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", block).withColumn("lead", F.col("block") == 0)
     cells = first.withColumn("j", F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array("block"))))
     rows = cells.select("gram", "tier", F.lit(0).alias("i"), "j", "key", "n", "lead", F.col("key").alias("label")).join(maps, "key")
-    pairs = stage(_candidates(rows, percent, True).distinct(), "jaccard-pairs")
+    pairs = stage(_candidates(rows, percent).distinct(), "jaccard-pairs")
     links = stage(_verify(docs, pairs, n, percent), "jaccard-links")
-    failed = stage(pairs.join(links, ["a", "b"], "left_anti"), "jaccard-failed")
-    large = tiles.filter(F.col("members") > BLOCK)
-    if large.limit(1).count():
-        again = stage(_candidates(_second(large, links, maps), percent, True).distinct().join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
-        more = stage(_verify(docs, again, n, percent), "jaccard-links")
-        failed = stage(failed.union(again.join(more, ["a", "b"], "left_anti")), "jaccard-failed")
-        pairs, links = pairs.union(again), links.union(more)
-    if failed.limit(1).count():
-        ends = failed.select(F.col("a").alias("key")).union(failed.select("b")).distinct()
-        near = tiles.join(stage(tiles.join(ends, "key", "left_semi").select("gram", "tier").distinct(), "jaccard-near"), ["gram", "tier"], "left_semi")
-        again = stage(_candidates(_second(near, links, maps), percent, False).distinct().join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
-        links = links.union(stage(_verify(docs, again, n, percent), "jaccard-links"))
-    return components(links)
-
-
-def _second(tiles: DataFrame, links: DataFrame, maps: DataFrame) -> DataFrame:
+    # Tiles to look at again: split ones, and those in which a failed candidate stood for a connection.
+    failed = pairs.join(links, ["a", "b"], "left_anti")
+    ends = failed.join(tiles.select("gram", "tier", F.col("key").alias("a")), "a").join(
+        tiles.select("gram", "tier", F.col("key").alias("b")), ["gram", "tier", "b"]).select("gram", "tier")
+    split = tiles.filter(F.col("members") > BLOCK).select("gram", "tier")
+    again = stage(ends.union(split).distinct(), "jaccard-again")
+    if again.isEmpty():
+        return components(links)
+    cells = stage(_second(tiles.join(again, ["gram", "tier"]), links), "jaccard-cells")
+    wanted = stage(cells.select("key").distinct(), "jaccard-wanted")
+    more = stage(_links(cells.join(_arrays(docs, wanted, n), "key"), percent), "jaccard-links")
+    return components(links.union(more))
+
+
+def _second(tiles: DataFrame, links: DataFrame) -> DataFrame:
     """Cells in which the sets outside a tile's largest component lead against all of the tile."""
     labels = stage(components(links), "jaccard-labels").select(F.col("node").alias("key"), F.col("component").alias("_label"))
     known = stage(tiles.join(labels, "key", "left").withColumn("label", F.coalesce("_label", "key")).drop("_label"), "jaccard-labelled")
-    sizes = known.groupBy("gram", "tier", "label").agg(F.count(F.lit(1)).alias("c"))
+    sizes = known.groupBy("gram", "tier", "label").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("size"))
     most = stage(sizes.groupBy("gram", "tier").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("parts"),
-                                                   (F.sum("c") - F.max("c")).alias("outside")).filter("parts > 1"), "jaccard-mains")
+                                                   (F.sum("c") - F.max("c")).alias("outside"), F.max("size").alias("size")).filter("parts > 1"), "jaccard-mains")
     open_ = known.join(most, ["gram", "tier"]).withColumns({
-        "lead": F.col("label") != F.col("main"), "g": _blocks(F.col("members")), "h": _blocks(F.col("outside"))})
+        "lead": F.col("label") != F.col("main"), "g": _blocks(F.col("members"), F.col("size")), "h": _blocks(F.col("outside"), F.col("size"))})
     own_i, own_j = F.pmod(F.xxhash64("key"), F.col("h")).cast("int"), F.pmod(F.xxhash64(F.lit(1), "key"), F.col("g")).cast("int")
     every_i, every_j = F.sequence(F.lit(0), F.col("h") - 1), F.sequence(F.lit(0), F.col("g") - 1)
     as_lead = open_.filter("lead").withColumn("i", own_i).withColumn("j", F.explode(every_j))
     as_other = open_.withColumn("j", own_j).withColumn("i", F.explode(every_i))
     columns = ["gram", "tier", "i", "j", "key", "n", "label"]
     both = as_lead.select(*columns, F.lit(True).alias("lead")).union(as_other.select(*columns, F.lit(False).alias("lead")))
-    return both.groupBy(*columns).agg(F.max("lead").alias("lead")).join(maps, "key")
+    return both.groupBy(*columns).agg(F.max("lead").alias("lead"))
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
