@@ -37,9 +37,9 @@ def named(docs: DataFrame, keep: Sequence[str] = ("doc_id", "text")) -> DataFram
                        F.xxhash64(text).alias("tag"))
 
 
-def part_count(spark: SparkSession) -> int:
-    """Packed rows are dense, so a quarter of the session's shuffle partitions is enough."""
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+def part_count(spark: SparkSession, share: int = 4) -> int:
+    """Packed rows are dense, so a share of the session's shuffle partitions is enough."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // share)
 
 
 def pack(parts: int, keys: np.ndarray, owner: np.ndarray, places: np.ndarray, k: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:

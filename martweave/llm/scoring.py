@@ -119,7 +119,7 @@ def score(docs: DataFrame, bits: int = VOCABULARY_BITS) -> DataFrame:
     spark = docs.sparkSession
     own = packed.named(docs)
     sent = spark.sparkContext.broadcast(vocabulary(own, bits))
-    parts, shift = packed.part_count(spark), np.uint64(bits + 1)
+    parts, shift = packed.part_count(spark, 2), np.uint64(bits + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
