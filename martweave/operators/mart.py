@@ -113,27 +113,28 @@ def extract(sources: dict[str, DataFrame], scope: Scope) -> dict[str, DataFrame]
 DIM_SCHEMAS = {
     "dim_date": "date_key int, full_date date, calendar_year int, calendar_quarter int, calendar_month int,"
                 " month_name string, day_of_month int",
-    "dim_territory": "territory_key int, source_territory_id int, territory_name string,"
+    "dim_territory": "territory_key bigint, source_territory_id bigint, territory_name string,"
                      " country_region_code string, territory_group string",
-    "dim_product": "product_key int, source_product_id int, product_name string, product_number string,"
-                   " source_product_subcategory_id int, product_subcategory_name string,"
-                   " source_product_category_id int, product_category_name string",
-    "dim_customer": "customer_key int, source_customer_id int, source_territory_id int, territory_key int",
+    "dim_product": "product_key bigint, source_product_id bigint, product_name string, product_number string,"
+                   " source_product_subcategory_id bigint, product_subcategory_name string,"
+                   " source_product_category_id bigint, product_category_name string",
+    "dim_customer": "customer_key bigint, source_customer_id bigint, source_territory_id bigint, territory_key bigint",
 }
 
 # The Unknown member (key 0) of every dimension.
 UNKNOWN_MEMBERS = {
     "dim_date": ("0", "DATE'1900-01-01'", "0", "0", "0", "'Unknown'", "0"),
     "dim_territory": ("0", "0", "'Unknown'", "'UNK'", "'Unknown'"),
-    "dim_product": ("0", "0", "'Unknown'", "'UNKNOWN'", "CAST(NULL AS INT)", "CAST(NULL AS STRING)",
-                    "CAST(NULL AS INT)", "CAST(NULL AS STRING)"),
-    "dim_customer": ("0", "0", "CAST(NULL AS INT)", "0"),
+    "dim_product": ("0", "0", "'Unknown'", "'UNKNOWN'", "CAST(NULL AS BIGINT)", "CAST(NULL AS STRING)",
+                    "CAST(NULL AS BIGINT)", "CAST(NULL AS STRING)"),
+    "dim_customer": ("0", "0", "CAST(NULL AS BIGINT)", "0"),
 }
 
 
 def unknown_member(spark: SparkSession, dim: str) -> DataFrame:
     names = [part.split()[0] for part in DIM_SCHEMAS[dim].split(",")]
-    return spark.range(1).select(*[F.expr(v).alias(n) for n, v in zip(names, UNKNOWN_MEMBERS[dim])])
+    kinds = [part.split()[1] for part in DIM_SCHEMAS[dim].split(",")]
+    return spark.range(1).select(*[F.expr(v).cast(k).alias(n) for n, v, k in zip(names, UNKNOWN_MEMBERS[dim], kinds)])
 
 
 def unknown_member_check(dims: dict[str, DataFrame]) -> DataFrame:
@@ -168,7 +169,7 @@ def insert_if_absent(current: DataFrame, incoming: DataFrame, key: str | Sequenc
 def assign_keys(new: DataFrame, order: Sequence[str], start: int, out: str) -> DataFrame:
     """Keys start+1, start+2, … in ``order``; ranks are made per range partition, not in one task."""
     ranked = scale.grouped_rank(new, [], order, "_rank")
-    return ranked.withColumn(out, (F.col("_rank") + F.lit(start)).cast("int")).drop("_rank")
+    return ranked.withColumn(out, F.col("_rank") + F.lit(start)).drop("_rank")
 
 
 def upsert_type1(
@@ -194,8 +195,8 @@ FACT_COLUMNS = [
     "source_line_total",
 ]
 FACT_SCHEMA = (
-    "sales_order_id int, sales_order_detail_id int, order_date_key int, product_key int, customer_key int,"
-    " territory_key int, status int, currency_rate_id int, order_qty int, unit_price decimal(19,4),"
+    "sales_order_id bigint, sales_order_detail_id bigint, order_date_key int, product_key bigint, customer_key bigint,"
+    " territory_key bigint, status int, currency_rate_id bigint, order_qty int, unit_price decimal(19,4),"
     " unit_price_discount decimal(19,4), line_net_amount decimal(19,6), source_line_total decimal(19,6)"
 )
 

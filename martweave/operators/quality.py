@@ -57,7 +57,7 @@ def rule_rows(df: DataFrame, key: Sequence[str], rules: dict[str, tuple[Column,
 def coerce_source(df: DataFrame, spec: dict[str, tuple[str, bool]]) -> tuple[DataFrame, DataFrame]:
     """Typed columns with a reason per bad cell: (good rows, rejected rows with ``reasons``).
 
-    ``spec`` maps a column to (kind, nullable); kinds are int, text, date,
+    ``spec`` maps a column to (kind, nullable); kinds are int, id (64 bits), text, date,
     decimal4 and decimal6.
     """
     typed, reasons = [], []
@@ -76,8 +76,9 @@ def coerce_source(df: DataFrame, spec: dict[str, tuple[str, bool]]) -> tuple[Dat
 
 def _coerced(name: str, kind: str, found: T.DataType) -> str:
     """SQL of the typed value, NULL when the cell cannot be that type."""
-    if kind == "int":
-        return "CAST(NULL AS INT)" if isinstance(found, T.BooleanType) else f"try_cast({name} AS INT)"
+    if kind in ("int", "id"):
+        sort = "INT" if kind == "int" else "BIGINT"
+        return f"CAST(NULL AS {sort})" if isinstance(found, T.BooleanType) else f"try_cast({name} AS {sort})"
     if kind == "text":
         return f"nullif({name}, '')" if isinstance(found, T.StringType) else "CAST(NULL AS STRING)"
     if kind == "date":

@@ -12,36 +12,36 @@ from martweave.functions.scalars import average_order_value, canonical_digest
 from martweave.operators import mart, quality
 from martweave.operators.mart import Scope
 from martweave.plans import reports
-from martweave.sources.sinks import current_paths, publish, replace_table, version_path
+from martweave.sources.sinks import current_paths, is_published, publish, replace_table, version_path
 
 DIMENSIONS = ["dim_date", "dim_territory", "dim_product", "dim_customer"]
 
 EXTRACT_SPECS = {
     "products": {
-        "source_product_id": ("int", False),
+        "source_product_id": ("id", False),
         "product_name": ("text", False),
         "product_number": ("text", False),
-        "source_product_subcategory_id": ("int", True),
+        "source_product_subcategory_id": ("id", True),
         "product_subcategory_name": ("text", True),
-        "source_product_category_id": ("int", True),
+        "source_product_category_id": ("id", True),
         "product_category_name": ("text", True),
     },
-    "customers": {"source_customer_id": ("int", False), "source_territory_id": ("int", True)},
+    "customers": {"source_customer_id": ("id", False), "source_territory_id": ("id", True)},
     "territories": {
-        "source_territory_id": ("int", False),
+        "source_territory_id": ("id", False),
         "territory_name": ("text", False),
         "country_region_code": ("text", False),
         "territory_group": ("text", False),
     },
     "facts": {
-        "sales_order_id": ("int", False),
-        "sales_order_detail_id": ("int", False),
+        "sales_order_id": ("id", False),
+        "sales_order_detail_id": ("id", False),
         "order_date": ("date", False),
-        "source_product_id": ("int", False),
-        "source_customer_id": ("int", False),
-        "source_territory_id": ("int", True),
+        "source_product_id": ("id", False),
+        "source_customer_id": ("id", False),
+        "source_territory_id": ("id", True),
         "status": ("int", False),
-        "currency_rate_id": ("int", True),
+        "currency_rate_id": ("id", True),
         "order_qty": ("int", False),
         "unit_price": ("decimal4", False),
         "unit_price_discount": ("decimal4", False),
@@ -51,7 +51,7 @@ EXTRACT_SPECS = {
 
 
 class LoadRejected(RuntimeError):
-    """The load stopped before anything became current; ``reasons`` holds rule counts."""
+    """The load stopped and what was current before is current; ``reasons`` holds rule counts."""
 
     def __init__(self, reasons: dict[str, int]):
         super().__init__(", ".join(f"{k}={v}" for k, v in sorted(reasons.items())))
@@ -131,16 +131,16 @@ def open_mart(spark: SparkSession, root: str) -> Mart:
     return Mart(tables["fact"], {d: tables[d] for d in DIMENSIONS})
 
 
-def load_mart(sources: dict[str, DataFrame], root: str, scope: Scope, *, exists: bool = False) -> DataFrame:
+def load_mart(sources: dict[str, DataFrame], root: str, scope: Scope) -> DataFrame:
     """Run one load into the mart at ``root`` and return its one-row receipt.
 
-    ``exists`` says whether a published mart is already there. Every table is
-    written as a new version and checked as written; only then do all versions
-    become current in one step, and the published tables are read back and compared.
+    A published mart at ``root`` is carried on: its members keep their keys and its other
+    fact rows stay. Every table is written as a new version, read back and checked as
+    written; only then do all versions become current, in one step.
     """
     spark = sources["customer"].sparkSession
     inputs = prepare(sources, scope)
-    current = _first_dimensions(spark)
+    current, exists = _first_dimensions(spark), is_published(spark, root)
     if exists:
         current = _current_tables(spark, root)
         if not mart.unknown_member_check({d: current[d] for d in DIMENSIONS}).first()["canonical"]:
@@ -193,13 +193,13 @@ def load_mart(sources: dict[str, DataFrame], root: str, scope: Scope, *, exists:
         if broken:
             raise LoadRejected({rule: broken})
 
-    publish(spark, root, written)
-    # The receipt is computed from the published tables, so comparing it is the read-back.
-    receipt = scale.stage(run_receipt(inputs, open_mart(spark, root), scope), "receipt")
+    # The receipt is computed from the written versions before they are published: that is the read-back.
+    receipt = scale.stage(run_receipt(inputs, loaded, scope), "receipt")
     row = receipt.select(*[F.col(c).cast("string") for c in RECEIPT_MEASURES.values()]).first()
     changed = sum(row[RECEIPT_MEASURES[m["measure"]]] != m["target_value"] for m in measures)
     if changed:
         raise LoadRejected({"readback_mismatch": changed})
+    publish(spark, root, written)
     return receipt
 
 

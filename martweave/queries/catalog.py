@@ -274,7 +274,7 @@ WITH f AS (SELECT p_partkey, 'part:' || l_partkey AS urn, 'f' || l_suppkey AS pa
 @query(_SCOPE + """
 SELECT 'member_missing' AS rule, 'part:' || p_partkey AS "key", 'schema' AS detail FROM part WHERE p_type <> 'PROMO' AND p_size = 13
 UNION ALL SELECT 'member_removed', 'part:' || p_partkey, 'removed' FROM part WHERE p_type <> 'PROMO' AND p_size = 17
-UNION ALL SELECT 'not_latest_run', 'part:' || p_partkey, CASE WHEN p_size = 19 THEN 'old' END FROM part WHERE p_type <> 'PROMO' AND p_size IN (19, 21)
+UNION ALL SELECT 'not_latest_run', 'part:' || p_partkey, CASE WHEN p_size = 19 THEN 'old' ELSE 'null' END FROM part WHERE p_type <> 'PROMO' AND p_size IN (19, 21)
 UNION ALL SELECT 'duplicate_field', urn || '/' || path, CAST(n AS VARCHAR) FROM f WHERE n > 1""")
 def scope_violations(spark, root):
     return C.scope_violations(*_scope(spark, root), "run")

@@ -555,17 +555,18 @@ def blocker_counts(spark, root):
 def findings(spark, root) -> DataFrame:
     return table(spark, root, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("candidate_id"),
-        F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("attributes"),
+        F.col("l_returnflag").alias("method"), F.when(F.col("l_linenumber") != 6, F.col("l_linestatus")).alias("attributes"),
         F.concat(F.lit("file"), F.col("l_suppkey").cast("string")).alias("path"),
         F.col("l_linenumber").alias("line"), F.col("l_linenumber") + F.col("l_quantity").cast("int"))\
         .toDF("candidate_id", "method", "attributes", "path", "line", "end_line")
 
 
-_GROUP_ID = "sha256(l_returnflag || '␟' || l_linestatus || '␟' || 'file' || l_suppkey)"
+_GROUP_ID = """sha256('["' || l_returnflag || '",' || CASE WHEN l_linenumber = 6 THEN 'null' ELSE '"' || l_linestatus || '"' END
+  || ',"file' || l_suppkey || '"]')"""
 
 
 @query(f"""
-SELECT {_GROUP_ID} AS group_id, l_returnflag AS method, l_linestatus AS attributes, 'file' || l_suppkey AS path,
+SELECT {_GROUP_ID} AS group_id, l_returnflag AS method, CASE WHEN l_linenumber <> 6 THEN l_linestatus END AS attributes, 'file' || l_suppkey AS path,
        count(*) AS candidates, min(l_linenumber) AS first_line, max(l_linenumber + CAST(l_quantity AS INTEGER)) AS last_line
 FROM lineitem GROUP BY ALL""")
 def finding_groups(spark, root):

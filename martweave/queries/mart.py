@@ -39,10 +39,10 @@ def report_of(spark: SparkSession, root: str) -> DataFrame:
 # --- the same mart in SQL ---------------------------------------------------------
 
 _DIMS = """
-cat AS (SELECT p_type, CAST(min(p_partkey) + 1 AS INTEGER) AS id FROM part GROUP BY p_type),
-sub AS (SELECT p_type, p_brand, CAST(min(p_partkey) + 1 AS INTEGER) AS id FROM part GROUP BY p_type, p_brand),
+cat AS (SELECT p_type, CAST(min(p_partkey) + 1 AS BIGINT) AS id FROM part GROUP BY p_type),
+sub AS (SELECT p_type, p_brand, CAST(min(p_partkey) + 1 AS BIGINT) AS id FROM part GROUP BY p_type, p_brand),
 products AS (
-  SELECT CAST(p_partkey + 1 AS INTEGER) AS source_product_id, p_name AS product_name,
+  SELECT CAST(p_partkey + 1 AS BIGINT) AS source_product_id, p_name AS product_name,
          'P-' || p_partkey AS product_number,
          sub.id AS source_product_subcategory_id,
          CASE WHEN sub.id IS NOT NULL THEN p.p_type || ' ' || p.p_brand END AS product_subcategory_name,
@@ -51,18 +51,18 @@ products AS (
   LEFT JOIN sub ON sub.p_type = p.p_type AND sub.p_brand = p.p_brand AND p.p_type <> 'SMALL'
   LEFT JOIN cat ON cat.p_type = sub.p_type),
 customers AS (
-  SELECT CAST(c_custkey + 1 AS INTEGER) AS source_customer_id,
-         CASE WHEN c_acctbal >= 0 THEN CAST(c_nationkey + 1 AS INTEGER) END AS source_territory_id
+  SELECT CAST(c_custkey + 1 AS BIGINT) AS source_customer_id,
+         CASE WHEN c_acctbal >= 0 THEN CAST(c_nationkey + 1 AS BIGINT) END AS source_territory_id
   FROM customer),
 territories AS (
-  SELECT CAST(n_nationkey + 1 AS INTEGER) AS source_territory_id, n_name AS territory_name,
+  SELECT CAST(n_nationkey + 1 AS BIGINT) AS source_territory_id, n_name AS territory_name,
          'C' || n_nationkey AS country_region_code, r_name AS territory_group
   FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
 _HEADERS = """
 headers AS (
-  SELECT CAST(o_orderkey + 1 AS INTEGER) AS sales_order_id, o_orderdate AS order_date,
-         CAST(o_custkey + 1 AS INTEGER) AS source_customer_id, c.source_territory_id,
+  SELECT CAST(o_orderkey + 1 AS BIGINT) AS sales_order_id, o_orderdate AS order_date,
+         CAST(o_custkey + 1 AS BIGINT) AS source_customer_id, c.source_territory_id,
          CASE o_orderstatus WHEN 'F' THEN 5 WHEN 'P' THEN 3 ELSE 1 END AS status,
          CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 1 END AS currency_rate_id
   FROM orders LEFT JOIN customers c ON c.source_customer_id = o_custkey + 1)"""
@@ -72,11 +72,11 @@ _IN_SCOPE = ("order_date >= DATE '1995-06-01' AND order_date < DATE '2001-07-01'
 
 _LINES = f"""
 details AS (
-  SELECT CAST(l_orderkey + 1 AS INTEGER) AS sales_order_id,
+  SELECT CAST(l_orderkey + 1 AS BIGINT) AS sales_order_id,
          CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
-              l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INTEGER)
+              l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS BIGINT)
            AS sales_order_detail_id,
-         CAST(l_partkey + 1 AS INTEGER) AS source_product_id, CAST(l_quantity AS INTEGER) AS order_qty,
+         CAST(l_partkey + 1 AS BIGINT) AS source_product_id, CAST(l_quantity AS INTEGER) AS order_qty,
          CAST(p_retailprice AS DECIMAL(19,4)) AS unit_price,
          CAST(l_discount AS DECIMAL(19,4)) AS unit_price_discount
   FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -98,9 +98,9 @@ keyed_territories AS (
 sales AS (
   SELECT l.sales_order_id, l.sales_order_detail_id, l.order_date,
          CAST(year(l.order_date) * 10000 + month(l.order_date) * 100 + day(l.order_date) AS INTEGER) AS order_date_key,
-         CAST(p.product_key AS INTEGER) AS product_key, p.source_product_id, p.product_name, p.product_number,
-         p.product_subcategory_name, p.product_category_name, CAST(c.customer_key AS INTEGER) AS customer_key,
-         c.source_customer_id, CAST(t.territory_key AS INTEGER) AS territory_key, t.source_territory_id,
+         CAST(p.product_key AS BIGINT) AS product_key, p.source_product_id, p.product_name, p.product_number,
+         p.product_subcategory_name, p.product_category_name, CAST(c.customer_key AS BIGINT) AS customer_key,
+         c.source_customer_id, CAST(t.territory_key AS BIGINT) AS territory_key, t.source_territory_id,
          t.territory_name, t.country_region_code, t.territory_group, l.status, l.currency_rate_id, l.order_qty,
          l.unit_price, l.unit_price_discount, l.line_net_amount, l.source_line_total
   FROM lines l
@@ -677,7 +677,7 @@ def upsert_type1(spark, root):
     customers = adapter.customer(spark, root).select(
         F.col("customer_id").alias("source_customer_id"), F.col("territory_id").alias("source_territory_id"))
     lost = F.col("source_customer_id") % 2 == 0
-    changed = customers.filter(lost).withColumn("source_territory_id", F.lit(None).cast("int"))
+    changed = customers.filter(lost).withColumn("source_territory_id", F.lit(None).cast("long"))
     new = customers.filter("source_territory_id = 3").withColumn(
         "source_customer_id", F.col("source_customer_id") + 1000000000)
     incoming = mart.lookup_surrogate(

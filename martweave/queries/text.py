@@ -71,8 +71,8 @@ WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS path, s_suppkey AS k, 'd' || s_s
                   'SELECT ' || s_suppkey AS sql1 FROM supplier WHERE s_acctbal >= 0)
 SELECT CAST(s_suppkey AS VARCHAR) AS path, NULL AS dashboard_uid, 'dashboard' AS kind, NULL AS id, NULL AS ref_id, NULL AS datasource_uid,
        NULL AS sql, 'dashboard_identity_missing' AS reason FROM supplier WHERE s_acctbal < 0
-UNION ALL SELECT path, dashboard_uid, 'panel', '1', 'A', ds, sql1, CASE WHEN k % 7 = 0 THEN 'panel_structure_unsupported'
-       WHEN k % 5 = 0 THEN 'datasource_binding_required' END FROM s
+UNION ALL SELECT path, dashboard_uid, 'panel', '1', 'A', ds, sql1,
+       CASE WHEN k % 5 = 0 THEN 'datasource_binding_required' END FROM s
 UNION ALL SELECT path, dashboard_uid, 'panel', CASE WHEN k % 7 = 0 THEN '1' ELSE '2' END, 'A', ds, CASE WHEN k % 4 = 0 THEN 'SELECT 1' ELSE sql1 END,
        CASE WHEN k % 7 = 0 OR k % 4 = 0 THEN 'panel_structure_unsupported' END FROM s
 UNION ALL SELECT path, dashboard_uid, 'panel', '3', 'A', ds, sql1, NULL FROM s

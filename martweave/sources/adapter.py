@@ -27,7 +27,7 @@ def category(spark: SparkSession, root: str) -> DataFrame:
     return (
         table(spark, root, "part")
         .groupBy(F.col("p_type").alias("name"))
-        .agg((F.min("p_partkey") + 1).cast("int").alias("product_category_id"))
+        .agg((F.min("p_partkey") + 1).cast("long").alias("product_category_id"))
     )
 
 
@@ -35,7 +35,7 @@ def subcategory(spark: SparkSession, root: str) -> DataFrame:
     groups = (
         table(spark, root, "part")
         .groupBy("p_type", "p_brand")
-        .agg((F.min("p_partkey") + 1).cast("int").alias("product_subcategory_id"))
+        .agg((F.min("p_partkey") + 1).cast("long").alias("product_subcategory_id"))
     )
     owner = category(spark, root).withColumnRenamed("name", "p_type")
     return groups.join(owner, "p_type").select(
@@ -56,7 +56,7 @@ def product(spark: SparkSession, root: str) -> DataFrame:
         table(spark, root, "part")
         .join(keys, ["p_type", "p_brand"], "left")
         .select(
-            (F.col("p_partkey") + 1).cast("int").alias("product_id"),
+            (F.col("p_partkey") + 1).cast("long").alias("product_id"),
             F.col("p_name").alias("name"),
             F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("product_number"),
             "product_subcategory_id",
@@ -67,8 +67,8 @@ def product(spark: SparkSession, root: str) -> DataFrame:
 def customer(spark: SparkSession, root: str) -> DataFrame:
     """Customers with a negative balance have no territory."""
     return table(spark, root, "customer").select(
-        (F.col("c_custkey") + 1).cast("int").alias("customer_id"),
-        F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey") + 1).cast("int").alias("territory_id"),
+        (F.col("c_custkey") + 1).cast("long").alias("customer_id"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey") + 1).cast("long").alias("territory_id"),
     )
 
 
@@ -78,7 +78,7 @@ def territory(spark: SparkSession, root: str) -> DataFrame:
         table(spark, root, "nation")
         .join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
-            (F.col("n_nationkey") + 1).cast("int").alias("territory_id"),
+            (F.col("n_nationkey") + 1).cast("long").alias("territory_id"),
             F.col("n_name").alias("name"),
             F.concat(F.lit("C"), F.col("n_nationkey").cast("string")).alias("country_region_code"),
             F.col("r_name").alias("territory_group"),
@@ -88,12 +88,12 @@ def territory(spark: SparkSession, root: str) -> DataFrame:
 
 def sales_order_header(spark: SparkSession, root: str) -> DataFrame:
     orders = table(spark, root, "orders").select(
-        (F.col("o_orderkey") + 1).cast("int").alias("sales_order_id"),
+        (F.col("o_orderkey") + 1).cast("long").alias("sales_order_id"),
         F.col("o_orderdate").alias("order_date"),
-        (F.col("o_custkey") + 1).cast("int").alias("customer_id"),
+        (F.col("o_custkey") + 1).cast("long").alias("customer_id"),
         F.when(F.col("o_orderstatus") == "F", 5).when(F.col("o_orderstatus") == "P", 3)
         .otherwise(1).cast("int").alias("status"),
-        F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", 1).cast("int").alias("currency_rate_id"),
+        F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", 1).cast("long").alias("currency_rate_id"),
     )
     return orders.join(customer(spark, root), "customer_id", "left")
 
@@ -105,16 +105,16 @@ def sales_order_detail(spark: SparkSession, root: str, *, with_ids: bool = True)
         scanned = scale.number_copies(lines.select("l_orderkey", *_LINE_ORDER), "_copy")
         lines = scale.grouped_rank(scanned, ["l_orderkey"], [*_LINE_ORDER, "_copy"], "_line")
     else:
-        lines = lines.withColumn("_line", F.lit(None).cast("int"))
+        lines = lines.withColumn("_line", F.lit(None).cast("long"))
     prices = table(spark, root, "part").select(
         "p_partkey", F.col("p_retailprice").cast("decimal(19,4)").alias("unit_price")
     )
     quantity = F.col("l_quantity").cast("int")
     discount = F.col("l_discount").cast("decimal(19,4)")
     return lines.join(prices, F.col("l_partkey") == F.col("p_partkey")).select(
-        (F.col("l_orderkey") + 1).cast("int").alias("sales_order_id"),
-        F.col("_line").cast("int").alias("sales_order_detail_id"),
-        (F.col("l_partkey") + 1).cast("int").alias("product_id"),
+        (F.col("l_orderkey") + 1).cast("long").alias("sales_order_id"),
+        F.col("_line").cast("long").alias("sales_order_detail_id"),
+        (F.col("l_partkey") + 1).cast("long").alias("product_id"),
         quantity.alias("order_qty"),
         "unit_price",
         discount.alias("unit_price_discount"),

@@ -11,14 +11,14 @@ from martweave.functions.scalars import finish_digest, set_digest
 
 # Declared types of the seven source tables.
 SOURCE_SCHEMAS = {
-    "product": "product_id int, name string, product_number string, product_subcategory_id int",
-    "product_subcategory": "product_subcategory_id int, name string, product_category_id int",
-    "product_category": "product_category_id int, name string",
-    "customer": "customer_id int, territory_id int",
-    "sales_territory": "territory_id int, name string, country_region_code string, territory_group string",
-    "sales_order_header": "sales_order_id int, order_date timestamp, customer_id int, territory_id int,"
-                          " status int, currency_rate_id int",
-    "sales_order_detail": "sales_order_id int, sales_order_detail_id int, product_id int, order_qty int,"
+    "product": "product_id bigint, name string, product_number string, product_subcategory_id bigint",
+    "product_subcategory": "product_subcategory_id bigint, name string, product_category_id bigint",
+    "product_category": "product_category_id bigint, name string",
+    "customer": "customer_id bigint, territory_id bigint",
+    "sales_territory": "territory_id bigint, name string, country_region_code string, territory_group string",
+    "sales_order_header": "sales_order_id bigint, order_date timestamp, customer_id bigint, territory_id bigint,"
+                          " status int, currency_rate_id bigint",
+    "sales_order_detail": "sales_order_id bigint, sales_order_detail_id bigint, product_id bigint, order_qty int,"
                           " unit_price decimal(19,4), unit_price_discount decimal(19,4), line_total decimal(19,6)",
 }
 
@@ -126,20 +126,19 @@ def explode_dashboards(docs: DataFrame) -> DataFrame:
     unnamed = rows(shaped.filter(no_uid), F.lit("dashboard"), none, none, empty_ds, none,
                    F.lit("dashboard_identity_missing"))
     named = shaped.filter(~no_uid)
-    top = named.select("path", "d", F.explode("d.panels").alias("p"))
+    top = named.select("path", "d", F.posexplode("d.panels").alias("at", "p"))
     drop_children = "named_struct(" + ",".join(
         f"'{c}',{{0}}.{c}" for c in
         ("id", "type", "title", "datasource", "targets", "transformations", "libraryPanel")) + ")"
     flat = top.filter("p.type IS NULL OR p.type <> 'row'").selectExpr(
-        "path", "d", drop_children.format("p") + " AS p")
-    nested = top.filter("p.type = 'row'").select("path", "d", F.explode("p.panels").alias("p"))
-    panels = flat.unionByName(nested.selectExpr("path", "d", drop_children.format("p") + " AS p"))
-    # A panel id must be present and used once per dashboard.
-    used = panels.groupBy(F.col("path").alias("_path"), F.col("p.id").alias("_id")).agg(
-        F.count(F.lit(1)).alias("_uses"))
+        "path", "d", "struct(at, 0 AS inside) AS at", drop_children.format("p") + " AS p")
+    nested = top.filter("p.type = 'row'").select("path", "d", "at", F.posexplode("p.panels").alias("inside", "p"))
+    panels = flat.unionByName(nested.selectExpr("path", "d", "struct(at, inside) AS at", drop_children.format("p") + " AS p"))
+    # A panel id must be present; of panels that share it, the first in the dashboard has it.
+    used = panels.groupBy(F.col("path").alias("_path"), F.col("p.id").alias("_id")).agg(F.min("at").alias("_first"))
     counted = panels.join(used, (F.col("path") == F.col("_path")) & (F.col("p.id") == F.col("_id")), "left")
     bad = (
-        F.col("p.id").isNull() | (F.coalesce(F.col("_uses"), F.lit(0)) != 1)
+        F.col("p.id").isNull() | (F.col("at") != F.col("_first"))
         | (F.coalesce(F.size("p.targets"), F.lit(0)) != 1)
         | (F.coalesce(F.size("p.transformations"), F.lit(0)) > 0) | F.col("p.libraryPanel").isNotNull()
     )

@@ -57,6 +57,12 @@ def current_paths(spark: SparkSession, root: str) -> dict[str, str]:
     return log.agg(F.max_by("paths", "published")).first()[0]
 
 
+def is_published(spark: SparkSession, root: str) -> bool:
+    """Whether anything was ever made current at ``root``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/log")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def replace_table(
     df: DataFrame, root: str, name: str, check: Callable[[DataFrame], bool] | None = None
 ) -> DataFrame:

@@ -80,7 +80,7 @@ def test_load_reports_and_second_load(spark, tmp_path):
     assert rules(quality.check_summary_rules(summaries["monthly_category_summary"], "product_category_id")) == set()
 
     # The same sources again change nothing.
-    load.load_mart(sources(spark), root, SCOPE, exists=True)
+    load.load_mart(sources(spark), root, SCOPE)
     again = load.open_mart(spark, root)
     assert rows(again.fact) == rows(m.fact)
     for name, dim in m.dims.items():
@@ -92,7 +92,7 @@ def test_load_reports_and_second_load(spark, tmp_path):
         spark, product=[(1, "Bike 2", "P-1", 7), (2, "Bell", "P-2", None), (9, "Lamp", "P-9", 7)], customer=[(1, None), (2, None)],
         sales_order_detail=[(10, 1, 1, 3, D("10"), D("0.1"), D("27")), (11, 1, 2, 1, D("0.5050"), D("0.0099"), D("0.500001")),
                             (11, 2, 9, 1, D("0.5"), D("0"), D("0.5"))])
-    load.load_mart(changed, root, SCOPE, exists=True)
+    load.load_mart(changed, root, SCOPE)
     third = load.open_mart(spark, root)
     products = {r["source_product_id"]: (r["product_key"], r["product_name"]) for r in third.dims["dim_product"].collect()}
     keys = {r["source_product_id"]: r["product_key"] for r in m.dims["dim_product"].collect()}
@@ -110,7 +110,7 @@ def test_reconciliation_needs_the_whole_scope(spark, tmp_path):
     load.load_mart(sources(spark), root, SCOPE)
     less = sources(spark, sales_order_detail=[(10, 1, 1, 2, D("10"), D("0.1"), D("18"))])
     with pytest.raises(load.LoadRejected) as error:
-        load.load_mart(less, root, SCOPE, exists=True)
+        load.load_mart(less, root, SCOPE)
     assert "target_source_reconciliation_failed" in error.value.reasons
     assert load.open_mart(spark, root).fact.count() == 3
 
@@ -230,3 +230,18 @@ def test_staged_data_does_not_depend_on_recomputation(spark):
     noisy = spark.range(1000).withColumn("x", F.rand())
     staged = scale.stage(noisy)
     assert rows(staged) == rows(staged)
+
+
+def test_ids_beyond_32_bits(spark):
+    big = 2**31 + 5
+    df = spark.createDataFrame([(big, "x")], "n bigint, t string")
+    good, bad = quality.coerce_source(df, {"n": ("id", False), "t": ("text", False)})
+    assert good.first()["n"] == big and bad.count() == 0
+    keyed = mart.assign_keys(spark.range(3), ["id"], big, "key")
+    assert rows(keyed, "id", "key") == [(0, big + 1), (1, big + 2), (2, big + 3)]
+
+
+def test_money_is_rounded_once(spark):
+    df = spark.createDataFrame([("0.00004999999999995",), ("0.00005",), ("x",)], "m string")
+    good, bad = quality.coerce_source(df, {"m": ("decimal4", False)})
+    assert sorted(str(r.m) for r in good.collect()) == ["0.0000", "0.0001"] and bad.count() == 1
