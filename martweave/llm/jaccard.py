@@ -17,7 +17,8 @@ shorter document is one n-gram as a whole). Two documents link when
 A tile with more than ``BLOCK`` sets is split, and only its first block is compared with all
 blocks. A second round settles what is left: in split tiles, and in tiles with a candidate
 that failed the exact test, sets outside the tile's largest component are compared with all
-sets of the tile, now with arrays at hand, so that only links leave a task. So no link
+sets of the tile; in tiles of more than ``SMALL`` sets with arrays at hand, so that only
+links leave a task, in the others by testing all pairs that are left. So no link
 between different sets is lost, while a group of any number of near copies costs one
 comparison for most of its members.
 
@@ -44,6 +45,7 @@ SKETCH_BITS = 18
 SKETCH_PARTS = 16
 FILTER_BITS = 22
 BLOCK = 2048
+SMALL = 64
 BLOCK_GRAMS = 1 << 22
 STAR = 256
 
@@ -237,16 +239,18 @@ def _leads(lead: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, np.ndarra
             yield i, at, group
 
 
-def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs that bit counts do not rule out, without those that earlier candidates of the cell connect."""
+def _candidates(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs that bit counts do not rule out; in a forest, without those that earlier candidates of the cell connect."""
     def compare(keys, sizes, lead, label, blobs):
         bits, left, right = _folded(blobs), [], []
         for i, at, group in _leads(lead, label):
             at = _possible(i, bits, sizes, at, percent)
-            groups, first = np.unique(group[at], return_index=True)
-            group[np.isin(group, groups)] = group[i]
-            left.append(np.full(len(first), keys[i]))
-            right.append(keys[at[first]])
+            if forest:
+                groups, first = np.unique(group[at], return_index=True)
+                group[np.isin(group, groups)] = group[i]
+                at = at[first]
+            left.append(np.full(len(at), keys[i]))
+            right.append(keys[at])
         return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
     return _in_cells(rows, "bitmap", compare)
@@ -345,7 +349,7 @@ def link(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     first = tiles.withColumn("g", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", block).withColumn("lead", F.col("block") == 0)
     cells = first.withColumn("j", F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array("block"))))
     rows = cells.select("gram", "tier", F.lit(0).alias("i"), "j", "key", "n", "lead", F.col("key").alias("label")).join(maps, "key")
-    pairs = stage(_candidates(rows, percent).distinct(), "jaccard-pairs")
+    pairs = stage(_candidates(rows, percent, True).distinct(), "jaccard-pairs")
     links = stage(_verify(docs, pairs, n, percent), "jaccard-links")
     # Tiles to look at again: split ones, and those in which a failed candidate stood for a connection.
     failed = pairs.join(links, ["a", "b"], "left_anti")
@@ -356,8 +360,13 @@ def link(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     if again.isEmpty():
         return components(links)
     cells = stage(_second(tiles.join(again, ["gram", "tier"]), links), "jaccard-cells")
-    wanted = stage(cells.select("key").distinct(), "jaccard-wanted")
-    more = stage(_links(cells.join(_arrays(docs, wanted, n), "key"), percent), "jaccard-links")
+    # A small tile has few pairs, so those left are tested like the first ones; in a large one, sets come with their arrays.
+    small, large = cells.filter(F.col("members") <= SMALL), cells.filter(F.col("members") > SMALL)
+    rest = stage(_candidates(small.join(maps, "key"), percent, False).distinct().join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
+    more = stage(_verify(docs, rest, n, percent), "jaccard-links")
+    wanted = stage(large.select("key").distinct(), "jaccard-wanted")
+    if not wanted.isEmpty():
+        more = more.union(stage(_links(large.join(_arrays(docs, wanted, n), "key"), percent), "jaccard-links"))
     return components(links.union(more))
 
 
@@ -374,7 +383,7 @@ def _second(tiles: DataFrame, links: DataFrame) -> DataFrame:
     every_i, every_j = F.sequence(F.lit(0), F.col("h") - 1), F.sequence(F.lit(0), F.col("g") - 1)
     as_lead = open_.filter("lead").withColumn("i", own_i).withColumn("j", F.explode(every_j))
     as_other = open_.withColumn("j", own_j).withColumn("i", F.explode(every_i))
-    columns = ["gram", "tier", "i", "j", "key", "n", "label"]
+    columns = ["gram", "tier", "members", "i", "j", "key", "n", "label"]
     both = as_lead.select(*columns, F.lit(True).alias("lead")).union(as_other.select(*columns, F.lit(False).alias("lead")))
     return both.groupBy(*columns).agg(F.max("lead").alias("lead"))
 

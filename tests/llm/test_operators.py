@@ -138,9 +138,10 @@ def test_no_pages(spark):
 # --- 3 Jaccard join --------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block", [2048, 8])
-def test_components_equal_all_pairs(documents, monkeypatch, block):
+@pytest.mark.parametrize("block, small", [(2048, 64), (8, 4), (8, 10)])
+def test_components_equal_all_pairs(documents, monkeypatch, block, small):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "STAR", 4)
     rows = texts(1)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(documents(rows, extra=True), 4, 85).collect()}
