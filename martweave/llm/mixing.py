@@ -4,7 +4,8 @@ Every source gets a target number of words. Whole epochs come first: as many cop
 all its documents as fit. The rest is chosen by exponential keys ``-ln(u) / weight``,
 where ``u`` is a hash of the document id (so reruns agree) and ``weight`` is the
 document's quality: documents in ascending key order are taken while their words fit,
-and the one that crosses the budget is taken when at least half of it fits.
+and of the one that crosses the budget as many words as are left. So every source gives
+its target to the word. ``copies`` rounds a part of a document to the whole or nothing.
 
 Targets share all words in proportion to the weights, but stop at ``most_epochs`` times
 the words of their source; what is left over is shared again by weight. That is the
@@ -67,7 +68,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
 
 def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[float, ...] = (1.0, 2.0, 3.0),
         most_epochs: int = MOST_EPOCHS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, copies) for every row of ``docs``."""
+    """(doc_id, source, size, source_size, target, taken words, whole copies) for every row of ``docs``."""
     quality = F.greatest(F.coalesce(weight if weight is not None else quality_weight(F.col("text")), F.lit(0.0)), F.lit(LEAST_WEIGHT))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1) / float((1 << 52) + 1)
@@ -79,8 +80,9 @@ def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[float, ...
     ordered = grouped_running_sum(rows, ["source"], ["_key", "doc_id", "_crc", "size"], F.col("size"), "_sum")
     budgeted = ordered.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    budget = F.col("target") - F.col("_epochs") * F.col("source_size")
-    chosen = (F.col("size") > 0) & (F.col("_sum") - F.col("size") / 2 <= budget) & (F.col("_epochs") < most_epochs)
-    copies = F.col("_epochs") + F.when(chosen, F.lit(1)).otherwise(F.lit(0))
-    return budgeted.withColumn("_epochs", epochs).withColumn("copies", copies.cast("int")).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "_crc")
+    budget = F.floor(F.col("target") - F.col("_epochs") * F.col("source_size") + 0.5)
+    part = F.greatest(F.lit(0), F.least(F.col("size"), budget - (F.col("_sum") - F.col("size"))))
+    copies = F.col("_epochs") + F.when((F.col("_part") > 0) & (2 * F.col("_part") >= F.col("size")), F.lit(1)).otherwise(F.lit(0))
+    return budgeted.withColumn("_epochs", epochs).withColumn("_part", part).select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("_epochs") + F.col("_part")).cast("long").alias("taken"),
+        copies.cast("int").alias("copies"), "_crc")

@@ -14,22 +14,64 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM d LEFT JOIN g USING (payload_bytes, payload_digest)
 """
 
-_JUMP = """
-j{n} AS (SELECT i, 0 AS turn, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16))::UBIGINT::HUGEINT AS k,
-       CAST(0 AS BIGINT) AS at, CAST(0 AS BIGINT) AS ahead FROM d
-  UNION ALL
-  SELECT i, turn + 1, k2, ahead, CAST(floor((ahead + 1) * (2147483648.0::DOUBLE / ((k2 // 8589934592)::DOUBLE + 1.0))) AS BIGINT)
-  FROM (SELECT *, ((k % 4294967296) * 2862933555777941757::HUGEINT + ((k // 4294967296) * 2862933555777941757::HUGEINT % 4294967296) * 4294967296 + 1)
-        % 18446744073709551616::HUGEINT AS k2 FROM j{n}) WHERE ahead < {n}),
-s{n} AS (SELECT i, CAST(arg_max(at, turn) AS INTEGER) AS s FROM j{n} GROUP BY i)
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_TEXT = "coalesce(text, '')"
+_LOWERED = f"translate({_TEXT}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op3_jaccard_join"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWERED)} AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edges AS (SELECT a AS p, b AS q FROM links UNION ALL SELECT b, a FROM links),
+reach(p, q) AS (SELECT p, q FROM edges UNION SELECT r.p, e.q FROM reach r JOIN edges e ON e.p = r.q),
+least_id AS (SELECT p, min(q) AS m FROM reach GROUP BY p)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least_id ON p = w.doc_id
+"""
+
+SQL["op6_substring_dedup"] = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format(_TEXT)} AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+early AS (SELECT g, min((doc_id, i)) AS f FROM win GROUP BY g),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM win JOIN early USING (g) WHERE (doc_id, i) <> f),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
-SQL["op7_sharding"] = f"""
-WITH RECURSIVE d AS (SELECT row_number() OVER () AS i, doc_id, strlen(coalesce(text, '')) + 1 AS size FROM documents),
-{_JUMP.format(n=8)},
-{_JUMP.format(n=9)}
-SELECT doc_id, CAST(size AS BIGINT) AS size, 'key' AS law, s8.s AS shard,
-       row_number() OVER (PARTITION BY s8.s ORDER BY doc_id) - 1 AS slot, s9.s AS grown_shard
-FROM d JOIN s8 USING (i) JOIN s9 USING (i)
+SQL["op10_mixing"] = f"""
+WITH d AS (
+  SELECT doc_id, source, len({_WORDS.format(_TEXT)}) AS size,
+         -ln((('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13))::BIGINT::DOUBLE + 1) / 4503599627370497.0::DOUBLE)
+         / greatest(CASE WHEN length({_TEXT}) > 0 THEN length(translate(text, '0123456789#*$%&|<>{{}}[]=_~^\', ''))::DOUBLE
+                              / length(text)::DOUBLE ELSE 0 END, 0.01::DOUBLE) AS k
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM d GROUP BY source),
+weighed AS (
+  SELECT *, CAST((place - 1) % 3 + 1 AS BIGINT) AS w, (3 * s)::DOUBLE / ((place - 1) % 3 + 1)::DOUBLE AS ratio FROM sources),
+steps AS (
+  SELECT *, ((sum(s) OVER () - coalesce(sum(3 * s) OVER o, 0)) * 1000)::DOUBLE
+            / ((sum(w) OVER () - coalesce(sum(w) OVER o, 0)) * 1000)::DOUBLE AS level
+  FROM weighed WINDOW o AS (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT source, s, least((3 * s)::DOUBLE, w::DOUBLE * (SELECT arg_min(level, (ratio, place)) FROM steps WHERE level <= ratio)) AS target
+  FROM steps),
+e AS (
+  SELECT d.*, t.s, t.target, CASE WHEN t.s > 0 THEN floor(t.target / t.s::DOUBLE) ELSE 0 END AS epochs,
+         sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, s AS source_size, target,
+       CAST(size * epochs + greatest(0, least(size, floor(target - epochs * s + 0.5::DOUBLE) - (upto - size))) AS BIGINT) AS taken
+FROM e
 """
-del SQL["op7_sharding"]  # DuckDB has no crc32

@@ -351,4 +351,4 @@ def test_mixture_meets_its_targets_and_repeats(documents, odd_rows):
     for x in first:
         assert 0 <= x.taken <= 3 * x.size
         taken.setdefault(x.source, [x.target, 0])[1] += x.taken
-    assert all(abs(t - got) <= 40 for t, got in taken.values())
+    assert all(abs(t - got) <= 1 for t, got in taken.values())
