@@ -10,6 +10,7 @@ most one row per chunk.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_STAGED: dict[str, list[str]] = {}
 
 CHUNK = "_chunk"
 PLACE_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition in the low 33 bits
@@ -32,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.match(r"local(\[|$)", context.master):  # not local-cluster, whose executors are processes of their own
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     if context.applicationId not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -48,9 +50,19 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete all tables staged so far in this application; call it when the results built on them are written."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
 def number_copies(scan: DataFrame, out: str) -> DataFrame:
     """Give exact copies a column to be told apart by, the last part of a total order.
 

@@ -77,3 +77,12 @@ def test_shared_folder_is_the_configured_one():
     assert scale.shared_folder(session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
     with pytest.raises(RuntimeError):
         scale.shared_folder(session("yarn", None))
+
+
+def test_staged_tables_can_be_released(spark):
+    import os
+
+    df = scale.stage(spark.range(3), "gone")
+    path = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(path) and scale.release(spark) >= 1 and not os.path.exists(path)
+    assert scale.release(spark) == 0
