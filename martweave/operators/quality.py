@@ -334,25 +334,18 @@ def check_panels(panels: dict[str, DataFrame], start: str) -> DataFrame:
 
     Panels are reduced to one-row sums first and meet in a union.
     """
-    def one(df: DataFrame, **cols: Column) -> DataFrame:
-        return df.agg(*[c.alias(n) for n, c in cols.items()])
-
-    def money(c: str) -> Column:
-        return F.sum(c).cast("decimal(38,6)")
+    def sums(panel: str, **measures: Column) -> DataFrame:
+        """(name, value) rows of one panel, from one pass over it."""
+        row = panels[panel].agg(*[c.cast("decimal(38,6)").alias(n) for n, c in measures.items()])
+        return row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in measures])))
 
+    early = F.count_if(F.col("time") < F.lit(start).cast("date"))
     facts = [
-        one(panels["sales"], name=F.lit("sales"), value=money("value")),
-        one(panels["orders"], name=F.lit("orders"), value=money("value")),
-        one(panels["aov"], name=F.lit("aov"), value=money("value")),
-        one(panels["trend"], name=F.lit("trend_sum"), value=money("sales_amount")),
-        one(panels["category"], name=F.lit("category_sum"), value=money("sales_amount")),
-        one(panels["territory"], name=F.lit("territory_sum"), value=money("sales_amount")),
-        one(panels["trend"], name=F.lit("early_points"),
-            value=F.count_if(F.col("time") < F.lit(start).cast("date")).cast("decimal(38,6)")),
+        sums("sales", sales=F.sum("value")), sums("orders", orders=F.sum("value")), sums("aov", aov=F.sum("value")),
+        sums("trend", trend_sum=F.sum("sales_amount"), early_points=early),
+        sums("category", category_sum=F.sum("sales_amount")), sums("territory", territory_sum=F.sum("sales_amount")),
+        sums("quality", **{f"quality_{c}": F.sum(c) for c in ("order_count", "line_net_amount", "source_line_total")}),
     ]
-    quality = panels["quality"]
-    for column in ("order_count", "line_net_amount", "source_line_total"):
-        facts.append(one(quality, name=F.lit(f"quality_{column}"), value=money(column)))
     values = facts[0]
     for part in facts[1:]:
         values = values.unionByName(part)
