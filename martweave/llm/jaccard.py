@@ -261,11 +261,11 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
     def compare(keys, sizes, lead, label, blobs):
         sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in blobs]
         width = np.uint64((1 << int(32 * sizes.max()).bit_length()) - 1)
-        marks = np.zeros((len(sets), int(width) + 1), np.uint8)
-        for row, grams in zip(marks, sets):
-            row[(grams & width).astype(np.int64)] = 1
-        bits = np.packbits(marks, axis=1).view(np.uint64)
-        del marks
+        bits = np.empty((len(sets), (int(width) + 1) // 64), np.uint64)
+        for row, grams in zip(bits, sets):
+            marks = np.zeros(int(width) + 1, np.uint8)
+            marks[(grams & width).astype(np.int64)] = 1
+            row[:] = np.packbits(marks).view(np.uint64)
         left, right = [], []
         for i, at, group in _leads(lead, label):
             for j in _possible(i, bits, sizes, at, percent):
