@@ -339,14 +339,14 @@ def nearest_parent(nodes: DataFrame) -> DataFrame:
 def complete_groups(members: DataFrame, visible: DataFrame) -> DataFrame:
     """Members of groups that have both sides and no hidden or unresolved member.
 
-    members(group_id, side, dataset, field), visible(dataset, field). The anti join
-    is on the group: one hidden member removes the whole group.
+    members(group_id, side, dataset, field), visible(dataset, field). One hidden member
+    removes the whole group.
     """
-    broken = members.join(visible, ["dataset", "field"], "left_anti").select("group_id").distinct()
-    sides = members.groupBy("group_id").agg(
-        F.bool_or(F.col("side") == "upstream").alias("u"), F.bool_or(F.col("side") == "downstream").alias("d"))
-    whole = sides.filter("u AND d").select("group_id").join(broken, "group_id", "left_anti")
-    return members.join(whole, "group_id", "left_semi")
+    known = visible.select("dataset", "field").distinct().withColumn("_seen", F.lit(True))
+    whole = members.join(known, ["dataset", "field"], "left").groupBy("group_id").agg(
+        F.bool_or(F.col("side") == "upstream").alias("u"), F.bool_or(F.col("side") == "downstream").alias("d"),
+        F.bool_and(F.coalesce("_seen", F.lit(False))).alias("all_seen"))
+    return members.join(whole.filter("u AND d AND all_seen").select("group_id"), "group_id", "left_semi")
 
 
 def column_lineage(members: DataFrame, visible: DataFrame, dataset: str, field: str, direction: str) -> DataFrame:

@@ -34,7 +34,7 @@ def test_query_equals_sql(spark, duck, name):
     df = fn(spark, ROOT)
     plan = physical(df)
     assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan or name == "plan_theta_join"
+    assert "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan
     columns, got = rows_of(df.toArrow())
     if sql is None:
