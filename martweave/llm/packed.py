@@ -42,9 +42,13 @@ def part_count(spark: SparkSession, share: int = 4) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // share)
 
 
-def pack(parts: int, keys: np.ndarray, owner: np.ndarray, places: np.ndarray, k: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
-    """One row per part; ``owner`` is the index of each key's document in ``k`` and ``tag``, ascending."""
-    part = (mix(keys.copy()) >> np.uint64(40)) % np.uint64(parts)
+def pack(parts: int, keys: np.ndarray, owner: np.ndarray, places: np.ndarray, k: np.ndarray, tag: np.ndarray,
+         route: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row per part; ``owner`` is the index of each key's document in ``k`` and ``tag``, ascending.
+
+    Keys go where ``route`` says (by default the key itself); keys of one route keep their order.
+    """
+    part = (mix((keys if route is None else route).copy()) >> np.uint64(40)) % np.uint64(parts)
     order = np.argsort(part, kind="stable")
     keys, owner, places, part = keys[order], owner[order], places[order], part[order]
     bounds = np.searchsorted(part, np.arange(parts + 1))

@@ -287,6 +287,16 @@ def test_scores_equal_plain_counts(documents, odd_rows):
     assert len(odd) == len(odd_rows) and len({r.log_score for r in odd if r.doc_id == 1}) == 1
 
 
+@pytest.mark.parametrize("bits", [1, 4, 8])
+def test_rare_words_keep_their_own_counts(documents, bits):
+    rows = [*texts(5), (900, "junk1 junk2 " * 6 + "once w1"), (901, "junk1 w1 once2 junk2"), (902, "Once3"), (903, "w1 w1 w2 junk1 junk2 junk2")]
+    got = {r.doc_id: r for r in scoring.score(documents(rows), bits).collect()}
+    assert len(got) == len(rows)
+    for d, (n, mean) in brute.stupid_backoff(rows).items():
+        assert got[d].n_words == n and (got[d].log_score is None if mean is None else abs(got[d].log_score - mean) < 1e-5)
+    assert got[902].backed_off == 1.0 and 0 < got[900].backed_off < 0.5
+
+
 # --- 9 decontamination ------------------------------------------------------------------------
 
 
