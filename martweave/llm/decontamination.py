@@ -9,8 +9,9 @@ anywhere in the document, reordered passages are covered too. A document is cont
 by an item when the coverage is at least ``threshold``.
 
 Items shorter than ``min_match`` tokens match only as a whole. The benchmark is the
-stated query set: it is read in blocks of at most ``block_tokens`` tokens, and every block
-is compared with all documents in one pass, so what tasks hold is bounded whatever the
+stated query set: it is read in blocks of at most ``block_tokens`` tokens. A task compares
+about ``HELD_BYTES`` of documents with one block after the other and adds up what it finds,
+so every row of the input gives one row, and what tasks hold is bounded whatever the
 benchmark's size.
 
 A null or empty text has no tokens and matches nothing; an empty item is never covered.
@@ -33,6 +34,7 @@ from martweave.llm.words import LOWER, cut, column_bytes, text_slices, windows
 MIN_MATCH = 5
 THRESHOLD = 0.5
 BLOCK_TOKENS = 2_000_000
+HELD_BYTES = 64 << 20
 SEARCH_LENGTH = 64
 
 SEPARATOR = np.ones(256, bool)
@@ -186,15 +188,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
     (item_id, in item, in document, length).
     """
     spark = docs.sparkSession
-    out = None
-    for names, texts in benchmark_blocks(benchmark, block_tokens):
-        part = _against(docs, spark.sparkContext.broadcast((names, texts)), min_match, threshold, keep)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    sent = [spark.sparkContext.broadcast(block) for block in benchmark_blocks(benchmark, block_tokens)]
+    if not sent:
         return docs.select(*keep, F.lit(0).cast("long").alias("n_items"), F.array().cast("array<bigint>").alias("items"),
                            F.lit(0.0).alias("coverage"), F.lit(None).cast("long").alias("best_item"),
                            F.array().cast(SPANS).alias("spans"))
-    return out
+    return _against(docs, sent, min_match, threshold, keep)
 
 
 SPANS = "array<struct<item_id:bigint,in_item:int,in_document:int,length:int>>"
@@ -204,23 +203,28 @@ def _against(docs, sent, min_match, threshold, keep) -> DataFrame:
     at = keep.index("text") if "text" in keep else len(keep)
     source = docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("_text")]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(*sent.value, min_match)
-        for batch in batches:
-            found = [(0, [], 0.0, None, [])] * batch.num_rows
-            for s in text_slices(batch.column(at), LOWER, SEPARATOR):
-                hashes = s.hashes()
-                best: dict[int, list] = defaultdict(list)
-                for row, item in block.shared(hashes, s.rows):
-                    tokens = block.items[item]
-                    marked, tiles = coverage(hashes[s.rows[row]: s.rows[row + 1]], tokens, min_match)
-                    best[row].append((marked / len(tokens), block.names[item], tiles))
-                for row, hits in best.items():
-                    top = max(hits, key=lambda h: h[0])
-                    bad = [h for h in hits if h[0] >= threshold]
-                    found[s.first_row + row] = (
-                        len(bad), [h[1] for h in bad], top[0], top[1],
-                        [{"item_id": h[1], "in_item": p, "in_document": t, "length": n} for h in bad for p, t, n in h[2]])
+    def look(block: _Block, batch: pa.RecordBatch, found: list) -> None:
+        for s in text_slices(batch.column(at), LOWER, SEPARATOR):
+            hashes = s.hashes()
+            best: dict[int, list] = defaultdict(list)
+            for row, item in block.shared(hashes, s.rows):
+                tokens = block.items[item]
+                marked, tiles = coverage(hashes[s.rows[row]: s.rows[row + 1]], tokens, min_match)
+                best[row].append((marked / len(tokens), block.names[item], tiles))
+            for row, hits in best.items():
+                top = max(hits, key=lambda h: h[0])
+                bad = [h for h in hits if h[0] >= threshold]
+                n, items, most, name, spans = found[s.first_row + row]
+                found[s.first_row + row] = (
+                    n + len(bad), items + [h[1] for h in bad], *(top[:2] if top[0] > most else (most, name)),
+                    spans + [{"item_id": h[1], "in_item": p, "in_document": t, "length": n} for h in bad for p, t, n in h[2]])
+
+    def judge(held: list[pa.RecordBatch], blocks: Iterator[_Block]) -> Iterator[pa.RecordBatch]:
+        rows = [[(0, [], 0.0, None, [])] * batch.num_rows for batch in held]
+        for block in blocks:
+            for batch, found in zip(held, rows):
+                look(block, batch, found)
+        for batch, found in zip(held, rows):
             columns = list(zip(*found)) if found else [[]] * 5
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.int64(),
                      pa.list_(pa.struct([("item_id", pa.int64()), ("in_item", pa.int32()), ("in_document", pa.int32()), ("length", pa.int32())]))]
@@ -228,6 +232,28 @@ def _against(docs, sent, min_match, threshold, keep) -> DataFrame:
                 [*batch.columns[: len(keep)], *[pa.array(list(c), k) for c, k in zip(columns, kinds)]],
                 names=[*keep, "n_items", "items", "coverage", "best_item", "spans"])
 
+    def opened() -> Iterator[_Block]:
+        for one in sent:
+            yield _Block(*one.value, min_match)
+            if getattr(one, "_path", None):
+                one.__dict__.pop("_value", None)  # read again from its file when the next documents need it
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if len(sent) == 1:
+            block = _Block(*sent[0].value, min_match)
+            for batch in batches:
+                yield from judge([batch], iter([block]))
+            return
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= HELD_BYTES:
+                yield from judge(held, opened())
+                held, size = [], 0
+        if held:
+            yield from judge(held, opened())
+
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return source.mapInArrow(
         run, f"{schema}, n_items long, items array<long>, coverage double, best_item long, spans {SPANS}")

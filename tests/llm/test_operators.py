@@ -313,6 +313,20 @@ def test_tiles_cover_reordered_passages(documents, spark):
     assert not any(r.contaminated for r in decontamination.contaminated(documents(rows), bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("held", [1, 1 << 20])
+def test_blocks_give_one_row_per_row(documents, spark, monkeypatch, held):
+    monkeypatch.setattr(decontamination, "HELD_BYTES", held)
+    item = [f"t{i}" for i in range(30)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "only three words"), (3, " ".join(item[:20])), (4, "unrelated text of some more words here")], "item_id long, text string")
+    rows = [(1, "pre " + " ".join(item) + " post"), (1, "again clean"), (2, "clean"), (2, "clean"), (3, None), (None, "Only three words"), (4, " ".join(item[:9]))]
+    one = decontamination.find_overlaps(documents(rows), bench).collect()
+    many = decontamination.find_overlaps(documents(rows), bench, block_tokens=5).collect()
+    assert len(many) == len(rows) and sorted(map(repr, many)) == sorted(map(repr, one))
+    judged = decontamination.contaminated(documents(rows), bench, block_tokens=5).collect()
+    assert sorted((str(r.doc_id), r.n_items, r.contaminated) for r in judged) == [
+        ("1", 0, False), ("1", 2, True), ("2", 0, False), ("2", 0, False), ("3", 0, False), ("4", 0, False), ("None", 1, True)]
+
+
 def test_tiling_is_greedy_and_without_overlap():
     import numpy as np
 

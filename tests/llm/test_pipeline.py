@@ -51,3 +51,16 @@ def test_run_and_empty_tables(spark, root, tmp_path):
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{root}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_passages_go_whatever_the_blocks(spark, documents, tmp_path, monkeypatch):
+    from functools import partial
+
+    from martweave.llm import decontamination
+
+    monkeypatch.setattr(decontamination, "find_overlaps", partial(decontamination.find_overlaps, block_tokens=5))
+    items = [(i, " ".join(f"b{i}x{j}" for j in range(12))) for i in range(3)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents([(1, "pre " + items[1][1]), (2, "clean text"), (3, items[2][1]), (4, "clean text"), (2, "clean text")])
+    kept = corpus_pipeline.benchmark_passages(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 2, 4]
