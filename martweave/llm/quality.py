@@ -1,17 +1,23 @@
 """Quality rules with risk-controlled thresholds.
 
 ``text_metrics`` measures every whole text. A rule rejects a document whose metric is
-above the rule's cutoff. Labelled documents are split by a hash of their id. One half
-proposes cutoffs in ``LEVELS`` of growing strictness, as high quantiles of each metric
-among its good documents. The other half, the holdout, tests them: in every stratum (by
+above the rule's cutoff. Labelled documents are split by a hash of their id. One part in
+``PARTS`` proposes cutoffs of growing strictness: first beyond the highest value among its
+good documents, by ``MARGINS`` of the distance from the median to it, then as the high
+quantiles in ``LEVELS``. The other parts, the holdout, test them: in every stratum (by
 default a language) the levels are tried from the laxest on, and one is certified when
 the exact (Clopper-Pearson) upper bound on the share of good documents that all rules
 together reject is at most ``risk``. The first failure ends the sequence, which needs no
 correction over levels (fixed-sequence testing); over strata the error rate ``error`` is
 divided (Bonferroni). Of the certified levels, the one that rejects most bad documents net
-of good ones in the proposal half is taken. So with probability ``1 - error`` no stratum loses more than
-``risk`` of its good documents. A stratum with too few labels gets no cutoffs and rejects
-nothing.
+of good ones in the proposal part is taken.
+
+Strata whose holdout has too few good documents to certify anything, even if none of them
+were rejected, are put together and propose and test as one. Only sizes decide this, not
+metrics. So with probability ``1 - error`` no stratum that is tested by itself, and not the
+others as a whole, loses more than ``risk`` of its good documents; a single one of those
+put together may lose more. If they are too few even together, or a stratum has no good
+label in the proposal part or the holdout, it gets no cutoffs and rejects nothing.
 
 A null text has no words and metrics of 0. Null labels, and labels of unknown documents,
 are not used; a document labelled twice counts once, as its lowest label. A null stratum
@@ -36,6 +42,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
 RISK, ERROR = 0.01, 0.05
+PARTS = 4
+MARGINS = (4.0, 2.0, 1.0, 0.5, 0.25)
 LEVELS = (0.0, 0.0002, 0.0005, 0.001, 0.002, 0.003, 0.004, 0.005)  # share of good documents, over all rules
 BROADCAST_ROWS = 10_000
 
@@ -152,44 +160,67 @@ def upper_bound(rejected: int, tested: int, error: float) -> float:
 
 
 def fit_thresholds(metrics: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(stratum, level, tested, rejected, bound, one cutoff per rule): one row per stratum with a certified level."""
+    """(stratum, pooled, level, tested, rejected, bound, one cutoff per rule): one row per stratum with a certified level.
+
+    ``level`` counts MARGINS and then LEVELS; of a pooled stratum, the figures are those of the pool.
+    """
     names = rule_metrics()
     judged = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labelled = stage(metrics.filter(~base_failed()).join(judged, "doc_id").select(
         F.col(stratum).alias("stratum"), (F.col("quality") >= 1).alias("good"),
-        (F.xxhash64(F.lit("holdout"), "doc_id") % 2 == 0).alias("holdout"), *[c.alias(n) for n, c in names.items()]), "quality-labelled")
-    # Level 0 is the highest value seen; level l leaves an equal share of LEVELS[l] to every rule.
+        (F.xxhash64(F.lit("holdout"), "doc_id") % PARTS != 0).alias("holdout"), *[c.alias(n) for n, c in names.items()]), "quality-labelled")
+    sizes = labelled.filter("good").groupBy("stratum").agg(
+        F.count_if("holdout").alias("n"), F.count_if(~F.col("holdout")).alias("proposing")).filter("n > 0 AND proposing > 0")
+    sizes = stage(sizes.select(F.col("stratum").alias("_s"), "n"), "quality-sizes")
+    strata = max(1, sizes.count())
+    # Pooling leaves no more groups than strata, so this share of the error holds for both.
+    each = error / strata
+    least = math.log(each) / math.log1p(-risk)
+    pooled = F.col("n") < least
+    # A pool keeps no name of a stratum: null strata and the pool are told apart by ``pooled``.
+    member = sizes.select("_s", pooled.alias("pooled"), F.when(~pooled, F.col("_s")).alias("group"))
+    member = stage(member, "quality-members")
+    small = F.broadcast(member) if strata <= BROADCAST_ROWS else member
+    grouped = stage(labelled.join(small, F.col("stratum").eqNullSafe(F.col("_s"))).drop("_s", "stratum"), "quality-grouped")
+    both = ["pooled", "group"]
+    # Level l of LEVELS leaves an equal share of it to every rule.
     shares = [1 - level / len(names) for level in LEVELS[1:]]
-    proposed = labelled.filter("good AND NOT holdout").groupBy("stratum").agg(*[
-        F.concat(F.array(F.max(n)), F.percentile_approx(n, shares, 100_000)).alias(f"_{n}") for n in names])
-    proposed = stage(proposed.withColumnRenamed("stratum", "_stratum"), "quality-proposed")
-    strata = max(1, proposed.count())
+    far = lambda n: [F.max(n) + m * (F.max(n) - F.percentile_approx(n, 0.5, 100_000)) for m in MARGINS]
+    proposed = grouped.filter("good AND NOT holdout").groupBy(*both).agg(*[
+        F.concat(F.array(*far(n), F.max(n)), F.percentile_approx(n, shares, 100_000)).alias(f"_{n}") for n in names])
+    proposed = stage(proposed.withColumnsRenamed({"group": "_group", "pooled": "_pooled"}), "quality-proposed")
+    steps_in = len(MARGINS) + len(LEVELS)
+    same = lambda g, p: F.col("group").eqNullSafe(F.col(g)) & (F.col("pooled") == F.col(p))
     if strata <= BROADCAST_ROWS:
         proposed = F.broadcast(proposed)
     # Cutoffs fall from level to level, so a document is rejected from some level on.
     first = F.least(*[F.size(F.filter(F.col(f"_{n}"), lambda c: c >= F.col(n))) for n in names])
-    placed = labelled.join(proposed, F.col("stratum").eqNullSafe(F.col("_stratum"))).withColumn("first", first)
-    sums = [F.count_if(F.expr("good AND holdout")).alias("tested")]
-    for level in range(len(LEVELS)):
+    placed = grouped.join(proposed, same("_group", "_pooled")).withColumn("first", first).groupBy(
+        *both, "first", "good", "holdout").agg(F.count(F.lit(1)).alias("rows"))
+    rows = lambda rule: F.coalesce(F.sum(F.when(rule, F.col("rows"))), F.lit(0).cast("long"))
+    sums = [rows(F.expr("good AND holdout")).alias("tested")]
+    for level in range(steps_in):
         over = F.col("first") <= level
-        sums += [F.count_if(F.expr("good AND holdout") & over).alias(f"_n{level}"),
-                 (F.count_if(F.expr("NOT good AND NOT holdout") & over) - F.count_if(F.expr("good AND NOT holdout") & over)).alias(f"_g{level}")]
-    counts = placed.groupBy("stratum").agg(*sums)
-    each = error / strata
+        sums += [rows(F.expr("good AND holdout") & over).alias(f"_n{level}"),
+                 (rows(F.expr("NOT good AND NOT holdout") & over) - rows(F.expr("good AND NOT holdout") & over)).alias(f"_g{level}")]
+    counts = placed.groupBy(*both).agg(*sums)
 
     @F.pandas_udf("double")
     def bound(rejected: pd.Series, tested: pd.Series) -> pd.Series:
         return pd.Series([upper_bound(int(k), int(n), each) for k, n in zip(rejected, tested)], dtype="float64")
 
-    levels = F.array(*[F.struct(F.col(f"_n{level}").alias("rejected"), F.col(f"_g{level}").alias("gain")) for level in range(len(LEVELS))])
-    steps = counts.select("stratum", "tested", F.posexplode(levels).alias("level", "l")).select("stratum", "tested", "level", "l.*")
+    levels = F.array(*[F.struct(F.col(f"_n{level}").alias("rejected"), F.col(f"_g{level}").alias("gain")) for level in range(steps_in)])
+    steps = counts.select(*both, "tested", F.posexplode(levels).alias("level", "l")).select(*both, "tested", "level", "l.*")
     tried = steps.withColumn("bound", bound("rejected", "tested"))
-    failed = tried.groupBy("stratum").agg(F.coalesce(F.min(F.when(F.col("bound") > risk, F.col("level"))), F.lit(len(LEVELS))).alias("failed"))
-    passed = tried.join(failed.withColumnRenamed("stratum", "_f"), F.col("stratum").eqNullSafe(F.col("_f"))).filter("level < failed")
-    best = passed.groupBy("stratum").agg(F.max_by(F.struct("level", "tested", "rejected", "bound"), F.struct(F.col("gain"), -F.col("level"))).alias("_at"))
-    return stage(best.join(proposed, F.col("stratum").eqNullSafe(F.col("_stratum"))).select(
-        "stratum", "_at.level", "_at.tested", "_at.rejected", "_at.bound",
-        *[F.element_at(F.col(f"_{n}"), F.col("_at.level") + 1).alias(n) for n in names]), "quality-cutoffs")
+    failed = tried.groupBy(*both).agg(F.coalesce(F.min(F.when(F.col("bound") > risk, F.col("level"))), F.lit(steps_in)).alias("failed"))
+    passed = tried.join(failed.withColumnsRenamed({"group": "_f", "pooled": "_p"}), same("_f", "_p")).filter("level < failed")
+    best = passed.groupBy(*both).agg(F.max_by(F.struct("level", "tested", "rejected", "bound"), F.struct(F.col("gain"), -F.col("level"))).alias("_at"))
+    cutoffs = best.join(proposed, same("_group", "_pooled")).select(
+        *both, "_at.level", "_at.tested", "_at.rejected", "_at.bound",
+        *[F.element_at(F.col(f"_{n}"), F.col("_at.level") + 1).alias(n) for n in names])
+    of = member.withColumnsRenamed({"group": "_g", "pooled": "_p"})
+    return stage(of.join(cutoffs, same("_g", "_p")).select(
+        F.col("_s").alias("stratum"), "pooled", "level", "tested", "rejected", "bound", *names), "quality-cutoffs")
 
 
 def judge(metrics: DataFrame, thresholds: DataFrame, stratum: str) -> DataFrame:

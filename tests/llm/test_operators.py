@@ -218,6 +218,23 @@ def test_thresholds_reject_junk_and_keep_good(documents, spark):
     assert all(x.kept for x in quality.apply_rules(docs, labels.limit(0)).collect() if not x.base_failed)
 
 
+def test_strata_with_few_labels_are_tested_together(documents, spark):
+    r = random.Random(14)
+    rows = [(i, " ".join(r.choice(["word", "other", "third", "and"]) + str(r.randrange(99)) for _ in range(60))) for i in range(1600)]
+    rows = [(i, t.replace(" ", " ### ") if i % 10 == 0 else t) for i, t in rows]
+    labels = spark.createDataFrame([(i, int(i % 10 != 0), 0) for i in range(1600)], "doc_id long, quality int, toxic int")
+    docs = documents(rows).withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 4).cast("string")))
+    cutoffs = quality.fit_thresholds(quality.text_metrics(docs, ("doc_id", "lang")), labels, "lang").collect()
+    assert sorted(c.stratum for c in cutoffs) == ["l0", "l1", "l2", "l3"] and all(c.pooled and c.bound <= 0.01 for c in cutoffs)
+    got = {x.doc_id: x.kept for x in quality.apply_rules(docs, labels).collect()}
+    good = [i for i in range(1600) if i % 10]
+    assert not any(got[i] for i in range(0, 1600, 10)) and sum(not got[i] for i in good) <= 0.01 * len(good)
+    # A stratum without labels is not judged by the others' cutoffs.
+    other = docs.withColumn("lang", F.when(F.col("doc_id") < 1200, F.col("lang")).otherwise(F.lit("new")))
+    got = quality.apply_rules(other, labels.filter("doc_id < 1200"), keep=("doc_id", "lang")).collect()
+    assert all(x.kept for x in got if x.lang == "new" and not x.base_failed)
+
+
 # --- 5 privacy --------------------------------------------------------------------------------
 
 
