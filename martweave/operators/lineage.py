@@ -362,15 +362,15 @@ def lineage_evidence(edges: DataFrame, approved: DataFrame) -> DataFrame:
     """Usable reported field edges, and a row with reason for every omitted one.
 
     edges(edge_id, upstream_type, downstream_type, upstreams, downstreams, confidence,
-    transform), approved(field). At most 16 distinct upstreams, exactly one downstream.
+    transform), approved(field). One or more distinct upstreams, exactly one downstream.
     """
     ups, downs = F.col("upstreams"), F.col("downstreams")
     well_formed = (
         (F.col("upstream_type") == "FIELD_SET") & (F.col("downstream_type") == "FIELD")
-        & F.size(ups).between(1, 16) & (F.size(downs) == 1) & (F.size(F.array_distinct(ups)) == F.size(ups))
+        & (F.size(ups) >= 1) & (F.size(downs) == 1) & (F.size(F.array_distinct(ups)) == F.size(ups))
     )
     shaped = edges.withColumn("ok", F.coalesce(well_formed, F.lit(False)))
-    # Only well-formed edges are opened, so at most 17 rows per edge.
+    # Only well-formed edges are opened.
     ends = shaped.filter("ok").select("edge_id", F.explode(F.concat(ups, downs)).alias("field"))
     hidden = ends.join(approved.select("field").distinct(), "field", "left_anti").select("edge_id").distinct().withColumn(
         "hidden", F.lit(True))

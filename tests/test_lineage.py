@@ -219,3 +219,13 @@ def test_binding_of_identifiers(spark, identifier, status):
                                     "urn string, removed boolean, field_count int")
     row = L.bind_tables(refs, scopes, allowed, catalog).first()
     assert (row["reason"] or row["status"]) == status
+
+
+def test_wide_edges_keep_their_evidence(spark):
+    wide = [f"f{i}" for i in range(40)]
+    edges = spark.createDataFrame(
+        [(1, "FIELD_SET", "FIELD", wide, ["d"], 1.0, "T"), (2, "FIELD_SET", "FIELD", [], ["d"], 1.0, "T"), (3, "FIELD_SET", "FIELD", ["f1", "f1"], ["d"], 1.0, "T")],
+        "edge_id long, upstream_type string, downstream_type string, upstreams array<string>, downstreams array<string>, confidence double, transform string")
+    approved = spark.createDataFrame([(f,) for f in [*wide, "d"]], "field string")
+    got = {r.edge_id: r.omitted for r in L.lineage_evidence(edges, approved).collect()}
+    assert got[1] is None and got[2] == got[3] == "shape_unsupported"
