@@ -75,3 +75,45 @@ SELECT doc_id, size, s AS source_size, target,
        CAST(size * epochs + greatest(0, least(size, floor(target - epochs * s + 0.5::DOUBLE) - (upto - size))) AS BIGINT) AS taken
 FROM e
 """
+
+
+def _vector_codes(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """Lloyd rounds written out one after the other; ``d`` is the length of a part."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT row, part, any_value(v) AS v, any_value(d) AS d, min(struct_pack(dist := dist, entry := entry)) AS best
+  FROM (SELECT p.row, p.part, p.v, p.d, c.entry,
+               CAST(list_sum([(p.v[i] - c.v[i]) * (p.v[i] - c.v[i]) FOR i IN range(1, p.d + 1)]) AS BIGINT) AS dist
+        FROM pieces p JOIN c{r} c ON c.part = p.part) GROUP BY row, part)""")
+        if r < rounds:
+            steps.append(f"""
+u{r} AS (
+  SELECT part, entry, place, sum(x) AS s, count(*) AS n
+  FROM (SELECT part, best.entry AS entry, unnest(range(1, d + 1)) AS place, unnest(v) AS x FROM a{r}) GROUP BY part, entry, place),
+m{r} AS (
+  SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS v FROM u{r} GROUP BY part, entry),
+c{r + 1} AS MATERIALIZED (
+  SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON m.part = c.part AND m.entry = c.entry)""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS row, vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+pieces AS MATERIALIZED (
+  SELECT row, vec_id, label, part, len(v) // {parts} AS d, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS v
+  FROM (SELECT *, unnest(range({parts})) AS part FROM kept)),
+first AS (SELECT row, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS entry FROM kept),
+c0 AS MATERIALIZED (SELECT part, entry, v FROM pieces JOIN first USING (row) WHERE entry < {entries}),
+{",".join(steps)},
+codes AS (
+  SELECT row, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.dist) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY row),
+books AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN codes USING (row), books
+"""
+
+
+SQL["op13_vector_codes"] = _vector_codes()
