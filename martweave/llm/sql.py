@@ -117,3 +117,20 @@ FROM kept JOIN codes USING (row), books
 
 
 SQL["op13_vector_codes"] = _vector_codes()
+
+_TERMS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(_LOWERED)
+
+SQL["op12_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS ws FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS ws FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)),
+q AS (SELECT item, t, count(*) AS c FROM (SELECT item, unnest(ws) AS t FROM i) GROUP BY ALL),
+s AS (SELECT count(*) AS n, sum(len(ws)) AS l FROM d WHERE len(ws) > 0),
+tf AS (SELECT row, t, count(*) AS tf FROM (SELECT row, unnest(ws) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY t),
+m AS (SELECT row, doc_id, 100 - 25 + ((25 * len(ws) * n) // l) AS m FROM d, s WHERE len(ws) > 0),
+score AS (
+  SELECT item, row, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM tf JOIN q USING (t) JOIN w USING (t) JOIN m USING (row) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, row) AS rank FROM score WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN i USING (item) WHERE rank <= 20
+"""
