@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martweave.functions.scale import new_path, stage
-from martweave.llm import decontamination, jaccard, mixing, privacy, quality, ranking, scoring, sharding, substrings, tokens, vectors, warc
+from martweave.llm import decontamination, jaccard, licenses, mixing, privacy, quality, ranking, scoring, sharding, substrings, tokens, vectors, warc
 from martweave.llm.sql import SQL
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -77,6 +77,10 @@ def op10_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_license_scan(spark: SparkSession, root: str) -> DataFrame:
+    return licenses.scan(table(spark, root, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, root: str) -> DataFrame:
     return ranking.search(table(spark, root, "documents"), table(spark, root, "benchmark"))
 
@@ -85,5 +89,5 @@ def op13_vector_codes(spark: SparkSession, root: str) -> DataFrame:
     return vectors.compress(table(spark, root, "embeddings")).drop("label")
 
 
-FUNCTIONS = [op1_token_counts, op2_warc, op3_jaccard_join, op4_quality_rules, op5_privacy, op6_substring_dedup, op7_sharding, op8_lm_scoring, op9_decontamination, op10_mixing, op12_ranked_search, op13_vector_codes]
+FUNCTIONS = [op1_token_counts, op2_warc, op3_jaccard_join, op4_quality_rules, op5_privacy, op6_substring_dedup, op7_sharding, op8_lm_scoring, op9_decontamination, op10_mixing, op11_license_scan, op12_ranked_search, op13_vector_codes]
 QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in FUNCTIONS}

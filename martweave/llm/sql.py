@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from martweave.llm import licenses
+
 SQL: dict[str, str] = {}
 
 SQL["op2_warc"] = """
@@ -134,3 +136,43 @@ score AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, row) AS rank FROM score WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN i USING (item) WHERE rank <= 20
 """
+
+
+def _licences() -> str:
+    listed = lambda rows: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    words = [(t, label, i, w) for t, (label, own, _) in enumerate(licenses.NOTICES) for i, w in enumerate(own)]
+    keys = [(t, i, len(k)) for t, (_, _, k) in enumerate(licenses.NOTICES) for i in k]
+    phrases = [(label, i, w, len(licenses.cut(p))) for p, label in licenses.BASE.items() for i, w in enumerate(licenses.cut(p))]
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS MATERIALIZED (SELECT row, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM d),
+t(template, label, place, w) AS (VALUES {listed(words)}),
+k(template, place, n_keys) AS (VALUES {listed(keys)}),
+p(label, place, w, n_keys) AS (VALUES {listed(phrases)}),
+base AS (
+  SELECT row, label, pos - place AS begins FROM w JOIN p USING (w) GROUP BY row, label, pos - place HAVING count(*) = any_value(n_keys)),
+df AS (SELECT t.w, count(DISTINCT row) AS df FROM (SELECT DISTINCT w FROM t) t LEFT JOIN w ON w.w = t.w GROUP BY t.w),
+v AS (SELECT w, 1 + CAST(floor(1000 * ln(CAST(2 * (SELECT count(*) FROM d) + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight FROM df),
+rare AS (
+  SELECT * FROM t JOIN v USING (w) QUALIFY row_number() OVER (PARTITION BY template ORDER BY weight DESC, place) <= {licenses.RARE}),
+whole AS (SELECT template, sum(weight) AS whole FROM rare GROUP BY template),
+likely AS (
+  SELECT row, template, pos - place AS begins, sum(weight) AS got FROM w JOIN rare USING (w) WHERE pos >= place GROUP BY row, template, pos - place),
+met AS (
+  SELECT row, l.template, begins, any_value(got) AS got, any_value(whole) AS whole, any_value(t.label) AS label
+  FROM likely l JOIN whole USING (template) JOIN k ON k.template = l.template
+  JOIN t ON t.template = k.template AND t.place = k.place JOIN w USING (row) WHERE w.pos = begins + k.place AND w.w = t.w
+  AND got * 100 >= whole * {licenses.SHARE} GROUP BY row, l.template, begins
+  HAVING count(*) = any_value(n_keys)),
+b AS (SELECT row, count(*) AS n, min(begins) AS lo, max(begins) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM base GROUP BY row),
+a AS (
+  SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS ls FROM (SELECT row, label FROM base UNION ALL SELECT row, label FROM met) GROUP BY row),
+s AS (SELECT row, max(CAST(got AS DOUBLE) / CAST(whole AS DOUBLE)) AS score FROM met GROUP BY row)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, lo AS first_word, hi AS last_word,
+       coalesce(b.ls, '') AS base_labels, coalesce(a.ls, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN b USING (row) LEFT JOIN a USING (row) LEFT JOIN s USING (row)
+"""
+
+
+SQL["op11_license_scan"] = _licences()
