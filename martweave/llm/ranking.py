@@ -202,12 +202,15 @@ def search_block(docs: DataFrame, rows: list) -> DataFrame | None:
     classed = read.filter(F.length("bag") > 0).select("k", norm.alias("m"), "bag").withColumn("h", F.xxhash64("m", "bag"))
     classes = classed.groupBy("h", "m", "bag").agg(F.min("k").alias("first"))
     best = stage(best_classes(classes, block, weights(block, counts)), "search-classes")
+    # At most TOP hashes per item of the block are broadcast; a hot class leaves a task as its TOP smallest ids.
+    hashes = F.broadcast(best.select("h").distinct())
+    own = Window.partitionBy("h", "m", "bag").orderBy("k")
+    likely = stage(classed.join(hashes, "h", "left_semi").withColumn("place", F.row_number().over(own)).filter(
+        F.col("place") <= TOP).select("h", "m", "bag", "k"), "search-members")
     # Members share hash, norm and bag with the document that stands for the class.
     wanted = best.select("h", "m", "first").distinct()
-    heads = classed.withColumnRenamed("k", "first").join(wanted, ["h", "m", "first"]).select("h", "m", "bag", "first").distinct()
-    own = Window.partitionBy("h", "m", "first").orderBy("k")
-    members = classed.join(heads, ["h", "m", "bag"]).select("h", "m", "first", "k").withColumn("place", F.row_number().over(own)).filter(
-        F.col("place") <= TOP).drop("place")
+    heads = likely.withColumnRenamed("k", "first").join(wanted, ["h", "m", "first"]).distinct()
+    members = likely.join(heads, ["h", "m", "bag"]).select("h", "m", "first", "k")
     order = Window.partitionBy("item").orderBy(F.desc("score"), "k")
     ranked = best.join(members, ["h", "m", "first"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP)
     names = spark.createDataFrame([(i, x) for i, x in enumerate(block.item_ids)], "item int, item_id bigint")

@@ -108,3 +108,69 @@ def personal_data(text):
         counts.append(len(found))
         spans += [f"{kind}:{m.start()}:{m.end()}" for m in found]
     return (*counts, hashlib.sha256(",".join(spans).encode()).hexdigest())
+
+
+def licence_places(text, phrases):
+    """(n_words, {label: places of the phrase}) of the contract's words."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    found = {}
+    for phrase, label in phrases.items():
+        p = phrase.split()
+        found[label] = [i for i in range(len(w)) if w[i:i + len(p)] == p]
+    return len(w), found
+
+
+def ranked_search(docs, items, top=20):
+    """docs: (doc_id, text), items: (item_id, text); sorted (item_id, rank, doc_id, score)."""
+    import math
+    from collections import Counter
+
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    cut = lambda t: term.findall((t or "").translate(LOWER))
+    bags = [(d, Counter(cut(t))) for d, t in docs]
+    bags = [(d, b, sum(b.values())) for d, b in bags if b]
+    n, total = len(bags), sum(size for _, _, size in bags)
+    df = Counter(t for _, b, _ in bags for t in b)
+    out = []
+    for item, text in sorted(set((i, t or "") for i, t in items)):
+        query = Counter(cut(text))
+        w = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) for t in query}
+        scored = []
+        for d, b, size in bags:
+            m = 100 - 25 + (25 * size * n) // total
+            score = sum(c * w[t] * ((1000000000 * b[t]) // (1000 * b[t] + 12 * m)) for t, c in query.items() if t in b)
+            if score > 0:
+                scored.append((-score, d is None, d or 0))
+        out += [(item, rank, None if none else d, -s) for rank, (s, none, d) in enumerate(sorted(scored)[:top], 1)]
+    return out
+
+
+def vector_codes(rows, rounds=6):
+    """rows: (vec_id, vector, label), vectors of one length; ([(vec_id, code, error, label_error)], digest)."""
+    import math
+
+    kept = [(i, [math.floor(4096 * x) for x in v], c) for i, v, c in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    if not kept:
+        return [], None
+    d = len(kept[0][1]) // 8
+    part = lambda v, p: v[p * d:(p + 1) * d]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    books = [[part(v, p) for _, v, _ in kept[:16]] for p in range(8)]
+    for _ in range(rounds):
+        for p in range(8):
+            own = {}
+            for _, v, _ in kept:
+                _, e = min((far(part(v, p), b), e) for e, b in enumerate(books[p]))
+                own.setdefault(e, []).append(part(v, p))
+            for e, vs in own.items():
+                books[p][e] = [sum(x) // len(vs) for x in zip(*vs)]
+    coded = []
+    for i, v, c in kept:
+        best = [min((far(part(v, p), b), e) for e, b in enumerate(books[p])) for p in range(8)]
+        coded.append((i, "".join(f"{e:02x}" for _, e in best), sum(s for s, _ in best), c))
+    errors = {}
+    for _, _, s, c in coded:
+        errors[c] = errors.get(c, 0) + s
+    digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    return [(i, code, s, errors[c]) for i, code, s, c in coded], digest
