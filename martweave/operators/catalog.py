@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martweave.functions import scale
+from martweave.functions import documents, scale
 from martweave.functions.scalars import contains_ci, finish_digest, normalize_name, set_digest
 from martweave.operators.lineage import visible_only
 from martweave.operators.quality import all_violations, violation
@@ -20,6 +20,12 @@ USED_BY = {
     "term": ("TermedWith", "IsA", "HasA"),
     "tag": ("TaggedWith",),
 }
+# Audit stamps that an edit advances, as pointer patterns per aspect.
+STAMPS = {
+    "editableSchemaMetadata": ("/lastModified", "/editableSchemaFieldInfo/[^/]+/glossaryTerms/auditStamp"),
+    "ownership": ("/lastModified",),
+    "glossaryTerms": ("/auditStamp",),
+}
 
 
 # --- search and fields -----------------------------------------------------------------
@@ -331,6 +337,16 @@ def preserves_map(old: Column, new: Column) -> Column:
     return F.size(same) == 0
 
 
+def preserves_existing(old: DataFrame, new: DataFrame, keys: Sequence[str], stamps: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """(keys…, lost, preserved) for every old document: how many of its values the new version does not keep, at any depth.
+
+    See ``documents.lost_values`` for the rules and for ``stamps`` (``STAMPS`` are those of the catalog).
+    """
+    lost = documents.lost_values(old, new, keys, stamps).groupBy(*keys).agg(F.count(F.lit(1)).alias("lost"))
+    rows = old.select(*keys).join(lost, list(keys), "left")
+    return rows.select(*keys, F.coalesce("lost", F.lit(0).cast("long")).alias("lost"), F.col("lost").isNull().alias("preserved"))
+
+
 _STATEMENT = r"^- `([A-Za-z][A-Za-z0-9_]*) = [^`]{3,}`"
 
 

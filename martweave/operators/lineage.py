@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from martweave.functions import scale
+from martweave.functions import documents, scale
 from martweave.functions.scalars import stable_id
 from martweave.operators.quality import all_violations, rule_rows, violation
 
@@ -104,29 +104,53 @@ def coverage_complete(coverage: DataFrame, findings: DataFrame, nodes: DataFrame
     return row.withColumn("complete", done)
 
 
-def validate_evidence(evidence: DataFrame, corpus: DataFrame) -> DataFrame:
-    """evidence(subject, path, file_sha256, start_line, end_line) against corpus(path, text).
+def evidence_findings(evidence: DataFrame, corpus: DataFrame, keys: Sequence[str] = ("subject",), scope: str | None = None,
+                      subjects: DataFrame | None = None) -> DataFrame:
+    """(keys…, path, rule, detail) for every rule that a piece of evidence breaks.
 
-    The texts are reduced to digest and line count before the join, so no text is shuffled.
+    evidence(keys…, path, file_sha256, start_line, end_line, and where they are to be checked
+    pointer and scope_id) against corpus(path, text). A pointer must be well formed and lead to a
+    value of the file, which must be JSON; ``scope`` is the scope all evidence must name;
+    ``subjects(keys…)`` lists those that need evidence. Evidence of an unknown path breaks no
+    other rule. Texts are reduced to digest and line count before the join; files that a pointer
+    names are opened to rows and pointers, which are data, meet them by equality.
     """
+    keys = list(keys)
     files = corpus.select(
         "path",
         F.sha2("text", 256).alias("sha256"),
         (F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).alias("line_count"),
     )
     joined = evidence.join(files, "path", "left")
-    spot = ["subject", "path"]
-    return rule_rows(joined, spot, {
-        "evidence_path_unknown": (F.col("sha256").isNotNull(), F.lit("path")),
-        "evidence_digest_mismatch": (F.col("sha256").isNull() | (F.col("sha256") == F.col("file_sha256")),
-                                     F.lit("sha256")),
-        "evidence_line_out_of_range": (
-            F.col("sha256").isNull()
-            | ((F.col("start_line") >= 1) & (F.col("start_line") <= F.col("end_line"))
-               & (F.col("end_line") <= F.col("line_count"))),
-            F.concat_ws("-", F.col("start_line"), F.col("end_line")),
-        ),
-    })
+    there = F.col("sha256").isNotNull()
+    lines = (F.col("start_line") >= 1) & (F.col("start_line") <= F.col("end_line")) & (F.col("end_line") <= F.col("line_count"))
+    rules = {
+        "evidence_path_unknown": (there, F.lit("path")),
+        "evidence_digest_mismatch": (~there | (F.col("sha256") == F.col("file_sha256")), F.lit("sha256")),
+        "evidence_line_out_of_range": (~there | lines, F.concat_ws("-", F.col("start_line"), F.col("end_line"))),
+    }
+    if scope is not None:
+        rules["evidence_scope_mismatch"] = (~there | (F.col("scope_id") == scope), F.col("scope_id"))
+    if "pointer" in evidence.columns:
+        asked = evidence.filter("pointer IS NOT NULL").select("path", "pointer").filter(documents.valid_pointer(F.col("pointer")))
+        found = documents.values_at(corpus.select("path", "text"), ["path"], "text", asked).filter("kind IS NOT NULL")
+        joined = joined.join(found.select("path", "pointer", F.lit(True).alias("_found")), ["path", "pointer"], "left")
+        rules["evidence_pointer_invalid"] = (~there | F.col("pointer").isNull() | F.col("_found").isNotNull(), F.col("pointer"))
+    broken = F.array(*[F.when(~F.coalesce(holds, F.lit(False)), F.struct(F.lit(r).alias("rule"), detail.cast("string").alias("detail")))
+                       for r, (holds, detail) in rules.items()])
+    rows = joined.select(*keys, "path", F.inline(F.filter(broken, lambda b: b.isNotNull())))
+    if subjects is None:
+        return rows
+    bare = subjects.select(*keys).distinct().join(evidence.select(*keys), keys, "left_anti")
+    return rows.unionByName(bare.select(*keys, F.lit(None).cast("string").alias("path"), F.lit("missing_evidence").alias("rule"), F.lit(None).cast("string").alias("detail")))
+
+
+def validate_evidence(evidence: DataFrame, corpus: DataFrame, keys: Sequence[str] = ("subject",), scope: str | None = None,
+                      subjects: DataFrame | None = None) -> DataFrame:
+    """Violations of ``evidence_findings``, keyed by subject and path."""
+    found = evidence_findings(evidence, corpus, keys, scope, subjects)
+    spot = F.concat_ws("/", *[F.col(k).cast("string") for k in (*keys, "path")])
+    return found.select("rule", spot.alias("key"), "detail")
 
 
 def candidate_reasons(candidates: DataFrame, evidence_findings: DataFrame) -> DataFrame:

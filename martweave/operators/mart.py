@@ -209,6 +209,28 @@ def upsert_fact(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return merged.select("_row.*")
 
 
+FACT_MONTH = "order_month"
+
+
+def order_month() -> Column:
+    """yyyymm of the order date key, the unit in which the fact is rewritten."""
+    return F.expr("order_date_key div 100").cast("int")
+
+
+def changed_facts(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Incoming lines that are new or differ from the current line of their key, with that line's month as ``old_month``."""
+    old = current.select(*FACT_KEY, F.struct(*FACT_COLUMNS).alias("_old"), order_month().alias("old_month"))
+    new = incoming.select(*FACT_KEY, F.struct(*FACT_COLUMNS).alias("_new"))
+    met = new.join(old, FACT_KEY, "left").filter(~F.col("_new").eqNullSafe(F.col("_old")))
+    return met.select("_new.*", "old_month")
+
+
+def replace_lines(current: DataFrame, changed: DataFrame) -> DataFrame:
+    """Current lines without those whose key changed, and the changed ones."""
+    return current.select(*FACT_COLUMNS).join(changed.select(*FACT_KEY), FACT_KEY, "left_anti").select(*FACT_COLUMNS).unionByName(
+        changed.select(*FACT_COLUMNS))
+
+
 def lookup_surrogate(df: DataFrame, dim: DataFrame, key: str, surrogate: str, *, optional: bool = False) -> DataFrame:
     """Add ``surrogate`` for the business key; an optional NULL key becomes 0.
 

@@ -12,7 +12,7 @@ from martweave.functions.scalars import average_order_value, canonical_digest
 from martweave.operators import mart, quality
 from martweave.operators.mart import Scope
 from martweave.plans import reports
-from martweave.sources.sinks import current_paths, is_published, publish, replace_table, version_path
+from martweave.sources.sinks import current_paths, folders, is_published, publish, replace_table, version_path
 
 DIMENSIONS = ["dim_date", "dim_territory", "dim_product", "dim_customer"]
 
@@ -113,7 +113,8 @@ def preview_load(sources: dict[str, DataFrame], scope: Scope) -> DataFrame:
     return result
 
 
-TABLES = {**mart.DIM_SCHEMAS, "fact": mart.FACT_SCHEMA}
+TABLES = dict(mart.DIM_SCHEMAS)
+_MONTH = "fact/"  # names of the fact's months in the version log
 
 
 def _first_dimensions(spark: SparkSession) -> dict[str, DataFrame]:
@@ -121,9 +122,50 @@ def _first_dimensions(spark: SparkSession) -> dict[str, DataFrame]:
     return {d: mart.unknown_member(spark, d) for d in DIMENSIONS}
 
 
+def fact_months(paths: dict[str, str]) -> dict[int, str]:
+    """Folder of every month of the fact among published paths."""
+    return {int(name[len(_MONTH):]): path for name, path in paths.items() if name.startswith(_MONTH)}
+
+
+def read_fact(spark: SparkSession, months: dict[int, str]) -> DataFrame:
+    if not months:
+        return spark.createDataFrame([], mart.FACT_SCHEMA)
+    return spark.read.schema(mart.FACT_SCHEMA).parquet(*[months[m] for m in sorted(months)])
+
+
+def write_fact(fact: DataFrame, root: str) -> dict[int, str]:
+    """Write the lines as one version, a folder per month, and return the folders.
+
+    Months are brought together by size: small ones share a task, a large one is split. Inside
+    a folder lines are sorted by date, so statistics of files and row groups prune reports.
+    """
+    path = version_path(root, "fact")
+    placed = fact.withColumn(mart.FACT_MONTH, mart.order_month()).hint("rebalance", mart.FACT_MONTH)
+    placed.sortWithinPartitions(mart.FACT_MONTH, "order_date_key", *mart.FACT_KEY).write.partitionBy(mart.FACT_MONTH).parquet(path)
+    lead = f"{mart.FACT_MONTH}="
+    return {int(name[len(lead):]): f"{path}/{name}" for name in folders(fact.sparkSession, path) if name.startswith(lead)}
+
+
+def update_fact(spark: SparkSession, root: str, current: dict[int, str], incoming: DataFrame) -> dict[int, str]:
+    """Month folders after the incoming lines are merged in; months without a changed line keep theirs.
+
+    A line that moves to another month is taken out of its old one. The months are those of a
+    calendar, so the manifest stays small whatever the number of lines.
+    """
+    changed = scale.stage(mart.changed_facts(read_fact(spark, current), incoming), "fact-changes")
+    both = F.explode(F.array(mart.order_month(), F.col("old_month"))).alias("m")
+    touched = {r["m"] for r in changed.select(both).filter("m IS NOT NULL").distinct().collect()}
+    if not touched:
+        return current
+    affected = read_fact(spark, {m: p for m, p in current.items() if m in touched})
+    written = write_fact(mart.replace_lines(affected, changed), root)
+    return {**{m: p for m, p in current.items() if m not in touched}, **written}
+
+
 def _current_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     paths = current_paths(spark, root)
-    return {name: spark.read.schema(schema).parquet(paths[name]) for name, schema in TABLES.items()}
+    dims = {name: spark.read.schema(TABLES[name]).parquet(paths[name]) for name in DIMENSIONS}
+    return {**dims, "fact": read_fact(spark, fact_months(paths))}
 
 
 def open_mart(spark: SparkSession, root: str) -> Mart:
@@ -135,8 +177,9 @@ def load_mart(sources: dict[str, DataFrame], root: str, scope: Scope) -> DataFra
     """Run one load into the mart at ``root`` and return its one-row receipt.
 
     A published mart at ``root`` is carried on: its members keep their keys and its other
-    fact rows stay. Every table is written as a new version, read back and checked as
-    written; only then do all versions become current, in one step.
+    fact rows stay. Dimensions, and the months of the fact in which a line changed, are written
+    as new versions, read back and checked as written; only then do all versions become
+    current, in one step. Months without a change keep their files.
     """
     spark = sources["customer"].sparkSession
     inputs = prepare(sources, scope)
@@ -172,11 +215,9 @@ def load_mart(sources: dict[str, DataFrame], root: str, scope: Scope) -> DataFra
         "dim_customer", customers, "source_customer_id", ["source_territory_id", "territory_key"], "customer_key")
 
     incoming = mart.build_fact(inputs["facts"], dims)
-    merged = mart.upsert_fact(current["fact"], incoming) if exists else incoming
-    # Clustered by date so file and row-group statistics prune reports; a hot day is split by order id.
-    clustered = merged.repartitionByRange("order_date_key", *mart.FACT_KEY).sortWithinPartitions(
-        "order_date_key", *mart.FACT_KEY)
-    fact = keep("fact", clustered)
+    months = update_fact(spark, root, fact_months(current_paths(spark, root)), incoming) if exists else write_fact(incoming, root)
+    written.update({f"{_MONTH}{m}": p for m, p in months.items()})
+    fact = read_fact(spark, months)
 
     loaded = Mart(fact, dims)
     missing = mart.unresolved(fact, ["product_key", "customer_key", "territory_key"])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from martweave.functions import documents as D
 from martweave.functions import scalars as S
 from martweave.operators import catalog as C
 from martweave.plans.query import page
@@ -418,6 +419,43 @@ def preserves_existing(spark, root):
         C.preserves_map(F.create_map(F.lit("f"), flag, F.lit("t"), tax), new_map).alias("map_kept"))
 
 
+# An order as a nested document; the new version gains members, gains or loses elements, or changes values by its key.
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 9 AS c FROM orders)
+SELECT k, '/tags/0/n' AS pointer, 'value_changed' AS finding FROM o WHERE c = 2
+UNION ALL SELECT k, p, 'value_missing' FROM o, (SELECT unnest(['/tags/1', '/tags/1/n']) AS p) WHERE c = 3
+UNION ALL SELECT k, '/owner/a~1b', 'value_missing' FROM o WHERE c = 4
+UNION ALL SELECT k, '/owner', 'kind_changed' FROM o WHERE c = 5
+UNION ALL SELECT k, p, 'value_missing' FROM o, (SELECT unnest(['/owner/id', '/owner/a~1b', '/owner/lastModified']) AS p) WHERE c = 5
+UNION ALL SELECT k, '/lastModified/time', 'value_changed' FROM o WHERE c = 7
+UNION ALL SELECT k, '/owner/lastModified', 'value_changed' FROM o WHERE c = 8""")
+def preserves_nested(spark, root):
+    """Values of nested documents that a new version does not keep."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("string")
+    case = key % 9
+
+    def tag(n: Column, more: bool = False) -> Column:
+        members = [n.alias("n"), *([F.lit(True).alias("new")] if more else [])]
+        return F.to_json(F.struct(*members))
+
+    def document(tags: Column, owner: Column, time: Column) -> Column:
+        return F.concat(F.lit('{"tags": ['), tags, F.lit('], "owner": '), owner, F.lit(', "status": null, "lastModified": {"time": '), time, F.lit("}}"))
+
+    def owner(at: Column) -> Column:
+        return F.concat(F.lit('{"id": "'), price, F.lit('", "a/b": 1.50, "lastModified": '), at, F.lit("}"))
+
+    first, second = tag(key), tag(key + 1)
+    old = document(F.concat_ws(", ", first, second), owner(F.lit("1")), F.lit("1"))
+    tags = (F.when(case == 1, F.concat_ws(", ", tag(key, more=True), second, F.lit('"more"'))).when(case == 2, F.concat_ws(", ", second, second))
+            .when(case == 3, first).otherwise(F.concat_ws(", ", first, second)))
+    held = (F.when(case == 4, F.concat(F.lit('{"id": "'), price, F.lit('", "lastModified": 1}'))).when(case == 5, F.lit("[1]"))
+            .when(case == 8, owner(F.lit("5"))).otherwise(owner(F.lit("1.0"))))
+    time = F.when(case == 6, "5").when(case == 7, "6").otherwise("1")
+    orders = table(spark, root, "orders")
+    before = orders.select(key.alias("k"), old.alias("text"), F.lit("ownership").alias("aspect"), F.lit('{"time": 5}').alias("stamp"))
+    return D.lost_values(before, orders.select(key.alias("k"), document(tags, held, time).alias("text")), ["k"], C.STAMPS)
+
+
 @query("""
 SELECT 'd' || l.lang AS dataset, upper(l.source) AS field, doc_id AS path,
        2 + length(text) - length(replace(text, chr(10), '')) AS line_number, d.source || ' = count of ' || d.lang AS statement

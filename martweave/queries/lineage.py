@@ -174,6 +174,33 @@ def validate_evidence(spark, root):
     return L.validate_evidence(evidence, corpus)
 
 
+_POINTED = """
+WITH e AS (
+  SELECT event_id AS id, 'e' || event_id AS path,
+         CASE WHEN event_id % 11 = 0 THEN 'no json {' ELSE replace(props, '}', ', "a/b": [null, {"c": 1}]}') END AS text,
+         CASE event_id % 7 WHEN 0 THEN '/k' WHEN 1 THEN '/none' WHEN 2 THEN '/a~1b/0' WHEN 3 THEN '/a~1b/01' WHEN 4 THEN '/a~2b'
+              WHEN 5 THEN '/a~1b/1/c' END AS pointer,
+         CASE WHEN event_id % 5 = 0 THEN 'other' ELSE 'sf' END AS scope_id, event_id % 13 = 0 AS bare FROM events)"""
+
+
+@query(_POINTED + """
+SELECT 'evidence_scope_mismatch' AS rule, id || '/' || path AS "key", scope_id AS detail FROM e WHERE scope_id <> 'sf' AND NOT bare
+UNION ALL SELECT 'evidence_pointer_invalid', id || '/' || path, pointer FROM e
+  WHERE NOT bare AND pointer IS NOT NULL AND (id % 11 = 0 OR pointer IN ('/none', '/a~1b/01', '/a~2b'))
+UNION ALL SELECT 'missing_evidence', CAST(id AS VARCHAR), NULL FROM e WHERE bare""")
+def evidence_pointers(spark, root):
+    """Evidence for every event's JSON, with pointers of all kinds, foreign scopes and events without evidence."""
+    id_ = F.col("event_id")
+    text = F.when(id_ % 11 == 0, "no json {").otherwise(F.replace("props", F.lit("}"), F.lit(', "a/b": [null, {"c": 1}]}')))
+    pointers = F.array(*[F.lit(p) for p in ("/k", "/none", "/a~1b/0", "/a~1b/01", "/a~2b", "/a~1b/1/c", None)])
+    events = table(spark, root, "events").select(id_.alias("subject"), F.concat(F.lit("e"), id_.cast("string")).alias("path"), text.alias("text"))
+    evidence = events.filter("subject % 13 <> 0").select(
+        "subject", "path", F.sha2("text", 256).alias("file_sha256"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
+        F.get(pointers, (F.col("subject") % 7).cast("int")).alias("pointer"),
+        F.when(F.col("subject") % 5 == 0, "other").otherwise("sf").alias("scope_id"))
+    return L.validate_evidence(evidence, events.select("path", "text"), scope="sf", subjects=events)
+
+
 # --- candidates ------------------------------------------------------------------------------
 
 
@@ -192,11 +219,20 @@ def candidates(spark, root) -> tuple[DataFrame, DataFrame]:
             F.lit("relation_type"), F.when((F.col("l_suppkey") % 5 == 0) & (line == 1), "guesses").otherwise("reads"),
             F.lit("source_field"), F.lit("a"), F.lit("target_field"),
             F.when((F.col("l_suppkey") % 7 == 0) & (line == 5), "").otherwise("b")).alias("attributes"),
-        (F.col("l_suppkey") % 11 == 0).alias("odd"), "l_tax",
+        "l_partkey", (line == 6).alias("sixth"), (line == 4).alias("fourth"), ((F.col("l_suppkey") % 11 == 0) & (F.col("l_tax") > 0.07)).alias("bare"),
     )
-    findings = lines.filter("odd AND l_tax > 0.07").select(
-        "source_id", "candidate_id", F.lit("missing_evidence").alias("reason"))
-    return lines.drop("odd", "l_tax"), findings
+    # The evidence of a candidate is the name or the size in the JSON description of its part.
+    parts = table(spark, root, "part").select(
+        F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"), F.to_json(F.struct("p_name", F.struct("p_size").alias("is"))).alias("text"))
+    digests = parts.select("path", F.sha2("text", 256).alias("file_sha256"))
+    evidence = lines.filter("NOT bare").select(
+        "source_id", "candidate_id", F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("path"),
+        F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
+        F.when(F.col("sixth") & (F.col("source_id") % 13 == 0), "other").otherwise("sf").alias("scope_id"),
+        F.when(F.col("fourth") & (F.col("source_id") % 17 == 0), "/p_size").when(F.col("fourth"), "/is/p_size").otherwise("/p_name").alias("pointer"))
+    keys = ["source_id", "candidate_id"]
+    found = L.evidence_findings(evidence.join(digests, "path"), parts, keys, scope="sf", subjects=lines)
+    return lines.drop("l_partkey", "sixth", "fourth", "bare"), found.select(*keys, F.col("rule").alias("reason"))
 
 
 _CANDIDATES = """
@@ -208,7 +244,7 @@ WITH c AS (
               WHEN l_linenumber = 3 AND l_suppkey % 3 = 1 THEN 'inferred' ELSE 'resolved' END AS status,
          CASE WHEN l_linenumber <> 7 OR l_suppkey % 4 <> 0 THEN l_partkey END AS object,
          l_suppkey % 5 = 0 AND l_linenumber = 1 AS bad_relation, l_suppkey % 7 = 0 AND l_linenumber = 5 AS bad_fields,
-         l_suppkey % 11 = 0 AND l_tax > 0.07 AS no_evidence
+         l_suppkey % 11 = 0 AND l_tax > 0.07 AS bare, l_linenumber AS line
   FROM lineitem),
 reasons AS (
   SELECT source_id, candidate_id, 'invalid_relation_type' AS reason FROM c WHERE kind = 'relationship' AND bad_relation
@@ -218,7 +254,9 @@ reasons AS (
     WHERE kind = 'field_mapping' AND object IS NULL AND status = 'resolved'
   UNION SELECT source_id, candidate_id, 'unresolved_kind_status_mismatch' FROM c
     WHERE kind = 'unresolved' AND status <> 'unresolved'
-  UNION SELECT source_id, candidate_id, 'missing_evidence' FROM c WHERE no_evidence
+  UNION SELECT source_id, candidate_id, 'missing_evidence' FROM c GROUP BY ALL HAVING bool_and(bare)
+  UNION SELECT source_id, candidate_id, 'evidence_scope_mismatch' FROM c WHERE NOT bare AND line = 6 AND source_id % 13 = 0
+  UNION SELECT source_id, candidate_id, 'evidence_pointer_invalid' FROM c WHERE NOT bare AND line = 4 AND source_id % 17 = 0
   UNION SELECT source_id, candidate_id, 'duplicate_candidate_id' FROM c GROUP BY ALL HAVING count(*) > 1),
 one AS (SELECT source_id, candidate_id, arg_max(kind, kind) AS kind, arg_max(status, kind) AS status FROM c GROUP BY 1, 2),
 rows AS (

@@ -13,6 +13,7 @@ from martweave.plans import load, reports
 from martweave.queries.registry import DIGEST, query
 from martweave.sources import adapter
 from martweave.sources.adapter import table
+from martweave.sources.sinks import current_paths
 
 SCOPE = Scope("1995-06-01", "2001-06-30")
 _MARTS: dict[tuple[str, str], load.Mart] = {}
@@ -522,6 +523,28 @@ def load_mart(spark, root):
     return receipt
 
 
+@query(MART_SQL + """
+, m AS (SELECT *, CAST(strftime(order_date, '%Y%m') AS INTEGER) AS order_month FROM lines),
+n AS (SELECT *, order_month % 5 = 0 AND sales_order_id % 3 = 0 AND source_customer_id <> 1 AS moved FROM m)
+SELECT order_month, bool_or(moved) AS rewritten, count(*) AS lines, count(DISTINCT CASE WHEN moved THEN 1 ELSE source_customer_id END) AS customers
+FROM n GROUP BY order_month""")
+def reload_mart(spark, root):
+    """A second load in which orders of some months have another customer: which months were written anew."""
+    target = scale.new_path(spark, "mart")
+    sources = adapter.mart_sources(spark, root)
+    load.load_mart(sources, target, SCOPE)
+    before = load.fact_months(current_paths(spark, target))
+    moved = (F.date_format("order_date", "yyyyMM").cast("int") % 5 == 0) & (F.col("sales_order_id") % 3 == 0)
+    header = sources["sales_order_header"].withColumn("customer_id", F.when(moved, F.lit(1).cast("long")).otherwise(F.col("customer_id")))
+    load.load_mart({**sources, "sales_order_header": header}, target, SCOPE)
+    after = load.fact_months(current_paths(spark, target))
+    rewritten = [m for m in after if before.get(m) != after[m]]
+    fact = load.open_mart(spark, target).fact.withColumn("order_month", mart.order_month())
+    return fact.groupBy("order_month").agg(
+        F.bool_or(F.col("order_month").isin(rewritten)).alias("rewritten"), F.count(F.lit(1)).alias("lines"),
+        F.countDistinct("customer_key").alias("customers"))
+
+
 # --- quality rules on the whole source (out-of-scope rows break scope rules) ---------------
 
 

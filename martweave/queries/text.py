@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from martweave.functions import scalars as S
+from martweave.functions.documents import values_at
 from martweave.operators import quality
 from martweave.operators import sessions as T
 from martweave.queries.registry import DIGEST, query
@@ -129,6 +130,19 @@ def json_at(spark, root):
         S.json_at(with_null, "/a~1b/0").alias("explicit_null"))
 
 
+@query("""
+WITH e AS (SELECT event_id, replace(props, '}', ', "a/b": [' || user_id || ', "x"]}') AS t,
+                  CAST(json_extract(props, '$.k') AS VARCHAR) AS k, user_id, unnest(['/k', '/a~1b', '/a~1b/1', '/a~1b/2']) AS pointer FROM events)
+SELECT event_id, pointer, CASE pointer WHEN '/k' THEN 'number' WHEN '/a~1b' THEN 'array' WHEN '/a~1b/1' THEN 'string' END AS kind,
+       CASE pointer WHEN '/k' THEN k WHEN '/a~1b' THEN '[' || user_id || ',"x"]' WHEN '/a~1b/1' THEN '"x"' END AS text FROM e""")
+def json_values(spark, root):
+    """Values at pointers that are data: a member, a list, one of its elements, and one that is not there."""
+    events = table(spark, root, "events").select(
+        "event_id", F.replace("props", F.lit("}"), F.concat(F.lit(', "a/b": ['), F.col("user_id").cast("string"), F.lit(', "x"]}'))).alias("text"))
+    asked = events.select("event_id", F.explode(F.array(*[F.lit(p) for p in ("/k", "/a~1b", "/a~1b/1", "/a~1b/2")])).alias("pointer"))
+    return values_at(events, ["event_id"], "text", asked)
+
+
 @query("""
 SELECT o_orderkey, sha256('{"customer":' || o_custkey || ',"order":' || o_orderkey || ',"status":"' || o_orderstatus || '"}') AS digest,
        'node_' || sha256('["' || o_orderpriority || '","order","' || o_orderkey || '"]') AS node_id FROM orders""")

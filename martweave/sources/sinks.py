@@ -63,6 +63,13 @@ def is_published(spark: SparkSession, root: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    return sorted(entry.getPath().getName() for entry in found)
+
+
 def replace_table(
     df: DataFrame, root: str, name: str, check: Callable[[DataFrame], bool] | None = None
 ) -> DataFrame:

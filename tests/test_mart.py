@@ -1,5 +1,6 @@
 """Mart load on tiny sources: formula, rules, second load, rejection, publication."""
 
+import pathlib
 from datetime import date, datetime
 from decimal import Decimal as D
 
@@ -104,6 +105,51 @@ def test_load_reports_and_second_load(spark, tmp_path):
     assert lines == {(10, 1): (3, keys[1]), (11, 1): (1, keys[2]), (11, 2): (1, products[9][0])}
 
 
+def files_of(months):
+    return {m: sorted(p.name for p in pathlib.Path(path).glob("*.parquet")) for m, path in months.items()}
+
+
+def test_only_touched_months_are_rewritten(spark, tmp_path):
+    root = str(tmp_path / "mart")
+
+    def months():
+        return load.fact_months(sinks.current_paths(spark, root))
+
+    load.load_mart(sources(spark), root, SCOPE)
+    first = months()
+    assert sorted(first) == [201201, 201212]
+    names = files_of(first)
+    # The same lines again: no month is written.
+    load.load_mart(sources(spark), root, SCOPE)
+    assert months() == first and files_of(first) == names
+    # A corrected line: its month is written, the other keeps its files.
+    detail = [(10, 1, 1, 3, D("10.0000"), D("0.1000"), D("27.000000")), (11, 1, 2, 1, D("0.5050"), D("0.0099"), D("0.500001")),
+              (11, 2, 1, 1, D("0.5000"), D("0.0000"), D("0.500000"))]
+    load.load_mart(sources(spark, sales_order_detail=detail), root, SCOPE)
+    second = months()
+    assert second[201212] == first[201212] and second[201201] != first[201201] and files_of(second)[201212] == names[201212]
+    # An order that moves to another month leaves its old one, which is gone when nothing is left in it.
+    header = [(10, datetime(2012, 3, 4), 1, None, 5, None), (11, datetime(2012, 12, 31, 23, 59), 2, 5, 5, None)]
+    load.load_mart(sources(spark, sales_order_header=header, sales_order_detail=detail), root, SCOPE)
+    third = months()
+    assert sorted(third) == [201203, 201212] and third[201212] == first[201212]
+    fact = load.open_mart(spark, root).fact
+    assert rows(fact, "sales_order_id", "sales_order_detail_id", "order_date_key", "order_qty") == [
+        (10, 1, 20120304, 3), (11, 1, 20121231, 1), (11, 2, 20121231, 1)]
+    # A load that is rejected leaves the months as they were.
+    with pytest.raises(load.LoadRejected):
+        load.load_mart(sources(spark, sales_order_header=header, sales_order_detail=detail[:1]), root, SCOPE)
+    assert months() == third
+
+
+def test_changed_facts_compare_whole_lines(spark):
+    old = spark.createDataFrame([(1, 1, 20120101, 1, 1, 0, 5, None, 1, D("1"), D("0"), D("1"), D("1")),
+                                 (1, 2, 20120101, 1, 1, 0, 5, None, 1, D("1"), D("0"), D("1"), D("1"))], mart.FACT_SCHEMA)
+    new = old.withColumn("currency_rate_id", F.when(F.col("sales_order_detail_id") == 2, 7).cast("long")).unionByName(
+        old.limit(1).withColumn("sales_order_id", F.lit(9).cast("long")).withColumn("order_date_key", F.lit(20120201)))
+    assert rows(mart.changed_facts(old, new), "sales_order_id", "sales_order_detail_id", "old_month") == [(1, 2, 201201), (9, 1, None)]
+
+
 def test_reconciliation_needs_the_whole_scope(spark, tmp_path):
     """A line that left the source keeps its fact, so source and target totals differ and nothing is published."""
     root = str(tmp_path / "mart")
