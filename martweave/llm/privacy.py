@@ -4,29 +4,37 @@ Base spans are matches of fixed patterns (e-mail, IP, card and phone numbers), l
 without overlap; a match that fails its test is dropped. Positions come from the pieces of
 the text between matches.
 
-The method adds terms. Every base span names a protected entity (its kind and value). The
-words within ``CONTEXT`` code points of it, in the text between it and its neighbours of
-the same kind, are its context. From document counts over the whole corpus,
-
-    PMI(entity, term) = log(N * n(entity, term) / (n(entity) * n(term)))
-    IC(entity)        = log(N / n(entity))
-
-the quotient PMI / IC says which part of the entity's information the term reveals: 1 if
-the entity is certain wherever the term stands. A pair with at least ``MIN_SUPPORT``
-different texts behind it and a quotient of at least ``threshold`` is disclosing: the
-term's occurrences in that entity's contexts become spans of kind ``term``. ``sanitise``
-replaces base spans by their kind, terms that still occur in other documents by ``[TERM]``
-(generalised), and terms that occur nowhere else by nothing (removed).
-
-Whole texts are read. A null text is empty. Copies of a text are documents in the counts but
-one text as support, so a copied page is no evidence; each copy gets the same spans. Rows
-that repeat doc_id and text count once for an entity. A null doc_id is an id. Other columns
-are ignored.
+The method adds terms: runs of letters, lower-cased, outside of base spans. Every base span
+names a protected entity (its kind and value). Counts of documents over the whole corpus and
+whole texts, n(e) with the entity, n(t) with the term, n(e,t) with both, N of all, give
+
+    P(e|t) = n(e,t) / (n(t) + 1)            smoothed by one unseen document with the term
+    PMI(e,t) = log2(P(e|t) * N / n(e))      IC(e) = log2(N / n(e))
+
+and IC - PMI is what the term leaves open of the entity. A pair discloses if it leaves open at
+most ``OPEN_BITS`` (1) bit and at most half of the entity's information; the comparisons are made in
+whole numbers, 2 n(e,t) >= n(t) + 1 and n(e,t)^2 N >= n(e) (n(t) + 1)^2. There is no window, and no smallest
+count: a term that stands in one document only discloses that document's entities. Every
+occurrence of a disclosing term, in every document, becomes a span of kind ``term``.
+``sanitise`` replaces base spans by their kind, disclosing terms that also stand in documents
+without the entity by ``[TERM]`` (generalised), and others by nothing (removed).
+
+Pairs are not listed where they cannot matter. A term of one document needs no partner: any
+entity of that document will do. Other terms need an entity of two documents or more, and
+entities that stand in the same documents count as one class. Documents are searched for
+disclosing terms of several documents behind a table of ``SLOTS`` hash slots, whose size is
+fixed; when it fills up it costs time, not spans.
+
+Whole texts are read. A null text is empty. Rows count as documents, copies and repeated rows
+too, and rows with the same text get the same spans. A null doc_id is an id. Other columns
+are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,11 +51,10 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-CONTEXT = 60
-MIN_SUPPORT = 3
-THRESHOLD = 0.9
-SPACE = r"[ \t-\r]"
-WORD = r"[^ \t-\r]+"
+OPEN_BITS = 1  # what a disclosing term may leave open; the whole-number comparisons are written for one bit
+SLOTS = 1 << 21
+LETTERS = r"[\p{L}\p{M}]+"
+OTHERS = r"[^\p{L}\p{M}]+"
 RUN = 64
 
 
@@ -91,12 +98,12 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-SPAN = "array<struct<start:bigint,end:bigint,match:string,before:string,after:string>>"
+SPAN = "array<struct<start:bigint,end:bigint,match:string>>"
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
 
 def spans(kind: str, text: Column) -> Column:
-    """Valid matches of one kind: start and end in code points, the match, and the text on both sides."""
+    """Valid matches of one kind: start and end in code points, and the match."""
     pattern = F.lit(PATTERNS[kind])
     length = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("long")
     cut = F.struct(F.split(text, PATTERNS[kind], -1).alias("pieces"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("matches"))
@@ -104,9 +111,7 @@ def spans(kind: str, text: Column) -> Column:
 
     def row(c: Column, before: Column, m: Column, i: Column) -> Column:
         start = before[i] + length(c["pieces"][i])
-        left, right = c["pieces"][i], c["pieces"][i + 1]
-        return F.struct(start.alias("start"), (start + length(m)).alias("end"), m.alias("match"),
-                        F.right(left, F.lit(CONTEXT)).alias("before"), F.left(right, F.lit(CONTEXT)).alias("after"))
+        return F.struct(start.alias("start"), (start + length(m)).alias("end"), m.alias("match"))
 
     found = let(cut, lambda c: let(running(steps(c)), lambda before: F.filter(
         F.transform(c["matches"], lambda m, i: row(c, before, m, i)), lambda r: valid(kind, r["match"]))))
@@ -116,77 +121,116 @@ def spans(kind: str, text: Column) -> Column:
     return F.when(likely, found).otherwise(F.array().cast(SPAN))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, and one array of spans per kind."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("tag"), *[spans(k, text).alias(k) for k in KINDS])
+def masked(text: Column) -> Column:
+    """The text with blanks in place of all matches, places kept."""
+    for kind in KINDS:
+        pattern = F.lit(PATTERNS[kind])
+        cut = F.struct(F.split(text, PATTERNS[kind], -1).alias("pieces"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("matches"))
+        text = let(cut, lambda c: F.array_join(F.zip_with(c["pieces"], c["matches"], lambda p, m: F.concat(p, F.repeat(F.lit(" "), F.coalesce(F.length(m), F.lit(0))))), ""))
+    return text
 
 
-def _words(text: Column, offset: Column) -> Column:
-    """Words of a short text with their places; ``offset`` is where it begins."""
-    size = lambda a, x: a + F.length(x)
-    zero = F.lit(0).cast("long")
-    cut = F.struct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), F.split(text, WORD, -1).alias("gaps"))
-    return let(cut, lambda c: F.transform(c["words"], lambda w, i: F.struct(w.alias("term"), (
-        offset + F.aggregate(F.slice(c["gaps"], F.lit(1), i + 1), zero, size) + F.aggregate(F.slice(c["words"], F.lit(1), i), zero, size)).alias("at"))))
+def places(text: Column) -> Column:
+    """(term, start, end) for every term of the text; ends are exclusive."""
+    length = lambda c: F.length(c).cast("long")
+    cut = F.struct(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)).alias("words"), F.split(text, LETTERS, -1).alias("gaps"))
+
+    def row(c: Column, before: Column, w: Column, i: Column) -> Column:
+        start = before[i] + length(c["gaps"][i])
+        return F.struct(F.lower(w).alias("term"), start.alias("start"), (start + length(w)).alias("end"))
+
+    steps = lambda c: F.transform(c["words"], lambda w, i: length(c["gaps"][i]) + length(w))
+    return let(cut, lambda c: let(running(steps(c)), lambda before: F.transform(c["words"], lambda w, i: row(c, before, w, i))))
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """(doc_id, tag, kind, value, term, at): the words around every base span, lower-cased in ``term``."""
-    every = F.concat(*[F.transform(k, lambda s: F.struct(
-        F.lit(k).alias("kind"), F.lower(_digits(s["match"]) if k in ("card", "phone") else s["match"]).alias("value"),
-        s["start"].alias("start"), s["end"].alias("end"), s["before"].alias("before"), s["after"].alias("after"))) for k in KINDS])
-    rows = found.select("doc_id", "tag", F.explode(every).alias("s")).select("doc_id", "tag", "s.*")
-    # A word that the cut may have shortened is left out, and so is one that touches the match.
-    left = F.when(F.length("before") == CONTEXT, F.regexp_replace("before", "^[^ \t-\r]+", "")).otherwise(F.col("before"))
-    left = F.regexp_replace(left, "[^ \t-\r]+$", "")
-    right = F.when(F.length("after") == CONTEXT, F.regexp_replace("after", "[^ \t-\r]+$", "")).otherwise(F.col("after"))
-    cut = F.regexp_replace(right, "^[^ \t-\r]+", "")
-    words = F.concat(_words(left, F.col("start") - F.length("before") + _kept_from(F.col("before"))),
-                     _words(cut, F.col("end") + F.length(right) - F.length(cut)))
-    return rows.select("doc_id", "tag", "kind", "value", F.explode(words).alias("w")).select(
-        "doc_id", "tag", "kind", "value", F.lower("w.term").alias("term"), "w.at", (F.col("w.at") + F.length("w.term")).alias("end"))
+def terms_of(text: Column) -> Column:
+    """Distinct terms of a text, and an empty one where it begins or ends with something else."""
+    return F.array_distinct(F.split(F.lower(text), OTHERS))
 
 
-def _kept_from(before: Column) -> Column:
-    return F.when(F.length(before) == CONTEXT, F.length(before) - F.length(F.regexp_replace(before, "^[^ \t-\r]+", ""))).otherwise(F.lit(0))
+def find(docs: DataFrame) -> DataFrame:
+    """row, doc_id, tag, one array of spans per kind, and ``words``: the terms outside them, of documents with a span."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("_text"), F.xxhash64(text).alias("tag"), *[spans(k, text).alias(k) for k in KINDS])
+    some = reduce(or_, [F.size(k) > 0 for k in KINDS])
+    return base.select("row", "doc_id", "tag", *KINDS, F.when(some, places(masked(F.col("_text")))).alias("words"))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(term, n): number of documents with the term."""
-    words = F.array_distinct(F.split(F.lower("text"), SPACE + "+"))
-    return docs.select(F.explode(words).alias("term")).filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-
-
-def disclosing(docs: DataFrame, near: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(kind, value, term, reveals, elsewhere): pairs in which the term reveals the entity."""
-    each = near.select("doc_id", "tag", "kind", "value", "term").distinct().groupBy("tag", "kind", "value", "term").agg(F.count(F.lit(1)).alias("rows"))
-    pairs = each.groupBy("kind", "value", "term").agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("support"))
-    likely = stage(pairs.filter(F.col("support") >= MIN_SUPPORT).drop("support"), "privacy-pairs")
-    entities = near.select("doc_id", "tag", "kind", "value").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_entity"))
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    total = texts.agg(F.count(F.lit(1))).first()[0]
-    counts = term_counts(texts).join(likely.select("term").distinct(), "term")
-    joined = likely.join(entities, ["kind", "value"]).join(counts, "term")
-    n = F.lit(float(max(total, 1)))
-    # A term that stands in fewer texts than its pairs is only counted where it stands by itself.
-    pmi = F.log(n * F.col("both") / (F.col("n_entity") * F.greatest("n", "both")))
-    content = F.log(n / F.col("n_entity"))
-    return joined.withColumn("reveals", F.when(content > 0, pmi / content).otherwise(F.lit(0.0))).filter(
-        F.col("reveals") >= threshold).select("kind", "value", "term", "reveals", (F.col("n") - F.col("both")).alias("elsewhere"))
-
-
-def protect(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(term, n_term): number of documents with the term."""
+    return docs.select(F.explode(terms_of(F.col("text"))).alias("term")).filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+
+
+def entity_classes(found: DataFrame) -> DataFrame:
+    """(row, n_entity, a, b): the classes of entities of every document; a class stands in the same n_entity documents."""
+    every = F.array_distinct(F.concat(*[F.transform(k, lambda s: F.struct(
+        F.lit(k).alias("kind"), F.lower(_digits(s["match"]) if k in ("card", "phone") else s["match"]).alias("value"))) for k in KINDS]))
+    there = stage(found.filter("words IS NOT NULL").select("row", F.explode(every).alias("e")).select("row", "e.*"), "privacy-entities")
+    digest = lambda salt: F.sum(F.xxhash64("row", F.lit(salt)).cast("decimal(38,0)"))
+    held = there.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_entity"), digest(1).alias("a"), digest(2).alias("b"))
+    return there.join(held, ["kind", "value"]).select("row", "n_entity", "a", "b").distinct()
+
+
+def disclosing(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Disclosing terms: (row, term) of those in one document only, and (term, generalise) of the others."""
+    total = docs.agg(F.count(F.lit(1))).first()[0]
+    classes = stage(entity_classes(found), "privacy-classes")
+    span = classes.groupBy("row").agg(F.max("n_entity").alias("most"), F.min("n_entity").alias("least"))
+    own = found.filter("words IS NOT NULL").select("row", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
+    # A term of n documents needs an entity of more than n / 2.
+    likely = stage(own.join(span, "row").join(term_counts(docs), "term").filter("n_term + 1 <= 2 * most"), "privacy-likely")
+    single = likely.filter((F.col("n_term") == 1) & (F.col("least") * 4 <= total)).select("row", "term")
+    met = likely.filter("n_term > 1").select("row", "term", "n_term").join(classes.filter("n_entity > 1"), "row").filter("n_term + 1 <= 2 * n_entity")
+    pairs = met.groupBy("n_entity", "a", "b", "term", "n_term").agg(F.count(F.lit(1)).alias("both"))
+    d = lambda c: F.col(c).cast("decimal(38,0)") if isinstance(c, str) else c.cast("decimal(38,0)")
+    rule = (2 * F.col("both") >= F.col("n_term") + 1) & (
+        d("both") * F.col("both") * F.lit(total) >= d("n_entity") * (F.col("n_term") + 1) * (F.col("n_term") + 1))
+    several = pairs.filter(rule).groupBy("term").agg(F.max((F.col("n_term") > F.col("both")).cast("int")).alias("generalise"))
+    return single, several
+
+
+def slot(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SLOTS))
+
+
+def taken_slots(terms: DataFrame) -> bytes:
+    """A byte per slot, 1 where a term falls; the driver gets bitmaps of ``SLOTS`` bits in all."""
+    placed = terms.select((slot(F.col("term")) + 1).alias("s"))  # counted from 1, as bitmaps are
+    maps = placed.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    out = bytearray(SLOTS)
+    for r in maps.collect():
+        base = (r.bucket - 1) * 8 * len(r.bits)
+        for at, byte in enumerate(r.bits):
+            while byte:
+                low = byte & -byte
+                out[base + at * 8 + low.bit_length() - 1] = 1
+                byte ^= low
+    return bytes(out)
+
+
+def marks(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(tag, start, end, generalise): all places of disclosing terms, once per text."""
+    single, several = disclosing(docs, found)
+    words = found.filter("words IS NOT NULL").select("row", "tag", F.explode("words").alias("w")).select("row", "tag", "w.*")
+    alone = words.join(single, ["row", "term"]).select("tag", "start", "end", F.lit(0).alias("generalise"))
+    several = stage(several, "privacy-several")
+    if several.isEmpty():
+        return alone
+    taken = F.lit(bytearray(taken_slots(several)))
+    hit = lambda t: F.substring(taken, (slot(t) + 1).cast("int"), F.lit(1)) == F.lit(bytearray(b"\x01"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    likely = docs.select(F.xxhash64(text).alias("tag"), text.alias("_text")).filter(F.exists(terms_of(F.col("_text")), hit))
+    there = likely.select("tag", F.explode(F.filter(places(F.col("_text")), lambda w: hit(w["term"]))).alias("w")).select("tag", "w.*").distinct()
+    return alone.unionByName(there.join(several, "term").select("tag", "start", "end", "generalise"))
+
+
+def protect(docs: DataFrame) -> DataFrame:
     """doc_id, tag, one array of spans per kind, and ``terms``: (start, end, generalise) of disclosing terms."""
     found = stage(find(docs), "privacy-found")
-    near = stage(contexts(found), "privacy-near")
-    telling = stage(disclosing(docs, near, threshold), "privacy-telling")
-    hits = near.join(telling, ["kind", "value", "term"]).groupBy("doc_id", "tag", F.col("at").alias("start"), "end").agg(
-        F.max((F.col("elsewhere") > 0).cast("int")).alias("generalise"))
-    terms = hits.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(F.struct("start", "end", "generalise"))).alias("terms"))
-    same = found["doc_id"].eqNullSafe(F.col("_id")) & (found["tag"] == F.col("_tag"))
-    joined = found.join(stage(terms, "privacy-terms").withColumnsRenamed({"doc_id": "_id", "tag": "_tag"}), same, "left")
-    return joined.drop("_id", "_tag").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,generalise:int>>")))
+    own = F.array_sort(F.collect_list(F.struct("start", "end", "generalise"))).alias("terms")
+    terms = stage(marks(docs, found).groupBy("tag", "start", "end").agg(F.max("generalise").alias("generalise")).groupBy(F.col("tag").alias("_tag")).agg(own), "privacy-terms")
+    joined = found.drop("row", "words").join(terms, F.col("tag") == F.col("_tag"), "left").drop("_tag")
+    return joined.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,generalise:int>>")))
 
 
 def listed(kind: str, column: str) -> Column:
@@ -202,14 +246,14 @@ def report(protected: DataFrame) -> DataFrame:
         F.array_join(F.concat(base, listed("term", "terms")), ",").alias("spans"), F.size("terms").cast("long").alias("n_term"))
 
 
-def sanitise(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def sanitise(docs: DataFrame) -> DataFrame:
     """doc_id and the text with base spans and disclosing terms replaced; of overlapping spans the first, longest one counts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_tag"), text.alias("text"))
     marks = F.concat(
         *[F.transform(k, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(f"[{k.upper()}]").alias("by"))) for k in KINDS],
         F.transform("terms", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.when(s["generalise"] > 0, "[TERM]").otherwise("").alias("by"))))
-    plan = protect(docs, threshold).select("doc_id", "tag", F.array_sort(F.array_distinct(marks)).alias("marks")).distinct()
+    plan = protect(docs).select("doc_id", "tag", F.array_sort(F.array_distinct(marks)).alias("marks")).distinct()
     joined = own.join(plan, own["_id"].eqNullSafe(F.col("doc_id")) & (own["_tag"] == F.col("tag")))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     done = F.aggregate("marks", start, lambda a, m: F.when(m["start"] >= a["at"], F.struct(

@@ -174,3 +174,48 @@ def vector_codes(rows, rounds=6):
         errors[c] = errors.get(c, 0) + s
     digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
     return [(i, code, s, errors[c]) for i, code, s, c in coded], digest
+
+
+def entities(text):
+    """{(kind, value)} of the contract's base spans, and the text with blanks in place of all matches."""
+    text = text or ""
+    out, masked = set(), text
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+                "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    for n, (kind, pattern) in enumerate(patterns.items()):
+        for m in re.finditer(pattern, text):
+            if personal_data(m.group())[n]:
+                out.add((kind, re.sub("[^0-9]", "", m.group()) if kind in ("card", "phone") else m.group().lower()))
+        masked = re.sub(pattern, lambda m: " " * len(m.group()), masked)
+    return out, masked
+
+
+def disclosed(rows):
+    """rows: (doc_id, text); {index: {(start, end, generalise)}} of the terms that leave at most one bit of an entity open."""
+    import regex
+
+    letters = regex.compile(r"[\p{L}\p{M}]+")
+    cut = lambda t: [(m.group().lower(), m.start(), m.end()) for m in letters.finditer(t)]
+    there = [entities(t) for _, t in rows]
+    words = [cut(t or "") for _, t in rows]
+    with_term, with_entity = {}, {}
+    for i, ((es, _), ws) in enumerate(zip(there, words)):
+        for e in es:
+            with_entity.setdefault(e, set()).add(i)
+        for w, _, _ in ws:
+            with_term.setdefault(w, set()).add(i)
+    pairs = {}
+    for i, (es, masked) in enumerate(there):
+        for w in {w for w, _, _ in cut(masked)} if es else ():
+            for e in es:
+                pairs[e, w] = pairs.get((e, w), 0) + 1
+    generalise = {}
+    for (e, w), both in pairs.items():
+        n_t, n_e = len(with_term[w]), len(with_entity[e])
+        if 2 * both >= n_t + 1 and both * both * len(rows) >= n_e * (n_t + 1) ** 2:
+            generalise[w] = max(generalise.get(w, 0), int(n_t > both))
+    out = {}
+    for i, (ws, (_, masked)) in enumerate(zip(words, there)):
+        own = set(cut(masked))
+        out[i] = {(a, b, generalise[w]) for w, a, b in ws if w in generalise and (len(with_term[w]) > 1 or (w, a, b) in own)}
+    return out

@@ -258,6 +258,35 @@ def test_terms_that_give_an_entity_away(documents):
     assert "Zorblatt" not in clean[0] and "[EMAIL]" in clean[0] and "the end" in clean[0] and clean[7] == rows[7][1]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_terms_equal_brute_force(documents, odd_rows, seed):
+    r = random.Random(seed)
+    voc = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)] + ["É", "ñu", "naïve", "x1y"]
+    people = [f"p{i}@a.example" for i in range(12)] + ["10.0.0.1", "4111 1111 1111 1111", "+1 (555) 123-4567"]
+    rows = [x for x in odd_rows if len(x[1] or "") < 10_000]
+    for i in range(100, 260):
+        ws = [r.choice(voc) for _ in range(r.randrange(1, 9))] + [f"only{chr(97 + i % 26)}{chr(97 + i // 26)}"] * (i % 7 == 0)
+        if i % 3 == 0:
+            ws += r.sample(people, r.randrange(1, 3))
+        if i % 9 == 0:
+            ws += ["Tell-tale", "p3@a.example", "p4@a.example"] if i % 18 == 0 else ["(telltale) tale"]
+        r.shuffle(ws)
+        rows.append((i, " ".join(ws)))
+    rows += [(i, rows[-1][1] + " secretword p7@a.example") for i in range(300, 306)]
+    got = privacy.protect(documents(rows, extra=True)).collect()
+    expected = brute.disclosed(rows)
+    known = {rows[i][0]: v for i, v in expected.items() if rows[i][0] is not None and sum(x[0] == rows[i][0] for x in rows) == 1}
+    assert {g.doc_id: {tuple(t) for t in g.terms} for g in got if g.doc_id in known} == known
+    assert sum(map(len, known.values())) > 50 and any(t[2] for v in known.values() for t in v)
+
+
+def test_privacy_of_empty_and_repetitive_tables(documents):
+    assert privacy.report(privacy.protect(documents([]))).collect() == []
+    rows = [(1, "a@b.co " + "lone " * 30_000), *[(i, "common text") for i in range(2, 9)]]
+    got = {r.doc_id: r.n_term for r in privacy.report(privacy.protect(documents(rows))).collect()}
+    assert got == {1: 30_000, **{i: 0 for i in range(2, 9)}}
+
+
 # --- 6 substrings -----------------------------------------------------------------------------
 
 
