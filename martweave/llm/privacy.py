@@ -22,8 +22,8 @@ without the entity by ``[TERM]`` (generalised), and others by nothing (removed).
 Pairs are not listed where they cannot matter. A term of one document needs no partner: any
 entity of that document will do. Other terms need an entity of two documents or more, and
 entities that stand in the same documents count as one class. Documents are searched for
-disclosing terms of several documents behind a table of ``SLOTS`` hash slots, whose size is
-fixed; when it fills up it costs time, not spans.
+disclosing terms of several documents behind a Bloom filter of 2^``SLOT_BITS`` bits; when it
+fills up it costs time, not spans.
 
 Whole texts are read. A null text is empty. Rows count as documents, copies and repeated rows
 too, and rows with the same text get the same spans. A null doc_id is an id. Other columns
@@ -34,7 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +52,8 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 OPEN_BITS = 1  # what a disclosing term may leave open; the whole-number comparisons are written for one bit
-SLOTS = 1 << 21
+SLOT_BITS = 24  # of the filter for terms of several documents: 2^24 bits, 2 MB
+HASHES = 3
 LETTERS = r"[\p{L}\p{M}]+"
 OTHERS = r"[^\p{L}\p{M}]+"
 RUN = 64
@@ -67,8 +68,9 @@ def running(values: Column) -> Column:
     """Sums of the elements before each element of a long array; blocks keep long arrays cheap."""
     zero = F.lit(0).cast("long")
     add = lambda a, x: a + x
-    block = lambda b: F.slice(values, (b * RUN + 1).cast("int"), F.lit(RUN))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN)), block)
+    run = F.least(F.lit(RUN), F.greatest(F.lit(8), F.sqrt(F.size(values)).cast("int")))
+    block = lambda b: F.slice(values, (b * run + 1).cast("int"), run)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / run)), block)
     inside = lambda b, start: F.transform(b, lambda _, j: start + F.aggregate(F.slice(b, F.lit(1), j), zero, add))
     sums = let(blocks, lambda bs: let(F.transform(bs, lambda b: F.aggregate(b, zero, add)), lambda totals: F.flatten(
         F.transform(bs, lambda b, i: let(F.aggregate(F.slice(totals, F.lit(1), i), zero, add), lambda start: inside(b, start))))))
@@ -189,35 +191,36 @@ def disclosing(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]
     return single, several
 
 
-def slot(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(SLOTS))
+def slots(term: Column) -> list[Column]:
+    return [F.xxhash64(term, F.lit(h)).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) for h in range(HASHES)]
 
 
-def taken_slots(terms: DataFrame) -> bytes:
-    """A byte per slot, 1 where a term falls; the driver gets bitmaps of ``SLOTS`` bits in all."""
-    placed = terms.select((slot(F.col("term")) + 1).alias("s"))  # counted from 1, as bitmaps are
-    maps = placed.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    out = bytearray(SLOTS)
-    for r in maps.collect():
-        base = (r.bucket - 1) * 8 * len(r.bits)
-        for at, byte in enumerate(r.bits):
-            while byte:
-                low = byte & -byte
-                out[base + at * 8 + low.bit_length() - 1] = 1
-                byte ^= low
-    return bytes(out)
+def filter_words(terms: DataFrame) -> Column:
+    """A Bloom filter of the terms as an array of 64-bit words; its size does not depend on how many they are."""
+    placed = terms.select(F.explode(F.array(*slots(F.col("term")))).alias("s"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))
+    words = [0] * (1 << (SLOT_BITS - 6))
+    for r in placed.groupBy(F.shiftright("s", 6).alias("at")).agg(F.bit_or(one).alias("bits")).collect():
+        words[r["at"]] = r["bits"]
+    # Folded to a constant array once per query.
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+
+def may_hold(words: Column, term: Column) -> Column:
+    hit = lambda s: (F.call_function("shiftrightunsigned", F.get(words, F.shiftright(s, 6).cast("int")), s.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return reduce(and_, map(hit, slots(term)))
 
 
 def marks(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(tag, start, end, generalise): all places of disclosing terms, once per text."""
     single, several = disclosing(docs, found)
-    words = found.filter("words IS NOT NULL").select("row", "tag", F.explode("words").alias("w")).select("row", "tag", "w.*")
-    alone = words.join(single, ["row", "term"]).select("tag", "start", "end", F.lit(0).alias("generalise"))
+    own = found.filter("words IS NOT NULL").select("row", "tag", F.explode("words").alias("w")).select("row", "tag", "w.*")
+    alone = own.join(single, ["row", "term"]).select("tag", "start", "end", F.lit(0).alias("generalise"))
     several = stage(several, "privacy-several")
     if several.isEmpty():
         return alone
-    taken = F.lit(bytearray(taken_slots(several)))
-    hit = lambda t: F.substring(taken, (slot(t) + 1).cast("int"), F.lit(1)) == F.lit(bytearray(b"\x01"))
+    words = filter_words(several)
+    hit = lambda t: may_hold(words, t)
     text = F.coalesce(F.col("text"), F.lit(""))
     likely = docs.select(F.xxhash64(text).alias("tag"), text.alias("_text")).filter(F.exists(terms_of(F.col("_text")), hit))
     there = likely.select("tag", F.explode(F.filter(places(F.col("_text")), lambda w: hit(w["term"]))).alias("w")).select("tag", "w.*").distinct()
