@@ -22,8 +22,8 @@ without the entity by ``[TERM]`` (generalised), and others by nothing (removed).
 Pairs are not listed where they cannot matter. A term of one document needs no partner: any
 entity of that document will do. Other terms need an entity of two documents or more, and
 entities that stand in the same documents count as one class. Documents are searched for
-disclosing terms of several documents behind a Bloom filter of 2^``SLOT_BITS`` bits; when it
-fills up it costs time, not spans.
+disclosing terms of several documents behind a filter of 2^``SLOT_BITS`` bits; when it fills up
+it costs time, not spans.
 
 Whole texts are read. A null text is empty. Rows count as documents, copies and repeated rows
 too, and rows with the same text get the same spans. A null doc_id is an id. Other columns
@@ -34,7 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,8 +52,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 OPEN_BITS = 1  # what a disclosing term may leave open; the whole-number comparisons are written for one bit
-SLOT_BITS = 24  # of the filter for terms of several documents: 2^24 bits, 2 MB
-HASHES = 3
+SLOT_BITS = 24  # of the filters for terms and texts: 2^24 bits, at most 2^18 rows to broadcast
 LETTERS = r"[\p{L}\p{M}]+"
 OTHERS = r"[^\p{L}\p{M}]+"
 RUN = 64
@@ -191,24 +190,19 @@ def disclosing(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]
     return single, several
 
 
-def slots(term: Column) -> list[Column]:
-    return [F.xxhash64(term, F.lit(h)).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) for h in range(HASHES)]
+def filter_table(hashes: DataFrame) -> DataFrame:
+    """(at, bits): a hash filter as at most 2^``SLOT_BITS`` / 64 rows, whatever the number of hashes in column ``h``."""
+    slot = F.col("h").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    return hashes.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(one).alias("bits"))
 
 
-def filter_words(terms: DataFrame) -> Column:
-    """A Bloom filter of the terms as an array of 64-bit words; its size does not depend on how many they are."""
-    placed = terms.select(F.explode(F.array(*slots(F.col("term")))).alias("s"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))
-    words = [0] * (1 << (SLOT_BITS - 6))
-    for r in placed.groupBy(F.shiftright("s", 6).alias("at")).agg(F.bit_or(one).alias("bits")).collect():
-        words[r["at"]] = r["bits"]
-    # Folded to a constant array once per query.
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
-
-
-def may_hold(words: Column, term: Column) -> Column:
-    hit = lambda s: (F.call_function("shiftrightunsigned", F.get(words, F.shiftright(s, 6).cast("int")), s.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    return reduce(and_, map(hit, slots(term)))
+def pass_filter(rows: DataFrame, hashed: Column, table: DataFrame) -> DataFrame:
+    """Rows whose hash may be among those of the table; the table has a fixed size and is broadcast."""
+    slot = hashed.bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+    placed = rows.withColumns({"at": F.shiftright(slot, 6), "_bit": slot.bitwiseAND(F.lit(63)).cast("int")})
+    held = F.call_function("shiftrightunsigned", F.col("bits"), F.col("_bit")).bitwiseAND(F.lit(1)) == 1
+    return placed.join(F.broadcast(table), "at").filter(held).drop("at", "bits", "_bit")
 
 
 def marks(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -217,14 +211,15 @@ def marks(docs: DataFrame, found: DataFrame) -> DataFrame:
     own = found.filter("words IS NOT NULL").select("row", "tag", F.explode("words").alias("w")).select("row", "tag", "w.*")
     alone = own.join(single, ["row", "term"]).select("tag", "start", "end", F.lit(0).alias("generalise"))
     several = stage(several, "privacy-several")
-    if several.isEmpty():
-        return alone
-    words = filter_words(several)
-    hit = lambda t: may_hold(words, t)
     text = F.coalesce(F.col("text"), F.lit(""))
-    likely = docs.select(F.xxhash64(text).alias("tag"), text.alias("_text")).filter(F.exists(terms_of(F.col("_text")), hit))
-    there = likely.select("tag", F.explode(F.filter(places(F.col("_text")), lambda w: hit(w["term"]))).alias("w")).select("tag", "w.*").distinct()
-    return alone.unionByName(there.join(several, "term").select("tag", "start", "end", "generalise"))
+    texts = docs.select(F.xxhash64(text).alias("tag"), text.alias("_text"))
+    terms = filter_table(several.select(F.xxhash64("term").alias("h")))
+    likely = pass_filter(texts.select("tag", F.explode(terms_of(F.col("_text"))).alias("term")), F.xxhash64("term"), terms)
+    hits = stage(likely.distinct().join(several, "term"), "privacy-hits")
+    # Only texts with a hit are moved, each once, to find the places in them.
+    held = pass_filter(texts, F.col("tag"), filter_table(hits.select(F.col("tag").alias("h"))))
+    words = held.groupBy("tag").agg(F.first("_text").alias("_text")).select("tag", F.explode(places(F.col("_text"))).alias("w")).select("tag", "w.*")
+    return alone.unionByName(words.join(hits, ["tag", "term"]).select("tag", "start", "end", "generalise"))
 
 
 def protect(docs: DataFrame) -> DataFrame:
