@@ -177,13 +177,18 @@ def json_at(text: Column, pointer: str) -> Column:
     return F.when(found.isNotNull(), F.to_json(found))
 
 
+def row_text(parts: Sequence[Column]) -> Column:
+    """JSON array of the cells as text; NULL is null, so no cell can be taken for another or for a separator."""
+    return F.to_json(F.array(*[p.cast("string") for p in parts]), {"ignoreNullFields": "false"})
+
+
 def set_digest(parts: Sequence[Column]) -> list[Column]:
     """Aggregates for an order-free digest of a row set: four decimal sums of digest words.
 
     One pass with partial aggregation; no row or task ever holds the set. Combine
     with ``finish_digest``.
     """
-    row = F.sha2(F.concat_ws("␟", *[F.coalesce(p.cast("string"), F.lit("␀")) for p in parts]), 256)
+    row = F.sha2(row_text(parts), 256)
     sums = [
         F.sum(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"_w{i}")
         for i in range(4)

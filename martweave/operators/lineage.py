@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martweave.functions import documents, scale
-from martweave.functions.scalars import stable_id
+from martweave.functions.scalars import finish_digest, row_text, set_digest, stable_id
 from martweave.operators.quality import all_violations, rule_rows, violation
 
 # Edge kinds between ports, the relations and kinds a candidate may have.
@@ -263,17 +263,34 @@ def lineage_walk(edges: DataFrame, start: str, direction: str) -> DataFrame:
             seen = scale.stage(seen, "walk-seen")
 
 
+def walk_paths(walk: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(target, position, step): the nodes from the start (position 0) to every target that the walk reached.
+
+    walk(node, distance, parent) as ``lineage_walk`` returns it, nodes(node). Ancestors at
+    distance 2^k are looked up for all targets at once, and paths double in every round, so
+    there are as many rounds as the logarithm of the longest path, whatever the number of targets.
+    """
+    far = scale.stage(walk.select("node", "distance", F.col("parent").alias("above")), "walk-jumps")
+    paths = scale.stage(nodes.select(F.col("node").alias("target")).distinct().join(
+        far.select(F.col("node").alias("target"), "distance"), "target").select("target", F.col("distance").alias("position"), F.col("target").alias("step")), "walk-paths")
+    longest = paths.agg(F.max("position")).first()[0] or 0
+    jump = 1
+    while jump <= longest:
+        # A step at this distance or more has an ancestor that far above it, and none of them is in a path yet.
+        above = paths.filter(F.col("position") >= jump).join(far.select(F.col("node").alias("step"), "above"), "step").select(
+            "target", (F.col("position") - jump).alias("position"), F.col("above").alias("step"))
+        paths = scale.stage(paths.unionByName(above), "walk-paths")
+        jump *= 2
+        if jump <= longest:
+            beyond = far.select(F.col("node").alias("above"), F.col("above").alias("_next"))
+            far = scale.stage(far.filter(F.col("distance") >= jump).join(beyond, "above").select("node", "distance", F.col("_next").alias("above")), "walk-jumps")
+    return paths
+
+
 def walk_path(walk: DataFrame, node: str) -> list[str]:
-    """Nodes from the start to ``node``; as many single-row reads as the path is long."""
-    path: list[str] = []
-    current: str | None = node
-    while current is not None:
-        row = walk.filter(F.col("node") == current).first()
-        if row is None:
-            return []
-        path.insert(0, current)
-        current = row["parent"]
-    return path
+    """Nodes from the start to ``node``; empty if the walk did not reach it."""
+    one = walk.select("node").filter(F.col("node") == node)
+    return [r["step"] for r in walk_paths(walk, one).orderBy("position").select("step").collect()]
 
 
 def _greatest_source(edges: DataFrame, label: str) -> DataFrame:
@@ -475,17 +492,26 @@ def blocker_counts(gaps: DataFrame) -> DataFrame:
     return gaps.groupBy("reason").agg(F.count(F.lit(1)).alias("count")).orderBy("reason")
 
 
-def finding_groups(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Group findings(candidate_id, method, attributes, path, line, end_line) by what they say.
+def finding_groups(findings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Group findings by method, attributes and the ordered list of files that their evidence names.
 
-    Returns (groups, members): group rows carry counts, and every candidate and
-    location stays its own row keyed by the group, so no group is collected.
+    findings(candidate_id, method, attributes, path, line, end_line) has a row per piece of
+    evidence; ``position`` (0 where the column is missing) is its place in the finding. The list is
+    compared by a digest in which every file counts with its place, so no list is gathered.
+    Returns (groups, files, members): files(group_id, position, path) states the list once, and every candidate and
+    location stays its own row keyed by the group.
     """
-    key = F.sha2(F.to_json(F.array("method", "attributes", "path")), 256)  # NULLs stay in the text
-    keyed = findings.withColumn("group_id", key)
-    groups = keyed.groupBy("group_id", "method", "attributes", "path").agg(
-        F.count(F.lit(1)).alias("candidates"), F.min("line").alias("first_line"), F.max("end_line").alias("last_line"))
-    return groups, keyed.select("group_id", "candidate_id", "line", "end_line")
+    placed = findings if "position" in findings.columns else findings.withColumn("position", F.lit(0))
+    lists = placed.groupBy("candidate_id", "method", "attributes").agg(
+        *set_digest([F.col("position"), F.col("path")]), F.min("line").alias("first_line"), F.max("end_line").alias("last_line"))
+    key = F.sha2(row_text([F.col("method"), F.col("attributes"), finish_digest()]), 256)
+    keyed = scale.stage(lists.select(key.alias("group_id"), "candidate_id", "method", "attributes", F.col("_rows").alias("files"), "first_line", "last_line"), "finding-lists")
+    groups = keyed.groupBy("group_id", "method", "attributes", "files").agg(
+        F.count(F.lit(1)).alias("candidates"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"))
+    match = [placed["candidate_id"] == keyed["candidate_id"], placed["method"].eqNullSafe(keyed["method"]), placed["attributes"].eqNullSafe(keyed["attributes"])]
+    members = placed.join(keyed, match[0] & match[1] & match[2]).select(
+        "group_id", placed["candidate_id"], placed["position"], placed["path"], placed["line"], placed["end_line"])
+    return groups, members.select("group_id", "position", "path").distinct(), members.drop("path")
 
 
 def source_coverage(items: DataFrame, statements: DataFrame) -> DataFrame:
@@ -611,15 +637,27 @@ def bind_panels(
 
 
 def resolve_scope(upstreams: DataFrame, allowed: DataFrame) -> DataFrame:
-    """upstreams(datasource, urn), allowed(scope_id, urn): the one scope that contains all upstreams."""
-    wanted = upstreams.select("datasource", "urn").distinct()
-    total = wanted.groupBy("datasource").agg(F.count(F.lit(1)).alias("total"))
-    covered = wanted.join(allowed.select("scope_id", "urn").distinct(), "urn").groupBy("datasource", "scope_id").agg(
+    """upstreams(datasource, urn), allowed(scope_id, urn): the one scope that contains all upstreams.
+
+    Data sources with equal sets of upstreams share one set, told apart by an order-free digest,
+    and a set is tested once: against the scopes that hold its rarest member, member by member.
+    A dataset that all data sources read makes no row per data source and scope.
+    """
+    wanted = scale.stage(upstreams.select("datasource", "urn").distinct(), "scope-wanted")
+    owners = wanted.groupBy("datasource").agg(*set_digest([F.col("urn")])).select("datasource", finish_digest().alias("set_id"))
+    owners = scale.stage(owners, "scope-owners")
+    heads = owners.groupBy("set_id").agg(F.min("datasource").alias("datasource"))
+    members = scale.stage(wanted.join(heads, "datasource").select("set_id", "urn"), "scope-sets")
+    granted = allowed.select("scope_id", "urn").distinct()
+    often = granted.groupBy("urn").agg(F.count(F.lit(1)).alias("_n"))
+    counted = members.join(often, "urn", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rarest = counted.groupBy("set_id").agg(F.min_by("urn", F.struct("_n", "urn")).alias("urn"), F.count(F.lit(1)).alias("total"))
+    likely = rarest.join(granted, "urn").select("set_id", "scope_id", "total")
+    covered = likely.join(members, "set_id").join(granted, ["scope_id", "urn"], "left_semi").groupBy("set_id", "scope_id", "total").agg(
         F.count(F.lit(1)).alias("covered"))
-    full = covered.join(total, "datasource").filter("covered = total").groupBy("datasource").agg(
-        F.count(F.lit(1)).alias("scopes"), F.min("scope_id").alias("scope_id"))
+    full = covered.filter("covered = total").groupBy("set_id").agg(F.count(F.lit(1)).alias("scopes"), F.min("scope_id").alias("scope_id"))
     one = F.coalesce(F.col("scopes") == 1, F.lit(False))
-    return total.join(full, "datasource", "left").select(
+    return owners.join(full, "set_id", "left").select(
         "datasource", F.when(one, F.col("scope_id")).alias("scope_id"),
         F.when(~one, "scope_ambiguous_or_unapproved").alias("reason"))
 

@@ -9,7 +9,7 @@ from martweave.functions import documents as D
 from martweave.functions import scalars as S
 from martweave.operators import catalog as C
 from martweave.plans.query import page
-from martweave.queries.registry import DIGEST, query
+from martweave.queries.registry import DIGEST, query, row_sql
 from martweave.sources.adapter import table
 from martweave.sources.readers import allowlist_tables
 
@@ -214,7 +214,7 @@ def apply_associations(spark, root):
     return C.apply_associations(current.select("*", kind), changes.select("*", kind))
 
 
-@query("""
+@query(f"""
 SELECT l_orderkey AS asset, l_partkey AS domain, l_returnflag = 'R' AS propagated,
        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'R', l_linenumber, l_partkey, l_suppkey) - 1 AS position
 FROM lineitem""")
@@ -286,7 +286,7 @@ WITH rows AS (
   SELECT 'part:' || p_partkey AS urn, p_brand AS v, NULL AS path FROM part WHERE p_type <> 'PROMO' AND p_size <> 13
   UNION ALL SELECT 'part:' || l_partkey, p_brand, 'f' || l_suppkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)
   JOIN part ON p_partkey = l_partkey WHERE p_type <> 'PROMO' AND p_size <> 13),
-hashed AS (SELECT path, sha256(urn || '␟' || v || '␟' || coalesce(path, '␀')) AS h FROM rows)
+hashed AS (SELECT path, {row_sql('urn', 'v', 'path')} AS h FROM rows)
 SELECT count(*) FILTER (path IS NULL) AS dataset_count, count(path) AS field_count, {DIGEST} AS fingerprint FROM hashed""")
 def scope_fingerprint(spark, root):
     members, datasets, fields = _scope(spark, root)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from martweave.functions import scalars as S
 from martweave.operators import lineage as L
-from martweave.queries.registry import query
+from martweave.queries.registry import DIGEST, query, row_sql
 from martweave.sources.adapter import table
 
 # --- graph contract: parts are assets, suppliers operations, both have a port ----------------
@@ -376,6 +376,17 @@ def lineage_walk(spark, root):
     return L.lineage_walk(catalog_edges(spark, root), "region:2", "DOWNSTREAM")
 
 
+@query(EDGES_SQL + _WALK.format(start="region:2", near="src", far="dst").replace("SELECT b.node", ", w AS (SELECT b.node") + """),
+p(target, position, step) AS (
+  SELECT node, distance, node FROM w WHERE starts_with(node, 'part:') UNION ALL
+  SELECT p.target, p.position - 1, w.parent FROM p JOIN w ON w.node = p.step WHERE w.parent IS NOT NULL)
+SELECT target, CAST(position AS INTEGER) AS position, step FROM p""")
+def lineage_paths(spark, root):
+    """The path from one region to every part below it."""
+    walk = L.lineage_walk(catalog_edges(spark, root), "region:2", "DOWNSTREAM")
+    return L.walk_paths(walk, walk.filter(F.startswith("node", F.lit("part:"))))
+
+
 @query(EDGES_SQL + _WALK.format(start="part:11", near="dst", far="src"))
 def lineage_walk_up(spark, root):
     """Everything above one part."""
@@ -591,33 +602,49 @@ def blocker_counts(spark, root):
 
 
 def findings(spark, root) -> DataFrame:
+    own = F.concat(F.lit("file"), F.col("l_suppkey").cast("string"))
+    both = F.when(F.col("l_partkey") % 2 == 1, F.array(F.lit("common"), own)).otherwise(F.array(own, F.lit("common")))
     return table(spark, root, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("candidate_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("candidate_id"),
         F.col("l_returnflag").alias("method"), F.when(F.col("l_linenumber") != 6, F.col("l_linestatus")).alias("attributes"),
-        F.concat(F.lit("file"), F.col("l_suppkey").cast("string")).alias("path"),
-        F.col("l_linenumber").alias("line"), F.col("l_linenumber") + F.col("l_quantity").cast("int"))\
-        .toDF("candidate_id", "method", "attributes", "path", "line", "end_line")
-
-
-_GROUP_ID = """sha256('["' || l_returnflag || '",' || CASE WHEN l_linenumber = 6 THEN 'null' ELSE '"' || l_linestatus || '"' END
-  || ',"file' || l_suppkey || '"]')"""
-
-
-@query(f"""
-SELECT {_GROUP_ID} AS group_id, l_returnflag AS method, CASE WHEN l_linenumber <> 6 THEN l_linestatus END AS attributes, 'file' || l_suppkey AS path,
-       count(*) AS candidates, min(l_linenumber) AS first_line, max(l_linenumber + CAST(l_quantity AS INTEGER)) AS last_line
-FROM lineitem GROUP BY ALL""")
+        F.col("l_linenumber").alias("line"), (F.col("l_linenumber") + F.col("l_quantity").cast("int")).alias("end_line"),
+        F.posexplode(F.when(F.col("l_quantity") < 18, both).otherwise(F.array(own))).alias("position", "path"))
+
+
+# A second file is evidence of every third line, before the first one for odd parts.
+_FINDINGS = f"""
+WITH f AS (
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS candidate_id, l_returnflag AS method,
+         CASE WHEN l_linenumber <> 6 THEN l_linestatus END AS attributes, l_linenumber AS line, l_linenumber + CAST(l_quantity AS INTEGER) AS end_line,
+         CASE WHEN l_quantity < 18 THEN CASE WHEN l_partkey % 2 = 1 THEN ['common', 'file' || l_suppkey] ELSE ['file' || l_suppkey, 'common'] END
+              ELSE ['file' || l_suppkey] END AS files FROM lineitem),
+e AS (SELECT *, unnest(range(len(files))) AS position, unnest(files) AS path FROM f),
+h AS (SELECT *, {row_sql('position', 'path')} AS h FROM e),
+lists AS (SELECT candidate_id, method, attributes, count(*) AS files, min(line) AS first_line, max(end_line) AS last_line, {DIGEST} AS d FROM h GROUP BY ALL),
+g AS (SELECT *, {row_sql('method', 'attributes', 'd')} AS group_id FROM lists)"""
+
+
+@query(_FINDINGS + """
+SELECT group_id, method, attributes, files, count(*) AS candidates, min(first_line) AS first_line, max(last_line) AS last_line
+FROM g GROUP BY ALL""")
 def finding_groups(spark, root):
     return L.finding_groups(findings(spark, root))[0]
 
 
-@query(f"""
-SELECT {_GROUP_ID} AS group_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS candidate_id,
-       l_linenumber AS line, l_linenumber + CAST(l_quantity AS INTEGER) AS end_line FROM lineitem""")
-def finding_members(spark, root):
+@query(_FINDINGS + """
+SELECT DISTINCT group_id, position, path FROM e JOIN g ON e.candidate_id = g.candidate_id AND e.method = g.method
+  AND e.attributes IS NOT DISTINCT FROM g.attributes""")
+def finding_files(spark, root):
     return L.finding_groups(findings(spark, root))[1]
 
 
+@query(_FINDINGS + """
+SELECT group_id, e.candidate_id, position, line, end_line FROM e JOIN g ON e.candidate_id = g.candidate_id AND e.method = g.method
+  AND e.attributes IS NOT DISTINCT FROM g.attributes""")
+def finding_members(spark, root):
+    return L.finding_groups(findings(spark, root))[2]
+
+
 COVERAGE_SQL = """
 WITH s AS (SELECT o_custkey AS process, bool_and(o_orderstatus <> 'P') AS ok FROM orders GROUP BY 1),
 r AS (
@@ -773,11 +800,11 @@ def resolve_scope(spark, root):
 
 
 @query("""
-SELECT DISTINCT l_suppkey % 100 AS src, l_partkey % 100 AS dst FROM lineitem WHERE l_suppkey % 100 <> l_partkey % 100""")
+SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey <> l_partkey""")
 def table_lineage(spark, root):
     origins = table(spark, root, "lineitem").select(
-        (F.col("l_partkey") % 100).alias("dataset"), F.col("l_linenumber").alias("field"),
-        (F.col("l_suppkey") % 100).alias("origin_dataset"), F.col("l_returnflag").alias("role"))
+        F.col("l_partkey").alias("dataset"), F.col("l_linenumber").alias("field"),
+        F.col("l_suppkey").alias("origin_dataset"), F.col("l_returnflag").alias("role"))
     return L.table_lineage(origins)
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martweave.functions import scale
 from martweave.functions import scalars as S
-from martweave.operators import mart, quality
+from martweave.operators import copies, mart, quality
 from martweave.operators.mart import Scope
 from martweave.plans import load, reports
-from martweave.queries.registry import DIGEST, query
-from martweave.sources import adapter
+from martweave.queries.registry import DIGEST, query, row_sql
+from martweave.sources import adapter, readers
 from martweave.sources.adapter import table
 from martweave.sources.sinks import current_paths
 
@@ -680,12 +682,11 @@ def unknown_member_check(spark, root):
     return mart.unknown_member_check(mart_of(spark, root).dims)
 
 
-_FACT_TEXT = " || '␟' || ".join(f"coalesce(CAST({c} AS VARCHAR), '␀')" for c in mart.FACT_COLUMNS)
 _FACT_SCHEMA = ",".join(":".join(part.split()) for part in mart.FACT_SCHEMA.replace("(19,", "(19;").split(",")).replace(";", ",")
 
 
 @query(MART_SQL + f"""
-, hashed AS (SELECT sha256({_FACT_TEXT}) AS h FROM sales)
+, hashed AS (SELECT {row_sql(*mart.FACT_COLUMNS)} AS h FROM sales)
 SELECT count(*) AS rows, sha256('{_FACT_SCHEMA}') AS schema_sha256, {DIGEST} AS content_sha256 FROM hashed""")
 def table_fingerprint(spark, root):
     """The fingerprint of the fact; two copies are the same table when it is equal."""
@@ -726,3 +727,50 @@ def upsert_fact(spark, root):
     added = fact.filter("order_qty > 45").withColumn("sales_order_id", F.col("sales_order_id") + 1000000000)
     merged = mart.upsert_fact(fact, changed.unionByName(added))
     return merged.select("sales_order_id", "sales_order_detail_id", "order_qty")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 5 THEN 0 ELSE 1 END AS left_rows,
+       CASE WHEN o_orderkey % 97 = 3 THEN 0 WHEN o_orderkey % 97 = 11 THEN 2 ELSE 1 END AS right_rows,
+       CASE o_orderkey % 97 WHEN 3 THEN 'missing' WHEN 5 THEN 'extra' ELSE 'changed' END AS finding
+FROM orders WHERE o_orderkey % 97 IN (3, 5, 7, 9, 11)""")
+def compare_copies(spark, root):
+    """Orders against a copy that lost rows, has rows of its own, changed or NULL cells, and a repeated row."""
+    orders, k = table(spark, root, "orders"), F.col("o_orderkey") % 97
+    changed = orders.filter(k != 3).withColumns({
+        "o_orderstatus": F.when(k == 7, "X").otherwise(F.col("o_orderstatus")), "o_orderpriority": F.when(k != 9, F.col("o_orderpriority"))})
+    return copies.compare_copies(orders.filter(k != 5), changed.unionByName(orders.filter(k == 11)), ["o_orderkey"])
+
+
+@query(MART_SQL + """
+SELECT 'order_qty' AS "column", 'int' AS left_type, count(*) AS left_rows, 0 AS left_nulls, CAST(sum(order_qty) AS VARCHAR) AS left_total,
+       'int' AS right_type, count(*) AS right_rows, 0 AS right_nulls, CAST(sum(order_qty + CASE WHEN order_qty = 50 THEN 1 ELSE 0 END) AS VARCHAR) AS right_total FROM sales
+UNION ALL
+SELECT 'status', 'int', count(*), 0, CAST(sum(status) AS VARCHAR), 'int', count(*), count(*) FILTER (order_qty < 3), CAST(sum(CASE WHEN order_qty >= 3 THEN status END) AS VARCHAR) FROM sales
+UNION ALL
+SELECT 'line_net_amount', 'decimal(19,6)', count(*), 0, CAST(CAST(sum(line_net_amount) AS DECIMAL(38,6)) AS VARCHAR), NULL, NULL, NULL, NULL FROM sales""")
+def compare_totals(spark, root):
+    """The fact against a copy with changed quantities, NULLs and a column less."""
+    fact = mart_of(spark, root).fact
+    q = F.col("order_qty")
+    return copies.compare_totals(fact, fact.withColumns({
+        "status": F.when(q >= 3, F.col("status")), "order_qty": F.when(q == 50, 51).otherwise(q)}).drop("line_net_amount"))
+
+
+@query(MART_SQL + """
+SELECT 'customer' AS name, count(*) AS rows, CAST(sum(source_customer_id) AS BIGINT) AS ids, 'bigint,bigint' AS types FROM customers
+UNION ALL SELECT 'product', count(*), CAST(sum(source_product_id) AS BIGINT), 'bigint,string,string,bigint' FROM products
+UNION ALL SELECT 'sales_territory', count(*), CAST(sum(source_territory_id) AS BIGINT), 'bigint,string,string,string' FROM territories
+UNION ALL SELECT 'sales_order_header', count(*), CAST(sum(sales_order_id) AS BIGINT), 'bigint,timestamp,bigint,bigint,int,bigint' FROM headers
+UNION ALL SELECT 'sales_order_detail', count(*), CAST(sum(sales_order_id) AS BIGINT), 'bigint,bigint,bigint,int,decimal(19,4),decimal(19,4),decimal(19,6)' FROM details
+UNION ALL SELECT 'product_category', count(*), CAST(sum(id) AS BIGINT), 'bigint,string' FROM cat
+UNION ALL SELECT 'product_subcategory', count(*), CAST(sum(id) AS BIGINT), 'bigint,string,bigint' FROM sub""")
+def read_sources(spark, root):
+    """The seven source tables, written from the driver tables and read back with their declared types."""
+    folder = scale.new_path(spark, "sources")
+    for name, df in adapter.mart_sources(spark, root).items():
+        declared = [f.split(" ")[0] for f in readers.SOURCE_SCHEMAS[name].split(", ")]
+        df.select(*declared).write.parquet(f"{folder}/{name}.parquet")
+    parts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.sum(df.columns[0]).alias("ids"),
+                    F.lit(",".join(kind for _, kind in df.dtypes)).alias("types")) for name, df in readers.read_sources(spark, folder).items()]
+    return reduce(DataFrame.unionByName, parts)

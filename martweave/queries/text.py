@@ -9,8 +9,8 @@ from martweave.functions import scalars as S
 from martweave.functions.documents import values_at
 from martweave.operators import quality
 from martweave.operators import sessions as T
-from martweave.queries.registry import DIGEST, query
-from martweave.sources import readers
+from martweave.queries.registry import DIGEST, query, row_sql
+from martweave.sources import declared, readers
 from martweave.sources.adapter import table
 from martweave.sources.sinks import to_wire as wire
 
@@ -21,7 +21,7 @@ def corpus_manifest(spark, root):
 
 
 @query(f"""
-WITH hashed AS (SELECT strlen(text) AS size, sha256(doc_id || '␟' || sha256(text) || '␟' || strlen(text)) AS h FROM documents)
+WITH hashed AS (SELECT strlen(text) AS size, {row_sql('doc_id', 'sha256(text)', 'strlen(text)')} AS h FROM documents)
 SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS total_bytes, {DIGEST} AS manifest_sha256 FROM hashed""")
 def manifest_digest(spark, root):
     return readers.manifest_digest(readers.corpus_manifest(table(spark, root, "documents"), F.col("doc_id"), F.col("text")))
@@ -31,7 +31,7 @@ def manifest_digest(spark, root):
 
 
 def dashboards(spark, root):
-    """A dashboard per supplier: two panels, a row with a panel inside, two variables."""
+    """A dashboard per supplier: two panels, a row with a panel and another row inside, two variables."""
     k, balance = F.col("s_suppkey"), F.col("s_acctbal")
     key = k.cast("string")
 
@@ -51,7 +51,10 @@ def dashboards(spark, root):
     def panel(number, type_, targets, ds, panels):
         return F.struct(number.alias("id"), type_.alias("type"), targets.alias("targets"), ds.alias("datasource"), panels.alias("panels"))
 
-    inner = F.array(F.struct(F.lit(3).alias("id"), F.lit("stat").alias("type"), one.alias("targets"), source(mssql).alias("datasource")))
+    deepest = F.array(F.struct(F.lit(4).alias("id"), F.lit("stat").alias("type"), one.alias("targets"), source(mssql).alias("datasource")))
+    inner = F.array(
+        panel(F.lit(3), F.lit("stat"), one, source(mssql), F.filter(deepest, lambda p: F.lit(False))),
+        panel(F.lit(11), F.lit("row"), empty, source(mssql), deepest))
     none = F.filter(inner, lambda p: F.lit(False))
     panels = F.array(
         panel(F.lit(1), F.lit("stat"), one, source(kind), none),
@@ -59,7 +62,7 @@ def dashboards(spark, root):
         panel(F.lit(9), F.lit("row"), empty, source(mssql), inner))
     variables = F.array(
         F.struct(F.lit("territory").alias("name"), F.lit("query").alias("type"), F.lit("SELECT t").alias("query"), source(mssql).alias("datasource")),
-        F.struct(F.lit("span").alias("name"), F.lit("interval").alias("type"), F.lit("1d").alias("query"), source(mssql).alias("datasource")))
+        F.struct(F.when(k % 11 == 0, "territory").otherwise("span").alias("name"), F.lit("interval").alias("type"), F.lit("1d").alias("query"), source(mssql).alias("datasource")))
     board = F.struct(
         F.when(balance >= 0, F.concat(F.lit("d"), key)).alias("uid"), panels.alias("panels"),
         F.struct(variables.alias("list")).alias("templating"))
@@ -69,52 +72,69 @@ def dashboards(spark, root):
 
 @query("""
 WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS path, s_suppkey AS k, 'd' || s_suppkey AS dashboard_uid, 'ds' || (s_suppkey % 3) AS ds,
-                  'SELECT ' || s_suppkey AS sql1 FROM supplier WHERE s_acctbal >= 0)
+                  'SELECT ' || s_suppkey AS sql1 FROM supplier WHERE s_acctbal >= 0 AND s_suppkey % 11 <> 0)
 SELECT CAST(s_suppkey AS VARCHAR) AS path, NULL AS dashboard_uid, 'dashboard' AS kind, NULL AS id, NULL AS ref_id, NULL AS datasource_uid,
        NULL AS sql, 'dashboard_identity_missing' AS reason FROM supplier WHERE s_acctbal < 0
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'd' || s_suppkey, 'dashboard', NULL, NULL, NULL, NULL, 'variable_identity_invalid'
+FROM supplier WHERE s_acctbal >= 0 AND s_suppkey % 11 = 0
 UNION ALL SELECT path, dashboard_uid, 'panel', '1', 'A', ds, sql1,
        CASE WHEN k % 5 = 0 THEN 'datasource_binding_required' END FROM s
 UNION ALL SELECT path, dashboard_uid, 'panel', CASE WHEN k % 7 = 0 THEN '1' ELSE '2' END, 'A', ds, CASE WHEN k % 4 = 0 THEN 'SELECT 1' ELSE sql1 END,
        CASE WHEN k % 7 = 0 OR k % 4 = 0 THEN 'panel_structure_unsupported' END FROM s
-UNION ALL SELECT path, dashboard_uid, 'panel', '3', 'A', ds, sql1, NULL FROM s
+UNION ALL SELECT path, dashboard_uid, 'panel', unnest(['3', '4']), 'A', ds, sql1, NULL FROM s
 UNION ALL SELECT path, dashboard_uid, 'variable', 'territory', NULL, ds, 'SELECT t', NULL FROM s
 UNION ALL SELECT path, dashboard_uid, 'variable', 'span', NULL, ds, '1d', 'variable_type_unsupported' FROM s""")
 def explode_dashboards(spark, root):
-    return readers.explode_dashboards(dashboards(spark, root))
+    return declared.explode_dashboards(dashboards(spark, root))
 
 
 def api_specs(spark, root):
-    """An API document per part with one to three paths."""
-    k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    """An API document per part with one to three paths, references and members that are not described."""
+    k, n, key = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey").cast("string")
+    plain = '{"content":{"application/json":{"schema":{"type":"object"}}}}'
+    referred = lambda name: F.lit('{"$ref":"#/components/responses/%s"}' % name)
+    answer = (F.when(k % 8 == 1, referred("near")).when(k % 8 == 3, referred("none")).when(k % 8 == 5, referred("loop"))
+              .when(k % 8 == 7, '{"$ref":"#/components","summary":"s"}').otherwise(plain))
     ok = F.format_string(
-        '{"get":{"responses":{"200":{"content":{"application/json":{"schema":{"type":"object"}}}},"%s":{}}},'
-        '"post":{"requestBody":{"content":{"%s":{"schema":{}}}},"responses":{"204":{}}}%s}',
-        F.when(F.col("p_size") % 5 == 0, "abc").otherwise("4XX"),
-        F.when(F.col("p_size") % 3 == 0, "text/csv").otherwise("application/json"),
-        F.when(F.col("p_size") % 7 == 0, ',"fetch":{},"x-team":1,"summary":"s"').otherwise(""))
-    bare = F.lit('{"delete":{"responses":{}}}')
+        '{"get":{%s"responses":{"200":%s,"%s":%s}},"post":{"requestBody":{"content":{"%s":{"schema":{}}}},"responses":{"204":%s}}%s%s}',
+        F.when(n % 4 == 0, '"parameters":[],"callbacks":{},').otherwise(""), answer,
+        F.when(n % 5 == 0, "abc").otherwise("4XX"), F.when(n % 9 == 0, '{"headers":{}}').otherwise("{}"),
+        F.when(n % 3 == 0, "text/csv").otherwise("application/json"), F.when(n % 11 == 0, '{"content":[]}').otherwise("{}"),
+        F.when(n % 7 == 0, ',"fetch":{},"x-team":1,"summary":"s"').otherwise(""), F.when(n % 6 == 0, ',"parameters":[]').otherwise(""))
+    bare = F.when(k % 12 == 0, '{"delete":1}').otherwise('{"delete":{"responses":{}}}')
     reference = F.lit('{"$ref":"#/elsewhere"}')
-    doc = F.when(F.col("p_size") == 50, '{"info":1}').otherwise(F.concat(
+    parts = F.lit(',"components":{"responses":{"near":{"$ref":"#/components/responses/far"},"far":%s,"loop":{"$ref":"#/components/responses/pool"},'
+                  '"pool":{"$ref":"#/components/responses/loop"}}}' % plain)
+    doc = F.when(n == 50, '{"openapi":"3.0.1","info":1}').when(n == 49, '{"swagger":"2.0","paths":{"/x":{}}}').otherwise(F.concat(
         F.lit('{"openapi":"3.0.0","paths":{"/parts/'), key, F.lit('":'), ok, F.lit(',"/parts/'), key, F.lit('/old":'), bare,
-        F.when(k % 2 == 0, F.concat(F.lit(',"/ref":'), reference)).otherwise(""), F.lit("}}")))
+        F.when(k % 2 == 0, F.concat(F.lit(',"/ref":'), reference)).otherwise(""), F.lit("}"), parts,
+        F.when(k % 10 == 0, ',"servers":[]').otherwise(""), F.lit("}")))
     return table(spark, root, "part").select(key.alias("path"), doc.alias("text"))
 
 
 @query("""
-WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS doc, p_partkey AS k, p_size AS n, '/parts/' || p_partkey AS route FROM part WHERE p_size <> 50)
-SELECT CAST(p_partkey AS VARCHAR) AS doc, NULL AS route, NULL AS method, NULL AS role, NULL AS media, 'paths_missing' AS reason
-FROM part WHERE p_size = 50
+WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS doc, p_partkey AS k, p_size AS n, '/parts/' || p_partkey AS route FROM part WHERE p_size < 49)
+SELECT CAST(p_partkey AS VARCHAR) AS doc, NULL AS route, NULL AS method, NULL AS role, NULL AS media,
+       CASE p_size WHEN 50 THEN 'paths_missing' ELSE 'document_unsupported' END AS reason
+FROM part WHERE p_size >= 49
+UNION ALL SELECT doc, NULL, NULL, NULL, NULL, 'global_servers_not_projected' FROM p WHERE k % 10 = 0
 UNION ALL SELECT doc, '/ref', NULL, NULL, NULL, 'path_unsupported' FROM p WHERE k % 2 = 0
-UNION ALL SELECT doc, route || '/old', 'delete', NULL, NULL, 'responses_missing' FROM p
+UNION ALL SELECT doc, route || '/old', 'delete', NULL, NULL, CASE WHEN k % 12 = 0 THEN 'operation_invalid' ELSE 'responses_missing' END FROM p
 UNION ALL SELECT doc, route, 'fetch', NULL, NULL, 'path_member_unsupported' FROM p WHERE n % 7 = 0
-UNION ALL SELECT doc, route, 'get', 'response:200', 'application/json', NULL FROM p
+UNION ALL SELECT doc, route, NULL, NULL, NULL, 'path_parameters_not_projected' FROM p WHERE n % 6 = 0
+UNION ALL SELECT doc, route, 'get', NULL, NULL, unnest(['parameters_not_projected', 'callbacks_not_projected']) FROM p WHERE n % 4 = 0
+UNION ALL SELECT doc, route, 'get', 'response:200', 'application/json', NULL FROM p WHERE k % 8 NOT IN (3, 5, 7)
+UNION ALL SELECT doc, route, 'get', 'response:200', NULL, unnest([
+         CASE k % 8 WHEN 3 THEN 'reference_missing' WHEN 5 THEN 'reference_cycle' ELSE 'reference_unsupported' END, 'content_invalid'])
+FROM p WHERE k % 8 IN (3, 5, 7)
 UNION ALL SELECT doc, route, 'get', CASE WHEN n % 5 = 0 THEN 'response:abc' ELSE 'response:4XX' END, NULL,
        CASE WHEN n % 5 = 0 THEN 'response_status_unsupported' END FROM p
+UNION ALL SELECT doc, route, 'get', 'response:4XX', NULL, 'response_metadata_not_projected' FROM p WHERE n % 9 = 0 AND n % 5 <> 0
 UNION ALL SELECT doc, route, 'post', 'request', CASE WHEN n % 3 = 0 THEN 'text/csv' ELSE 'application/json' END,
        CASE WHEN n % 3 = 0 THEN 'media_schema_unsupported' END FROM p
-UNION ALL SELECT doc, route, 'post', 'response:204', NULL, NULL FROM p""")
+UNION ALL SELECT doc, route, 'post', 'response:204', NULL, CASE WHEN n % 11 = 0 THEN 'content_invalid' END FROM p""")
 def explode_api_specs(spark, root):
-    return readers.explode_api_specs(api_specs(spark, root))
+    return declared.explode_api_specs(api_specs(spark, root))
 
 
 # Per-user gap lists: JSON values of the event log.

@@ -30,8 +30,11 @@ JDBC = {
     "mysql": ("jdbc:mysql://{host}:{port}/{database}", "com.mysql.cj.jdbc.Driver"),
     "oracle": ("jdbc:oracle:thin:@//{host}:{port}/{database}", "oracle.jdbc.OracleDriver"),
 }
+# Derby comes with Spark; its embedded databases belong to one process, so it serves local sessions only.
+EMBEDDED = {"derby": ("jdbc:derby:{database}", "org.apache.derby.iapi.jdbc.AutoloadedDriver")}
 STATEMENT_SECONDS = 30
 FETCH_ROWS = 10_000
+ROWS_PER_READ = 1_000_000
 
 
 def read_sources(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -43,11 +46,12 @@ def read_sources(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def jdbc_options(platform: str, options: dict[str, str], table: str) -> dict[str, str]:
-    if platform not in JDBC:
+    if platform not in JDBC and platform not in EMBEDDED:
         raise ValueError("query_platform_unsupported")
-    url, driver = JDBC[platform]
+    url, driver = JDBC[platform] if platform in JDBC else EMBEDDED[platform]
+    place = {k: options.get(k) if platform in EMBEDDED else options[k] for k in ("host", "port", "database")}
     result = {
-        "url": url.format(host=options["host"], port=options["port"], database=options["database"]),
+        "url": url.format(**place),
         "driver": driver,
         "dbtable": table,
         "queryTimeout": str(STATEMENT_SECONDS),
@@ -59,9 +63,33 @@ def jdbc_options(platform: str, options: dict[str, str], table: str) -> dict[str
     return result
 
 
-def read_jdbc(spark: SparkSession, platform: str, options: dict[str, str], table: str) -> DataFrame:
-    """Read-only table scan; give partitionColumn and bounds to read in parallel."""
-    return spark.read.format("jdbc").options(**jdbc_options(platform, options, table)).load()
+def split_ranges(column: str, low: int, high: int, nulls: int, parts: int) -> list[str]:
+    """One predicate per range of a whole-number column; together they hold every row once, NULL keys in one of their own."""
+    width = high - low + 1
+    bounds = sorted({low + width * i // parts for i in range(parts)})
+    ranges = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(bounds, [*bounds[1:], high + 1])]
+    return ranges + ([f"{column} IS NULL"] if nulls else [])
+
+
+def read_jdbc(spark: SparkSession, platform: str, options: dict[str, str], table: str, split: str | None = None,
+              rows_per_read: int = ROWS_PER_READ) -> DataFrame:
+    """Read-only table scan.
+
+    ``split`` names a whole-number column to read in parallel by: the source is asked for its
+    least and greatest value and its number of rows and of NULLs, and each range of about ``rows_per_read``
+    rows is a query of its own. Without it, partitionColumn and bounds may be given among the options.
+    """
+    chosen = jdbc_options(platform, options, table)
+    if split is None:
+        return spark.read.format("jdbc").options(**chosen).load()
+    plain = {k: v for k, v in chosen.items() if k not in ("dbtable", "partitionColumn", "lowerBound", "upperBound", "numPartitions")}
+    asked = f"SELECT MIN({split}) AS low, MAX({split}) AS high, COUNT(*) AS n, COUNT({split}) AS filled FROM {table}"
+    low, high, n, filled = spark.read.format("jdbc").options(**plain, query=asked).load().first()
+    if not n:
+        return spark.read.format("jdbc").options(**chosen).load()
+    parts = max(1, -(-n // rows_per_read))
+    ranges = split_ranges(split, int(low), int(high), n - filled, parts) if filled else [f"{split} IS NULL"]
+    return spark.read.jdbc(plain.pop("url"), table, predicates=ranges, properties=plain)
 
 
 def corpus_manifest(docs: DataFrame, path: Column, text: Column) -> DataFrame:
@@ -85,142 +113,6 @@ def manifest_digest(manifest: DataFrame) -> DataFrame:
     )
 
 
-_DATASOURCE = "struct<type:string,uid:string>"
-_TARGET = f"struct<refId:string,rawSql:string,datasource:{_DATASOURCE}>"
-_PANEL_CORE = (
-    f"id:int,type:string,title:string,datasource:{_DATASOURCE},targets:array<{_TARGET}>,"
-    "transformations:array<string>,libraryPanel:string"
-)
-_DASHBOARD = (
-    f"struct<uid:string,"
-    f"panels:array<struct<{_PANEL_CORE},panels:array<struct<{_PANEL_CORE}>>>>,"
-    f"templating:struct<list:array<struct<name:string,type:string,query:string,datasource:{_DATASOURCE}>>>>"
-)
-
-
-def explode_dashboards(docs: DataFrame) -> DataFrame:
-    """(path, text) dashboards -> (path, dashboard_uid, kind, id, ref_id, datasource_uid, sql, reason).
-
-    One row per panel (row panels are opened) and per query variable; shapes that
-    cannot be described keep a row with a reason.
-    """
-    # A document may be the dashboard itself or wrap it under "dashboard".
-    inner = F.get_json_object("text", "$.dashboard")
-    parsed = docs.select("path", F.from_json(F.coalesce(inner, F.col("text")), _DASHBOARD).alias("d"))
-    shaped = parsed.filter(F.col("d.panels").isNotNull())
-    no_uid = F.coalesce(F.col("d.uid"), F.lit("")) == ""
-    none = F.lit(None).cast("string")
-
-    def rows(df: DataFrame, kind: Column, id_: Column, ref: Column, ds: Column, sql: Column, reason: Column):
-        return df.select(
-            "path", F.col("d.uid").alias("dashboard_uid"), kind.alias("kind"), id_.cast("string").alias("id"),
-            ref.alias("ref_id"), ds["uid"].alias("datasource_uid"), sql.alias("sql"),
-            F.coalesce(
-                reason,
-                F.when(F.coalesce(ds["type"], F.lit("")) != "mssql", "datasource_binding_required"),
-                F.when(ds["uid"].isNull() | sql.isNull(), "datasource_binding_required"),
-            ).alias("reason"),
-        )
-
-    empty_ds = F.lit(None).cast(_DATASOURCE)
-    unnamed = rows(shaped.filter(no_uid), F.lit("dashboard"), none, none, empty_ds, none,
-                   F.lit("dashboard_identity_missing"))
-    named = shaped.filter(~no_uid)
-    top = named.select("path", "d", F.posexplode("d.panels").alias("at", "p"))
-    drop_children = "named_struct(" + ",".join(
-        f"'{c}',{{0}}.{c}" for c in
-        ("id", "type", "title", "datasource", "targets", "transformations", "libraryPanel")) + ")"
-    flat = top.filter("p.type IS NULL OR p.type <> 'row'").selectExpr(
-        "path", "d", "struct(at, 0 AS inside) AS at", drop_children.format("p") + " AS p")
-    nested = top.filter("p.type = 'row'").select("path", "d", "at", F.posexplode("p.panels").alias("inside", "p"))
-    panels = flat.unionByName(nested.selectExpr("path", "d", "struct(at, inside) AS at", drop_children.format("p") + " AS p"))
-    # A panel id must be present; of panels that share it, the first in the dashboard has it.
-    used = panels.groupBy(F.col("path").alias("_path"), F.col("p.id").alias("_id")).agg(F.min("at").alias("_first"))
-    counted = panels.join(used, (F.col("path") == F.col("_path")) & (F.col("p.id") == F.col("_id")), "left")
-    bad = (
-        F.col("p.id").isNull() | (F.col("at") != F.col("_first"))
-        | (F.coalesce(F.size("p.targets"), F.lit(0)) != 1)
-        | (F.coalesce(F.size("p.transformations"), F.lit(0)) > 0) | F.col("p.libraryPanel").isNotNull()
-    )
-    target = F.get(F.col("p.targets"), F.lit(0))
-    panel_rows = rows(
-        counted, F.lit("panel"), F.col("p.id"), target["refId"],
-        F.coalesce(target["datasource"], F.col("p.datasource")), target["rawSql"],
-        F.when(bad, "panel_structure_unsupported"),
-    )
-    variables = named.select("path", "d", F.explode("d.templating.list").alias("v"))
-    query = F.coalesce(F.get_json_object("v.query", "$.rawSql"), F.col("v.query"))
-    variable_rows = rows(
-        variables, F.lit("variable"), F.col("v.name"), none, F.col("v.datasource"), query,
-        F.when(F.coalesce(F.col("v.type"), F.lit("")) != "query", "variable_type_unsupported"),
-    )
-    return unnamed.unionByName(panel_rows).unionByName(variable_rows)
-
-
-# HTTP methods an API document may declare under a path.
-METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
-_OTHER_MEMBERS = ("summary", "description", "parameters", "servers")
-
-
-def explode_api_specs(docs: DataFrame) -> DataFrame:
-    """(path, text) API documents -> one row per path, method, role and media type.
-
-    Columns: doc, route, method, role ('request' or 'response:<status>'), media,
-    reason. A shape that is not described has a reason and NULL members.
-    """
-    none = F.lit(None).cast("string")
-    root = docs.select(
-        F.col("path").alias("doc"),
-        F.from_json(F.get_json_object("text", "$.paths"), "map<string,string>").alias("paths"),
-    )
-    missing = root.filter(F.col("paths").isNull() | (F.size("paths") == 0)).select(
-        "doc", none.alias("route"), none.alias("method"), none.alias("role"), none.alias("media"),
-        F.lit("paths_missing").alias("reason"))
-    routes = root.select("doc", F.explode("paths").alias("route", "item")).withColumn(
-        "members", F.from_json("item", "map<string,string>"))
-    bad_route = (~F.startswith("route", F.lit("/"))) | F.col("members").isNull() | F.array_contains(
-        F.map_keys("members"), "$ref")
-    route_gaps = routes.filter(F.coalesce(bad_route, F.lit(True))).select(
-        "doc", "route", none.alias("method"), none.alias("role"), none.alias("media"),
-        F.lit("path_unsupported").alias("reason"))
-    members = routes.filter(~F.coalesce(bad_route, F.lit(True))).select(
-        "doc", "route", F.explode("members").alias("method", "op"))
-    is_method = F.col("method").isin(*METHODS)
-    member_gaps = members.filter(
-        ~is_method & ~F.col("method").isin(*_OTHER_MEMBERS) & ~F.startswith("method", F.lit("x-"))
-    ).select("doc", "route", "method", none.alias("role"), none.alias("media"),
-             F.lit("path_member_unsupported").alias("reason"))
-    operations = members.filter(is_method).select(
-        "doc", "route", "method",
-        F.get_json_object("op", "$.requestBody").alias("request"),
-        F.from_json(F.get_json_object("op", "$.responses"), "map<string,string>").alias("responses"),
-    )
-    no_answers = operations.filter(F.col("responses").isNull() | (F.size("responses") == 0)).select(
-        "doc", "route", "method", none.alias("role"), none.alias("media"),
-        F.lit("responses_missing").alias("reason"))
-    requests = operations.filter(F.col("request").isNotNull()).select(
-        "doc", "route", "method", F.lit("request").alias("role"), F.col("request").alias("holder"))
-    answers = operations.select("doc", "route", "method", F.explode("responses").alias("status", "holder"))
-    good_status = (F.col("status") == "default") | F.col("status").rlike("^[1-5]([0-9][0-9]|XX)$")
-    status_gaps = answers.filter(~good_status).select(
-        "doc", "route", "method", F.concat(F.lit("response:"), F.col("status")).alias("role"),
-        none.alias("media"), F.lit("response_status_unsupported").alias("reason"))
-    holders = requests.unionByName(answers.filter(good_status).select(
-        "doc", "route", "method", F.concat(F.lit("response:"), F.col("status")).alias("role"), "holder"))
-    content = holders.withColumn(
-        "content", F.from_json(F.get_json_object("holder", "$.content"), "map<string,string>"))
-    empty = content.filter(F.col("content").isNull() | (F.size("content") == 0)).select(
-        "doc", "route", "method", "role", none.alias("media"), none.alias("reason"))
-    media = content.select("doc", "route", "method", "role", F.explode("content").alias("media", "schema")).select(
-        "doc", "route", "method", "role", "media",
-        F.when((F.col("media") != "application/json") | F.get_json_object("schema", "$.schema").isNull(),
-               "media_schema_unsupported").alias("reason"))
-    result = missing
-    for part in (route_gaps, member_gaps, no_answers, status_gaps, empty, media):
-        result = result.unionByName(part)
-    return result
-
-
 def allowlist_tables(catalog: DataFrame, name: str, patterns: Sequence[str]) -> DataFrame:
     """Rows whose qualified name matches any anchored pattern; the pattern list is configuration."""
     anchored = [p for p in patterns if p.startswith("^") and p.endswith("$")]

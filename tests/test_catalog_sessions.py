@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from martweave.functions import scalars as S
 from martweave.operators import catalog as C
 from martweave.operators import sessions as T
-from martweave.sources import readers
+from martweave.sources import declared, readers
 from tests.conftest import rows, rules
 
 
@@ -145,8 +145,8 @@ def test_api_document(spark):
     doc = ('{"openapi":"3.0.3","paths":{"/orders/{id}":{"get":{"responses":{"200":{"content":{"application/json":{"schema":{"type":"object"}}}}}},'
            '"post":{"requestBody":{"content":{"application/json":{"schema":{}}}},"responses":{"204":{}}}}}}')
     docs = spark.createDataFrame([("d", doc), ("bad", "{}"), ("broken", "{")], "path string, text string")
-    assert rows(readers.explode_api_specs(docs), "doc", "method", "role", "media", "reason") == [
-        ("bad", None, None, None, "paths_missing"), ("broken", None, None, None, "paths_missing"),
+    assert rows(declared.explode_api_specs(docs), "doc", "method", "role", "media", "reason") == [
+        ("bad", None, None, None, "document_unsupported"), ("broken", None, None, None, "document_unsupported"),
         ("d", "get", "response:200", "application/json", None), ("d", "post", "request", "application/json", None),
         ("d", "post", "response:204", None, None)]
 

@@ -161,7 +161,7 @@ def test_dependencies_count_only_earlier_writes_of_others(spark):
 def test_null_parts_of_a_group_key_differ(spark):
     data = [("c1", None, "x", "p", 1, 2), ("c2", "x", None, "p", 3, 4)]
     df = spark.createDataFrame(data, "candidate_id string, method string, attributes string, path string, line int, end_line int")
-    groups, members = L.finding_groups(df)
+    groups, _, members = L.finding_groups(df)
     assert groups.select("group_id").distinct().count() == 2 and members.select("group_id").distinct().count() == 2
 
 

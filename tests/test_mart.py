@@ -56,6 +56,28 @@ def test_jdbc_options():
         readers.jdbc_options("sqlite", {}, "t")
 
 
+def test_jdbc_reads_every_row_once(spark, tmp_path):
+    place = {"database": f"{tmp_path}/source"}
+    schema = "K bigint, V string, D decimal(19,4), T timestamp"
+    data = [(i * i - 50, f"v{i}", D(f"{i}.1250"), datetime(2012, 1, 1, i % 24)) for i in range(200)] + [(None, "none", None, None), (None, "", D("1"), None)]
+    df = spark.createDataFrame(data, schema)
+    url = readers.EMBEDDED["derby"][0].format(**place)
+    df.coalesce(1).write.jdbc(f"{url};create=true", "ROWS1", properties={"driver": readers.EMBEDDED["derby"][1]})
+    read = readers.read_jdbc(spark, "derby", place, "ROWS1", split="K", rows_per_read=30)
+    assert read.rdd.getNumPartitions() > 4 and rows(read) == rows(df)
+    assert rows(readers.read_jdbc(spark, "derby", place, "ROWS1")) == rows(df)
+    assert rows(readers.read_jdbc(spark, "derby", place, "(SELECT * FROM ROWS1 WHERE K IS NULL) N", split="K")) == rows(df.filter("K IS NULL"))
+    assert readers.read_jdbc(spark, "derby", place, "(SELECT * FROM ROWS1 WHERE V = 'x') N", split="K").collect() == []
+
+
+@pytest.mark.parametrize("low, high, parts", [(0, 0, 5), (-7, 9, 4), (1, 3, 10), (0, 10**12, 3)])
+def test_ranges_hold_every_key_once(low, high, parts):
+    found = [tuple(map(int, p.replace("k >= ", "").split(" AND k < "))) for p in readers.split_ranges("k", low, high, 0, parts)]
+    assert found[0][0] == low and found[-1][1] == high + 1 and all(a < b for a, b in found)
+    assert all(x[1] == y[0] for x, y in zip(found, found[1:]))
+    assert readers.split_ranges("k", low, high, 2, parts)[-1] == "k IS NULL"
+
+
 def test_rounding_is_half_up_once(spark):
     df = spark.sql("SELECT 1 AS q, CAST('0.5050' AS DECIMAL(19,4)) AS p, CAST('0.0099' AS DECIMAL(19,4)) AS d")
     got = df.select(S.line_net_amount(F.col("q"), F.col("p"), F.col("d"))).first()[0]
