@@ -174,6 +174,16 @@ def validate_evidence(spark, root):
     return L.validate_evidence(evidence, corpus)
 
 
+@query("""
+WITH f AS (SELECT count(*) AS n FROM documents WHERE lang = 'xx'), c AS (SELECT count(*) AS n FROM documents)
+SELECT c.n AS analyzed, f.n AS unsupported, f.n AS findings, (SELECT count(*) FROM part) AS nodes, f.n = 0 AS complete FROM f, c""")
+def coverage_of_known_languages(spark, root):
+    """Coverage in which every language is supported, so the analysis is complete."""
+    docs = table(spark, root, "documents").select("doc_id", "lang")
+    state = F.when(F.col("lang") == "xx", "unsupported").otherwise("analyzed").alias("state")
+    return L.coverage_complete(docs.select(state), docs.filter("lang = 'xx'"), table(spark, root, "part"))
+
+
 _POINTED = """
 WITH e AS (
   SELECT event_id AS id, 'e' || event_id AS path,

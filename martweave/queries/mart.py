@@ -774,3 +774,103 @@ def read_sources(spark, root):
     parts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.sum(df.columns[0]).alias("ids"),
                     F.lit(",".join(kind for _, kind in df.dtypes)).alias("types")) for name, df in readers.read_sources(spark, folder).items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+# --- checks that find something: the same rules on tables with faults ----------------------
+
+
+def _pairs_sql(left: str, right: str) -> str:
+    """Measures of two one-row CTEs side by side, compared in SQL."""
+    return f"""
+SELECT l.measure, l.v AS left_value, r.v AS right_value, l.v IS NOT DISTINCT FROM r.v AS same
+FROM (SELECT m.* FROM {left}, LATERAL (VALUES {_MEASURES}) AS m(measure, v)) l
+JOIN (SELECT m.* FROM {right}, LATERAL (VALUES {_MEASURES}) AS m(measure, v)) r USING (measure)"""
+
+
+@query(MART_SQL + f"""
+, s AS (SELECT {_TOTALS} FROM lines),
+t AS (SELECT {_TOTALS} FROM (SELECT * REPLACE (CAST(line_net_amount + CASE WHEN order_qty = 7 THEN 0.01 ELSE 0 END AS DECIMAL(19,6)) AS line_net_amount)
+                             FROM lines WHERE order_qty <> 50))""" + _pairs_sql("s", "t"))
+def reconcile_faulty_load(spark, root):
+    """A fact that lost lines and has other amounts against its source."""
+    m, q = mart_of(spark, root), F.col("order_qty")
+    source = quality.scope_totals(mart.order_lines(
+        adapter.sales_order_header(spark, root), adapter.sales_order_detail(spark, root, with_ids=False), SCOPE))
+    amount = (F.col("line_net_amount") + F.when(q == 7, F.lit("0.01").cast("decimal(19,6)")).otherwise(F.lit("0").cast("decimal(19,6)"))).cast("decimal(19,6)")
+    return quality.reconcile(source, quality.target_totals(m.fact.filter(q != 50).withColumn("line_net_amount", amount), m.dims["dim_date"], SCOPE))
+
+
+@query(MART_SQL + f"""
+, t AS (SELECT {_TOTALS} FROM lines), v AS (SELECT {_TOTALS} FROM (SELECT * FROM lines UNION ALL SELECT * FROM lines WHERE order_qty = 9))""" + _pairs_sql("t", "v"))
+def reconcile_faulty_view(spark, root):
+    """A view that repeats lines against its fact."""
+    m = mart_of(spark, root)
+    view = m.view.unionByName(m.view.filter("order_qty = 9"))
+    return quality.reconcile(quality.target_totals(m.fact, m.dims["dim_date"], SCOPE), quality.conditional_totals(mart.scope_flag(view, SCOPE)))
+
+
+@query(MART_SQL + f"""
+, expected AS ({CATEGORY_SUMMARY_SQL}),
+actual AS (SELECT * REPLACE (CASE WHEN product_category_name = 'LARGE' THEN quantity + 1 ELSE quantity END AS quantity) FROM expected
+           WHERE NOT (product_category_name = 'PROMO' AND month(month_start) = 3)),
+f AS (SELECT count(*) AS n, sum(order_qty) AS q, sum(line_net_amount) AS a, sum(source_line_total) AS s FROM lines)
+SELECT 'line_count' AS "check", sum(line_count) = (SELECT n FROM f) AS same FROM actual
+UNION ALL SELECT 'quantity', sum(quantity) = (SELECT q FROM f) FROM actual
+UNION ALL SELECT 'net_sales', sum(net_sales) = (SELECT a FROM f) FROM actual
+UNION ALL SELECT 'source_line_total', sum(source_line_total) = (SELECT s FROM f) FROM actual
+UNION ALL SELECT 'missing_groups', count(*) = 0 FROM (SELECT * FROM expected EXCEPT SELECT * FROM actual)
+UNION ALL SELECT 'unexpected_groups', count(*) = 0 FROM (SELECT * FROM actual EXCEPT SELECT * FROM expected)
+UNION ALL SELECT 'summary_rows', count(*) > 0 FROM actual""")
+def reconcile_faulty_summary(spark, root):
+    """A summary without some groups and with other quantities in others."""
+    m = mart_of(spark, root)
+    expected = category_summary(m)
+    large = F.col("product_category_name") == "LARGE"
+    actual = expected.filter("NOT (product_category_name = 'PROMO' AND month(month_start) = 3)").withColumn(
+        "quantity", F.when(large, F.col("quantity") + 1).otherwise(F.col("quantity")))
+    return quality.reconcile_summary(m.fact, expected, actual)
+
+
+@query(MART_SQL + f"""
+, picked AS (SELECT * FROM sales WHERE {_PICK}),
+q AS (SELECT {_QUALITY}, {_AOV} AS aov FROM picked),
+x AS (
+  SELECT CAST((SELECT count(DISTINCT sales_order_id) FROM picked WHERE order_qty > 1) AS DECIMAL(38,6)) AS orders,
+         (SELECT {_money('line_net_amount')} FROM picked WHERE date_trunc('month', order_date) <> DATE '1998-05-01') AS trend,
+         (SELECT {_money('line_net_amount')} FROM picked WHERE product_category_name = 'LARGE') AS large,
+         (SELECT {_money('line_net_amount')} FROM sales WHERE {_PICK.replace("'NATION_7', ", "")}) AS three),
+v AS (SELECT CAST(order_count AS DECIMAL(38,6)) AS o, line_net_amount AS n, source_line_total AS s, aov AS a, x.* FROM q, x),
+early AS (SELECT CAST(count(DISTINCT date_trunc('month', order_date)) AS DECIMAL(38,6)) AS e FROM picked WHERE order_date < DATE '1998-01-01'),
+pairs AS (
+  SELECT 'orders_equal_quality_orders' AS "check", orders AS left_value, o AS right_value, 0 AS near FROM v
+  UNION ALL SELECT 'quality_net_equals_sales', n, n, 0.000001 FROM v
+  UNION ALL SELECT 'quality_source_equals_sales', s, n, 0.000001 FROM v
+  UNION ALL SELECT 'aov_rederived', a, CAST(round(n / orders, 6) AS DECIMAL(38,6)), 0.000001 FROM v
+  UNION ALL SELECT 'trend_sums_to_sales', trend, n, 0.000001 FROM v
+  UNION ALL SELECT 'category_sums_to_sales', CAST(n - large AS DECIMAL(38,6)), n, 0.000001 FROM v
+  UNION ALL SELECT 'territory_sums_to_sales', three, n, 0.000001 FROM v
+  UNION ALL SELECT 'no_point_before_start', e, CAST(0 AS DECIMAL(38,6)), 0 FROM early)
+SELECT "check", left_value, right_value, abs(left_value - right_value) <= near AS same FROM pairs""")
+def check_faulty_panels(spark, root):
+    """Panels of one state that were made from other rows: fewer orders, a month, a category and a territory less, an earlier start."""
+    rows = selected(spark, root)
+    panels = reports.panels(rows)
+    panels["orders"] = reports.kpi_orders(rows.filter("order_qty > 1"))
+    panels["trend"] = panels["trend"].filter("date_trunc('month', time) <> DATE '1998-05-01'")
+    panels["category"] = panels["category"].filter("category <> 'LARGE'")
+    panels["territory"] = reports.sales_by_territory(rows.filter("coalesce(territory_name, 'Unknown') <> 'NATION_7'"))
+    return quality.check_panels(panels, "1998-01-01")
+
+
+@query("""
+SELECT 4 AS dimensions, 4 - count(*) AS canonical_dimensions, count(*) = 0 AS canonical FROM (
+  SELECT 'repeated' AS fault FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'renamed' FROM region WHERE r_regionkey = 1
+  UNION ALL SELECT 'missing' FROM region WHERE r_regionkey = 2)""")
+def unknown_member_faults(spark, root):
+    """An Unknown member that is there twice, one with another name, and one that is missing."""
+    dims = dict(mart_of(spark, root).dims)
+    territory, product, customer = (dims[d] for d in ("dim_territory", "dim_product", "dim_customer"))
+    dims["dim_territory"] = territory.unionByName(territory.filter("territory_key = 0"))
+    dims["dim_product"] = product.withColumn("product_name", F.when(F.col("product_key") == 0, "none").otherwise(F.col("product_name")))
+    dims["dim_customer"] = customer.filter("customer_key <> 0")
+    return mart.unknown_member_check(dims)
