@@ -6,9 +6,10 @@ are kept, summed by (source, lang, tokenizer), so totals are additive: a batch i
 small set of rows, and the current rollup is the sum over all committed batches.
 
 Batches commit at most once. A batch is written aside and made visible by one atomic
-rename to the name of its id; a batch id that is there already changes nothing, whether
-it comes from a rerun of the job, from a lost driver or from two writers at once. Once
-many batches have gathered, ``compact`` sums them into one that carries all their ids.
+rename to the digest of its id, so ids may be of any length; a batch id that is there already
+changes nothing, whether it comes from a rerun of the job, from a lost driver or from two
+writers at once. Once many batches have gathered, ``compact`` sums them into one folder with
+a file that lists the digests of all their ids, so a rollup can live through any number of them.
 
 Null source, language or tokenizer are groups of their own. A null or empty text has 0
 tokens and still counts as a document. Changes whose counts are null before and after
@@ -19,7 +20,7 @@ Other columns are ignored. An empty batch commits as an empty one.
 from __future__ import annotations
 
 import base64
-import json
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,7 +32,7 @@ KEYS = ["source", "lang", "tokenizer"]
 ROW = "source string, lang string, tokenizer string, documents long, tokens long"
 # Fixed value: the published pre-tokenization pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-BATCH_BYTES = 1 << 20
+IDS = "_ids"  # readers of the table skip names that begin with an underscore
 
 
 @cache
@@ -44,7 +45,11 @@ def _encoding(path: str):
 
 
 def token_counts(docs: DataFrame, vocabulary: str, out: str = "tokens") -> DataFrame:
-    """``docs`` with the number of tokens of every whole text; ``vocabulary`` is a rank file present on every host."""
+    """``docs`` with the number of tokens of every whole text; ``vocabulary`` is a rank file present on every host.
+
+    The text is left out, and a column that is called ``out`` already is replaced.
+    """
+    docs = docs.drop(out) if out in docs.columns else docs
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,12 +90,12 @@ class TokenRollup:
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def committed(self) -> dict[str, list[str]]:
-        """Folder name -> ids of the batches in it; a compacted folder hides those that it sums."""
+        """Folder name -> digests of the batch ids in it; a compacted folder hides those that it sums."""
         root = self._path(self.path)
         if not self._fs.exists(root):
             return {}
         names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        folders = {n: json.loads(bytes.fromhex(n.partition("-")[2])) for n in names if n.startswith(("batch-", "sum-"))}
+        folders = {n: self._digests(n) for n in names if n.startswith(("batch-", "sum-"))}
         covered: set[str] = set()
         kept: dict[str, list[str]] = {}
         for name, ids in sorted(folders.items(), key=lambda x: -len(x[1])):
@@ -100,12 +105,28 @@ class TokenRollup:
         return kept
 
     @staticmethod
-    def _name(kind: str, ids: list[str]) -> str:
-        return f"{kind}-{json.dumps(ids).encode().hex()}"
-
-    def _commit(self, rows: DataFrame, name: str) -> bool:
+    def _digest(text: str) -> str:
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def _digests(self, name: str) -> list[str]:
+        kind, _, digest = name.partition("-")
+        if kind == "batch":
+            return [digest]
+        stream = self._fs.open(self._path(f"{self.path}/{name}/{IDS}"))
+        try:
+            return str(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).split()
+        finally:
+            stream.close()
+
+    def _commit(self, rows: DataFrame, name: str, ids: list[str] | None = None) -> bool:
         aside = f"{self.path}/_writing/{name}-{self.spark._jvm.java.util.UUID.randomUUID()}"
         rows.coalesce(1).write.parquet(aside)
+        if ids is not None:
+            stream = self._fs.create(self._path(f"{aside}/{IDS}"))
+            try:
+                stream.write(bytearray("\n".join(ids).encode()))
+            finally:
+                stream.close()
         target = self._path(f"{self.path}/{name}")
         if self._fs.exists(target) or not self._fs.rename(self._path(aside), target):
             self._fs.delete(self._path(aside), True)
@@ -118,9 +139,10 @@ class TokenRollup:
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Commit one batch of changes; False if the batch was committed before, which then changes nothing."""
-        if any(batch_id in ids for ids in self.committed().values()):
+        digest = self._digest(batch_id)
+        if any(digest in ids for ids in self.committed().values()):
             return False
-        return self._commit(deltas(changes), self._name("batch", [batch_id]))
+        return self._commit(deltas(changes), f"batch-{digest}")
 
     def compact(self) -> None:
         """Sum all committed batches into one folder, then drop the folders that it covers."""
@@ -128,7 +150,7 @@ class TokenRollup:
         if len(folders) < 2:
             return
         ids = sorted(i for held in folders.values() for i in held)
-        if self._commit(self._sum(list(folders)), self._name("sum", ids)):
+        if self._commit(self._sum(list(folders)), f"sum-{self._digest(' '.join(ids))}", ids):
             for name in folders:
                 self._fs.delete(self._path(f"{self.path}/{name}"), True)
 

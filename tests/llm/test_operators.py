@@ -75,6 +75,47 @@ def test_rollup_adds_changes_once(spark, tmp_path):
     assert rollup.apply("b3", one.limit(0)) and {tuple(r) for r in rollup.current().collect()} == expected
 
 
+def test_a_rollup_lives_through_many_batches(spark, tmp_path):
+    rollup = tokens.TokenRollup(spark, str(tmp_path / "r"))
+    row = "kind string, source string, lang string, tokenizer string, before long, after long"
+    one = spark.createDataFrame([("insert", "s", "en", "t", None, 5)], row).coalesce(1)
+    ids = ["x" * 1000, "a/b: é", *[f"batch number {i:08d}" for i in range(30)]]
+    for n, name in enumerate(ids):
+        assert rollup.apply(name, one)
+        if n % 10 == 9:
+            rollup.compact()
+    rollup.compact()
+    assert [tuple(r) for r in rollup.current().collect()] == [("s", "en", "t", len(ids), 5 * len(ids))]
+    assert len(rollup.committed()) == 1 and not any(rollup.apply(name, one) for name in (ids[0], ids[1], ids[-1]))
+    rollup.compact()
+    assert len(tokens.TokenRollup(spark, str(tmp_path / "r")).committed()) == 1
+
+
+def test_token_counts_replace_a_column_of_their_name(documents):
+    got = tokens.token_counts(documents([(1, "a b"), (2, None)], extra=True), VOCABULARY)
+    assert got.columns.count("tokens") == 1 and {r.doc_id: r.tokens for r in got.collect()} == {1: 2, 2: 0}
+    assert tokens.token_counts(documents([]), VOCABULARY).collect() == []
+
+
+def test_registered_token_counts_equal_plain_ones(spark, tmp_path):
+    import duckdb
+
+    from martweave.llm import queries
+    root = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    docs = con.execute(f"SELECT doc_id, text, source, lang FROM '{root}/documents.parquet'").fetchall()
+    toxic = {r[0] for r in con.execute(f"SELECT doc_id FROM '{root}/labels.parquet' WHERE toxic = 1").fetchall()}
+    encoding, expected = tokens._encoding(VOCABULARY), {}
+    for d, text, source, lang in docs:
+        for kind, n in (("words", len(brute.words(text))), ("byte_bpe_50k", len(encoding.encode_ordinary(text or "")))):
+            if kind == "words" and d in toxic:
+                continue
+            old = expected.get((source, lang, kind), (0, 0))
+            expected[source, lang, kind] = (old[0] + 1, old[1] + n)
+    got = {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in queries.op1_token_counts(spark, root).collect()}
+    assert got == expected
+
+
 def test_token_counts_of_odd_texts(documents, odd_rows):
     import tiktoken  # noqa: F401
 
