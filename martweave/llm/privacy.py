@@ -65,6 +65,10 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def running(values: Column) -> Column:
     """Sums of the elements before each element of a long array; blocks keep long arrays cheap."""
+    return let(values, _running)
+
+
+def _running(values: Column) -> Column:
     zero = F.lit(0).cast("long")
     add = lambda a, x: a + x
     run = F.least(F.lit(RUN), F.greatest(F.lit(8), F.sqrt(F.size(values)).cast("int")))
@@ -150,11 +154,17 @@ def terms_of(text: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """row, doc_id, tag, one array of spans per kind, and ``words``: the terms outside them, of documents with a span."""
+    """row, doc_id, tag, one array of spans per kind, and the text of documents that have a span."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("_text"), F.xxhash64(text).alias("tag"), *[spans(k, text).alias(k) for k in KINDS])
     some = reduce(or_, [F.size(k) > 0 for k in KINDS])
-    return base.select("row", "doc_id", "tag", *KINDS, F.when(some, places(masked(F.col("_text")))).alias("words"))
+    return base.select("row", "doc_id", "tag", *KINDS, F.when(some, F.col("_text")).alias("_text"))
+
+
+def words_of(found: DataFrame) -> DataFrame:
+    """row, tag and ``words``, the terms outside of base spans, of documents that have a span."""
+    # From the written table: in one plan with the patterns above, parts in common would be worked out for every document.
+    return found.filter("_text IS NOT NULL").select("row", "tag", places(masked(F.col("_text"))).alias("words"))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -166,18 +176,18 @@ def entity_classes(found: DataFrame) -> DataFrame:
     """(row, n_entity, a, b): the classes of entities of every document; a class stands in the same n_entity documents."""
     every = F.array_distinct(F.concat(*[F.transform(k, lambda s: F.struct(
         F.lit(k).alias("kind"), F.lower(_digits(s["match"]) if k in ("card", "phone") else s["match"]).alias("value"))) for k in KINDS]))
-    there = stage(found.filter("words IS NOT NULL").select("row", F.explode(every).alias("e")).select("row", "e.*"), "privacy-entities")
+    there = stage(found.filter("_text IS NOT NULL").select("row", F.explode(every).alias("e")).select("row", "e.*"), "privacy-entities")
     digest = lambda salt: F.sum(F.xxhash64("row", F.lit(salt)).cast("decimal(38,0)"))
     held = there.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_entity"), digest(1).alias("a"), digest(2).alias("b"))
     return there.join(held, ["kind", "value"]).select("row", "n_entity", "a", "b").distinct()
 
 
-def disclosing(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+def disclosing(docs: DataFrame, found: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Disclosing terms: (row, term) of those in one document only, and (term, generalise) of the others."""
     total = docs.agg(F.count(F.lit(1))).first()[0]
     classes = stage(entity_classes(found), "privacy-classes")
     span = classes.groupBy("row").agg(F.max("n_entity").alias("most"), F.min("n_entity").alias("least"))
-    own = found.filter("words IS NOT NULL").select("row", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
+    own = words.select("row", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
     # A term of n documents needs an entity of more than n / 2.
     likely = stage(own.join(span, "row").join(term_counts(docs), "term").filter("n_term + 1 <= 2 * most"), "privacy-likely")
     single = likely.filter((F.col("n_term") == 1) & (F.col("least") * 4 <= total)).select("row", "term")
@@ -207,8 +217,9 @@ def pass_filter(rows: DataFrame, hashed: Column, table: DataFrame) -> DataFrame:
 
 def marks(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(tag, start, end, generalise): all places of disclosing terms, once per text."""
-    single, several = disclosing(docs, found)
-    own = found.filter("words IS NOT NULL").select("row", "tag", F.explode("words").alias("w")).select("row", "tag", "w.*")
+    words = stage(words_of(found), "privacy-words")
+    single, several = disclosing(docs, found, words)
+    own = words.select("row", "tag", F.explode("words").alias("w")).select("row", "tag", "w.*")
     alone = own.join(single, ["row", "term"]).select("tag", "start", "end", F.lit(0).alias("generalise"))
     several = stage(several, "privacy-several")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -218,8 +229,8 @@ def marks(docs: DataFrame, found: DataFrame) -> DataFrame:
     hits = stage(likely.distinct().join(several, "term"), "privacy-hits")
     # Only texts with a hit are moved, each once, to find the places in them.
     held = pass_filter(texts, F.col("tag"), filter_table(hits.select(F.col("tag").alias("h"))))
-    words = held.groupBy("tag").agg(F.first("_text").alias("_text")).select("tag", F.explode(places(F.col("_text"))).alias("w")).select("tag", "w.*")
-    return alone.unionByName(words.join(hits, ["tag", "term"]).select("tag", "start", "end", "generalise"))
+    every = held.groupBy("tag").agg(F.first("_text").alias("_text")).select("tag", F.explode(places(F.col("_text"))).alias("w")).select("tag", "w.*")
+    return alone.unionByName(every.join(hits, ["tag", "term"]).select("tag", "start", "end", "generalise"))
 
 
 def protect(docs: DataFrame) -> DataFrame:
@@ -227,7 +238,7 @@ def protect(docs: DataFrame) -> DataFrame:
     found = stage(find(docs), "privacy-found")
     own = F.array_sort(F.collect_list(F.struct("start", "end", "generalise"))).alias("terms")
     terms = stage(marks(docs, found).groupBy("tag", "start", "end").agg(F.max("generalise").alias("generalise")).groupBy(F.col("tag").alias("_tag")).agg(own), "privacy-terms")
-    joined = found.drop("row", "words").join(terms, F.col("tag") == F.col("_tag"), "left").drop("_tag")
+    joined = found.drop("row", "_text").join(terms, F.col("tag") == F.col("_tag"), "left").drop("_tag")
     return joined.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,generalise:int>>")))
 
 
