@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martweave.functions import documents, scale
-from martweave.functions.scalars import finish_digest, row_text, set_digest, stable_id
+from martweave.functions.scalars import finish_digest, parse_urn, row_text, set_digest, stable_id
 from martweave.operators.quality import all_violations, rule_rows, violation
 
 # Edge kinds between ports, the relations and kinds a candidate may have.
@@ -457,13 +457,15 @@ def classify_fields(schema: DataFrame, declarations: DataFrame, omissions: DataF
     return rows.select(*key, "classification", F.when(F.col("classification") == "UNRESOLVED", reason).alias("reason"))
 
 
-def classification_counts(classified: DataFrame) -> DataFrame:
+def classification_counts(classified: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """One row of counts; complete only with fields, none of them unresolved, and no row in ``gaps``."""
     open_ = F.col("classification") == "UNRESOLVED"
+    whole = F.lit(gaps is None or gaps.isEmpty())
     return classified.agg(
         F.count(F.lit(1)).alias("expected_fields"),
         F.count_if(~open_).alias("classified_fields"),
         F.count_if(open_).alias("unresolved_fields"),
-    ).withColumn("complete", (F.col("expected_fields") > 0) & (F.col("unresolved_fields") == 0))
+    ).withColumn("complete", (F.col("expected_fields") > 0) & whole & (F.col("unresolved_fields") == 0))
 
 
 # --- step graph and binding ------------------------------------------------------------------
@@ -526,9 +528,18 @@ def source_coverage(items: DataFrame, statements: DataFrame) -> DataFrame:
     )
 
 
-def source_coverage_counts(dispositions: DataFrame) -> DataFrame:
+def source_coverage_counts(dispositions: DataFrame, contexts: DataFrame | None = None, trace_findings: DataFrame | None = None) -> DataFrame:
+    """(disposition, count, complete); ``complete`` is one answer for the whole set and the same in every row.
+
+    It needs that nothing selected is unresolved, that all contexts(status) are bound or have no
+    dataset to bind, and that the trace has no findings.
+    """
+    whole = trace_findings is None or trace_findings.isEmpty()
+    if contexts is not None:
+        whole = whole and contexts.filter(~F.coalesce(F.col("status").isin("CATALOG_BOUND", "NO_DATASET_DEPENDENCIES"), F.lit(False))).isEmpty()
     counts = dispositions.groupBy("disposition").agg(F.count(F.lit(1)).alias("count"))
-    return counts.withColumn("complete", F.col("disposition") != "UNRESOLVED_SELECTED_SOURCE")
+    every = Window.partitionBy(F.lit(0))  # as many rows as there are dispositions, three at most
+    return counts.withColumn("complete", F.lit(whole) & ~F.bool_or(F.col("disposition") == "UNRESOLVED_SELECTED_SOURCE").over(every))
 
 
 def bind_tables(references: DataFrame, scopes: DataFrame, allowed: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -536,7 +547,8 @@ def bind_tables(references: DataFrame, scopes: DataFrame, allowed: DataFrame, ca
 
     references(ref_id, process, identifier), scopes(process, scope_id, database,
     default_schema, env, lowercase), allowed(scope_id, urn), catalog(urn, removed,
-    field_count). An identifier has one to three dot-separated parts, each bare or
+    field_count, and where they are to be checked key_platform, key_name and key_origin,
+    schema_platform, and fields, a list of paths). An identifier has one to three dot-separated parts, each bare or
     in brackets or double quotes.
     """
     part = r"(?:[^.\[\]\"`#\s]+|\[[^.\[\]]+\]|\"[^.\"]+\")"
@@ -564,15 +576,29 @@ def bind_tables(references: DataFrame, scopes: DataFrame, allowed: DataFrame, ca
     named = r.withColumn("early", early).select(
         "ref_id", "process", "scope_id", "early", F.when(F.col("early").isNull(), urn).alias("urn"))
     permitted = allowed.select("scope_id", "urn").distinct().withColumn("permitted", F.lit(True))
-    observed = catalog.groupBy("urn").agg(F.bool_or("removed").alias("removed"), F.max("field_count").alias("fields"),
-                                          F.lit(True).alias("known"))
+    # What the catalog says of itself must agree with the name it is found under.
+    platform, parsed, origin = parse_urn(F.col("urn"))
+    agrees = {"key": F.lit(True), "platform": F.lit(True), "fields": F.lit(True)}
+    if "key_name" in catalog.columns:
+        agrees["key"] = (F.col("key_platform") == platform) & (F.col("key_name") == parsed) & (F.col("key_origin") == origin)
+    if "schema_platform" in catalog.columns:
+        agrees["platform"] = F.col("schema_platform") == platform
+    if "fields" in catalog.columns:
+        named_all = F.forall("fields", lambda f: F.coalesce(f != "", F.lit(False)))
+        agrees["fields"] = F.col("fields").isNotNull() & named_all & (F.size(F.array_distinct("fields")) == F.size("fields"))
+    observed = catalog.groupBy("urn").agg(
+        F.bool_or("removed").alias("removed"), F.max("field_count").alias("_fields"), F.lit(True).alias("known"),
+        *[F.bool_and(F.coalesce(ok, F.lit(False))).alias(f"_{n}_agrees") for n, ok in agrees.items()])
     joined = named.join(permitted, ["scope_id", "urn"], "left").join(observed, "urn", "left")
     reason = F.coalesce(
         "early",
         F.when(F.col("permitted").isNull(), "dataset_outside_host_allowlist")
         .when(F.col("known").isNull(), "catalog_key_missing")
+        .when(~F.col("_key_agrees"), "catalog_key_mismatch")
         .when(F.coalesce("removed", F.lit(True)), "catalog_status_missing_or_removed")
-        .when(F.coalesce("fields", F.lit(0)) == 0, "catalog_schema_missing_or_empty"),
+        .when(F.coalesce("_fields", F.lit(0)) == 0, "catalog_schema_missing_or_empty")
+        .when(~F.col("_platform_agrees"), "catalog_schema_platform_mismatch")
+        .when(~F.col("_fields_agrees"), "catalog_schema_fields_invalid"),
     )
     return joined.select(
         "ref_id", "process", F.when(reason.isNull(), "CATALOG_BOUND").otherwise("UNRESOLVED").alias("status"),

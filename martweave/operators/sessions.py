@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import hashlib
+import json
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martweave.functions import scale
 from martweave.functions.scalars import snippet
+from martweave.operators import lineage
 
 # What counts as a secret, and what a placeholder looks like.
 PRIVATE_KEY = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"
@@ -60,18 +65,37 @@ ANALYSIS = (
 _COLUMNS = [part.split()[0] for part in ANALYSIS.split(",")]
 
 
-def analyze_corpus(docs: DataFrame, analyze: Callable[[pd.DataFrame], pd.DataFrame]) -> dict[str, DataFrame]:
+BATCH_BYTES = 1 << 22
+
+
+def byte_slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch whose texts hold at most ``limit`` bytes together; a longer one is alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > limit:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if len(sizes) > start:
+        yield batch.slice(start)
+
+
+def analyze_corpus(docs: DataFrame, analyze: Callable[[pd.DataFrame], pd.DataFrame], batch_bytes: int = BATCH_BYTES) -> dict[str, DataFrame]:
     """Run ``analyze`` over batches of docs(path, text); returns nodes, edges, coverage and findings.
 
-    The function gets a pandas frame of whole documents and returns records whose
-    ``record`` is node, edge, coverage or finding; other columns may be missing.
+    The function gets a pandas frame of whole documents, at most ``batch_bytes`` of text or one
+    document, and returns records whose ``record`` is node, edge, coverage or finding; other
+    columns may be missing.
     """
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            records = analyze(frame).reindex(columns=_COLUMNS).astype(object)
-            yield records.where(records.notna(), None)
-
-    records = scale.stage(docs.select("path", "text").mapInPandas(batches, ANALYSIS), "analysis")
+    def batches(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in read:
+            for part in byte_slices(batch, 1, batch_bytes):
+                records = analyze(part.to_pandas()).reindex(columns=_COLUMNS).astype(object)
+                rows = records.where(records.notna(), None)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[c].tolist(), pa.string()) for c in _COLUMNS], names=_COLUMNS)
+
+    records = scale.stage(docs.select("path", "text").mapInArrow(batches, ANALYSIS), "analysis")
     columns = {
         "node": ["path", "kind", "local_id", "name"],
         "edge": ["path", "kind", "source", "target"],
@@ -82,6 +106,53 @@ def analyze_corpus(docs: DataFrame, analyze: Callable[[pd.DataFrame], pd.DataFra
     return {names[r]: records.filter(F.col("record") == r).select(*c) for r, c in columns.items()}
 
 
+_GRAPH = pa.schema([
+    ("record", pa.string()), ("path", pa.string()), ("id", pa.string()), ("kind", pa.string()), ("local_id", pa.string()), ("owner", pa.string()),
+    ("fields", pa.list_(pa.struct([("path", pa.string()), ("native_type", pa.string())]))),
+    ("sources", pa.list_(pa.struct([("node", pa.string()), ("field", pa.string())]))), ("target", pa.struct([("node", pa.string()), ("field", pa.string())])),
+    ("state", pa.string()), ("code", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("pointer", pa.string())])
+GRAPH = ("record string, path string, id string, kind string, local_id string, owner string, fields array<struct<path:string,native_type:string>>,"
+         " sources array<struct<node:string,field:string>>, target struct<node:string,field:string>, state string, code string,"
+         " start_line bigint, end_line bigint, pointer string")
+
+
+def analyze_graph(docs: DataFrame, scope: str, analyze: Callable[[str, str | None], Iterable[dict]], batch_bytes: int = BATCH_BYTES) -> dict[str, DataFrame]:
+    """Run ``analyze(path, text)`` over all documents and check what it returns.
+
+    Records are dictionaries with ``record`` node (id, kind, local_id, owner, fields), edge (id, kind, sources,
+    target), evidence (id of its node or edge, start_line, end_line, pointer), coverage (state) or finding (code);
+    ``node_ref`` makes the ids. Returns nodes, edges, evidence, coverage, findings and ``violations``: those of
+    the graph contract, of coverage, and of evidence, whose digest is that of the document the
+    record came from. ``complete`` is one row that says whether the analysis is complete, which a violation rules out.
+    """
+    def batches(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in read:
+            for part in byte_slices(batch, 1, batch_bytes):
+                rows = [{"path": path, **record} for path, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for record in analyze(path, text)]
+                yield pa.RecordBatch.from_pylist(rows, schema=_GRAPH)
+
+    files = docs.select("path", "text")
+    found = scale.stage(files.mapInArrow(batches, GRAPH), "graph-records")
+    of = lambda record, *columns: found.filter(F.col("record") == record).select(*columns)
+    nodes = of("node", "id", "kind", "local_id", "owner", "fields")
+    edges = of("edge", F.col("id").alias("edge_id"), "kind", "sources", "target")
+    coverage, findings = of("coverage", "path", "state"), of("finding", "path", "code")
+    digests = files.select("path", F.sha2("text", 256).alias("file_sha256"))
+    evidence = of("evidence", F.col("id").alias("subject"), "path", "start_line", "end_line", "pointer").join(digests, "path")
+    subjects = nodes.select(F.col("id").alias("subject")).unionByName(edges.select(F.col("edge_id").alias("subject")))
+    violations = scale.stage(lineage.validate_graph(nodes, edges, scope).unionByName(lineage.validate_coverage(files, coverage, findings)).unionByName(
+        lineage.validate_evidence(evidence, files, subjects=subjects)), "graph-violations")
+    valid = violations.isEmpty()
+    done = lineage.coverage_complete(coverage, findings, nodes).withColumn("complete", F.col("complete") & F.lit(valid))
+    return {"nodes": nodes, "edges": edges, "evidence": evidence, "coverage": coverage, "findings": findings, "violations": violations, "complete": done}
+
+
+def node_ref(scope: str, kind: str, local_id: str) -> str:
+    """The id that ``lineage.node_id`` gives a node, for use inside an analyzer."""
+    text = json.dumps([scope, kind, local_id], ensure_ascii=False, separators=(",", ":"))
+    return "node_" + hashlib.sha256(text.encode()).hexdigest()
+
+
 # --- sessions -------------------------------------------------------------------------------
 
 

@@ -679,11 +679,22 @@ def source_coverage(spark, root):
 
 
 @query(COVERAGE_SQL + """
-SELECT disposition, count(*) AS count, disposition <> 'UNRESOLVED_SELECTED_SOURCE' AS complete FROM r GROUP BY 1""")
+SELECT disposition, count(*) AS count, (SELECT count(*) FROM r WHERE disposition = 'UNRESOLVED_SELECTED_SOURCE') = 0 AS complete FROM r GROUP BY 1""")
 def source_coverage_counts(spark, root):
     return L.source_coverage_counts(coverage_rows(spark, root))
 
 
+@query(COVERAGE_SQL + """
+SELECT disposition, count(*) AS count, (SELECT count(*) FROM orders WHERE o_orderstatus = 'X') = 0 AS complete
+FROM r WHERE disposition <> 'UNRESOLVED_SELECTED_SOURCE' GROUP BY 1""")
+def source_coverage_complete(spark, root):
+    """What is resolved or outside, with all contexts bound and no findings in the trace: complete in every row."""
+    resolved = coverage_rows(spark, root).filter("disposition <> 'UNRESOLVED_SELECTED_SOURCE'")
+    orders = table(spark, root, "orders")
+    contexts = orders.select(F.when(F.col("o_orderstatus") == "F", "CATALOG_BOUND").otherwise("NO_DATASET_DEPENDENCIES").alias("status"))
+    return L.source_coverage_counts(resolved, contexts, orders.filter("o_orderstatus = 'X'"))
+
+
 @query("""
 WITH r AS (
   SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS ref_id, l_suppkey AS process,
@@ -695,7 +706,9 @@ x AS (
   SELECT r.*, CASE WHEN process % 10 = 9 THEN 'connection_scope_unresolved' WHEN ln = 5 THEN 'unsupported_sql_identifier'
          WHEN ln = 1 AND process % 10 = 8 THEN 'default_schema_unresolved' WHEN ln = 4 THEN 'database_outside_host_scope'
          WHEN p_size > 45 THEN 'dataset_outside_host_allowlist' WHEN p_size = 45 THEN 'catalog_key_missing'
-         WHEN p_size = 44 THEN 'catalog_status_missing_or_removed' WHEN p_size = 43 THEN 'catalog_schema_missing_or_empty' END AS reason
+         WHEN p_size = 42 THEN 'catalog_key_mismatch' WHEN p_size = 44 THEN 'catalog_status_missing_or_removed'
+         WHEN p_size = 43 THEN 'catalog_schema_missing_or_empty' WHEN p_size = 41 THEN 'catalog_schema_platform_mismatch'
+         WHEN p_size IN (39, 40) THEN 'catalog_schema_fields_invalid' END AS reason
   FROM r JOIN part ON p_partkey = l_partkey)
 SELECT ref_id, process, CASE WHEN reason IS NULL THEN 'CATALOG_BOUND' ELSE 'UNRESOLVED' END AS status,
        CASE WHEN reason IS NULL THEN 'urn:li:dataset:(urn:li:dataPlatform:mssql,' || folded || ',PROD)' END AS dataset, reason
@@ -719,7 +732,11 @@ def bind_tables(spark, root):
     allowed = part.filter("p_size <= 45").select(F.lit("mart").alias("scope_id"), urn.alias("urn"))
     catalog = part.filter("p_size <> 45").select(
         urn.alias("urn"), (F.col("p_size") == 44).alias("removed"),
-        F.when(F.col("p_size") == 43, 0).otherwise(3).alias("field_count"))
+        F.when(F.col("p_size") == 43, 0).otherwise(3).alias("field_count"), F.lit("mssql").alias("key_platform"),
+        F.concat(F.lit("mart.dm.part_"), F.when(F.col("p_size") == 42, "x").otherwise(F.col("p_partkey").cast("string"))).alias("key_name"),
+        F.lit("PROD").alias("key_origin"), F.when(F.col("p_size") != 41, "mssql").alias("schema_platform"),
+        F.when(F.col("p_size") == 40, F.array(F.lit("a"), F.lit("a"))).when(F.col("p_size") == 39, F.array(F.lit("a"), F.lit("")))
+        .otherwise(F.array(F.lit("a"), F.lit("b"))).alias("fields"))
     return L.bind_tables(references, scopes, allowed, catalog)
 
 

@@ -256,6 +256,43 @@ def analyze_corpus(spark, root):
     return result
 
 
+@query("""
+WITH d AS (SELECT *, length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM documents),
+v AS (
+  SELECT 'file_covered_twice' AS rule FROM d WHERE source = 'src4'
+  UNION ALL SELECT 'unsupported_without_finding' FROM d WHERE lang = 'de' AND source = 'src3'
+  UNION ALL SELECT 'dangling_edge' FROM d WHERE lang = 'es'
+  UNION ALL SELECT 'evidence_line_out_of_range' FROM d WHERE lang = 'fr'
+  UNION ALL SELECT 'missing_evidence' FROM d WHERE lang = 'en' AND source = 'src5'
+  UNION ALL SELECT 'duplicate_field' FROM d WHERE lang <> 'de' AND source = 'src6')
+SELECT rule, count(*) AS violations, false AS complete FROM v GROUP BY rule""")
+def analyze_graph(spark, root):
+    """A user analyzer whose graph, coverage and evidence break a rule for some documents; violations per rule."""
+    def analyze(path: str, text: str | None):
+        lang, source, _ = path.split("/")
+        yield {"record": "coverage", "state": "unsupported" if lang == "de" else "analyzed"}
+        if source == "src4":
+            yield {"record": "coverage", "state": "unsupported" if lang == "de" else "analyzed"}
+        if lang == "de":
+            if source != "src3":
+                yield {"record": "finding", "code": "language_unsupported"}
+            return
+        asset, port = T.node_ref("corpus", "asset", path), T.node_ref("corpus", "port", path)
+        fields = [{"path": "length", "native_type": "int"}] * (2 if source == "src6" else 1)
+        yield {"record": "node", "id": asset, "kind": "asset", "local_id": path}
+        yield {"record": "node", "id": port, "kind": "port", "local_id": path, "owner": asset, "fields": fields}
+        target = port if lang != "es" else "node_missing"
+        yield {"record": "edge", "id": path, "kind": "value_dependency", "sources": [{"node": port, "field": "length"}], "target": {"node": target, "field": "length"}}
+        lines = (text or "").count("\n") + 1
+        for subject in (asset, port, *([path] if (lang, source) != ("en", "src5") else [])):
+            yield {"record": "evidence", "id": subject, "start_line": 1, "end_line": lines + (lang == "fr" and subject == path)}
+
+    docs = table(spark, root, "documents").select(F.concat_ws("/", "lang", "source", "doc_id").alias("path"), "text")
+    g = T.analyze_graph(docs, "corpus", analyze)
+    counted = g["violations"].groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
+    return counted.withColumn("complete", F.lit(g["complete"].first()["complete"]))
+
+
 # --- sessions -----------------------------------------------------------------------------------------
 
 

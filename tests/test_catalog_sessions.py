@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from martweave.functions import scalars as S
 from martweave.operators import catalog as C
+from martweave.operators import lineage as L
 from martweave.operators import sessions as T
 from martweave.sources import declared, readers
 from tests.conftest import rows, rules
@@ -166,6 +167,51 @@ def test_analyzer_records(spark):
     assert rows(g["nodes"], "local_id", "name") == [("a", "x"), ("b", "y")] and g["edges"].count() == 0
 
 
+def test_batches_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * 10, "b" * 25, None, "c" * 5, "d" * 100, "e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["path", "text"])
+    parts = [p.column(0).to_pylist() for p in T.byte_slices(batch, 1, 40)]
+    assert parts == [[0, 1, 2, 3], [4], [5]]
+    assert list(T.byte_slices(batch.slice(0, 0), 1, 40)) == []
+
+
+def test_an_analyzer_is_checked(spark):
+    docs = spark.createDataFrame([("a", "one\ntwo"), ("b", '{"x": 1}')], "path string, text string")
+
+    def sound(path, text):
+        node = T.node_ref("s", "asset", path)
+        yield {"record": "coverage", "state": "analyzed"}
+        yield {"record": "node", "id": node, "kind": "asset", "local_id": path}
+        yield {"record": "evidence", "id": node, "start_line": 1, "end_line": text.count("\n") + 1, "pointer": "/x" if path == "b" else None}
+
+    g = T.analyze_graph(docs, "s", sound, batch_bytes=1)
+    assert g["violations"].collect() == [] and g["complete"].first()["complete"] and g["nodes"].count() == 2
+
+    def faulty(path, text):
+        for r in sound(path, text):
+            if r["record"] == "evidence":
+                r["pointer"] = "/none"
+            if r["record"] != "coverage" or path == "a":
+                yield {**r, "id": "x" + r["id"]} if r["record"] == "node" else r
+
+    got = T.analyze_graph(docs, "s", faulty)
+    assert rules(got["violations"]) == {"identity_mismatch", "file_not_covered", "evidence_pointer_invalid", "missing_evidence"}
+    assert not got["complete"].first()["complete"]
+
+
+def test_one_answer_for_a_whole_set(spark):
+    rows_ = spark.createDataFrame([("BOUND_SELECTED_WRITE",), ("UNRESOLVED_SELECTED_SOURCE",)], "disposition string")
+    assert {r.complete for r in L.source_coverage_counts(rows_).collect()} == {False}
+    sound, open_ = rows_.limit(0).unionByName(rows_.filter("disposition = 'BOUND_SELECTED_WRITE'")), spark.createDataFrame([("CATALOG_BOUND",), (None,)], "status string")
+    assert [r.complete for r in L.source_coverage_counts(sound).collect()] == [True]
+    assert [r.complete for r in L.source_coverage_counts(sound, open_).collect()] == [False]
+    assert [r.complete for r in L.source_coverage_counts(sound, open_.filter("status IS NOT NULL"), rows_).collect()] == [False]
+    kinds = spark.createDataFrame([("CONSTANT",)], "classification string")
+    assert L.classification_counts(kinds).first()["complete"] and not L.classification_counts(kinds, rows_).first()["complete"]
+
+
 def test_allowlist_patterns_must_be_anchored(spark):
     df = spark.createDataFrame([("a.b",), ("xa.b",)], "name string")
     assert rows(readers.allowlist_tables(df, "name", [r"^a\.b$"])) == [("a.b",)]
