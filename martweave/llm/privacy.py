@@ -128,24 +128,31 @@ def spans(kind: str, text: Column) -> Column:
 
 def masked(text: Column) -> Column:
     """The text with blanks in place of all matches, places kept."""
+    def blanked(kind: str) -> Callable[[Column], Column]:
+        return lambda t: step(kind, t)
+
+    def step(kind: str, t: Column) -> Column:
+        cut = F.struct(F.split(t, PATTERNS[kind], -1).alias("pieces"), F.regexp_extract_all(t, F.lit(PATTERNS[kind]), F.lit(0)).alias("matches"))
+        blanks = lambda p, m: F.concat(p, F.repeat(F.lit(" "), F.coalesce(F.length(m), F.lit(0))))
+        return let(cut, lambda c: F.array_join(F.zip_with(c["pieces"], c["matches"], blanks), ""))
+
+    # Every step reads the text twice, so it is bound: unbound, the last step would make it sixteen times.
     for kind in KINDS:
-        pattern = F.lit(PATTERNS[kind])
-        cut = F.struct(F.split(text, PATTERNS[kind], -1).alias("pieces"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("matches"))
-        text = let(cut, lambda c: F.array_join(F.zip_with(c["pieces"], c["matches"], lambda p, m: F.concat(p, F.repeat(F.lit(" "), F.coalesce(F.length(m), F.lit(0))))), ""))
+        text = let(text, blanked(kind))
     return text
 
 
 def places(text: Column) -> Column:
     """(term, start, end) for every term of the text; ends are exclusive."""
     length = lambda c: F.length(c).cast("long")
-    cut = F.struct(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)).alias("words"), F.split(text, LETTERS, -1).alias("gaps"))
 
     def row(c: Column, before: Column, w: Column, i: Column) -> Column:
         start = before[i] + length(c["gaps"][i])
         return F.struct(F.lower(w).alias("term"), start.alias("start"), (start + length(w)).alias("end"))
 
     steps = lambda c: F.transform(c["words"], lambda w, i: length(c["gaps"][i]) + length(w))
-    return let(cut, lambda c: let(running(steps(c)), lambda before: F.transform(c["words"], lambda w, i: row(c, before, w, i))))
+    found = lambda c: let(running(steps(c)), lambda before: F.transform(c["words"], lambda w, i: row(c, before, w, i)))
+    return let(text, lambda t: let(F.struct(F.regexp_extract_all(t, F.lit(LETTERS), F.lit(0)).alias("words"), F.split(t, LETTERS, -1).alias("gaps")), found))
 
 
 def terms_of(text: Column) -> Column:
