@@ -237,6 +237,7 @@ def marks(docs: DataFrame, found: DataFrame) -> DataFrame:
     # Only texts with a hit are moved, each once, to find the places in them.
     held = pass_filter(texts, F.col("tag"), filter_table(hits.select(F.col("tag").alias("h"))))
     every = held.groupBy("tag").agg(F.first("_text").alias("_text")).select("tag", F.explode(places(F.col("_text"))).alias("w")).select("tag", "w.*")
+    every = pass_filter(every, F.xxhash64("term"), terms)
     return alone.unionByName(every.join(hits, ["tag", "term"]).select("tag", "start", "end", "generalise"))
 
 
