@@ -133,8 +133,8 @@ def _nfkc(name: Column) -> Column:
 
 
 def normalize_name(name: Column) -> Column:
-    """NFKC, trimmed, inner whitespace collapsed, lower case."""
-    return F.lower(F.trim(F.regexp_replace(_nfkc(name), r"\s+", " ")))
+    """NFKC, trimmed, inner whitespace collapsed, lower case; blanks that NFKC leaves are whitespace too."""
+    return F.lower(F.trim(F.regexp_replace(_nfkc(name), r"[\s\u1680\u2028\u2029\uFEFF]+", " ")))
 
 
 def contains_ci(needle: str, *columns: Column) -> Column:

@@ -217,3 +217,8 @@ def test_allowlist_patterns_must_be_anchored(spark):
     assert rows(readers.allowlist_tables(df, "name", [r"^a\.b$"])) == [("a.b",)]
     with pytest.raises(ValueError):
         readers.allowlist_tables(df, "name", ["a"])
+
+
+def test_names_with_blanks_of_all_kinds(spark):
+    df = spark.createDataFrame([("\u2028Net \u1680\u00a0 Sales\ufeff",), ("\ufb01\u3000X",), (None,), ("",)], "n string")
+    assert [r[0] for r in df.select(S.normalize_name(F.col("n"))).collect()] == ["net sales", "fi x", None, ""]
