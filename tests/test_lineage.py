@@ -235,7 +235,7 @@ def test_graph_nodes_are_not_broadcast_by_the_size_they_come_from(spark):
     # Few rows become many nodes with long identities: what the planner guesses is far too small.
     many = spark.range(20).select(F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("i"), "id").select(
         F.concat_ws("-", "id", "i").alias("local_id"), F.lit("port").alias("kind"))
-    nodes = many.select(L.node_id("s", F.col("kind"), F.col("local_id")).alias("id"), "kind", "local_id", F.lit("gone").alias("owner"),
+    nodes = many.select(L.node_id("s", F.col("kind"), F.col("local_id")).alias("id"), "kind", "local_id", F.concat(F.lit("gone"), "local_id").alias("owner"),
                         F.expr("array(named_struct('path', 'f1', 'native_type', 'int'))").alias("fields"))
     end = lambda field: F.struct(F.col("id").alias("node"), F.lit(field).alias("field"))
     edges = nodes.select(F.col("local_id").alias("edge_id"), F.lit("value_dependency").alias("kind"), F.array(end("f1")).alias("sources"), end("f2").alias("target"))
