@@ -26,7 +26,7 @@ def mart_of(spark: SparkSession, root: str) -> load.Mart:
     key = (spark.sparkContext.applicationId, root)
     if key not in _MARTS:
         target = scale.new_path(spark, "mart")
-        load.load_mart(adapter.mart_sources(spark, root), target, SCOPE)
+        load.load_mart(adapter.mart_sources(spark, root, scope=SCOPE), target, SCOPE)
         _MARTS[key] = load.open_mart(spark, target)
     return _MARTS[key]
 
@@ -131,7 +131,7 @@ def in_scope_orders(spark, root):
 @query(MART_SQL + "SELECT * FROM lines")
 def order_lines(spark, root):
     return mart.order_lines(
-        adapter.sales_order_header(spark, root), adapter.sales_order_detail(spark, root), SCOPE
+        adapter.sales_order_header(spark, root), adapter.sales_order_detail(spark, root, scope=SCOPE), SCOPE
     ).withColumn("line_net_amount", F.col("line_net_amount").cast("decimal(19,6)"))
 
 
@@ -165,7 +165,7 @@ FROM lines l JOIN keyed_products p USING (source_product_id) JOIN keyed_customer
 JOIN keyed_territories t ON t.source_territory_id = coalesce(l.source_territory_id, 0)""")
 def lookup_surrogate(spark, root):
     lines = mart.order_lines(
-        adapter.sales_order_header(spark, root), adapter.sales_order_detail(spark, root), SCOPE)
+        adapter.sales_order_header(spark, root), adapter.sales_order_detail(spark, root, scope=SCOPE), SCOPE)
     dims = mart_of(spark, root).dims
     df = mart.lookup_surrogate(lines, dims["dim_product"], "source_product_id", "product_key")
     df = mart.lookup_surrogate(df, dims["dim_customer"].drop("territory_key"), "source_customer_id", "customer_key")
@@ -503,7 +503,7 @@ def rollup_compare(spark, root):
 @query(MART_SQL + f"SELECT {_TOTALS} FROM lines")
 def preview_totals(spark, root):
     """The dry run's measures, pivoted back to one row."""
-    rows = load.preview_load(adapter.mart_sources(spark, root), SCOPE)
+    rows = load.preview_load(adapter.mart_sources(spark, root, scope=SCOPE), SCOPE)
     wide = rows.groupBy().pivot("measure", quality.TOTALS).agg(F.first("value"))
     kinds = {"line_net_amount": "decimal(38,6)", "source_line_total": "decimal(38,6)"}
     return wide.select(*[F.col(m).cast(kinds.get(m, "long")).alias(m) for m in quality.TOTALS])
@@ -520,7 +520,7 @@ FROM t""")
 def load_mart(spark, root):
     """A complete load into an empty mart; the receipt without its digest."""
     target = scale.new_path(spark, "mart")
-    receipt = load.load_mart(adapter.mart_sources(spark, root), target, SCOPE).drop("receipt_sha256")
+    receipt = load.load_mart(adapter.mart_sources(spark, root, scope=SCOPE), target, SCOPE).drop("receipt_sha256")
     _MARTS[(spark.sparkContext.applicationId, root)] = load.open_mart(spark, target)
     return receipt
 
@@ -533,7 +533,7 @@ FROM n GROUP BY order_month""")
 def reload_mart(spark, root):
     """A second load in which orders of some months have another customer: which months were written anew."""
     target = scale.new_path(spark, "mart")
-    sources = adapter.mart_sources(spark, root)
+    sources = adapter.mart_sources(spark, root, scope=SCOPE)
     load.load_mart(sources, target, SCOPE)
     before = load.fact_months(current_paths(spark, target))
     moved = (F.date_format("order_date", "yyyyMM").cast("int") % 5 == 0) & (F.col("sales_order_id") % 3 == 0)
@@ -614,7 +614,7 @@ FROM lines WHERE order_qty > 40""")
 def check_formula(spark, root):
     """In-scope lines whose source total was raised on large quantities."""
     lines = mart.order_lines(
-        adapter.sales_order_header(spark, root), adapter.sales_order_detail(spark, root), SCOPE)
+        adapter.sales_order_header(spark, root), adapter.sales_order_detail(spark, root, scope=SCOPE), SCOPE)
     extra = F.when(F.col("order_qty") > 40, F.col("order_qty") * F.lit("0.01").cast("decimal(3,2)")).otherwise(
         F.lit(0).cast("decimal(3,2)"))
     changed = lines.withColumn("source_line_total", (F.col("source_line_total") + extra).cast("decimal(19,6)"))

@@ -12,7 +12,7 @@ from martweave.functions import scalars as S
 from martweave.operators import mart, quality
 from martweave.operators.mart import Scope
 from martweave.plans import load, reports
-from martweave.sources import readers, sinks
+from martweave.sources import adapter, readers, sinks
 from tests.conftest import rows, rules
 
 SCOPE = Scope("2012-01-01", "2012-12-31")
@@ -313,3 +313,14 @@ def test_money_is_rounded_once(spark):
     df = spark.createDataFrame([("0.00004999999999995",), ("0.00005",), ("x",)], "m string")
     good, bad = quality.coerce_source(df, {"m": ("decimal4", False)})
     assert sorted(str(r.m) for r in good.collect()) == ["0.0000", "0.0001"] and bad.count() == 1
+
+
+def test_only_lines_in_scope_are_ranked(spark, monkeypatch):
+    root, scope = "/root/testdata/sf0.001", Scope("1995-06-01", "2001-06-30")
+    ranked, real = [], scale.grouped_rank
+    monkeypatch.setattr(adapter.scale, "grouped_rank", lambda df, *a: ranked.append(df) or real(df, *a))
+    header = adapter.sales_order_header(spark, root)
+    found = mart.order_lines(header, adapter.mart_sources(spark, root, scope=scope)["sales_order_detail"], scope)
+    every = mart.order_lines(header, adapter.sales_order_detail(spark, root), scope)
+    assert rows(found) == rows(every)
+    assert ranked[0].count() == every.count() < ranked[1].count()
