@@ -182,18 +182,20 @@ def row_text(parts: Sequence[Column]) -> Column:
     return F.to_json(F.array(*[p.cast("string") for p in parts]), {"ignoreNullFields": "false"})
 
 
+def digest_sums(parts: Sequence[Column]) -> dict[str, Column]:
+    """What ``set_digest`` aggregates, by name; also usable over a window."""
+    row = F.sha2(row_text(parts), 256)
+    words = {f"_w{i}": F.sum(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)}
+    return {"_rows": F.count(F.lit(1)), **words}
+
+
 def set_digest(parts: Sequence[Column]) -> list[Column]:
     """Aggregates for an order-free digest of a row set: four decimal sums of digest words.
 
     One pass with partial aggregation; no row or task ever holds the set. Combine
     with ``finish_digest``.
     """
-    row = F.sha2(row_text(parts), 256)
-    sums = [
-        F.sum(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"_w{i}")
-        for i in range(4)
-    ]
-    return [F.count(F.lit(1)).alias("_rows"), *sums]
+    return [total.alias(name) for name, total in digest_sums(parts).items()]
 
 
 def finish_digest() -> Column:

@@ -93,3 +93,18 @@ def test_paths_of_many_targets(spark):
             i = parent[i]
         expected[n] = dict(enumerate(path))
     assert got == expected
+
+
+def test_evidence_of_findings_is_moved_once(spark, monkeypatch):
+    written, real = [], L.scale.stage
+    monkeypatch.setattr(L.scale, "stage", lambda df, label: written.append(label) or real(df, label))
+    data = [(str(i), "m", None, p, f"f{p}", 1, 2) for i in range(3) for p in range(2)]
+    members = L.finding_groups(spark.createDataFrame(data, "candidate_id string, method string, attributes string, position int, path string, line int, end_line int"))[2]
+    assert members._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and written == []
+    assert members.select("group_id").distinct().count() == 1 and members.count() == 6
+
+
+def test_null_members_are_equal(spark):
+    one = spark.createDataFrame([(1, None), (1, 2), (2, None)], "job int, dataset int")
+    got = L.extend_only(one, spark.createDataFrame([(1, None), (1, 3)], "job int, dataset int"), ["job"], "dataset")
+    assert rows(got) == sorted([(1, 2, "conflict"), (2, None, "conflict"), (1, 3, "added")], key=repr)
