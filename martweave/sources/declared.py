@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from martweave.functions.documents import values_at
+from martweave.functions.documents import valid_pointer
 from martweave.functions.scale import stage
 
 
@@ -157,8 +157,7 @@ def _each(members: Column, row) -> Column:
     return F.transform(F.map_entries(members), lambda e: row(e["key"], e["value"]))
 
 
-def _open_document(v: Column) -> Column:
-    members, paths = _members(v), _members(_at(v, "$.paths"))
+def _open_document(v: Column, members: Column, paths: Column) -> Column:
     supported = F.coalesce(_text_at(v, "$.openapi").rlike(r"^3\.0\.[0-9]+$"), F.lit(False))
     routes = _each(paths, lambda route, item: _row("route", route=route, body=item))
     none = F.coalesce(F.size(paths), F.lit(0)) == 0
@@ -167,8 +166,8 @@ def _open_document(v: Column) -> Column:
         _rows(_not_projected(members, ("servers", "security"), "global_"), inside))
 
 
-def _open_route(c: Column) -> Column:
-    route, members = c["route"], _members(c["body"])
+def _open_route(c: Column, members: Column, _: Column) -> Column:
+    route = c["route"]
     good = F.startswith(route, F.lit("/")) & members.isNotNull() & ~_has(members, "$ref")
 
     def member(name: Column, value: Column) -> Column:
@@ -181,10 +180,8 @@ def _open_route(c: Column) -> Column:
         F.array(_row(reason="path_unsupported", route=route)).cast(_OPEN))
 
 
-def _open_operation(c: Column) -> Column:
+def _open_operation(c: Column, members: Column, responses: Column) -> Column:
     at = {"route": c["route"], "method": c["method"]}
-    members = _members(c["body"])
-    responses = _members(F.try_element_at(members, F.lit("responses")))
     request = _some(F.when(_has(members, "requestBody"), _row("container", role=F.lit("request"), body=F.try_element_at(members, F.lit("requestBody")), **at)))
 
     def answer(status: Column, body: Column) -> Column:
@@ -198,11 +195,8 @@ def _open_operation(c: Column) -> Column:
         _rows(_not_projected(members, ("callbacks", "parameters", "security", "servers"), **at), request, answers))
 
 
-def _open_container(c: Column) -> Column:
+def _open_container(c: Column, members: Column, content: Column) -> Column:
     at = {n: c[n] for n in ("route", "method", "role")}
-    members = _members(c["body"])
-    held = F.try_element_at(members, F.lit("content"))
-    content = _members(held)
 
     def media(name: Column, body: Column) -> Column:
         good = (name == "application/json") & _has(_members(body), "schema")
@@ -217,7 +211,22 @@ def _open_container(c: Column) -> Column:
     return F.when(members.isNull(), invalid).when(_has(members, "$ref"), referred).otherwise(_rows(extra, inside))
 
 
-_OPENERS = {"route": _open_route, "operation": _open_operation, "container": _open_container}
+# How a part is opened, and the member that is opened with it.
+_OPENERS = {"route": (_open_route, None), "operation": (_open_operation, "responses"), "container": (_open_container, "content")}
+
+
+def _opened(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows with their parts of one kind opened. Members are columns, so that a body becomes a map once and not in every rule."""
+    opener, inner = _OPENERS[kind]
+    wide = rows.select("doc", F.struct("open", *_PLACE, "reason", "body").alias("c"), _members(F.col("body")).alias("members"))
+    held = F.lit(None).cast("map<string,variant>") if inner is None else _members(F.try_element_at("members", F.lit(inner)))
+    return wide.withColumn("held", held).select("doc", F.inline(
+        F.when(F.col("c.open") == kind, opener(F.col("c"), F.col("members"), F.col("held"))).otherwise(F.array("c").cast(_OPEN))))
+
+
+def _reference(body: Column, members: Column) -> Column:
+    """What a body refers to; NULL when it is no text or not the body's only member."""
+    return F.when(F.size(members) == 1, _text_at(body, "$['$ref']"))
 
 
 def explode_api_specs(docs: DataFrame) -> DataFrame:
@@ -228,47 +237,89 @@ def explode_api_specs(docs: DataFrame) -> DataFrame:
     below it. Bodies and responses given by reference are looked up in their document, through
     further references up to ``MAX_REFERENCES``.
     """
-    rows = docs.select(F.col("path").alias("doc"), F.inline(_open_document(F.try_parse_json("text"))))
-    for kind, opener in _OPENERS.items():
-        part = F.struct("open", *_PLACE, "reason", "body")
-        rows = rows.select("doc", part.alias("c")).select(
-            "doc", F.inline(F.when(F.col("c.open") == kind, opener(F.col("c"))).otherwise(F.array("c").cast(_OPEN))))
-    found = stage(rows.select("doc", "open", *_PLACE, "reason", F.to_json("body").alias("body")), "api-rows")
+    read = docs.select(F.col("path").alias("doc"), F.try_parse_json("text").alias("v"))
+    read = read.withColumn("members", _members(F.col("v"))).withColumn("paths", _members(F.try_element_at("members", F.lit("paths"))))
+    rows = read.select("doc", F.inline(_open_document(F.col("v"), F.col("members"), F.col("paths"))))
+    for kind in _OPENERS:
+        rows = _opened(rows, kind)
+    ref = F.when(F.col("open") == "reference", _reference(F.col("body"), _members(F.col("body"))))
+    found = stage(rows.select("doc", "open", *_PLACE, "reason", ref.alias("ref")), "api-rows")
     done = found.filter("open IS NULL").select("doc", *_PLACE, "reason")
     pending = found.filter("open = 'reference'")
     if pending.isEmpty():
         return done
-    return done.unionByName(_references(docs.withColumnRenamed("path", "doc"), pending.select("doc", *_PLACE, "body")))
+    local = F.coalesce(F.startswith("ref", F.lit("#/")), F.lit(False))
+    foreign = pending.filter(~local).select("doc", *_PLACE, _both(F.lit("reference_unsupported")))
+    asked = pending.filter(local).select("doc", "ref", "route", "method", "role")
+    ends = _references(docs, asked)
+    behind = asked.join(ends, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("ref") == F.col("_ref")))
+    return done.unionByName(foreign).unionByName(behind.select("doc", *_PLACE, "reason"))
 
 
-def _references(docs: DataFrame, pending: DataFrame) -> DataFrame:
-    """Rows behind references, round by round; a reference that leads nowhere leaves its reason and an invalid content."""
-    columns = ["doc", *_PLACE, "reason"]
-    pending = pending.withColumn("seen", F.array().cast("array<string>"))
-    out: list[DataFrame] = []
+def _both(reason: Column) -> Column:
+    """A reference that leads nowhere leaves its reason and an invalid content."""
+    return F.explode(F.array(reason, F.lit("content_invalid"))).alias("reason")
 
-    def failed(df: DataFrame, reason: str) -> None:
-        both = F.explode(F.array(F.lit(reason), F.lit("content_invalid"))).alias("reason")
-        out.append(df.select("doc", *_PLACE, both))
 
-    while True:
-        members = _members(F.parse_json("body"))
-        ref = F.when(F.size(members) == 1, _text_at(F.parse_json("body"), "$['$ref']"))
-        read = pending.withColumn("ref", ref)
-        local = F.coalesce(F.startswith("ref", F.lit("#/")), F.lit(False))
-        failed(read.filter(~local), "reference_unsupported")
-        again = F.array_contains("seen", F.col("ref")) | (F.size("seen") >= MAX_REFERENCES)
-        failed(read.filter(local & again), "reference_cycle")
-        asked = read.filter(local & ~again).withColumn("pointer", F.substring("ref", F.lit(2), F.length("ref")))
-        asked = stage(asked, "api-references")
-        values = values_at(docs, ["doc"], "text", asked.select("doc", "pointer")).select("doc", "pointer", F.col("text").alias("_target"))
-        met = asked.join(values, ["doc", "pointer"], "left")
-        failed(met.filter("_target IS NULL"), "reference_missing")
-        body = met.filter("_target IS NOT NULL").withColumn("seen", F.concat("seen", F.array("ref")))
-        part = F.struct(F.lit("container").alias("open"), *_PLACE, F.lit(None).cast("string").alias("reason"), F.parse_json("_target").alias("body"))
-        rows = stage(body.select("doc", "seen", part.alias("c")).select("doc", "seen", F.inline(_open_container(F.col("c")))).select(
-            "doc", "seen", "open", *_PLACE, "reason", F.to_json("body").alias("body")), "api-rows")
-        out.append(rows.filter("open IS NULL").select(columns))
-        pending = rows.filter("open = 'reference'").select("doc", *_PLACE, "body", "seen")
-        if pending.isEmpty():
-            return reduce(DataFrame.unionByName, [df.select(columns) for df in out])
+def _lookup(v: Column, ref: Column) -> Column:
+    """(found, value) at a local reference; NULL is a value, and a value of SQL NULL may be found."""
+    text = F.substring(ref, F.lit(3), F.length(ref))
+    # Names that need no escape and cannot be places of an array are found by one path, without opening what lies on the way.
+    path = F.concat(F.lit("$['"), F.replace(text, F.lit("/"), F.lit("']['")), F.lit("']"))
+    quick = F.when(ref.rlike("^#(?:/[A-Za-z_][A-Za-z0-9_.-]*)+$"), F.try_variant_get(v, path, "variant"))
+
+    def step(at: Column, token: Column) -> Column:
+        name = F.replace(F.replace(token, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+        members, elements = _members(at["value"]), _list_at(at["value"], "$")
+        place = F.when(token.rlike("^(?:0|[1-9][0-9]{0,8})$"), token.cast("int"))
+        there = F.coalesce(F.map_contains_key(members, name), place < F.size(elements), F.lit(False))
+        return F.struct((at["found"] & there).alias("found"), F.coalesce(F.try_element_at(members, name), F.get(elements, place)).alias("value"))
+
+    start = F.struct(valid_pointer(F.substring(ref, F.lit(2), F.length(ref))).alias("found"), v.alias("value"))
+    kind = "struct<found:boolean,value:variant>"
+    whole = F.transform(F.array(quick), lambda q: F.when(q.isNotNull(), F.struct(F.lit(True).alias("found"), q.alias("value"))).cast(kind))[0]
+    return F.coalesce(whole, F.aggregate(F.split(text, "/"), start.cast(kind), lambda at, t: step(at, t).cast(kind)))
+
+
+def _followed(v: Column, ref: Column) -> Column:
+    """Where a local reference ends: (ref, reason, body), through further references."""
+    kind = "struct<open:boolean,next:string,seen:array<string>,reason:string,body:variant>"
+    text, none = F.lit(None).cast("string"), F.lit(None).cast("variant")
+
+    def state(open_: Column, next_: Column, seen: Column, reason: Column, body: Column) -> Column:
+        return F.struct(open_.alias("open"), next_.alias("next"), seen.alias("seen"), reason.alias("reason"), body.alias("body")).cast(kind)
+
+    def met(s: Column, members: Column, target: Column) -> Column:
+        seen = F.concat(s["seen"], F.array(s["next"]))
+        return F.when(~target["found"], state(F.lit(False), s["next"], seen, F.lit("reference_missing"), none)).when(
+            _has(members, "$ref"), state(F.lit(True), _reference(target["value"], members), seen, text, none)).otherwise(
+            state(F.lit(False), s["next"], seen, text, target["value"]))
+
+    def step(s: Column, _: Column) -> Column:
+        failed = F.when(~F.coalesce(F.startswith(s["next"], F.lit("#/")), F.lit(False)), "reference_unsupported").when(
+            F.array_contains(s["seen"], s["next"]) | (F.size(s["seen"]) >= MAX_REFERENCES), "reference_cycle")
+        target = F.transform(F.array(_lookup(v, s["next"])), lambda t: met(s, _members(t["value"]), t))[0]
+        return F.when(~s["open"], s).when(failed.isNotNull(), state(F.lit(False), s["next"], s["seen"], failed, none)).otherwise(target)
+
+    first = state(F.lit(True), ref, F.array().cast("array<string>"), text, none)
+    end = F.aggregate(F.sequence(F.lit(0), F.lit(MAX_REFERENCES)), first, step, lambda s: F.struct(s["reason"].alias("reason"), s["body"].alias("body")))
+    return F.struct(ref.alias("ref"), end["reason"].alias("reason"), end["body"].alias("body"))
+
+
+def _references(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(_doc, _ref, media, reason): the rows behind every reference of asked(doc, ref).
+
+    A document meets the distinct references that it is asked for once, and each is followed to
+    its end there, so chains take no rounds. There are fewer of them than the document has text.
+    """
+    refs = asked.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("ref").alias("refs"))
+    read = docs.join(refs, F.col("path").eqNullSafe(F.col("_doc"))).select("_doc", "refs", F.try_parse_json("text").alias("v"))
+    ends = read.select("_doc", F.inline(F.transform("refs", lambda r: _followed(F.col("v"), r))))
+    nowhere = F.col("reason").isNotNull()
+    nothing = [F.lit(None).cast("string").alias(n) for n in _PLACE]
+    failed = F.transform(F.array("reason", F.lit("content_invalid")), lambda r: _row(reason=r)).cast(_OPEN)
+    wide = ends.select("_doc", "ref", "reason", F.when(~nowhere, _members(F.col("body"))).alias("members"),
+                       F.struct(*nothing, F.lit(None).cast("variant").alias("body")).alias("c"))
+    wide = wide.withColumn("held", _members(F.try_element_at("members", F.lit("content"))))
+    opened = _open_container(F.col("c"), F.col("members"), F.col("held"))
+    return wide.select("_doc", F.col("ref").alias("_ref"), F.inline(F.when(nowhere, failed).otherwise(opened))).select("_doc", "_ref", "media", "reason")

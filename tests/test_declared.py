@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from martweave.sources import declared
 from tests.conftest import rows
@@ -100,6 +101,26 @@ def test_references_are_followed(spark):
         ("response:203", None, "content_invalid")], key=repr)
 
 
+def test_references_to_odd_places_take_no_rounds(spark, monkeypatch):
+    body = {"content": {"application/json": {"schema": {}}}}
+    odd = {"a b": body, "it's?": body, "0": body, "": body, "x~1y/z": body, "list": [5, body], "null": None, "far": {"$ref": "#/c/list/1"}, "two": {"$ref": "#/c/far", "x": 1}}
+    refs = ["a b", "it's?", "0", "", "x~01y~1z", "list/1", "list/01", "list/2", "null", "far", "two", "far~2", "null/x", "list"]
+    responses = {str(200 + i): {"$ref": "#/c/" + r} for i, r in enumerate(refs)}
+    staged = []
+    real = declared.stage
+    monkeypatch.setattr(declared, "stage", lambda df, label: staged.append(label) or real(df, label))
+    documents = boards(spark, api({"/x": {"get": {"responses": responses}}}, c=odd)).unionByName(
+        boards(spark, api({"/x": {"get": {"responses": {"200": {"$ref": "#/c"}}}}}, c=body)).withColumn("path", F.lit(None).cast("string")))
+    got = rows(declared.explode_api_specs(documents), "doc", "role", "media", "reason")
+    good = {"a b", "it's?", "0", "", "x~01y~1z", "list/1", "far"}
+    first = {"list/01": "reference_missing", "list/2": "reference_missing", "far~2": "reference_missing", "null/x": "reference_missing", "two": "reference_unsupported"}
+    want = [("p0", f"response:{200 + i}", "application/json", None) for i, r in enumerate(refs) if r in good]
+    want += [("p0", f"response:{200 + i}", None, "content_invalid") for i, r in enumerate(refs) if r not in good]
+    want += [("p0", f"response:{200 + i}", None, first[r]) for i, r in enumerate(refs) if r in first]
+    assert got == sorted([*want, (None, "response:200", "application/json", None)], key=repr)
+    assert staged == ["api-rows"]
+
+
 @pytest.mark.parametrize("explode, doc", [
     (declared.explode_dashboards, {"uid": "d", "panels": [panel(1), {"type": "row", "panels": [panel(2)]}], "templating": {"list": []}}),
     (declared.explode_api_specs, api({"/x": {"get": {"responses": {"200": {}}}}}))])
