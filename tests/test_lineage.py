@@ -114,6 +114,19 @@ def test_long_ring_and_long_chain(spark):
     assert {r[:2] for r in got if r[2]} == {*ring, ("x", "x")} and len(got) == 1502
 
 
+@pytest.mark.parametrize("shared", [False, True])
+def test_cycle_rounds_work_on_numbers_unless_nodes_share_them(spark, monkeypatch, shared):
+    if shared:
+        monkeypatch.setattr(L, "_number", lambda node: F.length(node).cast("long"))
+    kinds = []
+    real = L._strong_parts
+    monkeypatch.setattr(L, "_strong_parts", lambda edges: kinds.append(edges.schema["src"].dataType.typeName()) or real(edges))
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("dd", "d"), ("d", "e"), ("e", "d"), ("f", "f")]
+    got = rows(L.edges_on_cycles(spark.createDataFrame(edges, "src string, dst string")))
+    assert got == sorted((a, b, (a, b) not in [("c", "d"), ("dd", "d")]) for a, b in edges)
+    assert kinds == ["struct" if shared else "long"]
+
+
 def test_nearest_parent_with_cycle_and_long_chain(spark):
     chain = [(i, i - 1 if i else None, i % 10 == 0) for i in range(100)]
     ring = [(200, 201, True), (201, 200, True), (202, 201, True)]
