@@ -158,6 +158,31 @@ def test_candidate_statuses(spark):
     assert status == {"s1": "PASS", "s2": "INCONCLUSIVE", "s3": "FAIL", "s4": "INCONCLUSIVE", "s5": "FAIL"}
 
 
+def test_candidates_meet_findings_without_join_or_sort(spark):
+    data = [("s1", "c1", "asset", "resolved", "x"), ("s1", "c2", "process", "inferred", "x"), ("s2", "c1", "asset", "resolved", "x"), ("s3", "c1", None, "unresolved", "x")]
+    df = spark.createDataFrame(data, "source_id string, candidate_id string, kind string, status string, object string").withColumn(
+        "attributes", F.create_map(F.lit("relation_type"), F.lit("reads")))
+    found = spark.createDataFrame([("s2", "c1", "r"), ("s2", "c1", "r2"), ("s9", "c9", "r")], "source_id string, candidate_id string, reason string")
+    single, report = L.validate_candidates(df, found)
+    assert rows(single) == [("s1", "c1", "publishable"), ("s1", "c2", "held"), ("s2", "c1", "rejected"), ("s3", "c1", "held")]
+    assert rows(report) == [("s1", "INCONCLUSIVE", 2, 1, 0), ("s2", "FAIL", 0, 0, 0), ("s3", "PASS", 1, 0, 0)]
+    plan = single._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "SortAggregate" not in plan
+
+
+def test_evidence_meets_files_and_pointers_in_one_join(spark):
+    corpus = spark.createDataFrame([("a", '{"x":1}'), ("b", "no json"), (None, "{}")], "path string, text string")
+    asked = [(1, "a", "/x"), (2, "a", "/y"), (3, "a", "~"), (4, "a", None), (5, "b", "/x"), (6, "z", "/x"), (7, "a", ""), (8, None, "/x"), (9, None, None)]
+    evidence = spark.createDataFrame(asked, "subject int, path string, pointer string").join(
+        corpus.select("path", F.sha2("text", 256).alias("file_sha256")), "path", "left").withColumns({"start_line": F.lit(1), "end_line": F.lit(1)})
+    found = L.evidence_findings(evidence, corpus, subjects=spark.createDataFrame([(1,), (10,)], "subject int"))
+    assert rows(found, "subject", "rule") == [
+        (10, "missing_evidence"), (2, "evidence_pointer_invalid"), (3, "evidence_pointer_invalid"), (5, "evidence_pointer_invalid"),
+        (6, "evidence_path_unknown"), (8, "evidence_path_unknown"), (9, "evidence_path_unknown")]
+    plan = L.evidence_findings(evidence, corpus)._jdf.queryExecution().optimizedPlan().toString()
+    assert "<=> _pointer" in plan
+
+
 def test_dependencies_count_only_earlier_writes_of_others(spark):
     steps = spark.createDataFrame(
         [("a", 1, "writes", "d"), ("b", 2, "reads", "d"), ("b", 3, "writes", "d"), ("a", 4, "reads", "d"), ("c", 1, "reads", "d")],
