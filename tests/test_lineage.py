@@ -285,3 +285,11 @@ def test_graph_nodes_are_not_broadcast_by_the_size_they_come_from(spark):
         assert {(r["rule"], r["count"]) for r in found.groupBy("rule").count().collect()} == {("port_owner_invalid", 20000), ("unknown_field", 20000)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_job_steps_are_spread_before_they_are_counted(spark):
+    steps = spark.createDataFrame([("j", "reads", "d", 1), ("j", "reads", "d", 1), ("j", "reads", "d", 3)], "job string, relation string, dataset string, step int")
+    io = L.job_io(steps)
+    assert rows(io) == [("j", "reads", "d", 2, 1, 3)]
+    plan = io._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan[plan.rindex("Exchange hashpartitioning"):]
