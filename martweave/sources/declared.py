@@ -2,8 +2,8 @@
 
 A document is parsed once to a VARIANT. Members become arrays of items, each either a
 finished row or something still to be opened, and every level is one ``explode`` in the same
-stage; nothing is joined with itself. Only what can nest without end takes rounds: rows of
-panels inside rows, and references between parts of an API document.
+stage; nothing is joined with itself. Only rows of panels inside rows take rounds; references
+between parts of an API document are followed inside it, in a second pass over documents that need it.
 """
 
 from __future__ import annotations
