@@ -66,6 +66,25 @@ def test_one_dataset_in_all_data_sources(spark):
     assert rows(got) == sorted(expected, key=repr)
 
 
+def test_datasets_of_the_same_scopes_are_tested_together(spark, monkeypatch):
+    written, real = {}, L.scale.stage
+
+    def stage(df, label):
+        out = real(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(L.scale, "stage", stage)
+    # Every data source reads datasets of its own, so no two have equal upstreams; 900 datasets are in one scope, 10 in two, 10 in none.
+    allowed = [("a", u) for u in range(450)] + [("b", u) for u in range(440, 900)]
+    up = [(d, u) for d in range(300) for u in (d, d + 300, d + 600)] * 2 + [(500, u) for u in range(445)] + [(501, 905), (502, 440), (503, None), (503, 1), (None, 1)]
+    got = L.resolve_scope(spark.createDataFrame(up, "datasource int, urn int"), spark.createDataFrame(allowed, "scope_id string, urn int"))
+    no = "scope_ambiguous_or_unapproved"
+    assert rows(got) == sorted([(d, None, no) for d in range(300)] + [(500, "a", None), (501, None, no), (502, None, no), (503, None, no), (None, None, no)], key=repr)
+    # Four classes of datasets ({a}, {b}, both, none) make at most 15 sets, however many data sources and datasets there are.
+    assert max(n for label, n in written.items() if label in ("scope-sets", "scope-heads", "scope-found")) <= 32
+
+
 def test_findings_group_by_their_ordered_files(spark):
     data = [("c1", "m", None, 0, "x", 1, 1), ("c1", "m", None, 1, "y", 2, 2), ("c2", "m", None, 1, "y", 5, 9), ("c2", "m", None, 0, "x", 4, 4),
             ("c3", "m", None, 0, "y", 1, 1), ("c3", "m", None, 1, "x", 1, 1), ("c4", "m", "a", 0, "x", 1, 1), ("c4", "m", "a", 1, "y", 1, 1)]
