@@ -293,3 +293,12 @@ def test_job_steps_are_spread_before_they_are_counted(spark):
     assert rows(io) == [("j", "reads", "d", 2, 1, 3)]
     plan = io._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan[plan.rindex("Exchange hashpartitioning"):]
+
+
+def test_jobs_name_all_their_steps(spark):
+    data = [("j", "reads", "d", s) for s in (10, 3, 1, 3, None)] + [("j", "writes", "d", 3), ("k", "reads", "d", 7), ("k", "reads", "e", None)] + [
+        ("hot", "writes", "d", s % 5000) for s in range(20000)]
+    io = L.job_io(spark.createDataFrame(data, "job string, relation string, dataset string, step int"), ids=True)
+    assert io._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert rows(io) == sorted([("j", "reads", "d", 3, 1, 10, [1, 3, 10]), ("j", "writes", "d", 1, 3, 3, [3]), ("k", "reads", "d", 1, 7, 7, [7]),
+                               ("k", "reads", "e", 0, None, None, []), ("hot", "writes", "d", 5000, 0, 4999, list(range(5000)))], key=repr)
